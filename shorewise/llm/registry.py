@@ -1,8 +1,8 @@
 """The operators' queries, by name, and the SQL of those that SQL can express."""
 
-from shorewise.llm import decontaminate, lm_score, mixing, near_dedup, sharding
+from shorewise.llm import decontaminate, lm_score, mixing, near_dedup, sharding, toxicity
 
-_MODULES = (decontaminate, near_dedup, sharding, mixing, lm_score)
+_MODULES = (decontaminate, toxicity, near_dedup, sharding, mixing, lm_score)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
