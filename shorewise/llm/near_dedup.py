@@ -185,7 +185,7 @@ def _tile_links(percent: int):
             if len(pairs):
                 root = _forest(pairs - a, b - a) + a
                 linked = np.unique(pairs)
-                out.append((node[linked], node[root[linked]]))
+                out.append((node[linked], node[root[linked - a]]))
         cat = lambda k: np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64)
         return pa.table({"a": cat(0), "b": cat(1)})
 
