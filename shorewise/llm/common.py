@@ -40,3 +40,19 @@ def settled(df: DataFrame) -> DataFrame:
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+BLOCK_BYTES = 24_000_000
+
+
+def with_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, text and block: a number that deals the rows evenly to blocks of about block_bytes of text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-size // block_bytes) or 1)).cast("int")
+    return docs.select("doc_id", "text").withColumn("block", block)
+
+
+def shared_by_blocks(listed: DataFrame, key: str) -> DataFrame:
+    """The rows of (block, key) of which another block has the key too. One exchange serves the count and the join."""
+    listed = listed.repartition(key)
+    return listed.join(listed.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key), key)
