@@ -1,8 +1,8 @@
 """The operators' queries, by name, and the SQL of those that SQL can express."""
 
-from shorewise.llm import decontaminate, language_id, lm_score, mixing, near_dedup, repeats, sharding, toxicity
+from shorewise.llm import decontaminate, language_id, lm_score, mixing, near_dedup, repeats, sharding, substrings, toxicity
 
-_MODULES = (language_id, decontaminate, toxicity, near_dedup, sharding, repeats, mixing, lm_score)
+_MODULES = (language_id, decontaminate, toxicity, near_dedup, substrings, sharding, repeats, mixing, lm_score)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
