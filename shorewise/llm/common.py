@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,9 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the context cleaner drops the shuffle files of finished jobs only when their plans are collected as garbage
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,4 +59,5 @@ def with_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 def shared_by_blocks(listed: DataFrame, key: str) -> DataFrame:
     """The rows of (block, key) of which another block has the key too. One exchange serves the count and the join."""
     listed = listed.repartition(key)
-    return listed.join(listed.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key), key)
+    # counting blocks, not rows, keeps both sides' columns alike, so that the exchange is reused
+    return listed.join(listed.groupBy(key).agg(F.count("block").alias("__n")).where("__n > 1").select(key), key)

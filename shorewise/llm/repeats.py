@@ -1,7 +1,7 @@
 """Substring dedup of word passages by seed and extend.
 
-Documents are dealt into blocks; the exchange that deals them serves all three
-passes below, and a block's task never sees another block's text.
+Documents are dealt into blocks, and a block's task never sees another block's
+text. What each of the passes below finds is written to the shared folder.
 
 1. Seeds: winnowing picks the least SEED-word gram of every 13-word window, so
    equal windows pick equal seeds. Blocks list their distinct seeds; those of two
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shorewise.llm.common import BLOCK_BYTES, shared_by_blocks, table, with_blocks
+from shorewise.llm.common import BLOCK_BYTES, settled, shared_by_blocks, table, with_blocks
 from shorewise.llm.shingles import chunks, runs_of, word_hashes
 from shorewise.llm.winnow import anchors, covered, inside
 
@@ -129,10 +129,10 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, seed: int = SEED, b
     """Per document row: doc_id, n_words, n_removed, spans (cut word runs [i, e)) and kept_text (kept words, one space between)."""
     docs = with_blocks(docs.withColumn("doc_id", F.col("doc_id").cast("long")), block_bytes)
     seeds = docs.groupBy("block").applyInArrow(_seeds(window, seed), "block int, key long")
-    shared = shared_by_blocks(seeds, "key").withColumnRenamed("block", "__block")
+    shared = settled(shared_by_blocks(seeds, "key")).withColumnRenamed("block", "__block")
     listed = docs.groupBy("block").cogroup(shared.groupBy("__block")).applyInArrow(_extended(window, seed), "block int, hash long, low long").repartition("hash")
-    least = listed.groupBy("hash").agg(F.min("low").alias("least"))
-    lower = listed.join(least, "hash").where("least < low").select(F.col("block").alias("__block"), "hash", F.col("least").alias("low"))
+    least = listed.groupBy("hash").agg(F.min("low").alias("least"), F.count("block").alias("blocks")).where("blocks > 1")
+    lower = settled(listed.join(least, "hash").where("least < low").select(F.col("block").alias("__block"), "hash", F.col("least").alias("low")))
     kind = "doc_id long, n_words long, n_removed long, spans array<struct<i:int,e:int>>, kept_text string"
     return docs.groupBy("block").cogroup(lower.groupBy("__block")).applyInArrow(_cut(window, seed), kind)
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shorewise.llm.common import BLOCK_BYTES, table, with_blocks
+from shorewise.llm.common import BLOCK_BYTES, settled, table, with_blocks
 from shorewise.llm.shingles import mixed
 from shorewise.llm.winnow import anchors, covered, inside
 
@@ -281,12 +281,13 @@ def remove_substrings(docs: DataFrame, *, length: int = LENGTH, anchor: int = AN
     listed = docs.groupBy("block").applyInArrow(_listed(length, anchor), "block int, key long, span long, n long").repartition("key")
     of_span, of_key = Window.partitionBy("key", "span"), Window.partitionBy("key")
     marked = listed.select("*", F.sum("n").over(of_span).alias("n_span"), F.min("block").over(of_span).alias("first"))
-    marked = marked.select("*", F.sum("n").over(of_key).alias("n_key"), F.sum((F.col("block") == F.col("first")).cast("long")).over(of_key).alias("spans")).where("n_key > 1")
+    marked = marked.select("*", F.sum("n").over(of_key).alias("n_key"), F.sum((F.col("block") == F.col("first")).cast("long")).over(of_key).alias("spans"))
+    marked = settled(marked.where("n_key > 1").select("block", "span", "n_span", "spans", (F.col("block") == F.col("first")).alias("sends")))
 
-    asked = marked.where("spans > 1 AND block = first").select(F.col("block").alias("__block"), "span", (F.col("n_span") == 1).alias("alone"), (F.col("spans") > hot).alias("many"))
+    asked = marked.where("spans > 1 AND sends").select(F.col("block").alias("__block"), "span", (F.col("n_span") == 1).alias("alone"), (F.col("spans") > hot).alias("many"))
     kind = "block int, key long, span long, alone boolean, many boolean, before int, text binary"
-    contexts = docs.groupBy("block").cogroup(asked.groupBy("__block")).applyInArrow(_contexts(length, anchor), kind).repartition("key")
-    found = contexts.where("NOT many").sortWithinPartitions("key").mapInArrow(_resolved(length), _OFFSETS)
+    contexts = settled(docs.groupBy("block").cogroup(asked.groupBy("__block")).applyInArrow(_contexts(length, anchor), kind))
+    found = contexts.where("NOT many").repartition("key").sortWithinPartitions("key").mapInArrow(_resolved(length), _OFFSETS)
     windows = contexts.where("many").mapInArrow(_single_windows(length), "block int, key long, span long, alone boolean, offset int, hash long")
     again = windows.groupBy("key", "offset", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     split = windows.where("alone").join(again, ["key", "offset", "hash"]).groupBy("block", "span").agg(F.collect_list("offset").alias("offsets"))
