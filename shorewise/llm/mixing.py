@@ -114,6 +114,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
+def mixed_corpus(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix takes them, the columns unchanged: each row as often as it is drawn; the one at its source's cut counts if at least half of it is drawn."""
+    names = {c: f"__in_{c}" for c in docs.columns if c not in ("doc_id", "source")}
+    mix = mix_sources(docs.withColumnsRenamed(names), word_count(F.col(names["text"])), **options)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + F.lit(0.5))).otherwise(0)
+    drawn = mix.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
+    return drawn.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
 def op9_hypergeometric_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("n"))
     return mix_sources(docs, F.col("n")).select("doc_id", "size", "source_size", "target", "taken", "source", "out_shards", "draw_key")

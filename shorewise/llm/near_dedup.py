@@ -225,6 +225,15 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, tile: int = TILE
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each near-duplicate group (its smallest id) and every row without words once per id and text."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00null")).alias("__id")
+    kept = near_duplicates(docs, **options).where("kept").select(key, F.col("text_hash").alias("__hash")).distinct()
+    rows = docs.select("*", key, F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash"))
+    # the semi join and the distinct rows need the same keys, so the texts move once
+    return rows.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
