@@ -1,4 +1,336 @@
 """All queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from shorewise.config import DataConfiguration
+from shorewise.functions import crs
+from shorewise.functions import geometry as G
+from shorewise.functions.text import epsg_from_urn
+from shorewise.operators import features, model, observations, regions
+from shorewise.plans import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+CODES = {"view": 0, "click": 1, "purchase": 2}
+KEYS = ["location_id", "ahn_version"]
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _r(c: Column | str, name: str) -> Column:
+    """Rounded to 6 places, without a negative zero."""
+    return (F.round(c, 6) + F.lit(0.0)).alias(name)
+
+
+def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations.process_observations(V.bank(spark, sf_dir), V.known_regions(spark, sf_dir), DataConfiguration(), value="d")
+
+
+def _border() -> Column:
+    return G.line(V.BORDER)
+
+
+@query(f"WITH {V.BANK_SQL}, {V.REGIONS_SQL} SELECT event_id, location_id FROM bank b WHERE EXISTS (SELECT 1 FROM regions r WHERE r.location_id = b.location_id)")
+def semi_join_regions(spark, sf_dir):
+    return observations.in_known_regions(V.bank(spark, sf_dir), V.known_regions(spark, sf_dir)).select("event_id", "location_id")
+
+
+@query(f"WITH {V.BANK_SQL} SELECT event_id, status FROM bank WHERE status = 'OK'")
+def ok_filter(spark, sf_dir):
+    return observations.certain_points(V.bank(spark, sf_dir)).select("event_id", "status")
+
+
+@query(f"WITH {V.BANK_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY location_id, ahn_version ORDER BY d) AS rn FROM bank) SELECT location_id, ahn_version, round(avg(d), 6) + 0.0 AS distance FROM r WHERE rn <= 3 GROUP BY ALL")
+def bottom_n_mean(spark, sf_dir):
+    return observations.bottom_n_mean(V.bank(spark, sf_dir), KEYS, "d", name="distance").select(*KEYS, _r("distance", "distance"))
+
+
+@query(f"WITH {V.PROCESSED_SQL} SELECT location_id, ahn_version, timesteps_since_last_measurement FROM processed")
+def time_since_last(spark, sf_dir):
+    return _processed(spark, sf_dir).select(*KEYS, "timesteps_since_last_measurement")
+
+
+@query(f"WITH {V.PROCESSED_SQL} SELECT location_id, ahn_version, round(distance_to_erosion_border, 6) + 0.0 AS distance_to_erosion_border, timesteps_since_last_measurement FROM processed")
+def processed_table(spark, sf_dir):
+    return _processed(spark, sf_dir).select(*KEYS, _r("distance_to_erosion_border", "distance_to_erosion_border"), "timesteps_since_last_measurement")
+
+
+@query(f"WITH {V.PROCESSED_SQL} SELECT location_id, ahn_version, round(distance_to_erosion_border - lag(distance_to_erosion_border) OVER (PARTITION BY location_id ORDER BY ahn_version), 6) + 0.0 AS diff FROM processed")
+def diff_feature(spark, sf_dir):
+    return _processed(spark, sf_dir).select(*KEYS, _r(features.difference("distance_to_erosion_border", *KEYS), "diff"))
+
+
+def _shift(spark, sf_dir, past: bool) -> DataFrame:
+    w = Window.partitionBy("location_id").orderBy("ahn_version")
+    f = F.lag if past else F.lead
+    return _processed(spark, sf_dir).select(*KEYS, *[_r(f("distance_to_erosion_border", k).over(w), f"{'past' if past else 'future'}_{k}") for k in range(0 if past else 1, 3)])
+
+
+_SHIFT_SQL = "SELECT location_id, ahn_version, {} FROM processed WINDOW w AS (PARTITION BY location_id ORDER BY ahn_version)"
+
+
+@query(f"WITH {V.PROCESSED_SQL} " + _SHIFT_SQL.format(", ".join(f"round(lag(distance_to_erosion_border, {k}) OVER w, 6) + 0.0 AS past_{k}" for k in range(3))))
+def past_shift(spark, sf_dir):
+    return _shift(spark, sf_dir, True)
+
+
+@query(f"WITH {V.PROCESSED_SQL} " + _SHIFT_SQL.format(", ".join(f"round(lead(distance_to_erosion_border, {k}) OVER w, 6) + 0.0 AS future_{k}" for k in (1, 2))))
+def future_shift(spark, sf_dir):
+    return _shift(spark, sf_dir, False)
+
+
+_CLASSED_SQL = f"""{V.PROCESSED_SQL}, classes AS (SELECT location_id, ahn_version, min(event_type) AS event_class FROM bank GROUP BY ALL),
+coded AS (SELECT location_id, ahn_version, timesteps_since_last_measurement AS t, distance_to_erosion_border - lag(distance_to_erosion_border) OVER w AS d,
+  CASE event_class WHEN 'view' THEN 0.0 WHEN 'click' THEN 1.0 WHEN 'purchase' THEN 2.0 ELSE -1.0 END AS c FROM processed LEFT JOIN classes USING (location_id, ahn_version) WINDOW w AS (PARTITION BY location_id ORDER BY ahn_version)),
+shifted AS (SELECT location_id, ahn_version,
+  t AS past_timesteps_since_last_measurement_float_0, lag(t) OVER w AS past_timesteps_since_last_measurement_float_1, lead(t) OVER w AS future_timesteps_since_last_measurement_float_1,
+  round(d, 6) + 0.0 AS past_diff_distance_to_erosion_border_float_0, round(lag(d) OVER w, 6) + 0.0 AS past_diff_distance_to_erosion_border_float_1, round(lead(d) OVER w, 6) + 0.0 AS future_diff_distance_to_erosion_border_float_1,
+  c AS past_event_class_as_number_0, lag(c) OVER w AS past_event_class_as_number_1, lead(c) OVER w AS future_event_class_as_number_1
+  FROM coded WINDOW w AS (PARTITION BY location_id ORDER BY ahn_version))"""
+
+
+@query(f"""WITH {_CLASSED_SQL} SELECT * FROM shifted WHERE past_timesteps_since_last_measurement_float_1 IS NOT NULL AND future_timesteps_since_last_measurement_float_1 IS NOT NULL
+AND past_diff_distance_to_erosion_border_float_0 IS NOT NULL AND past_diff_distance_to_erosion_border_float_1 IS NOT NULL AND future_diff_distance_to_erosion_border_float_1 IS NOT NULL""")
+def feature_table(spark, sf_dir):
+    classes = V.bank(spark, sf_dir).groupBy(*KEYS).agg(F.min("event_type").alias("event_class"))
+    config = DataConfiguration(number_of_lags=2, unknown_categorical_columns=["event_class"])
+    out, names = features.feature_table(_processed(spark, sf_dir).join(classes, KEYS, "left"), config, {"event_class": CODES})
+    return out.select(*KEYS, *[_r(f"`{n}`", n) for n in names["numerical"] + names["categorical"]])
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE -1 END AS code FROM events")
+def category_encode(spark, sf_dir):
+    return V.bank(spark, sf_dir).select("event_id", features.encode_category(F.col("event_type"), CODES).alias("code"))
+
+
+@query("SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL EXCEPT (VALUES ('view'), ('click'), ('purchase'))")
+def unknown_categories(spark, sf_dir):
+    return features.unknown_categories(V.bank(spark, sf_dir), "event_type", CODES)
+
+
+@query(f"WITH {V.PROCESSED_SQL}, f AS (SELECT p_partkey AS location_id, p_retailprice AS price FROM part WHERE p_size > 25) SELECT location_id, ahn_version, price FROM processed LEFT JOIN f USING (location_id)")
+def left_join_features(spark, sf_dir):
+    found = V.read(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("location_id"), F.col("p_retailprice").alias("price"))
+    return regions.attach(_processed(spark, sf_dir), found).select(*KEYS, "price")
+
+
+@query(f"WITH {V.PROCESSED_SQL}, {V.MODEL_SQL} SELECT location_id, round(erosion_speed, 6) + 0.0 AS erosion_speed FROM model")
+def mean_step_speed(spark, sf_dir):
+    return model.mean_step_speed(_processed(spark, sf_dir)).select("location_id", _r("erosion_speed", "erosion_speed"))
+
+
+_WIDE_SQL = "SELECT location_id, ahn_version, " + ", ".join(f"round(distance_to_erosion_border + {k} * erosion_speed, 6) + 0.0 AS future_distance_to_erosion_border_{k}" for k in (1, 2, 3)) + " FROM processed JOIN model USING (location_id)"
+
+
+def _predicted(spark, sf_dir) -> DataFrame:
+    df = _processed(spark, sf_dir)
+    return model.predict(df, model.mean_step_speed(df), 3)
+
+
+@query(f"WITH {V.PROCESSED_SQL}, {V.MODEL_SQL} {_WIDE_SQL}")
+def predict_wide(spark, sf_dir):
+    return _predicted(spark, sf_dir).select(*KEYS, *[_r(f"{model.PREDICTION}_{k}", f"{model.PREDICTION}_{k}") for k in (1, 2, 3)])
+
+
+@query(f"WITH {V.PROCESSED_SQL}, {V.MODEL_SQL}, wide AS ({_WIDE_SQL}) " + " UNION ALL ".join(f"SELECT location_id, ahn_version, future_distance_to_erosion_border_{k} AS distance_to_erosion, TIMESTAMP '{2024 + k}-01-01' AS timestamp FROM wide" for k in (1, 2, 3)))
+def predict_long(spark, sf_dir):
+    return model.unpivot_prediction(_predicted(spark, sf_dir)).select(*KEYS, _r("distance_to_erosion", "distance_to_erosion"), "timestamp")
+
+
+@query(f"WITH {V.PROCESSED_SQL}, {V.MODEL_SQL}, known AS (SELECT * FROM model WHERE location_id <> 1) SELECT location_id, ahn_version, round(distance_to_erosion_border + erosion_speed, 6) + 0.0 AS future_distance_to_erosion_border_1 FROM processed JOIN known USING (location_id) WHERE NOT EXISTS (SELECT 1 FROM processed p WHERE p.location_id NOT IN (SELECT location_id FROM known))")
+def unknown_region_guard(spark, sf_dir):
+    df = _processed(spark, sf_dir)
+    return model.predict(df, model.mean_step_speed(df).where("location_id <> 1"), 1).select(*KEYS, _r(f"{model.PREDICTION}_1", f"{model.PREDICTION}_1"))
+
+
+@query(f"WITH {V.PROCESSED_SQL} SELECT location_id, ahn_version FROM processed WHERE ahn_version = (SELECT max(ahn_version) FROM processed)")
+def latest_filter(spark, sf_dir):
+    return model.latest(_processed(spark, sf_dir)).select(*KEYS)
+
+
+@query("""WITH p AS (SELECT a.vec_id, list_transform(a.embedding, lambda v : v::DOUBLE) AS u, list_transform(b.embedding, lambda v : v::DOUBLE) AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round(list_inner_product(u, v) / nullif(sqrt(list_inner_product(u, u)) * sqrt(list_inner_product(v, v)), 0), 6) + 0.0 AS cosine FROM p""")
+def cosine_similarity(spark, sf_dir):
+    e = V.read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(other, "vec_id").select("vec_id", _r(G.cosine_similarity(F.col("embedding"), F.col("other")), "cosine"))
+
+
+_B = V.segments_sql("bs", {0: V.BORDER})
+_L = V.segments_sql("ls", V.LINES)
+_ON_BORDER = f"{V.BANK_SQL}, {_B}, pts AS (SELECT event_id, x, y FROM bank), {V.feet_sql('bf', 'pts', 'event_id', 'bs')}"
+_ON_BOTH = f"{_ON_BORDER}, {_L}, {V.feet_sql('lf', 'pts', 'event_id', 'ls')}, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dist, line_ord) AS k FROM lf) WHERE k = 1)"
+_DOT = "(near.fx - bf.x) * (bf.fx - bf.x) + (near.fy - bf.y) * (bf.fy - bf.y) < 0"
+
+
+@query(f"WITH {_ON_BORDER} SELECT event_id, round(dist, 6) + 0.0 AS distance FROM bf")
+def point_line_distance(spark, sf_dir):
+    return V.bank(spark, sf_dir).select("event_id", _r(G.distance(_border(), F.col("x"), F.col("y")), "distance"))
+
+
+@query(f"WITH {_ON_BORDER} SELECT event_id, round(pos, 6) + 0.0 AS pos FROM bf")
+def line_project(spark, sf_dir):
+    return V.bank(spark, sf_dir).select("event_id", _r(G.project(_border(), F.col("x"), F.col("y")), "pos"))
+
+
+_AT = "(event_id % 500) * 5.0::DOUBLE - 1200.0"
+
+
+@query(f"WITH {_B}, s AS (SELECT DISTINCT {_AT} AS a FROM events), p AS (SELECT a, {V.place_sql('bs', 'a', 'x')} AS px, {V.place_sql('bs', 'a', 'y')} AS py FROM s) SELECT event_id, round(px, 6) + 0.0 AS px, round(py, 6) + 0.0 AS py FROM events JOIN p ON a = {_AT}")
+def line_interpolate(spark, sf_dir):
+    p = G.interpolate(_border(), (F.col("event_id") % 500) * 5.0 - 1200.0)
+    return V.bank(spark, sf_dir).select("event_id", p.alias("p")).select("event_id", _r("p.x", "px"), _r("p.y", "py"))
+
+
+@query(f"WITH {_ON_BOTH} SELECT event_id, CAST(line_ord AS BIGINT) AS line_ord, round(dist, 6) + 0.0 AS distance FROM near")
+def nearest_line(spark, sf_dir):
+    found = observations.nearest_line(V.bank(spark, sf_dir).select("event_id", "x", "y"), V.lines(spark))
+    return found.select("event_id", F.col("nearest_line").alias("line_ord"), _r("nearest_distance", "distance"))
+
+
+@query(f"WITH {_ON_BOTH} SELECT event_id, {_DOT} AS is_between FROM bf JOIN near USING (event_id)")
+def between_lines(spark, sf_dir):
+    found = observations.nearest_line(V.bank(spark, sf_dir).select("event_id", "x", "y"), V.lines(spark))
+    x, y = F.col("x"), F.col("y")
+    return found.select("event_id", G.between(x, y, G.point(F.col("nearest_x"), F.col("nearest_y")), G.nearest_point(_border(), x, y)).alias("is_between"))
+
+
+@query(f"WITH {_ON_BOTH} SELECT event_id, round(bf.dist * CASE WHEN {_DOT} THEN 1 ELSE -1 END, 6) + 0.0 AS distance FROM bf JOIN near USING (event_id)")
+def signed_distance(spark, sf_dir):
+    found = observations.signed_distance(V.bank(spark, sf_dir).select("event_id", "x", "y"), _border(), V.lines(spark), name="distance")
+    return found.select("event_id", _r("distance", "distance"))
+
+
+@query(f"WITH {V.OBJS_SQL} SELECT object_id, round(w * h, 6) AS area FROM objs")
+def polygon_area(spark, sf_dir):
+    return V.objs(spark, sf_dir).select("object_id", _r(G.area(F.col("shape")), "area"))
+
+
+@query(f"WITH {V.OBJS_SQL} SELECT object_id, round(xmin + w / 2, 6) AS cx, round(ymin + h / 2, 6) AS cy FROM objs")
+def polygon_centroid(spark, sf_dir):
+    return V.objs(spark, sf_dir).select("object_id", G.centroid(F.col("shape")).alias("c")).select("object_id", _r("c.x", "cx"), _r("c.y", "cy"))
+
+
+@query(f"WITH {V.RECTS_SQL}, {V.OBJS_SQL} SELECT location_id, round(count(object_id) / 5500.0::DOUBLE, 9) AS density FROM rects r LEFT JOIN objs o ON o.xmin > r.xmin AND o.xmin < r.xmax AND o.ymin > r.ymin AND o.ymin < r.ymax GROUP BY ALL")
+def density_within(spark, sf_dir):
+    points = V.objs(spark, sf_dir).select("object_id", G.point(F.col("xmin"), F.col("ymin")).alias("shape"))
+    return regions.numerical_density(V.rects(spark, sf_dir), points).select("location_id", F.round("numerical_density", 9).alias("density"))
+
+
+@query(f"WITH {V.PAIRS_SQL} SELECT r.location_id, count(object_id) AS n FROM rects r LEFT JOIN pairs USING (location_id) GROUP BY ALL")
+def count_intersects(spark, sf_dir):
+    return regions.intersecting(V.rects(spark, sf_dir), V.objs(spark, sf_dir)).select("location_id", F.col("count").cast("long").alias("n"))
+
+
+@query(f"WITH {V.PAIRS_SQL} SELECT r.location_id, round(coalesce(sum(w * h), 0.0), 6) AS total_area FROM rects r LEFT JOIN pairs USING (location_id) GROUP BY ALL")
+def total_area(spark, sf_dir):
+    return regions.intersecting(V.rects(spark, sf_dir), V.objs(spark, sf_dir)).select("location_id", _r("total_area", "total_area"))
+
+
+@query(f"""WITH {V.PAIRS_SQL},
+clip AS (SELECT location_id, greatest(rx0, xmin) AS x0, least(rx1, xmax) AS x1, greatest(ry0, ymin) AS y0, least(ry1, ymax) AS y1 FROM pairs),
+xs AS (SELECT location_id, x0 AS a FROM clip UNION SELECT location_id, x1 FROM clip),
+slabs AS (SELECT location_id, a, lead(a) OVER (PARTITION BY location_id ORDER BY a) AS b FROM xs),
+parts AS (SELECT s.location_id, a, b, y0, y1, max(y1) OVER (PARTITION BY s.location_id, a ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM slabs s JOIN clip c ON c.location_id = s.location_id AND c.x0 <= a AND c.x1 >= b WHERE b > a),
+sums AS (SELECT location_id, sum((b - a) * greatest(0.0, y1 - greatest(y0, coalesce(before, y0)))) AS covered FROM parts GROUP BY ALL)
+SELECT location_id, round(coalesce(covered, 0.0) / 5500.0::DOUBLE, 6) + 0.0 AS fraction FROM rects LEFT JOIN sums USING (location_id)""")
+def area_fraction(spark, sf_dir):
+    return regions.area_fraction(V.rects(spark, sf_dir), V.objs(spark, sf_dir)).select("location_id", _r("area_fraction", "fraction"))
+
+
+def _mode_sql(column: str) -> str:
+    return f"(SELECT location_id, {column} FROM (SELECT location_id, {column}, row_number() OVER (PARTITION BY location_id ORDER BY count(*) DESC, {column}) AS k FROM pairs GROUP BY location_id, {column}) WHERE k = 1)"
+
+
+@query(f"WITH {V.PAIRS_SQL} SELECT location_id, b.p_brand AS majority_class_p_brand, t.p_type AS majority_class_p_type FROM rects LEFT JOIN {_mode_sql('p_brand')} b USING (location_id) LEFT JOIN {_mode_sql('p_type')} t USING (location_id)")
+def majority_class(spark, sf_dir):
+    return regions.intersecting(V.rects(spark, sf_dir), V.objs(spark, sf_dir), ["p_brand", "p_type"]).drop("count", "total_area")
+
+
+_RECT_ON_BORDER = f"{V.RECTS_SQL}, {_B}, pts AS (SELECT location_id, xmin + 25 AS x, ymin + 55 AS y FROM rects), {V.feet_sql('bf', 'pts', 'location_id', 'bs')}"
+
+
+@query(f"""WITH {_RECT_ON_BORDER},
+near AS (SELECT location_id, x - fx AS cx, y - fy AS cy, pos, fx, fy FROM bf),
+ends AS (SELECT *, {V.place_sql('bs', 'pos - 100.0', 'x')} - fx AS ux, {V.place_sql('bs', 'pos - 100.0', 'y')} - fy AS uy, {V.place_sql('bs', 'pos + 100.0', 'x')} - fx AS vx, {V.place_sql('bs', 'pos + 100.0', 'y')} - fy AS vy FROM near)
+SELECT location_id, round(0.5 * ((cx * ux + cy * uy) / nullif(sqrt(cx * cx + cy * cy) * sqrt(ux * ux + uy * uy), 0) + (cx * vx + cy * vy) / nullif(sqrt(cx * cx + cy * cy) * sqrt(vx * vx + vy * vy), 0)), 6) + 0.0 AS shape FROM ends""")
+def line_shape(spark, sf_dir):
+    border = spark.createDataFrame([(0, [(float(x), float(y)) for x, y in V.BORDER])], f"line_ord int, line {G.LINE}")
+    return regions.centerline_shape(V.rects(spark, sf_dir), border, 100.0).select("location_id", _r("centerline_shape", "shape"))
+
+
+_SCOPE_SQL = f"""{V.RECTS_SQL}, {_B}, pts AS (SELECT location_id, i, CASE WHEN i < 2 THEN xmin ELSE xmax END AS x, CASE WHEN i % 2 = 0 THEN ymin ELSE ymax END AS y FROM rects, range(4) c(i)),
+{V.feet_sql('bf', 'pts', 'location_id, i', 'bs')},
+scope AS (SELECT location_id, arg_min(fx, pos) AS ax, arg_min(fy, pos) AS ay, arg_max(fx, pos) AS bx, arg_max(fy, pos) AS by_ FROM bf GROUP BY ALL)"""
+
+
+@query(f"WITH {_SCOPE_SQL} SELECT location_id, round(ax, 6) + 0.0 AS ax, round(ay, 6) + 0.0 AS ay, round(bx, 6) + 0.0 AS bx, round(by_, 6) + 0.0 AS by FROM scope")
+def project_scope(spark, sf_dir):
+    scope = V.rects(spark, sf_dir).select("location_id", G.project_polygon(F.col("polygon"), _border()).alias("s"))
+    return scope.select("location_id", *[_r(F.col("s")[i][c], f"{n}{c}") for i, n in enumerate("ab") for c in "xy"])
+
+
+@query(f"""WITH {_SCOPE_SQL}, n AS (SELECT *, bx - ax AS dx, by_ - ay AS dy, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS len FROM scope)
+SELECT location_id, round(ax - dy * 10 / nullif(len, 0), 6) + 0.0 AS ax, round(ay + dx * 10 / nullif(len, 0), 6) + 0.0 AS ay, round(bx - dy * 10 / nullif(len, 0), 6) + 0.0 AS bx, round(by_ + dx * 10 / nullif(len, 0), 6) + 0.0 AS by FROM n""")
+def offset_bank(spark, sf_dir):
+    moved = V.rects(spark, sf_dir).select("location_id", G.offset(G.project_polygon(F.col("polygon"), _border()), F.lit(10.0)).alias("s"))
+    return moved.select("location_id", *[_r(F.col("s")[i][c], f"{n}{c}") for i, n in enumerate("ab") for c in "xy"])
+
+
+@query()
+def predicted_bank(spark, sf_dir):
+    """The predicted bank of every region and step: projected scope, moved towards the nearest centerline by the predicted distance."""
+    long = model.unpivot_prediction(_predicted(spark, sf_dir)).join(V.rects(spark, sf_dir), "location_id")
+    near = regions.nearest_region_line(long, V.lines(spark))
+    moved = G.move_to_side(G.project_polygon(F.col("polygon"), _border()), F.col("distance_to_erosion"), F.col("line"))
+    return near.select(*KEYS, "timestamp", "line_ord", moved.alias("s")).select(*KEYS, "timestamp", "line_ord", *[_r(F.col("s")[i][c], f"{n}{c}") for i, n in enumerate("ab") for c in "xy"])
+
+
+@query("SELECT event_id, nullif(regexp_extract('urn:ogc:def:crs:EPSG::' || CASE WHEN event_id % 3 = 0 THEN 'x' ELSE (10000 + event_id % 50000)::VARCHAR END, 'EPSG::([0-9]{4,5})', 1), '') AS epsg FROM events")
+def urn_codes(spark, sf_dir):
+    urn = F.concat(F.lit("urn:ogc:def:crs:EPSG::"), F.when(F.col("event_id") % 3 == 0, "x").otherwise((10000 + F.col("event_id") % 50000).cast("string")))
+    return V.bank(spark, sf_dir).select("event_id", epsg_from_urn(urn).alias("epsg"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY 1")
+def value_counts(spark, sf_dir):
+    return V.bank(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy("event_type")
+
+
+@query(f"WITH {V.BANK_SQL} SELECT event_type, ahn_version, status, count(x) AS n FROM bank GROUP BY ALL")
+def three_key_count(spark, sf_dir):
+    return V.bank(spark, sf_dir).groupBy("event_type", "ahn_version", "status").agg(F.count("x").alias("n"))
+
+
+@query(f"WITH {V.BANK_SQL} SELECT event_id, status, NULL::DOUBLE AS d FROM bank WHERE status = 'OK' UNION ALL SELECT event_id, NULL, d FROM bank WHERE d < 0")
+def union_rows(spark, sf_dir):
+    rows = V.bank(spark, sf_dir)
+    return rows.where("status = 'OK'").select("event_id", "status").unionByName(rows.where("d < 0").select("event_id", "d"), allowMissingColumns=True)
+
+
+@query(f"WITH {V.PROCESSED_SQL} SELECT location_id, bool_or(distance_to_erosion_border < 0) AS eroded, round(min(distance_to_erosion_border), 6) + 0.0 AS lowest, round(max(distance_to_erosion_border), 6) + 0.0 AS highest, count(DISTINCT ahn_version) AS times FROM processed GROUP BY 1")
+def region_reductions(spark, sf_dir):
+    d = F.col("distance_to_erosion_border")
+    return _processed(spark, sf_dir).groupBy("location_id").agg(F.bool_or(d < 0).alias("eroded"), _r(F.min(d), "lowest"), _r(F.max(d), "highest"), F.countDistinct("ahn_version").alias("times"))
+
+
+@query()
+def crs_round_trip(spark, sf_dir):
+    """RD New to WGS 84 and back, of synthetic places in the Netherlands."""
+    rd = V.bank(spark, sf_dir).select("event_id", (120000 + F.col("x") * 100).alias("x"), (400000 + F.col("y") * 100).alias("y"))
+    wgs = rd.select("*", crs.to_wgs84(F.col("x"), F.col("y")).alias("w"))
+    back = wgs.select("*", crs.to_rd(F.col("w.x"), F.col("w.y")).alias("b"))
+    return back.select("event_id", F.round("w.x", 8).alias("lon"), F.round("w.y", 8).alias("lat"), (F.sqrt((F.col("b.x") - F.col("x")) ** 2 + (F.col("b.y") - F.col("y")) ** 2) < 0.001).alias("returns"))

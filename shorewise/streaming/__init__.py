@@ -1,0 +1 @@
+"""Nothing here: the survey finds no streaming operator, and the pipeline is batch."""
