@@ -61,9 +61,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, broadca
         key = F.when((F.col("i") >= 0) & (F.col("len") == n), _combined(F.col("hashes"), F.col("i"), n)).otherwise(key)
     rows = rows.withColumn("key", key)
     windows = windows.withColumn("__key", _key_of_window(lengths)).withColumn("__any", F.lit(True))
+    window_words = F.expr("slice(words, greatest(i, 0) + 1, len)")
+    if not small:  # rows that move carry their own window, not the document
+        rows, window_words = rows.select("doc_id", "text_hash", "n_words", "i", "len", "key", window_words.alias("own")), F.col("own")
     found = rows.join(
         F.broadcast(windows) if small else windows,
-        (F.col("key") == F.col("__key")) & (F.col("i") >= 0) & (F.col("len") == F.col("__len")) & (F.expr("slice(words, greatest(i, 0) + 1, len)") == F.col("__win")),
+        (F.col("key") == F.col("__key")) & (F.col("i") >= 0) & (F.col("len") == F.col("__len")) & (window_words == F.col("__win")),
         "left",
     ).where("i = -1 OR __any")
     per = found.groupBy("doc_id", "text_hash", "n_words").agg(
@@ -106,9 +109,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
         return docs.join(found, same, "left_anti")
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
-    tokens = F.regexp_extract_all("text", F.lit(f"({WORD})({SEPARATORS})?"), F.lit(0))
+    # on the text as it is, where A-Z are still letters of words
+    word, between = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    tokens = F.regexp_extract_all("text", F.lit(f"({word})({between})?"), F.lit(0))
     kept = F.filter(tokens, lambda t, i: ~F.exists("__spans", lambda s: (i >= s["i"]) & (i < s["e"])))
-    cut = F.concat(F.regexp_extract("text", f"^({SEPARATORS})", 1), F.array_join(kept, ""))
+    cut = F.concat(F.regexp_extract("text", f"^({between})", 1), F.array_join(kept, ""))
     joined = docs.join(found, same, "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut))
     return joined.select(*docs.columns)
 
