@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shorewise.config import FeatureGeneration
 from shorewise.functions import geometry as G
 
-CELL, STRIP_OBJECTS = 100.0, 2000
+CELL, STRIP_OBJECTS, MAX_LINES = 100.0, 2000, 10_000
 
 
 def _boxed(df: DataFrame, shape: str, kind: str) -> DataFrame:
@@ -147,7 +147,7 @@ def area_fraction(regions: DataFrame, objects: DataFrame, *, strip_objects: int
     rows = rows.withColumn("strip", F.explode(F.sequence(strip(F.col("__o.xmin")), strip(F.col("__o.xmax")))))
     rows = rows.select("location_id", "strip", "polygon", "shape", (F.col("__r.xmin") + F.col("strip") * width).alias("low"), (F.col("__r.xmin") + (F.col("strip") + 1) * width).alias("high"))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         covered = covered_area(pdf["polygon"].iloc[0], list(pdf["shape"]), pdf["low"].iloc[0], pdf["high"].iloc[0])
         return pd.DataFrame({"location_id": [key[0]], "covered": [covered]})
 
@@ -158,7 +158,9 @@ def area_fraction(regions: DataFrame, objects: DataFrame, *, strip_objects: int
 
 
 def nearest_region_line(regions: DataFrame, lines: DataFrame, order: str = "line_ord", line: str = "line") -> DataFrame:
-    """Regions with the line nearest to each (the first of equally near ones). Lines are few: one row with all of them meets each region."""
+    """Regions with the line nearest to each (the first of equally near ones). Lines are at most MAX_LINES: one row with all of them meets each region."""
+    if lines.limit(MAX_LINES + 1).count() > MAX_LINES:
+        raise ValueError(f"more than {MAX_LINES} lines")
     every = lines.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l")))).alias("__lines"), F.assert_true(F.count(F.lit(1)) > 0, "there are no lines").alias("__some"))
     rows = regions.join(F.broadcast(every), F.col("__some").isNull())
     scored = F.transform("__lines", lambda s: F.struct(G.polygon_line_distance(F.col("polygon"), s["l"]).alias("d"), s["o"].alias("o"), s["l"].alias("l")))
