@@ -67,7 +67,7 @@ def _mark(seed: int, *cols: Column) -> Column:
 def mix_sources(docs: DataFrame, size: Column, *, weights: Callable[[list], list[float]] = cyclic_weights, share: float = 1.5, max_repeat: float = 2.0, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """docs with size, source_size, target, taken, out_shards (of each draw, comma-joined) and draw_key."""
     spark = docs.sparkSession
-    docs = docs.withColumn("size", size.cast("long"))
+    docs = docs.withColumn("size", size.cast("long")).drop("source_size", "target", "taken", "out_shards", "draw_key")
     found = docs.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -78,16 +78,16 @@ def mix_sources(docs: DataFrame, size: Column, *, weights: Callable[[list], list
         quota = int(target + 0.5)
         passes = quota // r.words if r.words else 0
         plan.append((r.source, r.words, target, -(-r.rows // block_rows), passes, quota - passes * r.words))
-    kind = "source string, source_size long, target double, blocks long, passes long, rest long"
+    kind = "source string, source_size long, target double, __blocks long, __passes long, __rest long"
     if not plan:
         return docs.selectExpr("*", "0L AS source_size", "0D AS target", "0L AS taken", "'' AS out_shards", "0L AS draw_key")
 
     docs = docs.join(F.broadcast(spark.createDataFrame(plan, kind).withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     docs = docs.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    docs = docs.withColumn("__block", F.pmod(_mark(seed, F.col("doc_id")), F.col("blocks")))
+    docs = docs.withColumn("__block", F.pmod(_mark(seed, F.col("doc_id")), F.col("__blocks")))
 
     order = Window.partitionBy("__source").orderBy(_mark(seed + 1, F.col("__source"), F.col("__block")), "__block")
-    held = docs.groupBy("__source", "__block").agg(F.sum("size").alias("__words"), F.first("rest").alias("rest"), F.first("source").alias("source"), F.first("passes").alias("passes"), F.first("blocks").alias("blocks"))
+    held = docs.groupBy("__source", "__block").agg(F.sum("size").alias("__words"), F.first("__rest").alias("rest"), F.first("source").alias("source"), F.first("__passes").alias("passes"))
     held = held.select("*", F.row_number().over(order).alias("__rank"), (F.sum("__words").over(order) - F.col("__words")).alias("__before"))
 
     drawn = {r.source: r for r in held.groupBy("source").agg(F.max("__rank").alias("all"), F.sum((F.col("__before") < F.col("rest")).cast("long")).alias("part")).collect()}
@@ -104,9 +104,9 @@ def mix_sources(docs: DataFrame, size: Column, *, weights: Callable[[list], list
     docs = docs.withColumn("draw_key", _mark(seed + 2, F.col("doc_id")))
     docs = docs.withColumn("__inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     docs = docs.join(held.select("__source", "__block", "__before", "out_shards"), ["__source", "__block"])
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("__before") - F.col("__inside")))
-    docs = docs.withColumn("taken", F.col("passes") * F.col("size") + part)
-    return docs.drop("__source", "__block", "__before", "__inside", "blocks", "passes", "rest")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - F.col("__before") - F.col("__inside")))
+    docs = docs.withColumn("taken", F.col("__passes") * F.col("size") + part)
+    return docs.drop("__source", "__block", "__before", "__inside", "__blocks", "__passes", "__rest")
 
 
 def word_count(text: Column) -> Column:
