@@ -24,19 +24,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shorewise.llm.common import BLOCK_BYTES, settled, shared_by_blocks, table, with_blocks
+from shorewise.llm.common import settled, shared_by_blocks, table, with_blocks
 from shorewise.llm.shingles import chunks, runs_of, word_hashes
 from shorewise.llm.winnow import anchors, covered, inside
 
-WINDOW, SEED = 13, 5
+WINDOW, SEED, BLOCK_BYTES = 13, 5, 12_000_000
 _LAST = np.iinfo(np.int64).max
 
 
-def _texts(t: pa.Table) -> list[list[bytes]]:
-    return [(x or "").encode("utf-8", "surrogatepass").split() for x in t.column("text").to_pylist()]
+def _texts(t: pa.Table) -> list[bytes]:
+    return [(x or "").encode("utf-8", "surrogatepass") for x in t.column("text").to_pylist()]
 
 
 def _ids(t: pa.Table) -> np.ndarray:
@@ -53,14 +53,16 @@ def windows_of(split: list[list[bytes]], window: int, seed: int) -> tuple[np.nda
     return runs_of(hashes, window)[place], grams[pick[place]], place
 
 
-def _block_windows(split: list[list[bytes]], window: int, seed: int):
-    for a, b in chunks([sum(map(len, w)) + len(w) for w in split], 4_000_000):
-        yield a, b, *windows_of(split[a:b], window, seed)
+def _block_windows(texts: list[bytes], window: int, seed: int):
+    """By chunk of texts: its range, their words, and what windows_of has of them."""
+    for a, b in chunks([len(t) for t in texts]):
+        split = [t.split() for t in texts[a:b]]
+        yield a, b, split, *windows_of(split, window, seed)
 
 
 def _seeds(window: int, seed: int):
     def f(t: pa.Table) -> pa.Table:
-        found = [np.unique(s) for _, _, _, s, _ in _block_windows(_texts(t), window, seed)]
+        found = [np.unique(s) for *_, s, _ in _block_windows(_texts(t), window, seed)]
         keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
         return pa.table({"block": np.full(len(keys), t.column("block")[0].as_py(), np.int32), "key": keys.astype(np.int64)})
 
@@ -87,9 +89,9 @@ def _in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 def _extended(window: int, seed: int):
     def f(t: pa.Table, shared: pa.Table) -> pa.Table:
         known, ids = np.sort(shared.column("key").to_numpy().astype(np.uint64)), _ids(t)
-        hashes, owners, split = [], [], _texts(t)
-        for a, b, h, s, place in _block_windows(split, window, seed) if len(t) and len(known) else ():
-            owner = np.repeat(ids[a:b], [len(w) for w in split[a:b]])[place]
+        hashes, owners = [], []
+        for a, b, split, h, s, place in _block_windows(_texts(t), window, seed) if len(t) and len(known) else ():
+            owner = np.repeat(ids[a:b], [len(w) for w in split])[place]
             keep = _in(s, known) >= 0
             h, o = _firsts([h[keep]], [owner[keep]])
             hashes.append(h), owners.append(o)
@@ -102,25 +104,27 @@ def _extended(window: int, seed: int):
 
 def _cut(window: int, seed: int):
     def f(t: pa.Table, lower: pa.Table) -> pa.Table:
-        ids, split = _ids(t), _texts(t)
+        ids, texts = _ids(t), _texts(t)
         hashes, owners = [], []
-        for a, b, h, _, place in _block_windows(split, window, seed):
-            h, o = _firsts([h], [np.repeat(ids[a:b], [len(w) for w in split[a:b]])[place]])
+        for a, b, split, h, _, place in _block_windows(texts, window, seed):
+            h, o = _firsts([h], [np.repeat(ids[a:b], [len(w) for w in split])[place]])
             hashes.append(h), owners.append(o)
         known, low = _firsts([*hashes, lower.column("hash").to_numpy().astype(np.uint64)], [*owners, lower.column("low").to_numpy()])
-        n_removed, spans, kept = [], [], []
-        for a, b, h, _, place in _block_windows(split, window, seed):
-            lengths = np.array([len(w) for w in split[a:b]], np.int64)
+        del hashes, owners
+        n_words, n_removed, spans, kept = [], [], [], []
+        for a, b, split, h, _, place in _block_windows(texts, window, seed):
+            lengths = np.array([len(w) for w in split], np.int64)
+            n_words.append(lengths)
             owner = np.repeat(ids[a:b], lengths)
             gone = covered(place[low[_in(h, known)] < owner[place]], window, len(owner)) if len(h) else np.zeros(len(owner), bool)
             ends = np.cumsum(lengths)
-            for w, z in zip(split[a:b], ends, strict=True):
+            for w, z in zip(split, ends, strict=True):
                 own = gone[z - len(w) : z]
                 n_removed.append(int(own.sum()))
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
                 spans.append([{"i": int(i), "e": int(e)} for i, e in edge.reshape(-1, 2)])
                 kept.append((b" ".join(x for x, g in zip(w, own, strict=True) if not g) if n_removed[-1] else b" ".join(w)).decode("utf-8", "surrogatepass"))
-        return pa.table({"doc_id": t.column("doc_id"), "n_words": np.array([len(w) for w in split], np.int64), "n_removed": np.array(n_removed, np.int64), "spans": pa.array(spans, pa.list_(pa.struct([("i", pa.int32()), ("e", pa.int32())]))), "kept_text": pa.array(kept, pa.string())})
+        return pa.table({"doc_id": t.column("doc_id"), "n_words": np.concatenate(n_words), "n_removed": np.array(n_removed, np.int64), "spans": pa.array(spans, pa.list_(pa.struct([("i", pa.int32()), ("e", pa.int32())]))), "kept_text": pa.array(kept, pa.string())})
 
     return f
 
@@ -130,9 +134,9 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, seed: int = SEED, b
     docs = with_blocks(docs.withColumn("doc_id", F.col("doc_id").cast("long")), block_bytes)
     seeds = docs.groupBy("block").applyInArrow(_seeds(window, seed), "block int, key long")
     shared = settled(shared_by_blocks(seeds, "key")).withColumnRenamed("block", "__block")
-    listed = docs.groupBy("block").cogroup(shared.groupBy("__block")).applyInArrow(_extended(window, seed), "block int, hash long, low long").repartition("hash")
-    least = listed.groupBy("hash").agg(F.min("low").alias("least"), F.count("block").alias("blocks")).where("blocks > 1")
-    lower = settled(listed.join(least, "hash").where("least < low").select(F.col("block").alias("__block"), "hash", F.col("least").alias("low")))
+    listed = docs.groupBy("block").cogroup(shared.groupBy("__block")).applyInArrow(_extended(window, seed), "block int, hash long, low long")
+    least = listed.withColumn("least", F.min("low").over(Window.partitionBy("hash"))).where("least < low")
+    lower = settled(least.select(F.col("block").alias("__block"), "hash", F.col("least").alias("low")))
     kind = "doc_id long, n_words long, n_removed long, spans array<struct<i:int,e:int>>, kept_text string"
     return docs.groupBy("block").cogroup(lower.groupBy("__block")).applyInArrow(_cut(window, seed), kind)
 
