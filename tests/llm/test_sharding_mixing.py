@@ -68,7 +68,7 @@ def test_mix(spark, real):
 
 
 def test_mix_of_odd_rows(odd):
-    renamed = odd.withColumnRenamed("size", "given")
+    renamed = odd.withColumn("rest", F.lit(1)).withColumn("target", F.lit("t")).withColumn("passes", F.lit(2))
     rows = mixing.mix_sources(renamed, mixing.word_count(F.col("text"))).collect()
     assert len(rows) == odd.count() and sum(r.taken for r in rows) == pytest.approx(1.5 * sum(r["size"] for r in rows), abs=2)
     assert mixing.mix_sources(renamed.where("false"), mixing.word_count(F.col("text"))).count() == 0
