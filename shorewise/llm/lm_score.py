@@ -107,7 +107,7 @@ def block_words(texts: list[bytes], learn: np.ndarray) -> tuple[pa.Array, np.nda
         seen.append(np.bincount(d.indices.to_numpy(), weights=weight, minlength=len(d.dictionary)))
     d = pa.concat_arrays(words).dictionary_encode()
     n = np.bincount(d.indices.to_numpy(), weights=np.concatenate(seen), minlength=len(d.dictionary)).astype(np.int64)
-    keys = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in d.dictionary), np.uint64, len(d.dictionary)).astype(np.int64) | _BYTE_8
+    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, d.dictionary.to_pylist()), np.uint64, len(d.dictionary)).astype(np.int64) | _BYTE_8
     return d.dictionary, keys, n
 
 
