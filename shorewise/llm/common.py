@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,7 +57,6 @@ def with_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def shared_by_blocks(listed: DataFrame, key: str) -> DataFrame:
-    """The rows of (block, key) of which another block has the key too. One exchange serves the count and the join."""
-    listed = listed.repartition(key)
-    # counting blocks, not rows, keeps both sides' columns alike, so that the exchange is reused
-    return listed.join(listed.groupBy(key).agg(F.count("block").alias("__n")).where("__n > 1").select(key), key)
+    """The rows of (block, key) of which another block has the key too; a key has few rows per block, so no partition of the window is large."""
+    of_key = Window.partitionBy(key)
+    return listed.withColumn("__shared", F.min("block").over(of_key) < F.max("block").over(of_key)).where("__shared").drop("__shared")

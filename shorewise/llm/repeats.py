@@ -4,8 +4,8 @@ Documents are dealt into blocks, and a block's task never sees another block's
 text. What each of the passes below finds is written to the shared folder.
 
 1. Seeds: winnowing picks the least SEED-word gram of every 13-word window, so
-   equal windows pick equal seeds. Blocks list their distinct seeds; those of two
-   or more blocks go back to their blocks.
+   equal windows pick equal seeds. They are listed with their blocks where the
+   texts lie; those of two or more blocks go to their blocks.
 2. Extension: a window is a seed extended both ways to 13 words. Each block lists
    the windows around its shared seeds with its own smallest document; the
    smallest over all blocks goes back where it is smaller than the block's.
@@ -22,6 +22,8 @@ keep all; an empty table gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -61,10 +63,15 @@ def _block_windows(texts: list[bytes], window: int, seed: int):
 
 
 def _seeds(window: int, seed: int):
-    def f(t: pa.Table) -> pa.Table:
-        found = [np.unique(s) for *_, s, _ in _block_windows(_texts(t), window, seed)]
-        keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-        return pa.table({"block": np.full(len(keys), t.column("block")[0].as_py(), np.int32), "key": keys.astype(np.int64)})
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            blocks = t.column("block").to_numpy()
+            for a, b, split, _, s, place in _block_windows(_texts(t), window, seed):
+                block = np.repeat(blocks[a:b], [len(w) for w in split])[place]
+                order = np.lexsort((s, block))
+                s, block = s[order], block[order]
+                new = np.concatenate([[True], (s[1:] != s[:-1]) | (block[1:] != block[:-1])]) if len(s) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(block[new], pa.int32()), pa.array(s[new].astype(np.int64))], names=["block", "key"])
 
     return f
 
@@ -132,7 +139,7 @@ def _cut(window: int, seed: int):
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, seed: int = SEED, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document row: doc_id, n_words, n_removed, spans (cut word runs [i, e)) and kept_text (kept words, one space between)."""
     docs = with_blocks(docs.withColumn("doc_id", F.col("doc_id").cast("long")), block_bytes)
-    seeds = docs.groupBy("block").applyInArrow(_seeds(window, seed), "block int, key long")
+    seeds = docs.select("text", "block").mapInArrow(_seeds(window, seed), "block int, key long")
     shared = settled(shared_by_blocks(seeds, "key")).withColumnRenamed("block", "__block")
     listed = docs.groupBy("block").cogroup(shared.groupBy("__block")).applyInArrow(_extended(window, seed), "block int, hash long, low long")
     least = listed.withColumn("least", F.min("low").over(Window.partitionBy("hash"))).where("least < low")
