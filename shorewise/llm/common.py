@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,11 @@ def lower_ascii(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; set only where the session has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,12 +37,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, large: bool = False) -> DataFrame:
     """df written once to the shared folder and read again: what follows doesn't compute it anew, and a lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # the context cleaner drops the shuffle files of finished jobs only when their plans are collected as garbage
+    # the context cleaner drops the shuffle files of finished jobs only when their plans are collected as garbage,
+    # and the listener bus holds the last plan for a moment; after a large job the wait is worth it
+    time.sleep(large)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -25,21 +25,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shorewise.llm.common import settled, table
+from shorewise.llm.common import let, settled, table
 
-CELLS, ROUNDS, RETRY_ROUNDS, KEYS_A_PART, RANGE_BYTES = 8, 8, 6, 3, 16_000_000
+CELLS, ROUNDS, RETRY_ROUNDS, KEYS_A_PART, RANGE_BYTES, BROADCAST_RANGES, BROADCAST_PAIRS = 8, 8, 4, 3, 16_000_000, 200_000, 1_000_000
 PARAGRAPH = r"\n+|(?<=[.!?])[ \t]+(?=[A-IÀ-Ï])"
 
 
 def digests(text: Column) -> Column:
-    """Distinct 64-bit digests of the text's paragraphs, sorted."""
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(text, PARAGRAPH), ""), lambda p: F.xxhash64(p))))
+    """Distinct digests of the text's paragraphs, sorted: 63 bits, the lowest is left for a sign."""
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(text, PARAGRAPH), ""), lambda p: F.xxhash64(p).bitwiseAND(F.lit(-2)))))
 
 
 def _entry(digest: Column, sign: Column, salt: Column) -> Column:
-    """What a digest is to the sketch: its sign, checksum and cell in each sub-table."""
-    at = [F.pmod(F.xxhash64(digest, salt, F.lit(j)), F.lit(CELLS)).cast("int").alias(f"h{j}") for j in range(3)]
-    return F.struct(sign.alias("n"), digest.alias("k"), _check(digest).alias("c"), *at)
+    """What a digest is to the sketch: its sign, checksum and, as bits, its cell in each sub-table."""
+    cell = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(digest, salt, F.lit(j)), F.lit(CELLS)).cast("int") + j * CELLS)
+    return F.struct(sign.alias("n"), digest.alias("k"), _check(digest).alias("c"), cell(0).bitwiseOR(cell(1)).bitwiseOR(cell(2)).alias("cells"))
 
 
 def _check(digest: Column) -> Column:
@@ -54,8 +54,7 @@ def _into(entries: Column, cells: Column) -> Column:
     """The cells with all entries added."""
 
     def of(cell: Column, i: Column) -> Column:
-        here = lambda e: F.when(i < CELLS, e["h0"] == i).when(i < 2 * CELLS, e["h1"] == i - CELLS).otherwise(e["h2"] == i - 2 * CELLS)
-        return F.aggregate(entries, cell, lambda a, e: F.when(here(e), _add(a, e)).otherwise(a))
+        return F.aggregate(entries, cell, lambda a, e: F.when(F.getbit(e["cells"], i) == 1, _add(a, e)).otherwise(a))
 
     return F.transform(cells, of)
 
@@ -67,7 +66,13 @@ def _blank() -> Column:
 def sketch(keys: Column, salt: Column | None = None) -> Column:
     """The cells of a set of digests."""
     salt = F.lit(0) if salt is None else salt
-    return _into(F.transform(keys, lambda d: _entry(d, F.lit(1), salt)), _blank())
+    return let(F.transform(keys, lambda d: _entry(d, F.lit(1), salt)), lambda entries: _into(entries, _blank()))
+
+
+def difference(signed: Column, salt: Column) -> Column:
+    """The cells of one set less those of another, from the digests of both: those of the second have their lowest bit set and count negative."""
+    entry = lambda s: _entry(s.bitwiseAND(F.lit(-2)), (F.lit(1) - 2 * s.bitwiseAND(F.lit(1))).cast("int"), salt)
+    return let(F.transform(signed, entry), lambda entries: _into(entries, _blank()))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -80,9 +85,12 @@ def peel(cells: Column, rounds: int = ROUNDS, salt: Column | None = None) -> Col
 
     def step(state: Column, _: Column) -> Column:
         pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"])))
-        out = F.array_distinct(F.transform(pure, lambda c: _entry(c["k"], -c["n"], salt)))
-        alone = lambda sign: F.size(F.filter(out, lambda e: e["n"] == sign))
-        return F.when(F.size(pure) == 0, state).otherwise(F.struct(_into(out, state["cells"]).alias("cells"), (state["a"] + alone(-1)).alias("a"), (state["b"] + alone(1)).alias("b")))
+        taken = F.array_distinct(F.transform(pure, lambda c: _entry(c["k"], -c["n"], salt)))
+        return let(taken, lambda t: F.when(F.size(t) == 0, state).otherwise(after(state, t)))
+
+    def after(state: Column, taken: Column) -> Column:
+        alone = lambda sign: F.size(F.filter(taken, lambda e: e["n"] == sign))
+        return F.struct(_into(taken, state["cells"]).alias("cells"), (state["a"] + alone(-1)).alias("a"), (state["b"] + alone(1)).alias("b"))
 
     start = F.struct(cells.alias("cells"), F.lit(0).alias("a"), F.lit(0).alias("b"))
     left = lambda s: F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["c"] != 0))
@@ -91,8 +99,8 @@ def peel(cells: Column, rounds: int = ROUNDS, salt: Column | None = None) -> Col
 
 def likeness(n_a: Column, n_b: Column, alone: Column) -> Column:
     """Shared digests over all digests, from the sizes and what each side alone has."""
-    every = n_a + alone["b"]
-    return F.when(alone.isNotNull(), F.when(every == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (n_a - alone["a"]) / every))))
+    of = lambda s: F.when(n_a + s["b"] == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(n_a - s["a"], n_a + s["b"]))))
+    return let(alone, lambda s: F.when(s.isNotNull(), of(s)))
 
 
 def encoded(size: Column, cells: Column) -> Column:
@@ -102,26 +110,26 @@ def encoded(size: Column, cells: Column) -> Column:
 
 
 def compare_larger(pairs: DataFrame) -> DataFrame:
-    """(ha, hb, likeness) of pairs (ha, hb, a, b): digests dealt over parts, each a sketch of its own, until all parts of a pair peel."""
-    pairs = settled(pairs.dropDuplicates(["ha", "hb"]))
+    """(pair, likeness) of pairs (pair, a, b): digests dealt over parts, each a sketch of its own, until all parts of a pair peel."""
     out, pending, turn = None, pairs, 1
     while True:
         n_a, n_b, salt = F.size("a"), F.size("b"), F.lit(turn)
         parts = F.ceil((n_a + n_b) / KEYS_A_PART) * F.lit(4 ** (turn - 1))
-        dealt = [pending.select("ha", "hb", parts.alias("parts"), F.explode(side).alias("d"), F.lit(sign).alias("sign")) for side, sign in (("a", 1), ("b", -1))]
-        rows = dealt[0].union(dealt[1]).withColumn("part", F.pmod(F.xxhash64("d", salt, F.lit("part")), "parts"))
-        keys = rows.groupBy("ha", "hb", "part").agg(F.collect_list(F.when(F.col("sign") == 1, F.col("d"))).alias("a"), F.collect_list(F.when(F.col("sign") == -1, F.col("d"))).alias("b"))
-        cells = keys.select("ha", "hb", sketch(F.col("a"), salt).alias("a"), sketch(F.col("b"), salt).alias("b"))
-        peeled = cells.select("ha", "hb", peel(subtract(F.col("a"), F.col("b")), RETRY_ROUNDS, salt).alias("alone"))
-        whole = peeled.groupBy("ha", "hb").agg(F.sum("alone.a").alias("a"), F.sum("alone.b").alias("b"), F.max(F.col("alone").isNull()).alias("failed"))
-        known = pending.select("ha", "hb", n_a.alias("n_a"), n_b.alias("n_b")).join(whole, ["ha", "hb"], "left")
+        signed = F.concat("a", F.transform("b", lambda d: d.bitwiseOR(F.lit(1))))
+        rows = pending.select("pair", parts.alias("parts"), F.explode(signed).alias("d"))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64(F.col("d").bitwiseAND(F.lit(-2)), salt, F.lit("part")), "parts"))
+        peeled = rows.groupBy("pair", "part").agg(F.collect_list("d").alias("signed")).select("pair", peel(difference(F.col("signed"), salt), RETRY_ROUNDS, salt).alias("alone"))
+        whole = peeled.groupBy("pair").agg(F.sum("alone.a").alias("a"), F.sum("alone.b").alias("b"), F.max(F.col("alone").isNull()).alias("failed"))
+        known = pending.select("pair", n_a.alias("n_a"), n_b.alias("n_b")).join(whole, "pair", "left")
         alone = F.struct(F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
-        known = settled(known.select("ha", "hb", F.when(~F.coalesce("failed", F.lit(False)), likeness(F.col("n_a"), F.col("n_b"), alone)).alias("likeness")))
-        done = known.where("likeness IS NOT NULL")
+        known = settled(known.select("pair", F.when(~F.coalesce("failed", F.lit(False)), likeness(F.col("n_a"), F.col("n_b"), alone)).alias("likeness")))
+        done, failed = known.where("likeness IS NOT NULL"), known.where("likeness IS NULL")
         out = done if out is None else out.union(done)
-        pending = pending.join(known.where("likeness IS NULL").select("ha", "hb"), ["ha", "hb"])
-        if not known.where("likeness IS NULL").limit(1).count():
+        left = failed.count()
+        if not left:
             return out
+        failed = failed.select("pair")
+        pending = settled(pending.join(F.broadcast(failed) if left <= BROADCAST_PAIRS else failed, "pair"))
         turn += 1
 
 
@@ -147,6 +155,7 @@ def with_successor(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
     above = Window.orderBy("range")
     last = heads.agg(F.max("range").alias("top"), F.min("range").alias("bottom"))
     turned = heads.withColumn("to", F.lead("range").over(above)).crossJoin(F.broadcast(last)).select("range", "id", "hash", F.coalesce("to", "bottom").alias("to"))
+    turned = F.broadcast(turned) if ranges <= BROADCAST_RANGES else turned  # a row per range at most
     first = docs.join(turned, (docs["range"] == turned["range"]) & docs["doc_id"].eqNullSafe(turned["id"]) & (docs["hash"] == turned["hash"]))
     ghosts = first.select("doc_id", "text", docs["hash"], F.col("to").alias("range")).dropDuplicates(["range"])
     rows = docs.withColumn("ghost", F.lit(0)).unionByName(ghosts.withColumn("ghost", F.lit(1)))
@@ -159,21 +168,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_successor(docs).withColumn("n_chars", F.length("text"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars") - cut), F.substr("next", F.lit(1), cut)))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "hash", F.xxhash64("edited").alias("edited_hash"), F.xxhash64("next").alias("next_hash"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next")).alias("n"))
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next")).alias("n"))
     rows = rows.select("*", sketch(F.col("a")).alias("ca"), sketch(F.col("e")).alias("ce"), sketch(F.col("n")).alias("cn"))
     like = lambda side: likeness(F.size("a"), F.size(side), peel(subtract(F.col("ca"), F.col(f"c{side}"))))
     rows = rows.select("*", like("e").alias("near_edited"), like("n").alias("near_next"))
-    failed = F.col("near_edited").isNull() | F.col("near_next").isNull()
-    kept = settled(rows.select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", encoded(F.size("a"), F.col("ca")).alias("fingerprint"), encoded(F.size("e"), F.col("ce")).alias("edited_fingerprint"), "near_edited", "near_next", "hash", "edited_hash", "next_hash",
-        F.when(failed, F.col("a")).alias("a"), F.when(F.col("near_edited").isNull(), F.col("e")).alias("e"), F.when(F.col("near_next").isNull(), F.col("n")).alias("n"),
-    ))
-    again = [kept.where(f"{near} IS NULL").select(F.col("hash").alias("ha"), F.col(other).alias("hb"), "a", F.col(side).alias("b")) for near, other, side in (("near_edited", "edited_hash", "e"), ("near_next", "next_hash", "n"))]
-    found = compare_larger(again[0].union(again[1]))
-    for near, other in (("near_edited", "edited_hash"), ("near_next", "next_hash")):
-        more = found.select(F.col("ha").alias("hash"), F.col("hb").alias(other), F.col("likeness").alias("more"))
-        kept = kept.drop("a", "e", "n").join(more, ["hash", other], "left").withColumn(near, F.coalesce(near, "more")).drop("more")
-    return kept.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    # digests are smaller than the sketches' text, which the last step makes of them; the row's number is written with it, so that it stays
+    kept = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", "edited_sha256", "near_edited", "near_next", "a", "e", F.when(F.col("near_next").isNull(), F.col("n")).alias("n"))
+    kept = settled(kept)
+    pairs = [kept.where(f"{near} IS NULL").select((F.col("row") * 2 + i).alias("pair"), "a", F.col(side).alias("b")) for i, (near, side) in enumerate((("near_edited", "e"), ("near_next", "n")))]
+    found = compare_larger(pairs[0].union(pairs[1]))
+    of = lambda i: F.max(F.when(F.col("pair") % 2 == i, F.col("likeness")))
+    again = found.groupBy(F.shiftright("pair", 1).alias("row")).agg(of(0).alias("again_edited"), of(1).alias("again_next"))
+    kept = kept.drop("n").join(again, "row", "left")
+    return kept.select(
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", encoded(F.size("a"), sketch(F.col("a"))).alias("fingerprint"), encoded(F.size("e"), sketch(F.col("e"))).alias("edited_fingerprint"),
+        F.coalesce("near_edited", "again_edited").alias("near_edited"), F.coalesce("near_next", "again_next").alias("near_next"),
+    )
 
 
 def op8_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,10 +140,10 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, seed: int = SEED, b
     """Per document row: doc_id, n_words, n_removed, spans (cut word runs [i, e)) and kept_text (kept words, one space between)."""
     docs = with_blocks(docs.withColumn("doc_id", F.col("doc_id").cast("long")), block_bytes)
     seeds = docs.select("text", "block").mapInArrow(_seeds(window, seed), "block int, key long")
-    shared = settled(shared_by_blocks(seeds, "key")).withColumnRenamed("block", "__block")
+    shared = settled(shared_by_blocks(seeds, "key"), large=True).withColumnRenamed("block", "__block")
     listed = docs.groupBy("block").cogroup(shared.groupBy("__block")).applyInArrow(_extended(window, seed), "block int, hash long, low long")
     least = listed.withColumn("least", F.min("low").over(Window.partitionBy("hash"))).where("least < low")
-    lower = settled(least.select(F.col("block").alias("__block"), "hash", F.col("least").alias("low")))
+    lower = settled(least.select(F.col("block").alias("__block"), "hash", F.col("least").alias("low")), large=True)
     kind = "doc_id long, n_words long, n_removed long, spans array<struct<i:int,e:int>>, kept_text string"
     return docs.groupBy("block").cogroup(lower.groupBy("__block")).applyInArrow(_cut(window, seed), kind)
 
