@@ -19,6 +19,9 @@ from shorewise.llm.mixing import mixed_corpus
 from shorewise.llm.near_dedup import one_of_each
 from shorewise.llm.sharding import SHARDS, shard_records
 
+#: Percent of shared shingles from which two documents are near duplicates here; op4's own query has 85.
+SIMILAR = 80
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; text without letters or like no language goes."""
@@ -26,8 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return one_of_each(docs)
+    """One document of each group of near duplicates: five-word shingles, similarity of SIMILAR percent or more."""
+    return one_of_each(docs, percent=SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,12 @@
 """MinHash near-duplicate groups, candidates verified by odd sketches and then on full shingle sets.
 
-1. One pass gives each text its set's hash, BANDS band hashes of ROWS MinHash
-   values each, and an odd sketch: every MinHash value flips one of SKETCH_BITS
+1. One pass gives each text its set's hash, band hashes of ROWS MinHash values
+   each, and an odd sketch: every MinHash value flips one of SKETCH_BITS
    parity bits, so the population count of two sketches' XOR tells how many
    values differ. Texts with equal sets are one class from here on.
 2. Classes that share a band are joined in a star around the band's smallest
-   class; what the stars connect is a family. Links at similarity 0.85 share a
-   band but for a chance of (1 - 0.85^5)^32 < 1e-8.
+   class; what the stars connect is a family. Links at the threshold
+   share a band but for a chance below MISSED: 32 bands at 0.85, 47 at 0.8.
 3. Families are cut into tiles of about TILE classes, and only tile pairs meet in
    a task: no family is ever whole in one task, no pairs of a family are emitted.
    A tile pair counts XOR bits of all its sketches, drops what can't be similar
@@ -23,7 +23,7 @@ empty result; other columns are ignored by `near_duplicates`.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, sqrt
+from math import ceil, exp, log, log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,29 +35,33 @@ from shorewise.llm.common import settled, table
 from shorewise.llm.components import components
 from shorewise.llm.shingles import chunks, mixed, shingle_sets
 
-WORDS, BANDS, ROWS, SKETCH_BITS, TILE = 5, 32, 5, 1024, 1000
+WORDS, ROWS, SKETCH_BITS, TILE, MISSED = 5, 5, 1024, 1000, 1e-8
 PERCENT = 85
-_SAMPLES = BANDS * ROWS
 _SIG = "n_shingles long, node long, bands array<long>, sketch binary"
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
+def bands_of(percent: int) -> int:
+    """Bands of which two sets at the threshold share none with a chance below MISSED."""
+    return 1 if percent >= 100 else ceil(log(MISSED) / log1p(-((percent / 100) ** ROWS)))
+
+
+def _permutations(samples: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(11)
-    return rng.integers(0, 2**32, _SAMPLES, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, _SAMPLES, dtype=np.uint32)
+    return rng.integers(0, 2**32, samples, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, samples, dtype=np.uint32)
 
 
 def max_odd_bits(percent: int = PERCENT) -> int:
     """XOR bits that sketches of two sets at the threshold exceed with a chance below 1e-8."""
-    p = 1 - percent / 100
-    differ = _SAMPLES * p + 6 * sqrt(_SAMPLES * p * (1 - p))
+    p, samples = 1 - percent / 100, bands_of(percent) * ROWS
+    differ = samples * p + 6 * sqrt(samples * p * (1 - p))
     mean = SKETCH_BITS / 2 * (1 - exp(-4 * differ / SKETCH_BITS))
     return int(mean + 3 * sqrt(mean))
 
 
-def minhashes(sets: list[np.ndarray]) -> np.ndarray:
+def minhashes(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """One row of MinHash values per set (not empty)."""
-    a, b = _permutations()
-    out = np.empty((len(sets), _SAMPLES), np.uint32)
+    a, b = _permutations(bands_of(percent) * ROWS)
+    out = np.empty((len(sets), len(a)), np.uint32)
     for i, s in enumerate(sets):
         x = (s >> np.uint64(32)).astype(np.uint32)
         low = None
@@ -70,7 +74,7 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
 
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
     """Parity bitmaps, packed, of rows of MinHash values."""
-    place = mixed(samples.astype(np.uint64) | (np.arange(_SAMPLES, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
+    place = mixed(samples.astype(np.uint64) | (np.arange(samples.shape[1], dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
     flat = place.astype(np.int64) + np.arange(len(samples))[:, None] * SKETCH_BITS
     bits = np.bincount(flat.ravel(), minlength=len(samples) * SKETCH_BITS) & 1
     return np.packbits(bits.astype(np.uint8).reshape(len(samples), SKETCH_BITS), axis=1)
@@ -80,28 +84,33 @@ def _split(texts: list[str | None]) -> list[list[bytes]]:
     return [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in chunks([len(t or "") for t in texts]):
-            sets = shingle_sets(_split(texts[a:b]), WORDS)
-            full = [i for i, s in enumerate(sets) if len(s)]
-            samples = minhashes([sets[i] for i in full])
-            bands = samples.reshape(len(full), BANDS, ROWS).astype(np.uint64)
-            key = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-            for r in range(ROWS):
-                key = mixed(key + bands[:, :, r])
-            at = {i: k for k, i in enumerate(full)}
-            sketch = odd_sketches(samples)
-            node = [int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None for s in sets]
-            columns = [
-                batch.column(name).slice(a, b - a) for name in ("doc_id", "text_hash")
-            ] + [
-                pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()),
-                pa.array([key[at[i]].astype(np.int64) if i in at else None for i in range(len(sets))], pa.list_(pa.int64())),
-                pa.array([sketch[at[i]].tobytes() if i in at else None for i in range(len(sets))], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "node", "bands", "sketch"])
+def _signed(percent: int):
+    n_bands = bands_of(percent)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in chunks([len(t or "") for t in texts]):
+                sets = shingle_sets(_split(texts[a:b]), WORDS)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                samples = minhashes([sets[i] for i in full], percent)
+                bands = samples.reshape(len(full), n_bands, ROWS).astype(np.uint64)
+                key = np.arange(n_bands, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+                for r in range(ROWS):
+                    key = mixed(key + bands[:, :, r])
+                at = {i: k for k, i in enumerate(full)}
+                sketch = odd_sketches(samples)
+                node = [int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None for s in sets]
+                columns = [
+                    batch.column(name).slice(a, b - a) for name in ("doc_id", "text_hash")
+                ] + [
+                    pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()),
+                    pa.array([key[at[i]].astype(np.int64) if i in at else None for i in range(len(sets))], pa.list_(pa.int64())),
+                    pa.array([sketch[at[i]].tobytes() if i in at else None for i in range(len(sets))], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "node", "bands", "sketch"])
+
+    return f
 
 
 def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
@@ -196,7 +205,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, tile: int = TILE
     """Per document row: doc_id, text_hash, n_shingles, component_id and kept."""
     docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sig = settled(docs.mapInArrow(_signed, f"doc_id {id_type}, text_hash long, {_SIG}"))
+    sig = settled(docs.mapInArrow(_signed(percent), f"doc_id {id_type}, text_hash long, {_SIG}"))
     # of the rows with the same set, the one with the smallest id stands for it
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     classes = sig.where("n_shingles > 0").groupBy("node").agg(first.alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))

@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -89,3 +90,22 @@ def test_components(spark):
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 0, 50: 50, 51: 50}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pipeline_stage_against_brute_force_at_80(spark, sf_dir):
+    """Copies of similarity 0.80 to 0.85 are one document to the pipeline's stage."""
+    base = [f"w{i}" for i in range(104)]  # 100 shingles; each changed word far from others is 5 of them
+
+    def copy(changed):
+        return " ".join(f"x{i}" if i in changed else w for i, w in enumerate(base))
+
+    rows = [(10, " ".join(base)), (11, copy({20, 60})), (12, copy({20, 60, 90})), (13, " ".join(f"v{i}" for i in range(104))), (14, None)]
+    sets, kept = sets_of(rows), []
+    like = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y]) if sets[x] and sets[y] else 0
+    assert 0.80 <= like(rows[0], rows[1]) < 0.85 and like(rows[0], rows[2]) < 0.80 and like(rows[1], rows[2]) > 0.85
+    for r in rows:  # ids ascend and every link here leads to a smaller id
+        if not any(like(r, x) >= 0.8 for x in rows[: rows.index(r)]):
+            kept.append(r[0])
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()) == kept == [10, 13, 14]
+    assert (1 - 0.8**near_dedup.ROWS) ** near_dedup.bands_of(80) < 1e-8 and near_dedup.bands_of(85) == 32
