@@ -1,13 +1,14 @@
 """Document fingerprints that tell two versions' differing paragraphs: invertible Bloom lookup sketches.
 
-A paragraph is a line, or a part of one that begins a sentence in A-I (so that
-long lines have several). Its 64-bit digest goes to one cell of each of three
+A paragraph is a sentence, or a line or the rest of one without a sentence's end,
+in any script that ends sentences by a mark. Its 64-bit digest goes to one cell of each of three
 sub-tables; a cell has a count and the XORs of digests and of their checksums.
 Subtracting two sketches cancels what both versions have. Peeling takes digests
 from cells of count 1 whose checksum agrees until none is left, and the numbers
 that each side alone has give the likeness of the two sets (Jaccard). Where
-peeling stops short, the pair is tried again with the digests dealt over many
-more sketches, four times as many each round and with other hashes.
+peeling stops short, the pair's digests are dealt over as many more sketches as
+their number needs, and those of sketches that stop short again are dealt anew,
+over four times as many each round and with other hashes.
 
 All of it is built-in expressions: arrays and lambdas within a row, and
 groupings of (pair, part) for the retries. The successor of a document by id
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 
 from shorewise.llm.common import let, settled, table
 
-CELLS, ROUNDS, RETRY_ROUNDS, KEYS_A_PART, RANGE_BYTES, BROADCAST_RANGES, BROADCAST_PAIRS = 8, 8, 4, 3, 16_000_000, 200_000, 1_000_000
-PARAGRAPH = r"\n+|(?<=[.!?])[ \t]+(?=[A-IÀ-Ï])"
+CELLS, ROUNDS, RETRY_ROUNDS, KEYS_A_PART, RANGE_BYTES, BROADCAST_RANGES = 8, 8, 4, 3, 16_000_000, 200_000
+#: Line ends; blanks after a sentence's mark, or after the quote or bracket that closes one; behind a full-width mark, blanks or none.
+PARAGRAPH = r"[\r\n]+|(?:(?<=[.!?…؟۔।॥])|(?<=[.!?…][\"'”’»)\]]))[ \t\xa0]+|(?<=[。！？｡])[ \t\xa0\u3000]*"
 
 
 def digests(text: Column) -> Column:
@@ -110,26 +112,27 @@ def encoded(size: Column, cells: Column) -> Column:
 
 
 def compare_larger(pairs: DataFrame) -> DataFrame:
-    """(pair, likeness) of pairs (pair, a, b): digests dealt over parts, each a sketch of its own, until all parts of a pair peel."""
-    out, pending, turn = None, pairs, 1
+    """(pair, likeness) of pairs (pair, a, b): digests dealt over parts, each a sketch of its own, and those of parts that don't peel dealt anew."""
+    signed = F.concat("a", F.transform("b", lambda d: d.bitwiseOR(F.lit(1))))
+    out, turn = None, 1
+    pending = pairs.select("pair", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.lit(0).cast("long").alias("only_a"), F.lit(0).cast("long").alias("only_b"), signed.alias("signed"))
     while True:
-        n_a, n_b, salt = F.size("a"), F.size("b"), F.lit(turn)
-        parts = F.ceil((n_a + n_b) / KEYS_A_PART) * F.lit(4 ** (turn - 1))
-        signed = F.concat("a", F.transform("b", lambda d: d.bitwiseOR(F.lit(1))))
-        rows = pending.select("pair", parts.alias("parts"), F.explode(signed).alias("d"))
+        salt = F.lit(turn)
+        parts = F.ceil(F.size("signed") / KEYS_A_PART) * F.lit(4 ** (turn - 1))
+        rows = pending.select("pair", parts.alias("parts"), F.explode("signed").alias("d"))
         rows = rows.withColumn("part", F.pmod(F.xxhash64(F.col("d").bitwiseAND(F.lit(-2)), salt, F.lit("part")), "parts"))
-        peeled = rows.groupBy("pair", "part").agg(F.collect_list("d").alias("signed")).select("pair", peel(difference(F.col("signed"), salt), RETRY_ROUNDS, salt).alias("alone"))
-        whole = peeled.groupBy("pair").agg(F.sum("alone.a").alias("a"), F.sum("alone.b").alias("b"), F.max(F.col("alone").isNull()).alias("failed"))
-        known = pending.select("pair", n_a.alias("n_a"), n_b.alias("n_b")).join(whole, "pair", "left")
-        alone = F.struct(F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
-        known = settled(known.select("pair", F.when(~F.coalesce("failed", F.lit(False)), likeness(F.col("n_a"), F.col("n_b"), alone)).alias("likeness")))
-        done, failed = known.where("likeness IS NOT NULL"), known.where("likeness IS NULL")
+        peeled = rows.groupBy("pair", "part").agg(F.collect_list("d").alias("signed")).select("pair", "signed", peel(difference(F.col("signed"), salt), RETRY_ROUNDS, salt).alias("alone"))
+        again = F.flatten(F.collect_list(F.when(F.col("alone").isNull(), F.col("signed"))))
+        whole = peeled.groupBy("pair").agg(F.sum("alone.a").alias("a"), F.sum("alone.b").alias("b"), again.alias("signed"))
+        known = pending.drop("signed").join(whole, "pair", "left")
+        count = lambda side: (F.col(f"only_{side}") + F.coalesce(side, F.lit(0))).alias(f"only_{side}")
+        known = settled(known.select("pair", "n_a", "n_b", count("a"), count("b"), F.coalesce("signed", F.array().cast("array<long>")).alias("signed")))
+        alone = F.struct(F.col("only_a").alias("a"), F.col("only_b").alias("b"))
+        done = known.where(F.size("signed") == 0).select("pair", likeness(F.col("n_a"), F.col("n_b"), alone).alias("likeness"))
         out = done if out is None else out.union(done)
-        left = failed.count()
-        if not left:
+        pending = known.where(F.size("signed") > 0)
+        if pending.isEmpty():
             return out
-        failed = failed.select("pair")
-        pending = settled(pending.join(F.broadcast(failed) if left <= BROADCAST_PAIRS else failed, "pair"))
         turn += 1
 
 

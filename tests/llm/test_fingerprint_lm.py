@@ -38,6 +38,30 @@ def test_fingerprints_against_sets(spark, real, size, monkeypatch):
     assert got[1001].fingerprint == got[rows[0].doc_id].fingerprint
 
 
+def test_sentences_of_any_script(spark):
+    """One-line texts whose sentences begin with J-Z, in lower case or in another script have a digest a sentence."""
+    sentences = [
+        [f"The stone {i} lies here." for i in range(12)], [f"then {i} came!" for i in range(12)], [f"Вот строка {i}?" for i in range(12)], [f"هل هذا {i}؟" for i in range(12)],
+        [f"これは{i}です。" for i in range(12)], [f"\u201cSo {i}.\u201d" for i in range(12)], ["Zwei\r\nDrei\r\n" * 3 + "Vier"],
+    ]
+    texts = [("" if "\u3002" in s[0] else " ").join(s) for s in sentences]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in P.fingerprints(docs).collect()}
+    sizes = [int(got[i].fingerprint.split(":")[0]) for i in range(len(texts))]
+    assert sizes == [12] * 6 + [3]
+    for i, own in enumerate(sentences[:6]):
+        kept = texts[i][: len(texts[i]) - len(texts[i]) // 3]
+        whole = {x for x in own if x in kept}
+        assert len(whole) >= 7 and got[i].near_edited >= len(whole) / (12 + 13)
+
+
+def test_retries_take_only_what_failed(spark):
+    """All of a large pair's digests count, over however many rounds."""
+    df = spark.sql("SELECT id AS pair, transform(sequence(1L, 2000 + id), i -> xxhash64(i) & -2) AS a, transform(sequence(501L, 3000L), i -> xxhash64(i) & -2) AS b FROM range(2)")
+    got = {r.pair: r.likeness for r in P.compare_larger(df).collect()}
+    assert got == {i: pytest.approx((1500 + i) / 3000) for i in range(2)}
+
+
 def test_odd_fingerprints(odd):
     rows = P.fingerprints(odd.where("doc_id IS NULL OR doc_id <> 7")).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd.collect() if r.doc_id != 7)
