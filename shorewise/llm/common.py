@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Folders that `settled` has written and `forget_settled` may delete.
+_settled: list[str] = []
+
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -29,27 +30,37 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; set only where the session has none."""
+    """The folder that all executors share; a local one is set only where the session has none and runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file:///tmp/shorewise-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def settled(df: DataFrame, large: bool = False) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read again: what follows doesn't compute it anew, and a lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # the context cleaner drops the shuffle files of finished jobs only when their plans are collected as garbage,
-    # and the listener bus holds the last plan for a moment; after a large job the wait is worth it
-    time.sleep(large)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    _settled.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_settled(spark: SparkSession) -> None:
+    """Deletes what `settled` has written so far; for callers that have written their own result."""
+    while _settled:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_settled.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def carried(docs: DataFrame, *columns: Column) -> DataFrame:
+    """docs as one column `row`, beside columns of our own that its columns then can't clash with; `row.*` gives docs back."""
+    return docs.select(F.struct("*").alias("row"), *columns)
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -7,12 +7,16 @@
 2. Classes that share a band are joined in a star around the band's smallest
    class; what the stars connect is a family. Links at the threshold
    share a band but for a chance below MISSED: 32 bands at 0.85, 47 at 0.8.
-3. Families are cut into tiles of about TILE classes, and only tile pairs meet in
-   a task: no family is ever whole in one task, no pairs of a family are emitted.
-   A tile pair counts XOR bits of all its sketches, drops what can't be similar
-   (six standard deviations off the threshold), and confirms the rest on full
-   sets. It emits a spanning forest of its links.
-4. Components of those links, by min labels in the shared folder.
+3. Each class is compared on full sets with the one of its centers whose sketch
+   is nearest. Centers of many classes are dealt to several tasks. A class's text
+   moves once here, and most families are then one part.
+4. Families of several parts are cut into tiles of TILE classes, and tile pairs
+   meet in a task, at first with sketches only: pairs of different parts whose
+   XOR has too many bits for the threshold (six standard deviations) drop out.
+   Texts follow to the members of the other pairs, which full sets confirm, and a
+   tile pair emits a spanning forest of its links. No family is ever whole in one
+   task and no pairs of a family are emitted.
+5. Components of all links, by contraction in the shared folder.
 
 Defined results: null or wordless text has n_shingles 0 and is its own component;
 rows with the same id and text are one member and each comes back; a null id
@@ -28,16 +32,16 @@ from math import ceil, exp, log, log1p, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shorewise.llm.common import settled, table
+from shorewise.llm.common import carried, settled, table
 from shorewise.llm.components import components
 from shorewise.llm.shingles import chunks, mixed, shingle_sets
 
-WORDS, ROWS, SKETCH_BITS, TILE, MISSED = 5, 5, 1024, 1000, 1e-8
+WORDS, ROWS, SKETCH_BITS, TILE, DEAL_ROWS, MISSED = 5, 5, 1024, 250, 1000, 1e-8
 PERCENT = 85
-_SIG = "n_shingles long, node long, bands array<long>, sketch binary"
+_SIG = "n_shingles long, node long, bands array<long>, sketch array<long>"
 
 
 def bands_of(percent: int) -> int:
@@ -106,7 +110,7 @@ def _signed(percent: int):
                 ] + [
                     pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()),
                     pa.array([key[at[i]].astype(np.int64) if i in at else None for i in range(len(sets))], pa.list_(pa.int64())),
-                    pa.array([sketch[at[i]].tobytes() if i in at else None for i in range(len(sets))], pa.binary()),
+                    pa.array([sketch[at[i]].view(np.int64) if i in at else None for i in range(len(sets))], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "node", "bands", "sketch"])
 
@@ -127,16 +131,15 @@ def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def _candidates(sketches: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
-    """Pairs (left place, right place) whose sketches differ in at most `most` bits."""
-    words, out = sketches.view(np.uint64), []
+def _candidates(sketches: np.ndarray, parts: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
+    """Pairs (left place, right place) of different parts whose sketches differ in at most `most` bits."""
+    out = []
     for a in range(0, len(left), 64):
         rows = left[a : a + 64]
-        odd = np.bitwise_count(words[rows][:, None, :] ^ words[right][None, :, :]).sum(axis=2)
-        i, j = np.nonzero(odd <= most)
+        odd = np.bitwise_count(sketches[rows][:, None, :] ^ sketches[right][None, :, :]).sum(axis=2)
+        i, j = np.nonzero((odd <= most) & (parts[rows][:, None] != parts[right][None, :]))
         out.append(np.column_stack([rows[i], right[j]]))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), int)
-    return pairs[pairs[:, 0] != pairs[:, 1]]
+    return np.concatenate(out) if out else np.zeros((0, 2), int)
 
 
 def _confirmed(pairs: np.ndarray, sets: dict[int, np.ndarray], percent: int) -> np.ndarray:
@@ -171,36 +174,85 @@ def _confirmed(pairs: np.ndarray, sets: dict[int, np.ndarray], percent: int) ->
     return pairs[100 * common >= percent * (total - common)]
 
 
-def _tile_links(percent: int):
-    most = max_odd_bits(percent)
+def _sets_of(t: pa.Table, rows: np.ndarray) -> dict[int, np.ndarray]:
+    """The shingle sets of some rows' texts, by row."""
+    return dict(zip(rows.tolist(), shingle_sets(_split(t.column("text").take(pa.array(rows)).to_pylist()), WORDS), strict=True))
+
+
+def _links(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    cat = lambda k: np.concatenate([x[k] for x in pairs]) if pairs else np.zeros(0, np.int64)
+    return pa.table({"a": cat(0), "b": cat(1)})
+
+
+def _star_links(percent: int):
+    """Of rows (center, node, text), links of a center with the members that are similar on full sets."""
 
     def f(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("family", "ascending"), ("ta", "ascending"), ("tb", "ascending"), ("node", "ascending")])
-        key = np.column_stack([t.column(c).to_numpy() for c in ("family", "ta", "tb")])
-        node, own, texts = t.column("node").to_numpy(), t.column("tile").to_numpy(), t.column("text")
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8)
-        cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
+        t = t.sort_by([("center", "ascending"), ("node", "ascending")])
+        center, node = t.column("center").to_numpy(), t.column("node").to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(center[1:] != center[:-1]) + 1, [len(center)]])
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             at = a + np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]]))  # rows with the same id and text
-            ta, tb = key[a, 1], key[a, 2]
-            left, right = at[own[at] == ta], at[own[at] == tb]
-            pairs = _candidates(sketch, left, right, most)
-            if ta == tb:
-                pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-            used = np.unique(pairs)
-            sets = dict(zip(used.tolist(), shingle_sets(_split(texts.take(pa.array(used)).to_pylist()), WORDS), strict=True))
-            pairs = _confirmed(pairs, sets, percent)
+            own = at[node[at] == center[a]]
+            if len(own):
+                pairs = _confirmed(np.column_stack([np.repeat(own, len(at) - 1), at[at != own[0]]]), _sets_of(t, at), percent)
+                out.append((node[pairs[:, 0]], node[pairs[:, 1]]))
+        return _links(out)
+
+    return f
+
+
+def _tiles(t: pa.Table, most: int):
+    """By tile pair of the table's rows: the table in order, the pair's first and last row, its candidate pairs."""
+    t = t.sort_by([("family", "ascending"), ("ta", "ascending"), ("tb", "ascending"), ("node", "ascending")])
+    key = np.column_stack([t.column(c).to_numpy() for c in ("family", "ta", "tb")])
+    node, own, part = (t.column(c).to_numpy() for c in ("node", "tile", "part"))
+    sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64)
+    cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        at = a + np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]]))  # rows with the same id and text
+        ta, tb = key[a, 1], key[a, 2]
+        pairs = _candidates(sketch, part, at[own[at] == ta], at[own[at] == tb], most)
+        yield t, a, b, pairs[pairs[:, 0] < pairs[:, 1]] if ta == tb else pairs
+
+
+def _tile_members(percent: int):
+    """The rows of tile pairs that are in any candidate pair, without their sketches' work done again for others."""
+    most = max_odd_bits(percent)
+
+    def f(t: pa.Table) -> pa.Table:
+        used, names = [np.zeros(0, np.int64)], ["family", "ta", "tb", "tile", "node", "part", "sketch"]
+        whole = t
+        for whole, _, _, pairs in _tiles(t, most):
+            used.append(np.unique(pairs))
+        return whole.select(names).take(pa.array(np.concatenate(used)))
+
+    return f
+
+
+def _tile_links(percent: int):
+    most = max_odd_bits(percent)
+
+    def f(t: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for whole, a, b, pairs in _tiles(t, most):
+            node = whole.column("node").to_numpy()
+            pairs = _confirmed(pairs, _sets_of(whole, np.unique(pairs)), percent)
             if len(pairs):
                 root = _forest(pairs - a, b - a) + a
                 linked = np.unique(pairs)
                 out.append((node[linked], node[root[linked - a]]))
-        cat = lambda k: np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64)
-        return pa.table({"a": cat(0), "b": cat(1)})
+        return _links(out)
 
     return f
 
 
+def _dealt(rows: DataFrame, count: int, *key: str) -> DataFrame:
+    """rows with `deal`: a number for each key that gathers keys of about DEAL_ROWS of the count of rows."""
+    return rows.withColumn("deal", F.pmod(F.xxhash64(*key), F.lit(max(1, count // DEAL_ROWS))))
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """Per document row: doc_id, text_hash, n_shingles, component_id and kept."""
     docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
@@ -211,21 +263,46 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, tile: int = TILE
     classes = sig.where("n_shingles > 0").groupBy("node").agg(first.alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = settled(classes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "bands", "sketch"))
 
+    def with_texts(rows: DataFrame) -> DataFrame:
+        """rows of classes with the text of each."""
+        same = docs["doc_id"].eqNullSafe(rows["doc_id"]) & (docs["text_hash"] == rows["text_hash"])
+        return docs.join(rows, same).drop("doc_id", "text_hash")
+
+    # bands that several classes share, each a star around its smallest class; a class keeps its smallest center, and the others link centers
     bands = classes.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "center")
-    family = components(bands.join(shared, "band").select(F.col("center").alias("a"), F.col("node").alias("b")))
-    sizes = family.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    member = family.join(sizes, "label").select("node", F.col("label").alias("family"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    member = member.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
-    member = member.join(classes.select("node", "doc_id", "text_hash", "sketch"), "node")
-
-    whole = docs.join(member, docs["doc_id"].eqNullSafe(member["doc_id"]) & (docs["text_hash"] == member["text_hash"])).select("node", "family", "tiles", "tile", "sketch", "text")
-    other = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = other.select("family", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tile", "node", "sketch", "text")
-    groups = max(1, family.count() // 500)
-    dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("family", "ta", "tb"), F.lit(groups)))
-    links = dealt.groupBy("deal").applyInArrow(_tile_links(percent), "a long, b long")
-    found = components(links)
+    stars = settled(bands.join(shared, "band").groupBy("node").agg(F.array_sort(F.collect_set("center")).alias("centers")))
+    own, others = F.get("centers", F.lit(0)), F.slice("centers", 2, 1000)
+    edges = stars.select(own.alias("a"), F.col("node").alias("b")).union(stars.select(own.alias("a"), F.explode(others).alias("b")).distinct())
+    family = components(edges)
+
+    # first each class with the center that its sketch is nearest to, so that most families are settled by one comparison a class
+    spokes = stars.select("node", F.explode("centers").alias("center")).where("node <> center")
+    spokes = spokes.join(classes.select("node", "sketch"), "node").join(classes.select(F.col("node").alias("center"), F.col("sketch").alias("of_center")), "center")
+    near = spokes.select("node", "center", _odd_bits(F.col("sketch"), F.col("of_center")).alias("odd")).where(F.col("odd") <= max_odd_bits(percent))
+    best = settled(near.groupBy("node").agg(F.min_by("center", F.struct("odd", "center")).alias("center")))
+    salts = best.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("salts"))
+    members = best.join(salts, "center").select("node", "center", F.pmod(F.xxhash64("node"), "salts").alias("salt"))
+    hubs = salts.select(F.col("center").alias("node"), "center", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    roles = members.union(hubs).groupBy("node").agg(F.collect_list(F.struct("center", "salt")).alias("roles"))
+    compared = with_texts(classes.select("node", "doc_id", "text_hash").join(roles, "node")).select("node", "text", F.inline("roles"))
+    links = settled(_dealt(compared, best.count(), "center", "salt").groupBy("deal").applyInArrow(_star_links(percent), "a long, b long"))
+    part = components(links).withColumnRenamed("label", "part")
+
+    # then, in families that are still several parts, all members in tile pairs; only members of candidate pairs get their texts
+    member = family.join(part, "node", "left").select("node", F.col("label").alias("family"), F.coalesce("part", "node").alias("part"))
+    split = member.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    member = member.join(split.select("family", tiles.alias("tiles")), "family").join(classes.select("node", "sketch"), "node")
+    member = member.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    names = ["family", "ta", "tb", "tile", "node", "part", "sketch"]
+    member = member.withColumn("ta", F.least("tile", "other")).withColumn("tb", F.greatest("tile", "other")).select(*names)
+    kind = "family long, ta int, tb int, tile int, node long, part long, sketch array<long>"
+    rows = split.agg(F.sum(F.col("n") * tiles)).first()[0] or 0
+    met = settled(_dealt(member, rows, "family", "ta", "tb").groupBy("deal").applyInArrow(_tile_members(percent), kind))
+    met_texts = with_texts(met.join(classes.select("node", "doc_id", "text_hash"), "node")).select(*names, "text")
+    more = _dealt(met_texts, met.count(), "family", "ta", "tb")
+    found = components(links.union(more.groupBy("deal").applyInArrow(_tile_links(percent), "a long, b long")))
 
     ids = sig.where("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -234,13 +311,18 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, tile: int = TILE
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _odd_bits(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each near-duplicate group (its smallest id) and every row without words once per id and text."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00null")).alias("__id")
-    kept = near_duplicates(docs, **options).where("kept").select(key, F.col("text_hash").alias("__hash")).distinct()
-    rows = docs.select("*", key, F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00null")).alias("id")
+    kept = near_duplicates(docs, **options).where("kept").select(key, F.col("text_hash").alias("hash")).distinct()
+    rows = carried(docs, key, F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     # the semi join and the distinct rows need the same keys, so the texts move once
-    return rows.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    return rows.join(kept, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
