@@ -19,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shorewise.llm.common import lower_ascii, table
+from shorewise.llm.common import carried, lower_ascii, settled, table
 
-WINDOW, BROADCAST_WINDOWS, SHARE = 13, 2_000_000, 20
+WINDOW, BROADCAST_WINDOWS, BROADCAST_FOUND, SHARE = 13, 2_000_000, 100_000, 20
 SEPARATORS, WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -103,19 +103,24 @@ def _merged(hits: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", **options) -> DataFrame:
     """docs without its contaminated documents, or (remove="spans") all of docs with the hit words of contaminated ones cut from the text."""
-    found = scan(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__hash"))
+    found = scan(docs, benchmark, **options).where("contaminated").select("doc_id", "text_hash", "spans").distinct()
+    found = settled(found.select(F.xxhash64("doc_id", "text_hash").alias("key"), F.struct("doc_id", "text_hash").alias("of"), "spans"))
+    # the ids of contaminated documents travel to the texts unless there are too many
+    found = F.broadcast(found) if found.limit(BROADCAST_FOUND + 1).count() <= BROADCAST_FOUND else found
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows = carried(docs, F.struct("doc_id", text_hash.alias("text_hash")).alias("own"), F.xxhash64("doc_id", text_hash).alias("own_key"))
+    same = (F.col("own_key") == F.col("key")) & F.col("own").eqNullSafe(F.col("of"))
     if remove == "documents":
-        return docs.join(found, same, "left_anti")
+        return rows.join(found, same, "left_anti").select("row.*")
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
     # on the text as it is, where A-Z are still letters of words
     word, between = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    tokens = F.regexp_extract_all("text", F.lit(f"({word})({between})?"), F.lit(0))
-    kept = F.filter(tokens, lambda t, i: ~F.exists("__spans", lambda s: (i >= s["i"]) & (i < s["e"])))
-    cut = F.concat(F.regexp_extract("text", f"^({between})", 1), F.array_join(kept, ""))
-    joined = docs.join(found, same, "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut))
-    return joined.select(*docs.columns)
+    tokens = F.regexp_extract_all("row.text", F.lit(f"({word})({between})?"), F.lit(0))
+    kept = F.filter(tokens, lambda t, i: ~F.exists("spans", lambda s: (i >= s["i"]) & (i < s["e"])))
+    cut = F.concat(F.regexp_extract("row.text", f"^({between})", 1), F.array_join(kept, ""))
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(cut)
+    return rows.join(found, same, "left").select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

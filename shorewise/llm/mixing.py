@@ -3,20 +3,25 @@
 1. Word totals of each source give its target: shares by weight, no target
    above `max_repeat` times its source, the excess reshared (water filling).
 2. A source's documents fall into hashed blocks of about BLOCK_ROWS rows, in a
-   seeded order of blocks. Whole passes over the source are drawn first, then
-   blocks in order until the quota is full; the block at the cut is filled
-   document by document, and the last document gives its first words only.
-3. The splitting tree deals the exact number of drawn blocks of each source to
-   the output shards: each node splits its quotas between its halves by one
-   multivariate-hypergeometric draw, so every shard is a fair sample of the mix
-   and every block is drawn by one shard alone. Inside a shard, draw_key shuffles.
-
-Only per-source totals and quotas come to the driver (at most MAX_SOURCES rows;
-more is an error). Documents move once, by (source, block).
+   seeded order of blocks. Its quota is a number of block draws: whole passes over
+   its blocks, then the first blocks of the order until the target is reached; the
+   last of these draws gives only the words that are missing.
+3. The splitting tree recursively partitions the exact quotas of all sources among
+   the output shards, each node by one multivariate-hypergeometric draw. Sources
+   are levels of it too: the driver splits the quotas of at most GROUPS groups of
+   sources, and a task splits those of each group among its sources.
+4. Each shard takes its number of a source's draws, disjoint ranges of the permuted
+   blocks. What a document gives is the sum over the draws of its block. In a
+   shard, draw_key shuffles.
+
+Nothing of a source or of a block comes to the driver but sums over all; order
+and running totals go by groups of blocks first, so that no source is in one
+task. Documents move once, by (source, block).
 
 Defined results: a null text has size 0 and nothing of it is taken; a null
 source is a source; repeated rows are drawn one by one; an empty table gives an
-empty result; other columns pass through; reruns give the same mix.
+empty result; other columns pass through, those named like results are replaced;
+reruns give the same mix.
 """
 
 from __future__ import annotations
@@ -24,89 +29,144 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from shorewise.llm.common import table
+from shorewise.llm.common import carried, settled, table
 
-BLOCK_ROWS, MAX_SOURCES, SHARDS, SEED = 1024, 1_000_000, 16, 7
+BLOCK_ROWS, BLOCKS_A_GROUP, GROUPS, BROADCAST_SOURCES, SHARDS, SEED = 1024, 4096, 1024, 200_000, 16, 7
 
 
-def cyclic_weights(sources: Sequence[str | None], cycle: Sequence[float] = (3, 1, 2)) -> list[float]:
+def cyclic_weights(rank: Column, cycle: Sequence[float] = (3, 1, 2)) -> Column:
     """Weights by rank: sources by code point, null last, weigh the cycle's values in turn."""
-    rank = {s: i for i, s in enumerate(sorted(sources, key=lambda s: (s is None, (s or "").encode())))}
-    return [float(cycle[rank[s] % len(cycle)]) for s in sources]
+    return F.get(F.array(*[F.lit(float(w)) for w in cycle]), F.pmod(rank, F.lit(len(cycle))).cast("int"))
+
+
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with rank, from 0 in the order given: numbers within ranges, and the ranges' offsets."""
+    ranges = settled(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = ranges.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    return ranges.withColumn("within", within).join(offsets, "range").withColumn("rank", F.col("offset") + F.col("within")).drop("range", "within", "offset")
+
+
+def water_fill(sources: DataFrame, share: float, max_repeat: float) -> DataFrame:
+    """sources (words, weight) with target: in sum share times all words, in proportion to the weights up to max_repeat times the words."""
+    sources = sources.withColumn("cap", F.col("words") * F.lit(float(max_repeat)))
+    sums = lambda df: df.agg(F.count(F.lit(1)), F.sum("cap"), F.sum("weight"), F.sum("words")).first()
+    _, _, weight, words = sums(sources)
+    level, full = 0.0, -1
+    while words:
+        n, caps, taken, _ = sums(sources.where(F.col("cap") <= F.col("weight") * level))
+        if n == full or weight <= (taken or 0):
+            break
+        level, full = (share * words - (caps or 0)) / (weight - (taken or 0)), n
+    # all at their caps, if the rest has no weight left
+    return sources.withColumn("target", F.least("cap", F.col("weight") * level)).drop("cap")
+
+
+def splitting_tree(quotas: np.ndarray, sizes: np.ndarray, seed: Sequence[int]) -> np.ndarray:
+    """Draws of each source (columns) for each output shard (rows): columns sum to the quotas, rows to the sizes."""
+    if len(sizes) == 1:
+        return quotas[None, :]
+    left = len(sizes) // 2
+    rng = np.random.default_rng([*seed, len(sizes)])
+    take = rng.multivariate_hypergeometric(quotas, int(sizes[:left].sum()), method="marginals") if quotas.sum() else quotas * 0
+    return np.vstack([splitting_tree(take, sizes[:left], [*seed, 1]), splitting_tree(quotas - take, sizes[left:], [*seed, 2])])
 
 
-def water_fill(totals: Sequence[int], weights: Sequence[float], share: float, max_repeat: float) -> list[float]:
-    """Targets that sum to share times all words, in proportion to the weights up to max_repeat times each total."""
-    caps, left, out = [max_repeat * t for t in totals], share * sum(totals), [0.0] * len(totals)
-    open_, weight = sorted(range(len(totals)), key=lambda i: caps[i] / weights[i]), sum(weights)
-    for i in open_:
-        out[i] = min(caps[i], left * weights[i] / weight)
-        left, weight = left - out[i], weight - weights[i]
-    return out
+def even_sizes(total: int, shards: int) -> np.ndarray:
+    return np.diff(np.arange(shards + 1, dtype=np.int64) * total // shards)
 
 
-def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source (columns) for each output shard (rows); columns sum to the quotas."""
-    if shards == 1:
-        return quotas[None, :]
-    left = shards // 2
-    rng = np.random.default_rng([seed, shards, int(quotas.sum())])
-    total = int(quotas.sum())
-    take = rng.multivariate_hypergeometric(quotas, total * left // shards, method="marginals") if total else quotas * 0
-    return np.vstack([splitting_tree(take, left, seed * 2 + 1), splitting_tree(quotas - take, shards - left, seed * 2 + 2)])
+def _split_group(seed: int):
+    def f(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("key")
+        dealt = splitting_tree(t["quota"].to_numpy(np.int64), np.array(t["sizes"].iloc[0], np.int64), [seed, int(t["group"].iloc[0])])
+        return pd.DataFrame({"key": t["key"], "cuts": list(dealt.cumsum(axis=0)[:-1].T.tolist())})
+
+    return f
+
+
+def dealt_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(key, cuts) of (key, quota): how many draws of a source the shards before each one take."""
+    spark = quotas.sparkSession
+    quotas = quotas.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(GROUPS)).cast("int"))
+    sums = sorted(quotas.groupBy("group").agg(F.sum("quota").alias("quota")).collect())  # GROUPS rows at most
+    totals = np.array([r.quota for r in sums], np.int64)
+    dealt = splitting_tree(totals, even_sizes(int(totals.sum()), shards), [seed])
+    sizes = spark.createDataFrame([(r.group, dealt[:, i].tolist()) for i, r in enumerate(sums)], "group int, sizes array<long>")
+    return quotas.join(F.broadcast(sizes), "group").groupBy("group").applyInPandas(_split_group(seed), "key string, cuts array<long>")
 
 
-def _mark(seed: int, *cols: Column) -> Column:
+def _mark(seed: int, *cols: str) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
-def mix_sources(docs: DataFrame, size: Column, *, weights: Callable[[list], list[float]] = cyclic_weights, share: float = 1.5, max_repeat: float = 2.0, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """docs with size, source_size, target, taken, out_shards (of each draw, comma-joined) and draw_key."""
-    spark = docs.sparkSession
-    docs = docs.withColumn("size", size.cast("long")).drop("source_size", "target", "taken", "out_shards", "draw_key")
-    found = docs.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    targets = water_fill([r.words for r in found], weights([r.source for r in found]), share, max_repeat)
-    plan = []
-    for r, target in zip(found, targets, strict=True):
-        quota = int(target + 0.5)
-        passes = quota // r.words if r.words else 0
-        plan.append((r.source, r.words, target, -(-r.rows // block_rows), passes, quota - passes * r.words))
-    kind = "source string, source_size long, target double, __blocks long, __passes long, __rest long"
-    if not plan:
-        return docs.selectExpr("*", "0L AS source_size", "0D AS target", "0L AS taken", "'' AS out_shards", "0L AS draw_key")
-
-    docs = docs.join(F.broadcast(spark.createDataFrame(plan, kind).withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    docs = docs.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    docs = docs.withColumn("__block", F.pmod(_mark(seed, F.col("doc_id")), F.col("__blocks")))
-
-    order = Window.partitionBy("__source").orderBy(_mark(seed + 1, F.col("__source"), F.col("__block")), "__block")
-    held = docs.groupBy("__source", "__block").agg(F.sum("size").alias("__words"), F.first("__rest").alias("rest"), F.first("source").alias("source"), F.first("__passes").alias("passes"))
-    held = held.select("*", F.row_number().over(order).alias("__rank"), (F.sum("__words").over(order) - F.col("__words")).alias("__before"))
-
-    drawn = {r.source: r for r in held.groupBy("source").agg(F.max("__rank").alias("all"), F.sum((F.col("__before") < F.col("rest")).cast("long")).alias("part")).collect()}
-    quotas = np.array([p[4] * drawn[p[0]]["all"] + drawn[p[0]].part for p in plan], dtype=np.int64)
-    dealt = splitting_tree(quotas, shards, seed).cumsum(axis=0)
-    cuts = spark.createDataFrame([(p[0], drawn[p[0]]["all"], [int(x) for x in dealt[:-1, i]]) for i, p in enumerate(plan)], T.StructType([T.StructField("__key", T.StringType()), T.StructField("__held", T.LongType()), T.StructField("__cuts", T.ArrayType(T.LongType()))]))
-    held = held.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("__key")))
-
-    turn = F.when((F.col("__before") < F.col("rest")), F.col("passes") + 1).otherwise(F.col("passes"))
-    shard_of = lambda e: F.size(F.filter("__cuts", lambda c: c <= e * F.col("__held") + F.col("__rank") - 1))
-    held = held.withColumn("out_shards", F.when(turn > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), turn - 1), shard_of), ",")).otherwise(""))
-
-    inside = Window.partitionBy("__source", "__block").orderBy("draw_key", "doc_id", "size")
-    docs = docs.withColumn("draw_key", _mark(seed + 2, F.col("doc_id")))
-    docs = docs.withColumn("__inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-    docs = docs.join(held.select("__source", "__block", "__before", "out_shards"), ["__source", "__block"])
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - F.col("__before") - F.col("__inside")))
-    docs = docs.withColumn("taken", F.col("__passes") * F.col("size") + part)
-    return docs.drop("__source", "__block", "__before", "__inside", "__blocks", "__passes", "__rest")
+def _fitting(rows: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(rows) if few else rows
+
+
+def mix_sources(
+    docs: DataFrame, size: Column, *, weights: Callable[[Column], Column] = cyclic_weights, share: float = 1.5, max_repeat: float = 2.0,
+    shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS, blocks_a_group: int = BLOCKS_A_GROUP,
+) -> DataFrame:
+    """docs with size, source_size, target, taken, draws (of each: out_shard and words), out_shards (comma-joined) and draw_key."""
+    added = ("size", "source_size", "target", "taken", "draws", "out_shards", "draw_key")
+    own = [c for c in docs.columns if c not in added]
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    rows = carried(docs, F.col("doc_id").alias("id"), key.alias("key"), size.cast("long").alias("size"))
+    slim = settled(rows.select("id", "key", "size"))
+    if slim.isEmpty():
+        return docs.selectExpr(*[f"`{c}`" for c in own], "0L AS size", "0L AS source_size", "0D AS target", "0L AS taken", "array(struct(0 AS out_shard, 0L AS words)) AS draws", "'' AS out_shards", "0L AS draw_key")
+
+    found = slim.groupBy("key").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
+    plan = ranked(found, F.col("key") == "", F.col("key")).withColumn("weight", weights(F.col("rank")))
+    plan = water_fill(settled(plan), share, max_repeat)
+    quota = F.floor(F.col("target") + 0.5)
+    passes = F.coalesce(F.expr("quota div nullif(words, 0)"), F.lit(0).cast("long"))
+    plan = plan.withColumn("quota", quota).withColumn("passes", passes).withColumn("rest", F.col("quota") - F.col("passes") * F.col("words"))
+    plan = settled(plan.select("key", "words", "target", "passes", "rest", F.ceil(F.col("rows") / block_rows).alias("blocks")))
+    few = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    of_source = _fitting(plan, few)
+
+    # blocks in their order, with the draws and words of the source before each
+    block = F.pmod(_mark(seed, "id", "size"), F.col("blocks")).alias("block")
+    blocks = slim.join(of_source.select("key", "blocks"), "key").select("key", block, "size").groupBy("key", "block").agg(F.sum("size").alias("words"))
+    blocks = blocks.join(of_source.select("key", "passes", "rest", "blocks"), "key")
+    groups = F.ceil(F.col("blocks") / blocks_a_group)
+    blocks = settled(blocks.withColumn("group", F.pmod(_mark(seed + 1, "key", "block"), groups)).withColumn("place", _mark(seed + 3, "key", "block")))
+    earlier = lambda *of: Window.partitionBy(*of).rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    sums = blocks.groupBy("key", "group").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("n"))
+    sums = sums.select("key", "group", running("words", earlier("key").orderBy("group")).alias("words_before"), running("n", earlier("key").orderBy("group")).alias("n_before"))
+    inside = earlier("key", "group").orderBy("place", "block")
+    blocks = blocks.withColumn("own_before", running("words", inside)).withColumn("own_n", running(F.lit(1), inside)).join(sums, ["key", "group"])
+    blocks = blocks.withColumn("before", F.col("words_before") + F.col("own_before")).withColumn("turn", F.col("n_before") + F.col("own_n"))
+    blocks = settled(blocks.select("key", "block", "words", "passes", "rest", "before", "turn", (F.col("before") < F.col("rest")).alias("again")))
+
+    # the tree's cuts through each source's draws, in the order of pass and place; a draw's words are those of the block but for the last
+    held = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("held"), (F.count(F.lit(1)) * F.first("passes") + F.count_if("again")).alias("quota"))
+    held = settled(held)
+    cuts = held.join(dealt_quotas(held.select("key", "quota"), shards, seed), "key").select("key", "held", "cuts")
+    turns = F.col("passes") + F.col("again").cast("long")
+    shard = lambda e: F.size(F.filter("cuts", lambda c: c <= e * F.col("held") + F.col("turn")))
+    words = lambda e: F.when(e < F.col("passes"), F.col("words")).otherwise(F.col("rest") - F.col("before"))
+    draws = F.transform(F.sequence(F.lit(1).cast("long"), turns), lambda e: F.struct(shard(e - 1).alias("out_shard"), words(e - 1).alias("words")))
+    drawn = blocks.join(_fitting(cuts, few), "key").where(turns > 0).select("key", "block", draws.alias("draws"))
+
+    rows = rows.join(of_source.select("key", F.col("words").alias("source_size"), "target", "blocks"), "key").withColumn("block", block).withColumn("draw_key", _mark(seed + 2, "id"))
+    order = Window.partitionBy("key", "block").orderBy("draw_key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", running("size", order)).join(drawn, ["key", "block"], "left")
+    # of a draw's words, in the block's order, those that are the document's
+    given = lambda d: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), d["words"] - F.col("inside")))
+    none = F.array().cast("array<struct<out_shard:int,words:long>>")
+    own_draws = F.coalesce(F.filter(F.transform("draws", lambda d: F.struct(d["out_shard"].alias("out_shard"), given(d).alias("words"))), lambda d: d["words"] > 0), none)
+    rows = rows.withColumn("draws", own_draws)
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"])
+    return rows.select(*[F.col("row")[c].alias(c) for c in own], "size", "source_size", "target", taken.alias("taken"), "draws", F.array_join(F.transform("draws", lambda d: d["out_shard"]), ",").alias("out_shards"), "draw_key")
 
 
 def word_count(text: Column) -> Column:
@@ -115,12 +175,11 @@ def word_count(text: Column) -> Column:
 
 
 def mixed_corpus(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them, the columns unchanged: each row as often as it is drawn; the one at its source's cut counts if at least half of it is drawn."""
-    names = {c: f"__in_{c}" for c in docs.columns if c not in ("doc_id", "source")}
-    mix = mix_sources(docs.withColumnsRenamed(names), word_count(F.col(names["text"])), **options)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + F.lit(0.5))).otherwise(0)
-    drawn = mix.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
-    return drawn.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    """docs as the output shards draw them, the columns unchanged: a row for each draw that gives at least half of its document, sorted by shard and draw_key where they lie."""
+    rows = carried(docs, F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("n"))
+    mix = mix_sources(rows, F.col("n"), **options)
+    drawn = mix.withColumn("draw", F.explode("draws")).where(F.col("draw.words") * 2 >= F.col("size"))
+    return drawn.sortWithinPartitions("draw.out_shard", "draw_key").select("row.*")
 
 
 def op9_hypergeometric_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

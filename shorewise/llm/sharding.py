@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shorewise.llm.common import table
+from shorewise.llm.common import carried, table
 
 SCORE_BITS = 52
 ROWS_PER_GROUP = 20_000
@@ -43,15 +43,16 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 def shard_records(df: DataFrame, key: str, weights: Sequence[float], *, grow_by: float | None = 1.0, tie: Sequence[str] = (), rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """df with shard, slot (gapless from 0 in each shard) and grown_shard (with one more shard of weight grow_by)."""
+    own = [c for c in df.columns if c not in ("shard", "slot", "grown_shard")]
+    grown = rendezvous(F.col(key), [*weights, grow_by]) if grow_by else F.lit(None).cast("int")
     groups = max(1, -(-df.count() // (rows_per_group * len(weights))))
-    df = df.withColumn("shard", rendezvous(F.col(key), weights))
-    df = df.withColumn("grown_shard", rendezvous(F.col(key), [*weights, grow_by]) if grow_by else F.lit(None).cast("int"))
-    df = df.withColumn("__group", F.pmod(F.xxhash64(F.col(key)), F.lit(groups)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy("shard", "__group").count().select("shard", "__group", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy("shard", "__group").orderBy(F.col(key), *tie)
-    numbered = df.withColumn("__rank", F.row_number().over(inside))
-    return numbered.join(offsets, ["shard", "__group"]).withColumn("slot", F.col("__offset") + F.col("__rank") - 1).drop("__group", "__rank", "__offset")
+    group = F.pmod(F.xxhash64(F.col(key), *tie), F.lit(groups)).cast("int")
+    rows = carried(df, F.struct(key, *tie).alias("order"), rendezvous(F.col(key), weights).alias("shard"), grown.alias("grown_shard"), group.alias("group"))
+    before = Window.partitionBy("shard").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("shard", "group").count().select("shard", "group", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    numbered = rows.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "group").orderBy("order")))
+    slot = (F.col("offset") + F.col("rank") - 1).alias("slot")
+    return numbered.join(offsets, ["shard", "group"]).select(*[F.col("row")[c].alias(c) for c in own], "shard", "grown_shard", slot)
 
 
 def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

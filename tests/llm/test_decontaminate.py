@@ -68,3 +68,12 @@ def test_remove(spark):
     assert [r.doc_id for r in D.decontaminate(docs, bench).collect()] == [2]
     out = {r.doc_id: r.text for r in D.decontaminate(docs, bench, remove="spans").collect()}
     assert out == {1: "Keep this, And that!", 2: "clean text", None: ""}
+
+
+def test_remove_with_clashing_columns(spark):
+    bench = spark.createDataFrame([(1, LONG)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"Keep this, {LONG}. And that!"), (2, "clean text"), (None, LONG)], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit(i) for i, c in enumerate(("__id", "__hash", "__spans", "row", "own", "own_key", "key", "of", "spans", "text_hash"))})
+    assert [(r.doc_id, r.spans) for r in D.decontaminate(docs, bench).collect()] == [(2, 8)]
+    out = D.decontaminate(docs, bench, remove="spans")
+    assert out.columns == docs.columns and {r.doc_id: (r.text, r.spans) for r in out.collect()} == {1: ("Keep this, And that!", 8), 2: ("clean text", 8), None: ("", 8)}

@@ -4,8 +4,9 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from shorewise.llm import components, near_dedup
+from shorewise.llm import common, components, near_dedup
 from shorewise.llm.shingles import shingle_sets
 
 
@@ -65,6 +66,34 @@ def test_one_of_each(spark, odd):
     assert near_dedup.near_duplicates(odd.where("false")).count() == 0
 
 
+def test_clashing_columns(odd):
+    renamed = odd.withColumns({c: F.lit(i) for i, c in enumerate(("__id", "__hash", "row", "id", "hash", "label", "kept", "node"))})
+    kept = near_dedup.one_of_each(renamed)
+    assert kept.columns == renamed.columns and all(r.hash == 4 and r.kept == 6 for r in kept.collect())
+
+
+def test_rows_of_one_large_family(spark, monkeypatch):
+    """5,000 different near copies of one text: what the passes write stays in proportion to them."""
+    rng, words, rows = random.Random(3), [f"w{i}" for i in range(200)], []
+    for i in range(5000):
+        own = list(words)
+        for _ in range(1 + (i % 50 == 0)):
+            own[rng.randrange(200)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(own)))
+    written = []
+
+    def counted(df, write=common.settled):
+        out = write(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "settled", counted)
+    monkeypatch.setattr(components, "settled", counted)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("component_id = 0").count() > 4900
+    assert max(written) <= 4 * 5000 and sum(written) <= 25 * 5000
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 1000).astype(np.uint64)
