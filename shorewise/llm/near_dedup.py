@@ -39,7 +39,7 @@ from shorewise.llm.common import carried, settled, table
 from shorewise.llm.components import components
 from shorewise.llm.shingles import chunks, mixed, shingle_sets
 
-WORDS, ROWS, SKETCH_BITS, TILE, DEAL_ROWS, MISSED = 5, 5, 1024, 250, 1000, 1e-8
+WORDS, ROWS, SKETCH_BITS, TILE, DEAL_ROWS, BROADCAST_CLASSES, MISSED = 5, 5, 1024, 250, 1000, 200_000, 1e-8
 PERCENT = 85
 _SIG = "n_shingles long, node long, bands array<long>, sketch array<long>"
 
@@ -263,8 +263,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, tile: int = TILE
     classes = sig.where("n_shingles > 0").groupBy("node").agg(first.alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = settled(classes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "bands", "sketch"))
 
-    def with_texts(rows: DataFrame) -> DataFrame:
-        """rows of classes with the text of each."""
+    def with_texts(rows: DataFrame, count: int) -> DataFrame:
+        """rows of classes with the text of each; few of them travel to the texts, so that only their texts move."""
+        rows = F.broadcast(rows) if count <= BROADCAST_CLASSES else rows
         same = docs["doc_id"].eqNullSafe(rows["doc_id"]) & (docs["text_hash"] == rows["text_hash"])
         return docs.join(rows, same).drop("doc_id", "text_hash")
 
@@ -285,8 +286,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, tile: int = TILE
     members = best.join(salts, "center").select("node", "center", F.pmod(F.xxhash64("node"), "salts").alias("salt"))
     hubs = salts.select(F.col("center").alias("node"), "center", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     roles = members.union(hubs).groupBy("node").agg(F.collect_list(F.struct("center", "salt")).alias("roles"))
-    compared = with_texts(classes.select("node", "doc_id", "text_hash").join(roles, "node")).select("node", "text", F.inline("roles"))
-    links = settled(_dealt(compared, best.count(), "center", "salt").groupBy("deal").applyInArrow(_star_links(percent), "a long, b long"))
+    n_best = best.count()
+    compared = with_texts(classes.select("node", "doc_id", "text_hash").join(roles, "node"), 2 * n_best).select("node", "text", F.inline("roles"))
+    links = settled(_dealt(compared, n_best, "center", "salt").groupBy("deal").applyInArrow(_star_links(percent), "a long, b long"))
     part = components(links).withColumnRenamed("label", "part")
 
     # then, in families that are still several parts, all members in tile pairs; only members of candidate pairs get their texts
@@ -300,8 +302,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, tile: int = TILE
     kind = "family long, ta int, tb int, tile int, node long, part long, sketch array<long>"
     rows = split.agg(F.sum(F.col("n") * tiles)).first()[0] or 0
     met = settled(_dealt(member, rows, "family", "ta", "tb").groupBy("deal").applyInArrow(_tile_members(percent), kind))
-    met_texts = with_texts(met.join(classes.select("node", "doc_id", "text_hash"), "node")).select(*names, "text")
-    more = _dealt(met_texts, met.count(), "family", "ta", "tb")
+    n_met = met.count()
+    texts = with_texts(classes.select("node", "doc_id", "text_hash").join(met.select("node").distinct(), "node", "left_semi"), n_met).select("node", "text")
+    more = _dealt(met.join(texts, "node"), n_met, "family", "ta", "tb")
     found = components(links.union(more.groupBy("deal").applyInArrow(_tile_links(percent), "a long, b long")))
 
     ids = sig.where("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))

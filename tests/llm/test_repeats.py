@@ -68,11 +68,14 @@ def byte_rows():
     return [*rows, "a" * 300, "ab" * 100, "a" * 39, "a" * 40, rows[0], rows[0]]
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 1500}, {"block_bytes": 1500, "hot": 1}])
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 1500}, {"block_bytes": 1500, "group": 2}, {"report": 40, "group": 1}])
 def test_bytes_against_brute_force(spark, options, monkeypatch):
     rows = [(1, None), (2, ""), (None, "x"), *((10 + i, t) for i, t in enumerate(byte_rows()))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS span", "2 AS key")
+    options = {"report": 25} | options
     got = substrings.remove_substrings(docs, length=40, anchor=10, **options).collect()
+    counts = brute_bytes([(t or "").encode() for _, t in rows], options["report"])
+    assert Counter((r.n_bytes, r.n_repeated) for r in got) == Counter({k: sum(n for x, n in counts.items() if x[:2] == k) for k in {x[:2] for x in counts}})
     assert Counter((r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == brute_bytes([(t or "").encode() for _, t in rows], 40)
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
 
@@ -98,7 +101,9 @@ def test_induced_order_over_key_groups():
         keys = np.array([rng.randrange(3) for _ in range(n)])
         before = np.array([rng.randrange(6) for _ in range(n)])
         texts = ["".join(rng.choice("ab") for _ in range(b + rng.randrange(4, 12))).encode() for b in before]
-        got = substrings.induced_repeats(keys, before, texts, 5)
+        order = sorted(range(n), key=lambda i: (keys[i], texts[i][before[i] :]))
+        keys, before, texts = keys[order], before[order], [texts[i] for i in order]
+        got = substrings.induced_repeats(keys, before, texts, np.full(n, 5))
         for i in range(n):
             want = []
             for back in range(before[i] + 1):
