@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Folders that `settled` has written and `forget_settled` may delete.
 _settled: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,7 +45,12 @@ def settled(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read again: what follows doesn't compute it anew, and a lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # what is written needs the shuffle files of this job no more
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _settled.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -42,11 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shorewise.llm.common import BLOCK_BYTES, settled, table, with_blocks
+from shorewise.llm.common import settled, table, with_blocks
 from shorewise.llm.shingles import mixed
 from shorewise.llm.winnow import anchors, covered, inside
 
-LENGTH, ANCHOR, SEGMENT, GROUP, BATCH = 400, 100, 2_000_000, 1000, 20_000
+LENGTH, ANCHOR, SEGMENT, GROUP, BATCH, BLOCK_BYTES = 400, 100, 2_000_000, 1000, 20_000, 16_000_000
 #: 51 words of four letters, with a blank each.
 REPORT = 255
 _CODE = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)

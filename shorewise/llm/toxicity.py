@@ -1,19 +1,21 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-1. A bounded sample of the labelled training rows (SAMPLE_ROWS, by hash of the
-   id) are the examples. Terms are words and their character 4-grams with the
-   word's start marked, so that inflected and compounded words still match; the
-   TERMS terms of highest chi-square against the label make the space.
+1. A bounded sample of the labelled training rows (at most about SAMPLE_ROWS of
+   each label, by hash of the id) are the examples. Terms are words and their
+   character 4-grams with the word's start marked, so that inflected and
+   compounded words still match; the TERMS terms of highest chi-square against the
+   label make the space. How many documents have each is counted over them all.
 2. Examples fall into blocks of BLOCK. Each term's inverted list has the blocks
    it occurs in, the largest weight in each block, and the block's weights. A
    query adds up block bounds, opens blocks from the highest bound down, and
    stops when no bound can reach its k-th best cosine: exact, but for most blocks
    unopened.
 3. Votes weigh 1/(distance + 0.05). A logistic curve, fitted to the examples' own
-   leave-one-out votes, turns them into a probability. The nearest examples' ids
-   are the evidence.
+   leave-one-out votes, turns them into a probability; its constant is corrected
+   for the shares of either label that were drawn. The nearest examples' ids are
+   the evidence.
 
-The index is bounded by SAMPLE_ROWS and TERMS and travels with the tasks; every
+The index is bounded by both parameters and travels with the tasks; every
 document is scored whole in one pass without a shuffle. Defined results: a null
 or empty text has no neighbours and gets the curve's value for none; labels that
 are null teach nothing, of conflicting labels of an id the highest holds; without
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from shorewise.llm.common import id_remainder, table
 
-SAMPLE_ROWS, TERMS, BLOCK, NEIGHBOURS, GRAM, THRESHOLD = 8000, 800, 64, 20, 4, 0.3
+SAMPLE_ROWS, TERMS, BLOCK, NEIGHBOURS, GRAM, THRESHOLD = 4000, 2000, 64, 20, 4, 0.3
 _CACHE = 300_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -55,18 +57,25 @@ class Featurizer:
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary, self.cache = vocabulary, {}
 
+    def _ids(self, word: str) -> tuple[int, ...]:
+        ids = self.cache.get(word)
+        if ids is None:
+            if len(self.cache) >= _CACHE:
+                self.cache.clear()
+            ids = self.cache[word] = tuple(i for i in map(self.vocabulary.get, terms_of(word)) if i is not None)
+        return ids
+
     def __call__(self, text: str | None) -> dict[int, int]:
-        cache, found = self.cache, Counter()
+        found = Counter()
         for word in (text or "").lower().split():
-            ids = cache.get(word)
-            if ids is None:
-                if len(cache) >= _CACHE:
-                    cache.clear()
-                ids = cache[word] = tuple(i for i in map(self.vocabulary.get, terms_of(word)) if i is not None)
-            if ids:
+            if ids := self.cache.get(word) or self._ids(word):
                 found.update(ids)
         return found
 
+    def known(self, text: str | None) -> set[int]:
+        """The known terms that a text has."""
+        return {i for word in set((text or "").lower().split()) for i in self._ids(word)}
+
 
 def chi_square(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
     n, df = n_pos + n_neg, pos + neg
@@ -137,11 +146,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 class Model:
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, examples: list[dict[int, int]], labels: np.ndarray, ids: list):
+    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, examples: list[dict[int, int]], labels: np.ndarray, ids: list, odds: float = 1.0):
+        """odds: by how much the odds of label 1 among all labelled rows are those among the examples."""
         self.vocabulary, self.labels, self.ids = vocabulary, labels.astype(np.float64), ids
         self.index = BlockMaxIndex(examples, idf)
         seen = np.array([vote(c, self.labels[p]) for p, c in (self.index.nearest(v, NEIGHBOURS, leave=e) for e, v in enumerate(examples))])
-        self.beta = fit_logistic(seen, self.labels) if len(examples) else None
+        self.beta = fit_logistic(seen, self.labels) + np.array([np.log(odds), 0, 0, 0]) if len(examples) else None
 
     def score(self, counts: dict[int, int]) -> tuple[float, list]:
         if self.beta is None:
@@ -165,6 +175,19 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _having(vocabulary: dict[str, int]):
+    """How many texts have each term, and, under the number after the last, how many there are."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, n = Featurizer(vocabulary), np.zeros(len(vocabulary) + 1, np.int64)
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                n[[*features.known(text), len(vocabulary)]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["id", "n"])
+
+    return f
+
+
 def _example_counts(vocabulary: dict[str, int]):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Featurizer(vocabulary)
@@ -178,8 +201,9 @@ def _example_counts(vocabulary: dict[str, int]):
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, sample_rows: int = SAMPLE_ROWS, terms: int = TERMS) -> Model:
     """learn: condition on doc_id. The driver gets the chosen terms and the examples' counts of them, no texts."""
     known = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    share = min(1.0, sample_rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64(F.lit("example"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    shares = {r.toxic: min(1.0, sample_rows / r["count"]) for r in known.groupBy("toxic").count().collect()}
+    limit = F.when(F.col("toxic") == 1, int(shares.get(1, 1) * 1_000_000)).otherwise(int(shares.get(0, 1) * 1_000_000))
+    drawn = known.where(F.pmod(F.xxhash64(F.lit("example"), "doc_id"), F.lit(1_000_000)) < limit)
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
@@ -191,10 +215,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, sample_rows: int =
     chi = (F.col("pos") - df * pos / n) ** 2 / F.greatest(expected, F.lit(1e-9))
     best = counted.withColumn("chi", chi).orderBy(F.desc("chi"), "term").limit(terms).collect()
     vocabulary = {r.term: i for i, r in enumerate(best)}
-    idf = np.log((1 + n) / (1 + np.array([r.pos + r.neg for r in best]))) + 1
+    having = docs.select("text").mapInArrow(_having(vocabulary), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    held = np.zeros(len(vocabulary) + 1)  # the last place counts the documents
+    held[[r.id for r in having]] = [r.n for r in having]
+    idf = np.log((1 + held[-1]) / (1 + held[:-1])) + 1
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, terms array<int>, counts array<int>"
     examples = sorted(rows.select("doc_id", "text", "toxic").mapInArrow(_example_counts(vocabulary), kind).collect(), key=lambda r: (-r.toxic, len(r.terms), r.terms, str(r.doc_id)))
-    return Model(vocabulary, idf, [dict(zip(r.terms, r.counts, strict=True)) for r in examples], np.array([r.toxic for r in examples]), [r.doc_id for r in examples])
+    return Model(vocabulary, idf, [dict(zip(r.terms, r.counts, strict=True)) for r in examples], np.array([r.toxic for r in examples]), [r.doc_id for r in examples], shares[0] / shares[1])
 
 
 def _scores(model: Model):
