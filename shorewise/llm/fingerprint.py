@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from shorewise.llm.common import let, settled, table
 
-CELLS, ROUNDS, RETRY_ROUNDS, KEYS_A_PART, RANGE_BYTES, BROADCAST_RANGES = 8, 8, 4, 3, 16_000_000, 200_000
+CELLS, ROUNDS, RETRY_ROUNDS, KEYS_A_PART, RANGE_BYTES, BROADCAST_RANGES = 8, 8, 4, 6, 16_000_000, 200_000
 #: Line ends; blanks after a sentence's mark, or after the quote or bracket that closes one; behind a full-width mark, blanks or none.
 PARAGRAPH = r"[\r\n]+|(?:(?<=[.!?…؟۔।॥])|(?<=[.!?…][\"'”’»)\]]))[ \t\xa0]+|(?<=[。！？｡])[ \t\xa0\u3000]*"
 
