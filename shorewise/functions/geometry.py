@@ -158,6 +158,11 @@ def area(polygon: Column) -> Column:
     return _with_holes(polygon, "a")
 
 
+def parts_area(parts: Column) -> Column:
+    """Area of a geometry of several polygons that don't overlap."""
+    return F.aggregate(parts, F.lit(0.0), lambda n, p: n + area(p))
+
+
 def centroid(polygon: Column) -> Column:
     """Area-weighted centroid; null for an empty area."""
     return let(area(polygon), lambda whole: point(F.try_divide(_with_holes(polygon, "mx"), whole), F.try_divide(_with_holes(polygon, "my"), whole)))
@@ -211,6 +216,56 @@ def intersects(a: Column, b: Column) -> Column:
     return meet | covers(a, corner(b)["x"], corner(b)["y"]) | covers(b, corner(a)["x"], corner(a)["y"])
 
 
+def parts_intersect(a: Column, parts: Column) -> Column:
+    """Whether a polygon has a point in common with any of several polygons."""
+    return F.exists(parts, lambda p: intersects(a, p))
+
+
+def polygon_within(inner: Column, outer: Column) -> Column:
+    """Whether a polygon lies in another, boundaries included: no corner is outside, no edges cross, and no hole is inside."""
+    crossing = lambda s, t: _turn_of(s, t, "a") * _turn_of(s, t, "b") * _turn_of(t, s, "a") * _turn_of(t, s, "b") != 0
+    crossed = F.exists(edges(inner), lambda s: F.exists(edges(outer), lambda t: segments_meet(s, t) & crossing(s, t)))
+    covered = F.forall(F.flatten(inner), lambda p: covers(outer, p["x"], p["y"]))
+    middles = F.forall(edges(inner), lambda s: covers(outer, (s["ax"] + s["bx"]) / 2, (s["ay"] + s["by"]) / 2))
+    holes = F.exists(F.slice(outer, 2, 1_000_000), lambda r: within(inner, r[0]["x"], r[0]["y"]))
+    return covered & middles & ~crossed & ~holes
+
+
+def _turn_of(s: Column, t: Column, end: str) -> Column:
+    return _turn(s["ax"], s["ay"], s["bx"], s["by"], t[f"{end}x"], t[f"{end}y"])
+
+
+def buffered(polygon: Column, radius: Column, corner_points: int = 8) -> Column:
+    """The polygon's convex hull widened on all sides by the radius, its corners rounded by as many points: the shape itself for a convex one, else a safe superset of its buffer."""
+    turns = F.sequence(F.lit(0), F.lit(4 * corner_points - 1))
+    # a circumscribed polygon of the circle around each corner, so that nothing of the true buffer is outside
+    far = radius / F.cos(F.lit(3.141592653589793 / (4 * corner_points)))
+    angle = lambda i: i * F.lit(3.141592653589793 / (2 * corner_points))
+    around = lambda p: F.transform(turns, lambda i: point(p["x"] + far * F.cos(angle(i)), p["y"] + far * F.sin(angle(i))))
+    return F.array(convex_hull(F.flatten(F.transform(F.get(polygon, F.lit(0)), around))))
+
+
+def convex_hull(points: Column) -> Column:
+    """The closed ring around points, counterclockwise from the leftmost: two monotone chains."""
+
+    def chain(of: Column) -> Column:
+        def add(kept: Column, p: Column) -> Column:
+            turn = lambda a, b: _turn(a["x"], a["y"], b["x"], b["y"], p["x"], p["y"])
+            # drop from the end what lies right of the way to p: the place of the last left turn is kept
+            ends = F.sequence(F.lit(2), F.size(kept))
+            stays = F.array_max(F.filter(ends, lambda i: turn(F.element_at(kept, i - 1), F.element_at(kept, i)) > 0))
+            cut = F.when(F.size(kept) < 2, F.size(kept)).otherwise(F.coalesce(stays, F.lit(1)))
+            return F.concat(F.slice(kept, 1, cut), F.array(p))
+
+        return F.aggregate(of, F.array().cast(LINE), add)
+
+    def both(ordered: Column) -> Column:
+        lower, upper = chain(ordered), chain(F.reverse(ordered))
+        return F.concat(lower, F.slice(upper, 2, F.size(upper) - 1))
+
+    return let(F.array_sort(F.array_distinct(points)), both)
+
+
 def line_intersects(polygon: Column, of: Column) -> Column:
     """Whether a line has a point in common with a polygon."""
     first = F.element_at(of, 1)

@@ -11,6 +11,22 @@ from shorewise.config import DataConfiguration, shifted_name
 
 # fixed values: ordered categories and the code of an unknown one
 UNKNOWN_CATEGORY = -1
+KNOWN_CATEGORIES = {
+    "BrpGewas_majority_class_category": ["Grasland"],
+    "rws_vegetatielegger:vegetatieklassen_majority_class_vlklasse": ["Gras en Akker"],
+}
+
+
+def category_codes(ordered: dict[str, list[str]] = KNOWN_CATEGORIES) -> dict[str, dict[str, int]]:
+    """Codes by column: a category's place in its list."""
+    return {column: {c: i for i, c in enumerate(categories)} for column, categories in ordered.items()}
+
+
+def dropped_rows(complete: DataFrame, names: list[str]) -> DataFrame:
+    """One row: how many rows of a feature table kept whole have a null among the columns, and what percent of all; null percent of no rows."""
+    whole = reduce(lambda a, b: a & b, [F.col(f"`{n}`").isNotNull() for n in names], F.lit(True))
+    counted = complete.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~whole).alias("n_dropped"))
+    return counted.withColumn("percent_dropped", F.try_divide(F.col("n_dropped") * 100.0, F.col("n_rows")))
 
 
 def encode_category(column: Column, codes: dict[str, int]) -> Column:

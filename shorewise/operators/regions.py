@@ -1,6 +1,8 @@
 """Aggregations of a layer's objects by region.
 
-Regions and objects carry polygons; `kind` says what an object is. The spatial
+Regions carry a polygon. An object's `shape` is a point, a line, a polygon or an
+array of polygons (an object of several parts); `kind` says which of the first
+three, and parts go as polygons. The spatial
 join is an equi-join on grid cells with an exact predicate: a pair meets in the
 cell of its boxes' common lower corner only, so no pair is made twice and none
 has to be deduplicated.
@@ -14,13 +16,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shorewise.config import FeatureGeneration
+from shorewise.functions import crs
 from shorewise.functions import geometry as G
 
 CELL, STRIP_OBJECTS, MAX_LINES = 100.0, 2000, 10_000
 
 
+def in_parts(df: DataFrame, shape: str = "shape") -> bool:
+    """Whether the column holds arrays of polygons rather than polygons."""
+    return df.schema[shape].dataType.simpleString().startswith("array<array<array<")
+
+
+def shapes_of(features: DataFrame, kind: str) -> DataFrame:
+    """Features as the readers give them, with their shape as `shape`; any that isn't of the kind stops the query, and null geometries are left out."""
+    names = {"point": ("Point",), "line": ("LineString",), "polygon": ("Polygon", "MultiPolygon")}[kind]
+    wrong = F.raise_error(F.concat(F.lit(f"only {kind} geometries are allowed here, not "), F.col("gtype")))
+    shape = F.when(F.col("gtype").isin(*names), F.col({"polygon": "parts"}.get(kind, kind))).otherwise(wrong)
+    return features.where("gtype IS NOT NULL").withColumn("shape", shape)
+
+
 def _boxed(df: DataFrame, shape: str, kind: str) -> DataFrame:
-    if kind == "point":
+    if kind == "polygon" and in_parts(df, shape):
+        box = G.bounds(F.flatten(shape))
+    elif kind == "point":
         box = F.struct(*[F.col(f"{shape}.{c}").alias(n) for n, c in (("xmin", "x"), ("ymin", "y"), ("xmax", "x"), ("ymax", "y"))])
     elif kind == "line":
         box = G.bounds(F.array(F.col(shape)))
@@ -45,7 +63,7 @@ def spatial_pairs(regions: DataFrame, objects: DataFrame, *, kind: str = "polygo
     exact = {
         "point": (G.within if strict else G.covers)(F.col("polygon"), shape["x"], shape["y"]),
         "line": G.line_intersects(F.col("polygon"), shape),
-        "polygon": G.intersects(F.col("polygon"), shape),
+        "polygon": (G.parts_intersect if in_parts(objects) else G.intersects)(F.col("polygon"), shape),
     }[kind]
     return pairs.where(exact).drop("__cx", "__cy", "__a", "__b")
 
@@ -69,7 +87,8 @@ def intersecting(regions: DataFrame, objects: DataFrame, columns: list[str] | st
     if missing := set(columns) - set(objects.columns):
         raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
     pairs = spatial_pairs(regions, objects, kind=kind, **options)
-    size = F.sum(G.area(F.col("shape"))) if kind == "polygon" else F.lit(0.0)
+    own = G.parts_area if kind == "polygon" and in_parts(objects) else G.area
+    size = F.sum(own(F.col("shape"))) if kind == "polygon" else F.lit(0.0)
     modes = [F.mode(F.col(f"`{c}`"), True).alias(f"majority_class_{c}") for c in columns]
     found = pairs.groupBy("location_id").agg(F.count(F.lit(1)).alias("count"), size.alias("total_area"), *modes)
     none = F.lit(None).cast("string")
@@ -82,26 +101,64 @@ def _edge_array(polygon) -> np.ndarray:
 
 
 def _cut_places(edges: np.ndarray, low: float, high: float) -> np.ndarray:
-    """x of all vertices and crossings between low and high."""
+    """x of all vertices and crossings between low and high. An upright edge is crossed at its own x, which is a vertex's."""
     xs = [edges[:, 0], edges[:, 2], [low, high]]
+    left, right = np.minimum(edges[:, 0], edges[:, 2]), np.maximum(edges[:, 0], edges[:, 2])
+    edges = edges[(left < right) & (left <= high) & (right >= low)]
     p, d = edges[:, :2], edges[:, 2:] - edges[:, :2]
     lo, hi = np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])
-    for i in range(len(edges)):
-        j = i + 1 + np.flatnonzero((lo[i + 1 :] <= hi[i]).all(axis=1) & (hi[i + 1 :] >= lo[i]).all(axis=1))
-        det = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
-        j, det = j[det != 0], det[det != 0]
-        q = p[j] - p[i]
+    for a in range(0, len(edges), 256):
+        b = slice(a, a + 256)
+        meet = (lo[b, None] <= hi[None, a:]).all(axis=2) & (hi[b, None] >= lo[None, a:]).all(axis=2)
+        meet &= d[b, 0, None] * d[None, a:, 1] != d[b, 1, None] * d[None, a:, 0]
+        i, j = np.nonzero(np.triu(meet, 1))
+        i, j = i + a, j + a
+        det, q = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0], p[j] - p[i]
         t, u = (q[:, 0] * d[j, 1] - q[:, 1] * d[j, 0]) / det, (q[:, 0] * d[i, 1] - q[:, 1] * d[i, 0]) / det
         xs.append((p[i, 0] + t * d[i, 0])[(t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)])
     xs = np.unique(np.concatenate(xs))
     return xs[(xs >= low) & (xs <= high)]
 
 
-def _spans(edges: np.ndarray, x: float) -> np.ndarray:
-    """Intervals of y inside a polygon at x, which is no vertex's."""
-    held = edges[(np.minimum(edges[:, 0], edges[:, 2]) < x) & (np.maximum(edges[:, 0], edges[:, 2]) > x)]
-    y = held[:, 1] + (x - held[:, 0]) * (held[:, 3] - held[:, 1]) / (held[:, 2] - held[:, 0])
-    return np.sort(y).reshape(-1, 2)
+def _intervals(edges: np.ndarray, owner: np.ndarray, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of y inside each owner's polygon at the middles between neighbouring xs: the number of the middle, lower and upper end."""
+    first, last = np.minimum(edges[:, 0], edges[:, 2]), np.maximum(edges[:, 0], edges[:, 2])
+    a = np.searchsorted(xs, first)
+    n = np.maximum(np.minimum(np.searchsorted(xs, last), len(xs) - 1) - a, 0)
+    edge = np.repeat(np.arange(len(edges)), n)
+    at = np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n) + a[edge]
+    x, e = (xs[at] + xs[at + 1]) / 2, edges[edge]
+    y = e[:, 1] + (x - e[:, 0]) * (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
+    order = np.lexsort((y, owner[edge], at))
+    return at[order][::2], y[order][::2], y[order][1::2]
+
+
+def _covered(own: np.ndarray, others: np.ndarray, owner: np.ndarray, low: float, high: float) -> float:
+    if not len(own) or not len(others):
+        return 0.0
+    low, high = max(low, own[:, [0, 2]].min()), min(high, own[:, [0, 2]].max())
+    xs = _cut_places(np.concatenate([own, others]), low, high) if low < high else np.zeros(0)
+    if len(xs) < 2:
+        return 0.0
+    at, y0, y1 = _intervals(others, owner, xs)
+    outer_at, outer0, outer1 = _intervals(own, np.zeros(len(own), np.int64), xs)
+    # each interval with each of the region's own at the same place
+    begin, n = np.searchsorted(outer_at, at), np.searchsorted(outer_at, at, side="right")
+    n = n - begin
+    k = np.repeat(np.arange(len(at)), n)
+    outer = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + begin[k]
+    y0, y1 = np.maximum(y0[k], outer0[outer]), np.minimum(y1[k], outer1[outer])
+    held = y0 < y1
+    outer, y0, y1 = outer[held], y0[held], y1[held]
+    order = np.lexsort((y0, outer))
+    outer, y0, y1 = outer[order], y0[order], y1[order]
+    if not len(outer):
+        return 0.0
+    # how far up the earlier ones reach: a running maximum that begins anew with each of the region's intervals
+    step = outer * ((y1.max() - y0.min()) * 2 + 1)
+    reach = np.maximum.accumulate(y1 + step) - step
+    before = np.concatenate([[-np.inf], np.where(outer[1:] == outer[:-1], reach[:-1], -np.inf)])
+    return float((np.maximum(0, y1 - np.maximum(y0, before)) * np.diff(xs)[outer_at[outer]]).sum())
 
 
 def covered_area(polygon, objects: list, low: float = -np.inf, high: float = np.inf) -> float:
@@ -110,27 +167,13 @@ def covered_area(polygon, objects: list, low: float = -np.inf, high: float = np.
     Between neighbouring vertices and crossings all boundaries are straight, so the
     covered length at the middle times the width is exact.
     """
-    own, others = _edge_array(polygon), [e for e in map(_edge_array, objects) if len(e)]
-    if not len(own) or not others:
-        return 0.0
-    low, high = max(low, own[:, [0, 2]].min()), min(high, own[:, [0, 2]].max())
-    xs = _cut_places(np.concatenate([own, *others]), low, high) if low < high else np.zeros(0)
-    total = 0.0
-    for a, b in zip(xs[:-1], xs[1:], strict=True):
-        middle = (a + b) / 2
-        outer, length = _spans(own, middle), 0.0
-        parts = np.concatenate([_spans(e, middle) for e in others])
-        parts = parts[np.argsort(parts[:, 0], kind="stable")]
-        merged: list[list[float]] = []
-        for y0, y1 in parts:
-            if merged and y0 <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], y1)
-            else:
-                merged.append([y0, y1])
-        for y0, y1 in merged:
-            length += np.maximum(0, np.minimum(outer[:, 1], y1) - np.maximum(outer[:, 0], y0)).sum()
-        total += length * (b - a)
-    return float(total)
+    others = [_edge_array(o) for o in objects]
+    return _covered(_edge_array(polygon), np.concatenate([np.zeros((0, 4)), *others]), np.repeat(np.arange(len(others)), [len(e) for e in others]), low, high)
+
+
+def _flat_edges(polygon: Column) -> Column:
+    """Coordinates of all edges in a row: ax, ay, bx, by of each."""
+    return F.flatten(F.transform(G.edges(polygon), lambda s: F.array(s["ax"], s["ay"], s["bx"], s["by"])))
 
 
 def area_fraction(regions: DataFrame, objects: DataFrame, *, strip_objects: int = STRIP_OBJECTS, **options) -> DataFrame:
@@ -139,16 +182,19 @@ def area_fraction(regions: DataFrame, objects: DataFrame, *, strip_objects: int
     A region with many objects is cut into upright strips, each a group of its own,
     so that no task holds all the objects of a crowded region.
     """
+    if in_parts(objects):  # each part covers for itself
+        objects = objects.withColumn("shape", F.explode("shape"))
     pairs = spatial_pairs(regions, objects, **options)
     counts = pairs.groupBy("location_id").agg(F.ceil(F.count(F.lit(1)) / strip_objects).cast("int").alias("strips"))
     rows = pairs.join(counts, "location_id").withColumn("__r", G.bounds(F.col("polygon"))).withColumn("__o", G.bounds(F.col("shape")))
     width = (F.col("__r.xmax") - F.col("__r.xmin")) / F.col("strips")
     strip = lambda x: F.greatest(F.lit(0), F.least(F.col("strips") - 1, F.floor(F.try_divide(x - F.col("__r.xmin"), width)).cast("int")))
     rows = rows.withColumn("strip", F.explode(F.sequence(strip(F.col("__o.xmin")), strip(F.col("__o.xmax")))))
-    rows = rows.select("location_id", "strip", "polygon", "shape", (F.col("__r.xmin") + F.col("strip") * width).alias("low"), (F.col("__r.xmin") + (F.col("strip") + 1) * width).alias("high"))
+    rows = rows.select("location_id", "strip", _flat_edges(F.col("polygon")).alias("own"), _flat_edges(F.col("shape")).alias("edges"), (F.col("__r.xmin") + F.col("strip") * width).alias("low"), (F.col("__r.xmin") + (F.col("strip") + 1) * width).alias("high"))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        covered = covered_area(pdf["polygon"].iloc[0], list(pdf["shape"]), pdf["low"].iloc[0], pdf["high"].iloc[0])
+        owner = np.repeat(np.arange(len(pdf)), [len(e) // 4 for e in pdf["edges"]])
+        covered = _covered(pdf["own"].iloc[0].reshape(-1, 4), np.concatenate(list(pdf["edges"])).reshape(-1, 4), owner, pdf["low"].iloc[0], pdf["high"].iloc[0])
         return pd.DataFrame({"location_id": [key[0]], "covered": [covered]})
 
     kind = regions.schema["location_id"].dataType.simpleString()
@@ -172,6 +218,26 @@ def centerline_shape(regions: DataFrame, lines: DataFrame, neighbourhood_radius:
     return nearest_region_line(regions, lines).select("location_id", G.line_shape(F.col("polygon"), F.col("line"), neighbourhood_radius).alias("centerline_shape"))
 
 
+def clip_layer(objects: DataFrame, source: DataFrame, *, kind: str = "polygon", source_epsg: int | None = None, layer_epsg: int | None = None, **options) -> DataFrame:
+    """Objects of a local layer that intersect any polygon of source, each once, in the source's CRS (the layer's is layer_epsg)."""
+    if layer_epsg != source_epsg:
+        move = lambda line: crs.transform(line, layer_epsg, source_epsg)
+        one = lambda polygon: F.transform(polygon, move)
+        if kind == "point":
+            shape = F.get(crs.transform(F.array("shape"), layer_epsg, source_epsg), F.lit(0))
+        elif kind == "line":
+            shape = move(F.col("shape"))
+        else:
+            shape = F.transform("shape", one) if in_parts(objects) else one(F.col("shape"))
+        objects = objects.withColumn("shape", shape)
+    rows = objects.select(F.struct("*").alias("object"), F.col("shape"), F.xxhash64(F.to_json(F.struct("*"))).alias("mark"))
+    found = spatial_pairs(source.select(F.lit(0).alias("location_id"), "polygon"), rows, kind=kind, **options)
+    # equal objects are as many after the clip as before it
+    copies = rows.groupBy("mark").agg(F.count(F.lit(1)).alias("copies"))
+    once = found.dropDuplicates(["mark"]).join(copies, "mark")
+    return once.select("object.*", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+
+
 def region_features(regions: DataFrame, layer: str, objects: DataFrame, config: FeatureGeneration, kind: str = "polygon") -> DataFrame:
     """One row per region with the layer's configured aggregations, each named {layer}_{operation}; regions are joined by key."""
     out, active = regions.select("location_id"), config.active()

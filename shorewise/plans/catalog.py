@@ -43,9 +43,9 @@ def _border() -> Column:
     return G.line(V.BORDER)
 
 
-@query(f"WITH {V.BANK_SQL}, {V.REGIONS_SQL} SELECT event_id, location_id FROM bank b WHERE EXISTS (SELECT 1 FROM regions r WHERE r.location_id = b.location_id)")
+@query(f"WITH {V.BANK_SQL} SELECT event_id, location_id FROM bank b WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = b.location_id AND c_acctbal >= 0)")
 def semi_join_regions(spark, sf_dir):
-    return observations.in_known_regions(V.bank(spark, sf_dir), V.known_regions(spark, sf_dir)).select("event_id", "location_id")
+    return observations.in_known_regions(V.bank(spark, sf_dir), V.solvent_regions(spark, sf_dir)).select("event_id", "location_id")
 
 
 @query(f"WITH {V.BANK_SQL} SELECT event_id, status FROM bank WHERE status = 'OK'")
@@ -260,6 +260,85 @@ def majority_class(spark, sf_dir):
     return regions.intersecting(V.rects(spark, sf_dir), V.objs(spark, sf_dir), ["p_brand", "p_type"]).drop("count", "total_area")
 
 
+#: Objects of two parts: the box, and the same box 3 to the right of it.
+_TWO_SQL = V.PAIRS_SQL.replace(V.OBJS_SQL, f"{V.OBJS_SQL}, two AS (SELECT * FROM objs UNION ALL SELECT * REPLACE (xmin + w + 3 AS xmin, xmax + w + 3 AS xmax) FROM objs)").replace("JOIN objs o", "JOIN two o")
+
+
+def _two_parts(spark, sf_dir) -> DataFrame:
+    right = F.col("xmin") + F.col("w") + 3
+    second = G.rectangle(right, F.col("ymin"), right + F.col("w"), F.col("ymin") + F.col("h"))
+    return V.objs(spark, sf_dir).withColumn("shape", F.array("shape", second))
+
+
+@query(f"""WITH {_TWO_SQL}, whole AS (SELECT DISTINCT location_id, object_id, p_brand, w, h FROM pairs),
+tops AS (SELECT location_id, p_brand, row_number() OVER (PARTITION BY location_id ORDER BY count(*) DESC, p_brand) AS k FROM whole GROUP BY location_id, p_brand),
+sums AS (SELECT location_id, count(*) AS n, sum(2 * w * h) AS a FROM whole GROUP BY 1)
+SELECT location_id, coalesce(n, 0) AS n, round(coalesce(a, 0.0), 6) AS total_area, p_brand AS majority_class_p_brand FROM rects LEFT JOIN sums USING (location_id) LEFT JOIN (SELECT * FROM tops WHERE k = 1) USING (location_id)""")
+def multipart_objects(spark, sf_dir):
+    """An object of several parts counts once, with the area of all."""
+    found = regions.intersecting(V.rects(spark, sf_dir), _two_parts(spark, sf_dir), ["p_brand"])
+    return found.select("location_id", F.col("count").cast("long").alias("n"), _r("total_area", "total_area"), "majority_class_p_brand")
+
+
+@query(ORACLES["area_fraction"].replace(V.PAIRS_SQL, _TWO_SQL))
+def multipart_fraction(spark, sf_dir):
+    return regions.area_fraction(V.rects(spark, sf_dir), _two_parts(spark, sf_dir)).select("location_id", _r("area_fraction", "fraction"))
+
+
+@query(f"WITH {V.PAIRS_SQL.replace('FROM supplier)', 'FROM supplier WHERE s_acctbal < 0)')} SELECT DISTINCT object_id, p_brand FROM pairs")
+def clip_layer(spark, sf_dir):
+    """A local layer's objects that meet any of the source's polygons, each once."""
+    source = V.rects(spark, sf_dir).join(V.read(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("location_id")), "location_id", "left_semi")
+    return regions.clip_layer(V.objs(spark, sf_dir), source).select("object_id", "p_brand")
+
+
+@query(f"WITH {V.PAIRS_SQL} SELECT location_id, object_id FROM pairs WHERE xmin >= rx0 AND ymin >= ry0 AND xmax <= rx1 AND ymax <= ry1")
+def polygon_within(spark, sf_dir):
+    pairs = regions.spatial_pairs(V.rects(spark, sf_dir), V.objs(spark, sf_dir))
+    return pairs.where(G.polygon_within(F.col("shape"), F.col("polygon"))).select("location_id", "object_id")
+
+
+@query(f"WITH {V.RECTS_SQL} SELECT location_id, round(xmin - r, 6) + 0.0 AS xmin, round(ymin - r, 6) + 0.0 AS ymin, round(xmax + r, 6) AS xmax, round(ymax + r, 6) AS ymax, TRUE AS holds FROM rects, (SELECT 10.0::DOUBLE / cos(pi() / 32) AS r)")
+def buffered_regions(spark, sf_dir):
+    """Bounds of the regions widened by 10, and whether each region lies in its widened shape."""
+    rows = V.rects(spark, sf_dir).select("location_id", "polygon", G.buffered(F.col("polygon"), F.lit(10.0)).alias("wide"))
+    box = rows.select("location_id", G.bounds(F.col("wide")).alias("b"), G.polygon_within(F.col("polygon"), F.col("wide")).alias("holds"))
+    return box.select("location_id", *[_r(f"b.{c}", c) for c in ("xmin", "ymin", "xmax", "ymax")], "holds")
+
+
+@query(f"WITH {V.OBJS_SQL} SELECT p_brand, round(sum(w * h) / 10000, 6) AS hectares FROM objs GROUP BY 1")
+def area_hectares(spark, sf_dir):
+    return V.objs(spark, sf_dir).groupBy("p_brand").agg(_r(F.sum(G.area(F.col("shape"))) / 10000, "hectares"))
+
+
+@query(f"WITH {V.BANK_SQL} SELECT event_id, d FROM bank ORDER BY d, event_id LIMIT 5")
+def head_rows(spark, sf_dir):
+    return V.bank(spark, sf_dir).orderBy("d", "event_id").limit(5).select("event_id", "d")
+
+
+@query(f"WITH {V.BANK_SQL} SELECT location_id, arg_min(event_id, (ahn_version, event_id)) AS first_event, arg_max(event_id, (ahn_version, event_id)) AS last_event FROM bank GROUP BY 1")
+def positional_pick(spark, sf_dir):
+    """The first and the last row of each region in order of time."""
+    order = F.struct("ahn_version", "event_id")
+    return V.bank(spark, sf_dir).groupBy("location_id").agg(F.min_by("event_id", order).alias("first_event"), F.max_by("event_id", order).alias("last_event"))
+
+
+@query("SELECT c AS column_name, v AS category, k AS code FROM (VALUES ('BrpGewas_majority_class_category', 'Grasland', 0), ('rws_vegetatielegger:vegetatieklassen_majority_class_vlklasse', 'Gras en Akker', 0)) t(c, v, k)")
+def category_codes(spark, sf_dir):
+    """The default codes of categories by column."""
+    rows = [(c, v, k) for c, codes in features.category_codes().items() for v, k in codes.items()]
+    return spark.createDataFrame(rows, "column_name string, category string, code int")
+
+
+@query(f"""WITH {V.PROCESSED_SQL}, shifted AS (SELECT timesteps_since_last_measurement AS t, lead(timesteps_since_last_measurement) OVER w AS f,
+  distance_to_erosion_border - lag(distance_to_erosion_border) OVER w AS d, lead(distance_to_erosion_border) OVER w - distance_to_erosion_border AS fd FROM processed WINDOW w AS (PARTITION BY location_id ORDER BY ahn_version))
+SELECT count(*) AS n_rows, count(*) FILTER (t IS NULL OR f IS NULL OR d IS NULL OR fd IS NULL) AS n_dropped, round(100.0 * n_dropped / n_rows, 6) AS percent_dropped FROM shifted""")
+def dropped_rows(spark, sf_dir):
+    """How many rows of the feature table miss a value and are dropped."""
+    complete, names = features.feature_table(_processed(spark, sf_dir), DataConfiguration(number_of_lags=1, number_of_futures=1), keep_incomplete=True)
+    return features.dropped_rows(complete, names["numerical"]).select("n_rows", "n_dropped", _r("percent_dropped", "percent_dropped"))
+
+
 _RECT_ON_BORDER = f"{V.RECTS_SQL}, {_B}, pts AS (SELECT location_id, xmin + 25 AS x, ymin + 55 AS y FROM rects), {V.feet_sql('bf', 'pts', 'location_id', 'bs')}"
 
 

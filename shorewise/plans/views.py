@@ -31,7 +31,12 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("location_id"))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("location_id"))
+
+
+def solvent_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some of the regions, so that a semi join has rows to reject."""
+    return read(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("location_id"))
 
 
 def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +57,7 @@ def lines(spark: SparkSession) -> DataFrame:
 
 BANK_SQL = """bank AS (SELECT event_id, user_id AS location_id, CAST(floor((extract(day FROM ts) - 1) / 7) AS INT) AS ahn_version, event_type,
   CASE WHEN event_type = 'error' THEN 'BAD' ELSE 'OK' END AS status, value AS x, CAST(event_id % 1000 AS DOUBLE) AS y, value - 50 AS d FROM events)"""
-REGIONS_SQL = "regions AS (SELECT c_custkey AS location_id FROM customer WHERE c_custkey % 3 <> 0)"
+REGIONS_SQL = "regions AS (SELECT c_custkey AS location_id FROM customer)"
 PROCESSED_SQL = f"""{BANK_SQL}, {REGIONS_SQL},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY location_id, ahn_version ORDER BY d) AS rn FROM bank WHERE status = 'OK' AND location_id IN (SELECT location_id FROM regions)),
 mean AS (SELECT location_id, ahn_version, avg(d) AS distance_to_erosion_border FROM ranked WHERE rn <= 3 GROUP BY ALL),

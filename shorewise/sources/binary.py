@@ -3,8 +3,9 @@
 The files come through Spark's binary reader, so any file system that Spark knows
 will do, and are decoded file by file on the executors; a GeoPackage is opened
 from a scratch copy in the task's own temporary folder, gone when the task ends.
-Rows are (layer, properties as JSON text, gtype, line or polygon rings as points);
-a shape of several polygons is one row for each.
+Rows are (layer, properties as JSON text, gtype, polygons as rings of points; a
+point or a line is one ring of one polygon). An object is one row, however many
+polygons it has; a shapefile's line of several parts is one row for each.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from shorewise.functions.geometry import LINE, POLYGON
 
-_SCHEMA = f"layer string, properties string, gtype string, rings {POLYGON}"
+_SCHEMA = f"layer string, properties string, gtype string, polygons array<{POLYGON}>"
 
 # fixed values: codes of the WKB and shapefile formats
 WKB_TYPES = {1: "Point", 2: "LineString", 3: "Polygon", 6: "MultiPolygon"}
@@ -93,9 +94,9 @@ def _geopackages(layer: str | None):
                                 values = dict(zip(names, r, strict=True))
                                 blob = values.pop(column)
                                 kind, rings = decode_geopackage_blob(blob) if blob else (None, None)
-                                rows += [(name, json.dumps(values, default=str), kind, part) for part in (rings if kind == "MultiPolygon" else [rings])]
+                                rows.append((name, json.dumps(values, default=str), kind, rings if kind in (None, "MultiPolygon") else [rings]))
                     con.close()
-                yield pd.DataFrame(rows, columns=["layer", "properties", "gtype", "rings"])
+                yield pd.DataFrame(rows, columns=["layer", "properties", "gtype", "polygons"])
 
     return f
 
@@ -122,7 +123,7 @@ def list_layers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_shapes(data: bytes) -> Iterator[tuple[str | None, list | None]]:
-    """Type and rings of each polygon, line or point of a .shp file; a null shape is (None, None). A clockwise ring begins a polygon, others are its holes."""
+    """Type and polygons of each object of a .shp file (a point or a line as one ring of one), each part of a line by itself; a null shape is (None, None). A clockwise ring begins a polygon, others are its holes."""
     at = 100
     while at + 8 <= len(data):
         (words,) = struct.unpack_from(">i", data, at + 4)
@@ -135,7 +136,7 @@ def decode_shapes(data: bytes) -> Iterator[tuple[str | None, list | None]]:
             yield None, None
         elif kind == "Point":
             x, y = struct.unpack_from("<2d", data, at + 4)
-            yield kind, [[{"x": x, "y": y}]]
+            yield kind, [[[{"x": x, "y": y}]]]
         else:
             parts, points = struct.unpack_from("<2i", data, at + 36)
             starts = [*struct.unpack_from(f"<{parts}i", data, at + 44), points]
@@ -148,8 +149,10 @@ def decode_shapes(data: bytes) -> Iterator[tuple[str | None, list | None]]:
                     polygons.append([ring])
                 else:
                     polygons[-1].append(ring)
-            for polygon in polygons:
-                yield kind, polygon
+            if kind == "LineString":
+                yield from ((kind, [line]) for line in polygons)
+            else:
+                yield kind if len(polygons) == 1 else "MultiPolygon", polygons
         at += 2 * words
 
 
@@ -159,12 +162,19 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [(p, "{}", kind, rings) for kind, rings in decode_shapes(content)]
-                yield pd.DataFrame(rows, columns=["layer", "properties", "gtype", "rings"])
+                rows = [(p, "{}", kind, polygons) for kind, polygons in decode_shapes(content)]
+                yield pd.DataFrame(rows, columns=["layer", "properties", "gtype", "polygons"])
 
     return with_shapes(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(f, _SCHEMA))
 
 
 def with_shapes(rows: DataFrame) -> DataFrame:
-    """point, line and polygon beside the rings: the one that fits the type is set."""
-    return rows.select("layer", "properties", "gtype", F.when(F.col("gtype") == "Point", F.get(F.get("rings", F.lit(0)), F.lit(0))).alias("point"), F.when(F.col("gtype") == "LineString", F.get("rings", F.lit(0))).cast(LINE).alias("line"), F.when(F.col("gtype").isin("Polygon", "MultiPolygon"), F.col("rings")).alias("polygon"))
+    """point, line, polygon and parts beside the type: the one that fits is set, and parts for polygons of one and of several parts."""
+    first = F.get("polygons", F.lit(0))
+    ring = F.get(first, F.lit(0))
+    of = lambda kind, shape: F.when(F.col("gtype") == kind, shape)
+    parts = F.when(F.col("gtype").isin("Polygon", "MultiPolygon"), F.col("polygons"))
+    return rows.select(
+        "layer", "properties", "gtype",
+        of("Point", F.get(ring, F.lit(0))).alias("point"), of("LineString", ring).cast(LINE).alias("line"), of("Polygon", first).alias("polygon"), parts.alias("parts"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shorewise.config import FeatureService
 from shorewise.functions import geometry as G
+from shorewise.operators import regions
 from shorewise.sources import binary, geojson, wfs, wkt
 
 FEATURES = [
@@ -117,7 +118,8 @@ def test_geopackage(spark, tmp_path):
     df = binary.read_geopackage(spark, path, "plots")
     assert df.count() == 2 and df.where("gtype IS NOT NULL").select(G.area(F.col("polygon"))).first()[0] == 16
     assert json.loads(df.where("gtype IS NOT NULL").first().properties) == {"id": 1, "name": "p"}
-    assert binary.read_geopackage(spark, path, "multi").count() == 2
+    whole = binary.read_geopackage(spark, path, "multi")
+    assert whole.count() == 1 and whole.select(G.parts_area(F.col("parts"))).first()[0] == 32
     assert {r.layer for r in binary.list_layers(spark, path).collect()} == {"plots", "multi"}
 
 
@@ -131,3 +133,6 @@ def test_shapefile(spark, tmp_path):
     rows = binary.read_shapefile(spark, str(tmp_path / "x.shp"))
     assert [r.gtype for r in rows.collect()] == ["Polygon", "Point", None]
     assert rows.where("gtype = 'Polygon'").select(G.area(F.col("polygon"))).first()[0] == 15
+    assert regions.shapes_of(rows.where("gtype = 'Polygon'"), "polygon").select(G.parts_area(F.col("shape"))).first()[0] == 15
+    with pytest.raises(Exception, match="only polygon geometries"):
+        regions.shapes_of(rows, "polygon").select("shape").collect()
