@@ -55,11 +55,19 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget_settled(spark: SparkSession) -> None:
-    """Deletes what `settled` has written so far; for callers that have written their own result."""
-    while _settled:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_settled.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def settled_so_far() -> int:
+    return len(_settled)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget_settled(spark: SparkSession, since: int) -> None:
+    """Deletes what `settled` has written since settled_so_far() was `since`; for callers that have written their own result of it."""
+    while len(_settled) > since:
+        delete_folder(spark, _settled.pop())
 
 
 def carried(docs: DataFrame, *columns: Column) -> DataFrame:
