@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shorewise.llm.common import shared_folder, table
+from shorewise.llm.common import delete_folder, forget_settled, settled_so_far, shared_folder, table
 from shorewise.llm.decontaminate import decontaminate
 from shorewise.llm.language_id import keep_identified
 from shorewise.llm.mixing import mixed_corpus
@@ -55,10 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's rows in the shared folder before the next begins."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each stage's rows in the shared folder before the next begins; what only earlier ones needed is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
+        path, mark = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}", settled_so_far()
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        forget_settled(spark, mark)
+        if before:
+            delete_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
