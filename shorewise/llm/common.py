@@ -75,6 +75,15 @@ def carried(docs: DataFrame, *columns: Column) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *columns)
 
 
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with rank, from 0 in the order given: numbers within ranges, and the ranges' offsets."""
+    ranges = settled(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = ranges.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranges.withColumn("__within", within).join(offsets, "__range").withColumn("rank", F.col("__offset") + F.col("__within")).drop("__range", "__within", "__offset")
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

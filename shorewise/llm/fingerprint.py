@@ -13,7 +13,8 @@ over four times as many each round and with other hashes.
 All of it is built-in expressions: arrays and lambdas within a row, and
 groupings of (pair, part) for the retries. The successor of a document by id
 comes from windows over id ranges; each range ends with a copy of the next
-range's first row, so no task holds more than a range.
+range's first row, so no task holds more than a range. Rows without an id go by
+ranges of their hashes; rows of one id share a range.
 
 Defined results: null text is empty, and so has no paragraphs; two documents
 without paragraphs have likeness 1; null ids come last; rows of equal id are
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shorewise.llm.common import let, settled, table
+from shorewise.llm.common import let, ranked, settled, table
 
 CELLS, ROUNDS, RETRY_ROUNDS, KEYS_A_PART, RANGE_BYTES, BROADCAST_RANGES = 8, 8, 4, 6, 16_000_000, 200_000
 #: Line ends; blanks after a sentence's mark, or after the quote or bracket that closes one; behind a full-width mark, blanks or none.
@@ -150,19 +151,24 @@ def with_successor(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
     slot = F.greatest(F.lit(1), F.size(F.filter(bounds, lambda c: c <= id_)))
     low, high = F.element_at(bounds, slot), F.element_at(F.array(*map(F.lit, cuts[1:])), slot)
     part = F.least(F.lit(inner - 1), F.floor((id_ - low) * inner / (high - low + 1)))
+    # rows without an id go by their hash, in as many parts as they need
+    parts = max(1, -(-(docs.where("doc_id IS NULL").agg(F.sum(F.octet_length("text"))).first()[0] or 0) // range_bytes))
+    sub = F.least(F.lit(parts - 1), F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * parts).cast("int"))
+    docs = docs.withColumn("sub", F.when(F.col("doc_id").isNull(), sub).otherwise(0))
     docs = docs.withColumn("range", F.coalesce(slot * inner + part, F.lit(-1)).cast("long"))
 
     order = [F.col("doc_id").desc_nulls_last(), F.col("hash")]
     head = F.max(F.struct(F.col("doc_id"), -F.col("hash").cast("decimal(20,0)")))
-    heads = docs.groupBy("range").agg(head.alias("h")).select("range", F.col("h.doc_id").alias("id"), (-F.col("h.col2")).cast("long").alias("hash"))
-    above = Window.orderBy("range")
-    last = heads.agg(F.max("range").alias("top"), F.min("range").alias("bottom"))
-    turned = heads.withColumn("to", F.lead("range").over(above)).crossJoin(F.broadcast(last)).select("range", "id", "hash", F.coalesce("to", "bottom").alias("to"))
+    heads = docs.groupBy("range", "sub").agg(head.alias("h")).select("range", "sub", F.col("h.doc_id").alias("id"), (-F.col("h.col2")).cast("long").alias("head_hash"))
+    heads = settled(ranked(heads, F.col("range"), F.col("sub").desc()))
+    # the range before takes a copy of the head; the first range's goes to the last one
+    after = heads.select(F.col("rank").alias("at"), F.col("range").alias("to"), F.col("sub").alias("to_sub"))
+    turned = heads.join(after, (F.col("rank") + 1) % F.lit(heads.count() or 1) == F.col("at")).select(F.col("range").alias("of"), F.col("sub").alias("of_sub"), "id", "head_hash", "to", "to_sub")
     turned = F.broadcast(turned) if ranges <= BROADCAST_RANGES else turned  # a row per range at most
-    first = docs.join(turned, (docs["range"] == turned["range"]) & docs["doc_id"].eqNullSafe(turned["id"]) & (docs["hash"] == turned["hash"]))
-    ghosts = first.select("doc_id", "text", docs["hash"], F.col("to").alias("range")).dropDuplicates(["range"])
+    first = docs.join(turned, (F.col("range") == F.col("of")) & (F.col("sub") == F.col("of_sub")) & docs["doc_id"].eqNullSafe(turned["id"]) & (F.col("hash") == F.col("head_hash")))
+    ghosts = first.select("doc_id", "text", "hash", F.col("to").alias("range"), F.col("to_sub").alias("sub")).dropDuplicates(["range", "sub"])
     rows = docs.withColumn("ghost", F.lit(0)).unionByName(ghosts.withColumn("ghost", F.lit(1)))
-    within = Window.partitionBy("range").orderBy("ghost", *order)
+    within = Window.partitionBy("range", "sub").orderBy("ghost", *order)
     return rows.withColumn("next", F.lead("text").over(within)).where("ghost = 0").select("doc_id", "text", "hash", "next")
 
 

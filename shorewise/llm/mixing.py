@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shorewise.llm.common import carried, settled, table
+from shorewise.llm.common import carried, ranked, settled, table
 
 BLOCK_ROWS, BLOCKS_A_GROUP, GROUPS, BROADCAST_SOURCES, SHARDS, SEED = 1024, 4096, 1024, 200_000, 16, 7
 
@@ -43,15 +43,6 @@ def cyclic_weights(rank: Column, cycle: Sequence[float] = (3, 1, 2)) -> Column:
     return F.get(F.array(*[F.lit(float(w)) for w in cycle]), F.pmod(rank, F.lit(len(cycle))).cast("int"))
 
 
-def ranked(rows: DataFrame, *order: Column) -> DataFrame:
-    """rows with rank, from 0 in the order given: numbers within ranges, and the ranges' offsets."""
-    ranges = settled(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    offsets = ranges.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
-    return ranges.withColumn("within", within).join(offsets, "range").withColumn("rank", F.col("offset") + F.col("within")).drop("range", "within", "offset")
-
-
 def water_fill(sources: DataFrame, share: float, max_repeat: float) -> DataFrame:
     """sources (words, weight) with target: in sum share times all words, in proportion to the weights up to max_repeat times the words."""
     sources = sources.withColumn("cap", F.col("words") * F.lit(float(max_repeat)))

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shorewise.llm import language_id as L
@@ -33,6 +34,31 @@ def test_ranking_against_plain_code():
         assert found == profile(text, 50)
 
 
+def decoded(key):
+    n = 3 if key >> 63 else 2 if key >> 42 else 1
+    key &= (1 << 63) - 1 if n == 3 else (1 << 42) - 1
+    return tuple((key >> (21 * (n - 1 - i))) & 0x1FFFFF for i in range(n))
+
+
+def test_prediction_against_plain_code(spark, real):
+    """Out-of-place distances, the nearest language with ties to the first, score and distance."""
+    learned = L.learn(real, F.lit(True), profile=60)
+    learned["aa"] = learned["en"]  # a tie
+    places = {lang: {decoded(int(k)): i for i, k in enumerate(keys)} for lang, keys in learned.items()}
+    rows = [(r.doc_id, r.text) for r in real.where("doc_id < 60").collect()] + [(-1, None), (-2, "12"), (-3, "zzz"), (-4, "ab " * 30_000)]
+    got = {r.doc_id: r for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string"), learned, profile=60).collect()}
+    for doc_id, text in rows:
+        own = profile(text, 60)
+        if not own:
+            assert (got[doc_id].lang_pred, got[doc_id].score) == ("und", 0)
+            continue
+        d = {lang: sum(abs(at[g] - i) if g in at else 60 for i, g in enumerate(own)) for lang, at in places.items()}
+        first, second = sorted(d, key=lambda lang: (d[lang], lang))[:2]
+        assert got[doc_id].lang_pred == first
+        assert got[doc_id].score == pytest.approx(d[second] / (d[first] + d[second]) if d[second] else 0.5)
+        assert got[doc_id].far == pytest.approx(d[first] / (60 * len(own)))
+
+
 def test_held_out_accuracy(real):
     rest = id_remainder(F.col("doc_id"), 5)
     found = L.identify(real, L.learn(real, rest != 0)).join(real.select("doc_id", "lang"), "doc_id").where(rest == 0).collect()
@@ -93,3 +119,39 @@ def test_toxicity(spark):
     none = X.score_toxicity(docs, labels.where("false"), rest != 2).collect()
     assert {r.score for r in none} == {0.0}
     assert X.score_toxicity(docs.where("false"), labels, rest != 2).count() == 0
+
+
+def test_model_against_plain_code(spark):
+    """Terms by chi-square, weights, cosines, votes and evidence of a small corpus, with a very long text. Its examples are fewer than the neighbours asked for, so none is left out."""
+    rng = np.random.default_rng(9)
+    text = lambda bad: " ".join(rng.choice(["oak", "elm", "ash", "fir", *(["vile", "foul"] if bad else [])], 12))
+    rows = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(16)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(100, "vile oak " * 20_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = X.fit(docs, labels, F.lit(True), terms=9)
+    bags = {i: Counter(x for w in t.split() for x in X.terms_of(w)) for i, t, _ in rows} | {100: Counter({x: 20_000 for w in ("vile", "oak") for x in X.terms_of(w)})}
+    label, chi = {i: y for i, _, y in rows}, {}
+    for x in {x for i in label for x in bags[i]}:
+        pos, neg = (sum(x in bags[i] for i in label if label[i] == y) for y in (1, 0))
+        if pos + neg >= 3:
+            expected = (pos + neg) * 4 / 16
+            chi[x] = (pos - expected) ** 2 / max(expected * (1 - (pos + neg) / 16) * (1 - 4 / 16), 1e-9)
+    limit = sorted(chi.values())[-9]
+    assert len(model.vocabulary) == 9 and all(chi[x] >= limit - 1e-9 for x in model.vocabulary)
+
+    def vector(bag):
+        idf = {x: np.log((1 + 17) / (1 + sum(x in b for b in bags.values()))) + 1 for x in model.vocabulary}
+        v = np.array([(1 + np.log(bag[x])) * idf[x] if bag[x] else 0.0 for x in model.vocabulary])
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    got = {r.doc_id: r for r in X.score_toxicity(docs, labels, F.lit(True), terms=9).collect()}
+    assert set(got) == {*label, 100}
+    for i, r in got.items():
+        near = [(float(vector(bags[i]) @ vector(bags[j])), j) for j in label]
+        cosine, y = np.array([c for c, _ in near if c > 1e-9]), np.array([label[j] for c, j in near if c > 1e-9])
+        w = 1 / (1 - np.minimum(cosine, 1) + 0.05)
+        share, best = (w @ y / w.sum(), cosine.max()) if len(cosine) else (0.0, 0.0)
+        z = np.array([1, share, best, share * best]) @ model.beta
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-3)
+        evidence = [int(j) for j in r.evidence.split(",") if j]
+        assert [dict((j, c) for c, j in near)[j] for j in evidence] == pytest.approx(sorted(cosine, reverse=True)[:3], abs=1e-4)

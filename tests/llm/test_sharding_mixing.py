@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shorewise.llm import mixing, sharding
+from shorewise.llm import common, mixing, sharding
 
 
 def test_slots_are_gapless_and_few_rows_move(spark):
@@ -53,14 +53,14 @@ def test_water_fill(spark):
     for words in ({"a": 10, "b": 1000, "c": 100}, {"a": 0, "b": 4}, {None: 5, "x": 7, "é": 900, "z": 3, "Z": 40}, {"only": 9}, {"a": 0}):
         df = spark.createDataFrame(list(words.items()), "source string, words long")
         key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key")
-        plan = mixing.ranked(df.select(key, "source", "words"), F.col("key") == "", F.col("key"))
+        plan = common.ranked(df.select(key, "source", "words"), F.col("key") == "", F.col("key"))
         got = mixing.water_fill(plan.withColumn("weight", mixing.cyclic_weights(F.col("rank"))), 1.5, 2.0).collect()
         want = plain_targets(words)
         assert {r.source: pytest.approx(r.target) for r in got} == want
 
 
 def test_ranked(spark):
-    got = mixing.ranked(spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).repartition(5), F.col("x")).collect()
+    got = common.ranked(spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).repartition(5), F.col("x")).collect()
     assert all(r["rank"] == r.x for r in got) and len(got) == 1000
 
 
