@@ -38,7 +38,7 @@ def test_pipeline_against_its_parts(spark, sf_dir, real):
     found = language_id.identify(before, language_id.learn(before, F.lit(True)))
     assert ids(after) == ids(found.where(f"lang_pred <> 'und' AND far < {language_id.FAR}"))
     before, after = seen["near_dedup"]
-    assert ids(after) == ids(near_dedup.near_duplicates(before).where("kept"))
+    assert ids(after) == ids(near_dedup.near_duplicates(before, percent=corpus_pipeline.SIMILAR).where("kept"))
     before, after = seen["decontamination"]
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     assert ids(after) == ids(decontaminate.scan(before, bench).where("NOT contaminated"))
