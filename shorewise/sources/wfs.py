@@ -17,6 +17,7 @@ import time
 from collections.abc import Callable, Iterator
 from urllib.parse import urlencode
 from urllib.request import urlopen
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,30 @@ def http_transport(url: str, query: dict) -> dict:
         return json.load(answer)
 
 
+def http_capabilities(url: str, query: dict) -> bytes:
+    """The service's description of itself, as XML."""
+    with urlopen(f"{url}{'&' if '?' in url else '?'}{urlencode(query)}", timeout=60) as answer:  # noqa: S310
+        return answer.read()
+
+
+def layers_offered(capabilities: bytes) -> set[str]:
+    """Names of the layers in a service's description, each with and without its prefix."""
+    root = ElementTree.fromstring(capabilities)
+    types = [e for e in root.iter() if e.tag.rpartition("}")[2] == "FeatureType"]
+    names = [(e.text or "").strip() for t in types for e in t if e.tag.rpartition("}")[2] == "Name"]
+    return {x for n in names if n for x in (n, n.rpartition(":")[2])}
+
+
+def check_layers(services, ask: Callable[[str, dict], bytes] = http_capabilities) -> None:
+    """Asks each service what it offers; an error names all relevant layers that aren't there."""
+    missing = []
+    for s in services:
+        offered = layers_offered(ask(s.url, {"service": "WFS", "version": s.version, "request": "GetCapabilities"}))
+        missing += [f"{s.name}: {layer}" for layer in s.relevant_layers if layer not in offered]
+    if missing:
+        raise ValueError(f"layers not offered: {', '.join(missing)}")
+
+
 def pages(fetch: Callable[[int, int], dict], page: int = PAGE, max_pages: int = MAX_PAGES, tries: int = TRIES, pause: float = 1.0) -> Iterator[tuple[list[dict], str | None]]:
     """Features of each page with the first page's CRS name. fetch takes the number wanted and the start."""
 

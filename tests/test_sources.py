@@ -92,6 +92,21 @@ def test_feature_service(spark, tmp_path):
         wfs.read_services(spark, services, [], only="three")
 
 
+OFFER = b"""<w:Capabilities xmlns:w="http://www.opengis.net/wfs"><w:Name>service</w:Name><w:FeatureTypeList>
+<w:FeatureType><w:Name>b:c</w:Name><w:Title>x</w:Title></w:FeatureType><w:FeatureType><w:Name> a </w:Name></w:FeatureType><w:FeatureType><w:Name/></w:FeatureType>
+</w:FeatureTypeList></w:Capabilities>"""
+
+
+def test_layer_check():
+    assert wfs.layers_offered(OFFER) == {"a", "b:c", "c"}
+    asked = []
+    ask = lambda url, query: asked.append((url, query["request"], query["version"])) or OFFER
+    wfs.check_layers([FeatureService("one", "http://nowhere", ("a", "b:c")), FeatureService("two", "http://here", ("c",), "2.0.0")], ask)
+    assert asked == [("http://nowhere", "GetCapabilities", "1.0.0"), ("http://here", "GetCapabilities", "2.0.0")]
+    with pytest.raises(ValueError, match="one: x, two: y"):
+        wfs.check_layers([FeatureService("one", "http://nowhere", ("a", "x")), FeatureService("two", "http://here", ("y",))], ask)
+
+
 def _wkb_polygon(rings):
     return b"\x01" + struct.pack("<II", 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<2d", *p) for p in r) for r in rings)
 
