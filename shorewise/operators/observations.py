@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shorewise.functions import geometry as G
+from shorewise.operators.nearest import nearest_of_points, segments_of
 
-#: Segments of all candidate lines that a task may hold as arrays.
+#: Segments of all candidate lines that a task may hold as arrays; more are dealt over grids instead.
 MAX_SEGMENTS = 1_000_000
 _CHUNK_CELLS = 4_000_000
 
@@ -31,14 +32,8 @@ def certain_points(points: DataFrame, status: str = "status", good: str = "OK")
     return points.where(F.col(status) == good)
 
 
-def _segment_arrays(lines: DataFrame, order: str, line: str) -> dict[str, np.ndarray]:
-    kinds = {r[0] for r in lines.select(F.col(line).isNull()).distinct().collect()}
-    if kinds != {False}:
-        raise ValueError("nearest lines need at least one line, and no null ones")
-    rows = lines.select(F.col(order).alias("o"), F.posexplode(G.segments(F.col(line))).alias("i", "s")).select("o", "i", "s.*").limit(MAX_SEGMENTS + 1).collect()
-    if len(rows) > MAX_SEGMENTS:
-        raise ValueError(f"more than {MAX_SEGMENTS} segments")
-    rows.sort(key=lambda r: (r.o, r.i))
+def _segment_arrays(segments: DataFrame) -> dict[str, np.ndarray]:
+    rows = sorted(segments.collect(), key=lambda r: (r.o, r.i))
     return {n: np.array([r[n] for r in rows], np.int64 if n == "o" else np.float64) for n in ("o", "ax", "ay", "bx", "by")}
 
 
@@ -68,17 +63,25 @@ def _nearest(seg: dict[str, np.ndarray]):
     return f
 
 
-def nearest_line(points: DataFrame, lines: DataFrame, x: str = "x", y: str = "y", order: str = "line_ord", line: str = "line", prefix: str = "nearest") -> DataFrame:
+def nearest_line(points: DataFrame, lines: DataFrame, x: str = "x", y: str = "y", order: str = "line_ord", line: str = "line", prefix: str = "nearest", max_segments: int = MAX_SEGMENTS) -> DataFrame:
     """points with {prefix}_line (its order; the first of equally near ones), {prefix}_distance, {prefix}_x and {prefix}_y.
 
-    Lines are few and their segments travel with the tasks, at most MAX_SEGMENTS of
-    them; points stay where they are and are compared batch by batch.
+    Up to max_segments segments travel with the tasks, and points stay where they
+    are and are compared batch by batch. More segments meet the distinct places of
+    the points over nested grids (see nearest); the result is the same.
     """
-    seg = _segment_arrays(lines, order, line)
+    if lines.isEmpty() or not lines.where(F.col(line).isNull()).isEmpty():
+        raise ValueError("nearest lines need at least one line, and no null ones")
+    segments = segments_of(lines, order, line)
     rows = points.select("*", F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "__line long", "__distance double", "__nx double", "__ny double"])
-    out = rows.mapInArrow(_nearest(seg), kind).drop("__x", "__y")
-    return out.withColumnsRenamed({"__line": f"{prefix}_line", "__distance": f"{prefix}_distance", "__nx": f"{prefix}_x", "__ny": f"{prefix}_y"})
+    if segments.limit(max_segments + 1).count() > max_segments:
+        found = nearest_of_points(rows.select(F.col("__x").alias("px"), F.col("__y").alias("py")), segments)
+        found = found.withColumnsRenamed({"px": "__px", "py": "__py", "o": "__line", "distance": "__distance", "nx": "__nx", "ny": "__ny"})
+        out = rows.join(found, (F.col("__x") == F.col("__px")) & (F.col("__y") == F.col("__py")), "left").drop("__px", "__py")
+    else:
+        kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "__line long", "__distance double", "__nx double", "__ny double"])
+        out = rows.mapInArrow(_nearest(_segment_arrays(segments)), kind)
+    return out.drop("__x", "__y").withColumnsRenamed({"__line": f"{prefix}_line", "__distance": f"{prefix}_distance", "__nx": f"{prefix}_x", "__ny": f"{prefix}_y"})
 
 
 def signed_distance(points: DataFrame, border: Column, lines: DataFrame, x: str = "x", y: str = "y", name: str = "distance_to_erosion_border") -> DataFrame:

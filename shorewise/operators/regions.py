@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from shorewise.config import FeatureGeneration
 from shorewise.functions import crs
 from shorewise.functions import geometry as G
+from shorewise.operators.nearest import nearest_of_regions, segments_of
 
-CELL, STRIP_OBJECTS, MAX_LINES = 100.0, 2000, 10_000
+#: Segments that one broadcast row may hold; the lines of more are dealt over grids instead.
+MAX_SEGMENTS = 10_000
+CELL, STRIP_OBJECTS = 100.0, 2000
 
 
 def in_parts(df: DataFrame, shape: str = "shape") -> bool:
@@ -203,14 +206,21 @@ def area_fraction(regions: DataFrame, objects: DataFrame, *, strip_objects: int
     return found.select("location_id", F.coalesce(F.try_divide(F.col("covered"), G.area(F.col("polygon"))), F.lit(0.0)).alias("area_fraction"))
 
 
-def nearest_region_line(regions: DataFrame, lines: DataFrame, order: str = "line_ord", line: str = "line") -> DataFrame:
-    """Regions with the line nearest to each (the first of equally near ones). Lines are at most MAX_LINES: one row with all of them meets each region."""
-    if lines.limit(MAX_LINES + 1).count() > MAX_LINES:
-        raise ValueError(f"more than {MAX_LINES} lines")
+def nearest_region_line(regions: DataFrame, lines: DataFrame, order: str = "line_ord", line: str = "line", max_segments: int = MAX_SEGMENTS) -> DataFrame:
+    """Regions with the line nearest to each (the first of equally near ones); null without a polygon.
+
+    Lines of up to max_segments segments are one row that meets each region; those
+    of more meet the regions over nested grids (see nearest), with the same result.
+    """
+    segments = segments_of(lines, order, line)
+    if segments.limit(max_segments + 1).count() > max_segments:
+        found = nearest_of_regions(regions, lines, segments, order, line).withColumnRenamed("polygon", "__polygon")
+        return regions.join(found, F.col("polygon") == F.col("__polygon"), "left").drop("__polygon")
     every = lines.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l")))).alias("__lines"), F.assert_true(F.count(F.lit(1)) > 0, "there are no lines").alias("__some"))
     rows = regions.join(F.broadcast(every), F.col("__some").isNull())
     scored = F.transform("__lines", lambda s: F.struct(G.polygon_line_distance(F.col("polygon"), s["l"]).alias("d"), s["o"].alias("o"), s["l"].alias("l")))
-    return rows.withColumn("__near", F.array_min(scored)).select(*regions.columns, F.col("__near.o").alias("line_ord"), F.col("__near.l").alias("line"), F.col("__near.d").alias("line_distance"))
+    near = F.array_min(F.filter(scored, lambda s: s["d"].isNotNull()))
+    return rows.withColumn("__near", near).select(*regions.columns, F.col("__near.o").alias("line_ord"), F.col("__near.l").alias("line"), F.col("__near.d").alias("line_distance"))
 
 
 def centerline_shape(regions: DataFrame, lines: DataFrame, neighbourhood_radius: float = 100.0) -> DataFrame:
