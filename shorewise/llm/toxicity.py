@@ -7,9 +7,9 @@
    label make the space. How many documents have each is counted over them all.
 2. Examples fall into blocks of BLOCK. Each term's inverted list has the blocks
    it occurs in, the largest weight in each block, and the block's weights. A
-   query adds up block bounds, opens blocks from the highest bound down, and
-   stops when no bound can reach its k-th best cosine: exact, but for most blocks
-   unopened.
+   query adds up block bounds and opens, from the highest bounds down, the blocks
+   whose bound reaches its k-th best cosine so far: exact in millionths. Queries go
+   through the blocks together, so that a block's lists are read once for many.
 3. Votes weigh 1/(distance + 0.05). A logistic curve, fitted to the examples' own
    leave-one-out votes, turns them into a probability; its constant is corrected
    for the shares of either label that were drawn. The nearest examples' ids are
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from shorewise.llm.common import id_remainder, table
 
 SAMPLE_ROWS, TERMS, BLOCK, NEIGHBOURS, GRAM, THRESHOLD = 4000, 2000, 64, 20, 4, 0.3
-_CACHE = 300_000
+_CACHE, QUERIES_A_TIME, _PLACE_BITS = 300_000, 64, 24
+_LAST_PLACE = (1 << _PLACE_BITS) - 1
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -84,47 +85,55 @@ def chi_square(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.n
 
 
 class BlockMaxIndex:
-    """Inverted lists over blocks of unit vectors; search is exact."""
+    """Inverted lists over blocks of unit vectors; search is exact, cosines being compared in millionths."""
 
     def __init__(self, vectors: list[dict[int, int]], idf: np.ndarray):
         self.idf, self.n = idf, len(vectors)
-        self.blocks = -(-self.n // BLOCK)
-        weights = np.zeros((len(idf), self.blocks * BLOCK), np.float32)
+        blocks = -(-self.n // BLOCK)
+        weights = np.zeros((blocks, len(idf), BLOCK), np.float32)
         for e, v in enumerate(vectors):
             ids, w = self.weigh(v)
-            weights[ids, e] = w
-        weights = weights.reshape(len(idf), self.blocks, BLOCK)
-        self.largest = weights.max(axis=2)
-        self.at = np.full((len(idf), self.blocks), -1, np.int32)
-        held = self.largest > 0
-        self.at[held] = np.arange(held.sum())
-        self.lists = np.concatenate([weights[held], np.zeros((1, BLOCK), np.float32)])
+            weights[e // BLOCK, ids, e % BLOCK] = w
+        self.largest = np.ascontiguousarray(weights.max(axis=2).T) if blocks else np.zeros((len(idf), 0), np.float32)
+        self.held = [np.flatnonzero(self.largest[:, b]) for b in range(blocks)]
+        self.lists = [weights[b, t] for b, t in enumerate(self.held)]
 
     def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         ids = np.fromiter(counts.keys(), np.int64, len(counts))
         w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[ids]
         return ids, w / max(np.sqrt((w * w).sum()), 1e-12)
 
-    def nearest(self, counts: dict[int, int], k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest with a cosine over 0, best first (ties by place)."""
-        if not counts or not self.n:
-            return np.zeros(0, np.int64), np.zeros(0)
-        ids, w = self.weigh(counts)
-        bound = w @ self.largest[ids]
-        order = np.argsort(-bound, kind="stable")
-        places, values = np.zeros(0, np.int64), np.zeros(0)
-        for a in range(0, len(order), 8):
-            take = order[a : a + 8]
-            if bound[take[0]] <= 0 or len(values) >= k and bound[take[0]] < values[k - 1] - 1e-6:
-                break
-            got = np.einsum("t,tbe->be", w, self.lists[self.at[ids[:, None], take[None, :]]])
-            place = (take[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            got = got.ravel()
-            good = (got > 1e-9) & (place != leave)
-            places, values = np.concatenate([places, place[good]]), np.concatenate([values, got[good]])
-            best = np.lexsort((places, -values))[:k]
-            places, values = places[best], values[best]
-        return places, values
+    def nearest(self, queries: list[dict[int, int]], k: int, leave: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query: places and cosines of the k nearest with a cosine over 0, best first (ties by place). leave: the place that the first query doesn't see, the next one not the next, and so on."""
+        out = []
+        for a in range(0, len(queries), QUERIES_A_TIME):
+            out += self._together(queries[a : a + QUERIES_A_TIME], k, None if leave is None else leave + a)
+        return out
+
+    def _together(self, queries: list[dict[int, int]], k: int, leave: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Blocks from the highest bounds down, each opened by the queries of which it may still hold one of the k nearest."""
+        q = np.zeros((len(queries), len(self.idf)), np.float32)
+        for i, counts in enumerate(queries):
+            ids, w = self.weigh(counts)
+            q[i, ids] = w
+        bound = (q @ self.largest).astype(np.float64) * 1e6 + 10
+        # a neighbour as one number: its cosine in millionths, then the smaller place first
+        best = np.zeros((len(queries), k), np.int64)
+        for b in np.argsort(-bound.sum(axis=0), kind="stable"):
+            low = best.min(axis=1)
+            need = np.flatnonzero((bound[:, b] >= low >> _PLACE_BITS) & (bound[:, b] > 10))
+            if not len(need):
+                continue
+            place = b * BLOCK + np.arange(BLOCK)
+            got = np.rint((q[need][:, self.held[b]] @ self.lists[b]).astype(np.float64) * 1e6).astype(np.int64)
+            keys = np.where(got > 0, (got << _PLACE_BITS) | (_LAST_PLACE - place), 0)
+            if leave is not None:
+                keys[place[None, :] == (leave + need)[:, None]] = 0
+            new = keys.max(axis=1) > low[need]
+            rows = need[new]
+            best[rows] = np.partition(np.hstack([best[rows], keys[new]]), BLOCK, axis=1)[:, BLOCK:]
+        best = -np.sort(-best, axis=1)
+        return [(_LAST_PLACE - (r[r > 0] & _LAST_PLACE), (r[r > 0] >> _PLACE_BITS) / 1e6) for r in best]
 
 
 def vote(cosines: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -150,14 +159,15 @@ class Model:
         """odds: by how much the odds of label 1 among all labelled rows are those among the examples."""
         self.vocabulary, self.labels, self.ids = vocabulary, labels.astype(np.float64), ids
         self.index = BlockMaxIndex(examples, idf)
-        seen = np.array([vote(c, self.labels[p]) for p, c in (self.index.nearest(v, NEIGHBOURS, leave=e) for e, v in enumerate(examples))])
+        seen = np.array([vote(c, self.labels[p]) for p, c in self.index.nearest(examples, NEIGHBOURS, leave=0)])
         self.beta = fit_logistic(seen, self.labels) + np.array([np.log(odds), 0, 0, 0]) if len(examples) else None
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list]:
+    def scores(self, texts: list[dict[int, int]]) -> list[tuple[float, list]]:
+        """Score and evidence of each text's counts."""
         if self.beta is None:
-            return 0.0, []
-        p, c = self.index.nearest(counts, NEIGHBOURS)
-        return float(1 / (1 + np.exp(-np.clip(vote(c, self.labels[p]) @ self.beta, -30, 30)))), [self.ids[i] for i in p[:3]]
+            return [(0.0, [])] * len(texts)
+        found = self.index.nearest(texts, NEIGHBOURS)
+        return [(float(1 / (1 + np.exp(-np.clip(vote(c, self.labels[p]) @ self.beta, -30, 30)))), [self.ids[i] for i in p[:3]]) for p, c in found]
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +238,7 @@ def _scores(model: Model):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Featurizer(model.vocabulary)
         for b in batches:
-            got = [model.score(features(t)) for t in b.column("text").to_pylist()]
+            got = model.scores([features(t) for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s for s, _ in got], pa.float64()), pa.array([",".join(map(str, e)) for _, e in got], pa.string())], names=["doc_id", "score", "evidence"])
 
     return f

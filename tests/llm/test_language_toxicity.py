@@ -88,13 +88,22 @@ def test_block_max_is_exact():
     for i, v in enumerate(vectors):
         ids, w = index.weigh(v)
         dense[i, ids] = w
-    for q in vectors[:40]:
-        ids, w = index.weigh(q)
-        plain = dense[:, ids] @ w
-        places, cosines = index.nearest(q, 7)
-        best = np.lexsort((np.arange(500), -plain.round(6)))[:7]
-        np.testing.assert_allclose(np.sort(cosines)[::-1], plain[best], atol=1e-5)
-        np.testing.assert_allclose(plain[places], cosines, atol=1e-5)
+    queries = [*vectors[:100], {}]
+    for leave in (None, 0):
+        found = index.nearest(queries, 7, leave=leave)
+        assert len(found) == 101 and not len(found[-1][0])
+        for at, (q, (places, cosines)) in enumerate(zip(queries[:-1], found, strict=False)):
+            ids, w = index.weigh(q)
+            plain = dense[:, ids] @ w
+            if leave is not None:
+                plain[at] = 0
+                assert at not in places
+            best = np.lexsort((np.arange(500), -plain.round(6)))[:7]
+            np.testing.assert_allclose(cosines, plain[best], atol=1e-5)
+            np.testing.assert_allclose(plain[places], cosines, atol=1e-5)
+    assert [len(p) for p, _ in X.BlockMaxIndex([], np.ones(3)).nearest([{1: 2}], 7)] == [0]
+    few = X.BlockMaxIndex([{0: 1}, {0: 1}, {1: 1}], np.ones(2))
+    assert [p.tolist() for p, _ in few.nearest([{0: 3}, {1: 1}], 7)] == [[0, 1], [2]]
 
 
 def test_toxicity(spark):
