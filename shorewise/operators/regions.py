@@ -2,10 +2,8 @@
 
 Regions carry a polygon. An object's `shape` is a point, a line, a polygon or an
 array of polygons (an object of several parts); `kind` says which of the first
-three, and parts go as polygons. The spatial
-join is an equi-join on grid cells with an exact predicate: a pair meets in the
-cell of its boxes' common lower corner only, so no pair is made twice and none
-has to be deduplicated.
+three, and parts go as polygons. The spatial join is an equi-join on the cells of a
+tree that is built from a sample of the boxes (see spatial), with an exact predicate.
 """
 
 from __future__ import annotations
@@ -19,10 +17,11 @@ from shorewise.config import FeatureGeneration
 from shorewise.functions import crs
 from shorewise.functions import geometry as G
 from shorewise.operators.nearest import nearest_of_regions, segments_of
+from shorewise.operators.spatial import box_pairs
 
 #: Segments that one broadcast row may hold; the lines of more are dealt over grids instead.
 MAX_SEGMENTS = 10_000
-CELL, STRIP_OBJECTS = 100.0, 2000
+STRIP_OBJECTS = 2000
 
 
 def in_parts(df: DataFrame, shape: str = "shape") -> bool:
@@ -50,25 +49,18 @@ def _boxed(df: DataFrame, shape: str, kind: str) -> DataFrame:
     return df.withColumn("__box", box).where("__box.xmin IS NOT NULL")
 
 
-def _cells(df: DataFrame, cell: float) -> DataFrame:
-    at = lambda c: F.floor(F.col(f"__box.{c}") / cell).cast("long")
-    return df.withColumn("__cx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("__cy", F.explode(F.sequence(at("ymin"), at("ymax"))))
-
-
-def spatial_pairs(regions: DataFrame, objects: DataFrame, *, kind: str = "polygon", strict: bool = False, cell: float = CELL) -> DataFrame:
+def spatial_pairs(regions: DataFrame, objects: DataFrame, *, kind: str = "polygon", strict: bool = False) -> DataFrame:
     """Regions (location_id, polygon) with the objects (all columns; shape) that intersect them, or lie strictly within them."""
-    a = _cells(_boxed(regions.select("location_id", "polygon"), "polygon", "polygon"), cell).withColumnRenamed("__box", "__a")
-    b = _cells(_boxed(objects, "shape", kind), cell).withColumnRenamed("__box", "__b")
-    here = (F.floor(F.greatest("__a.xmin", "__b.xmin") / cell) == F.col("__cx")) & (F.floor(F.greatest("__a.ymin", "__b.ymin") / cell) == F.col("__cy"))
-    near = F.expr("__a.xmin <= __b.xmax AND __b.xmin <= __a.xmax AND __a.ymin <= __b.ymax AND __b.ymin <= __a.ymax")
-    pairs = a.join(b, ["__cx", "__cy"]).where(near & here)
+    a = _boxed(regions.select("location_id", "polygon"), "polygon", "polygon").withColumnRenamed("__box", "__a")
+    b = _boxed(objects, "shape", kind).withColumnRenamed("__box", "__b")
+    pairs = box_pairs(a, b)
     shape = F.col("shape")
     exact = {
         "point": (G.within if strict else G.covers)(F.col("polygon"), shape["x"], shape["y"]),
         "line": G.line_intersects(F.col("polygon"), shape),
         "polygon": (G.parts_intersect if in_parts(objects) else G.intersects)(F.col("polygon"), shape),
     }[kind]
-    return pairs.where(exact).drop("__cx", "__cy", "__a", "__b")
+    return pairs.where(exact).drop("__a", "__b")
 
 
 def _all(regions: DataFrame, found: DataFrame, defaults: dict[str, Column]) -> DataFrame:
