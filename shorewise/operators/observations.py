@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from shorewise.functions import geometry as G
 from shorewise.operators.nearest import nearest_of_points, segments_of
+from shorewise.operators.packed import PackedSegments
 
-#: Segments of all candidate lines that a task may hold as arrays; more are dealt over grids instead.
+#: Segments of all candidate lines that a task may hold as a packed index; more are dealt over grids instead.
 MAX_SEGMENTS = 1_000_000
-_CHUNK_CELLS = 4_000_000
 
 
 def no_nan(df: DataFrame) -> DataFrame:
@@ -32,33 +32,16 @@ def certain_points(points: DataFrame, status: str = "status", good: str = "OK")
     return points.where(F.col(status) == good)
 
 
-def _segment_arrays(segments: DataFrame) -> dict[str, np.ndarray]:
-    rows = sorted(segments.collect(), key=lambda r: (r.o, r.i))
-    return {n: np.array([r[n] for r in rows], np.int64 if n == "o" else np.float64) for n in ("o", "ax", "ay", "bx", "by")}
-
-
-def _nearest(seg: dict[str, np.ndarray]):
-    dx, dy = seg["bx"] - seg["ax"], seg["by"] - seg["ay"]
-    long = np.where(dx * dx + dy * dy > 0, dx * dx + dy * dy, 1.0)
-
+def _nearest(index: PackedSegments):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("__x", "__y"))
-            best = {n: np.full(len(x), np.nan) for n in ("__distance", "__nx", "__ny")}
-            line = np.full(len(x), -1, np.int64)
-            step = max(1, _CHUNK_CELLS // len(dx))
-            for a in range(0, len(x), step):
-                px, py = x[a : a + step, None], y[a : a + step, None]
-                t = np.clip(((px - seg["ax"]) * dx + (py - seg["ay"]) * dy) / long, 0, 1)
-                fx, fy = seg["ax"] + t * dx, seg["ay"] + t * dy
-                d = (fx - px) ** 2 + (fy - py) ** 2
-                ok = np.flatnonzero(~np.isnan(d).any(axis=1))
-                at = d[ok].argmin(axis=1)  # the first of equal ones: lines are in order
-                best["__distance"][a + ok], best["__nx"][a + ok], best["__ny"][a + ok] = np.sqrt(d[ok, at]), fx[ok, at], fy[ok, at]
-                line[a + ok] = seg["o"][at]
-            none = np.isnan(best["__distance"])
-            arrays = [pa.array(line, pa.int64(), mask=none), *[pa.array(v, mask=none) for v in best.values()]]
-            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, "__line", *best])
+            there = np.isfinite(x) & np.isfinite(y)
+            line, best = np.full(len(x), -1, np.int64), np.full((len(x), 3), np.nan)
+            line[there], best[there, 0], best[there, 1:] = index.nearest(x[there], y[there])
+            best[:, 0] = np.sqrt(best[:, 0])
+            arrays = [pa.array(line, pa.int64(), mask=~there), *[pa.array(best[:, k], mask=~there) for k in range(3)]]
+            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, "__line", "__distance", "__nx", "__ny"])
 
     return f
 
@@ -66,9 +49,9 @@ def _nearest(seg: dict[str, np.ndarray]):
 def nearest_line(points: DataFrame, lines: DataFrame, x: str = "x", y: str = "y", order: str = "line_ord", line: str = "line", prefix: str = "nearest", max_segments: int = MAX_SEGMENTS) -> DataFrame:
     """points with {prefix}_line (its order; the first of equally near ones), {prefix}_distance, {prefix}_x and {prefix}_y.
 
-    Up to max_segments segments travel with the tasks, and points stay where they
-    are and are compared batch by batch. More segments meet the distinct places of
-    the points over nested grids (see nearest); the result is the same.
+    Up to max_segments segments travel with the tasks as an index (see packed), and
+    points stay where they are. More segments meet the distinct places of the points
+    over nested grids (see nearest); the result is the same.
     """
     if lines.isEmpty() or not lines.where(F.col(line).isNull()).isEmpty():
         raise ValueError("nearest lines need at least one line, and no null ones")
@@ -80,7 +63,7 @@ def nearest_line(points: DataFrame, lines: DataFrame, x: str = "x", y: str = "y"
         out = rows.join(found, (F.col("__x") == F.col("__px")) & (F.col("__y") == F.col("__py")), "left").drop("__px", "__py")
     else:
         kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "__line long", "__distance double", "__nx double", "__ny double"])
-        out = rows.mapInArrow(_nearest(_segment_arrays(segments)), kind)
+        out = rows.mapInArrow(_nearest(PackedSegments.of(segments)), kind)
     return out.drop("__x", "__y").withColumnsRenamed({"__line": f"{prefix}_line", "__distance": f"{prefix}_distance", "__nx": f"{prefix}_x", "__ny": f"{prefix}_y"})
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +19,11 @@ from shorewise.config import FeatureGeneration
 from shorewise.functions import crs
 from shorewise.functions import geometry as G
 from shorewise.operators.nearest import nearest_of_regions, segments_of
+from shorewise.operators.packed import PackedSegments
 from shorewise.operators.spatial import box_pairs
 
-#: Segments that one broadcast row may hold; the lines of more are dealt over grids instead.
-MAX_SEGMENTS = 10_000
+#: Segments that a task may hold as a packed index; the lines of more are dealt over grids instead.
+MAX_SEGMENTS = 1_000_000
 STRIP_OBJECTS = 2000
 
 
@@ -198,21 +201,44 @@ def area_fraction(regions: DataFrame, objects: DataFrame, *, strip_objects: int
     return found.select("location_id", F.coalesce(F.try_divide(F.col("covered"), G.area(F.col("polygon"))), F.lit(0.0)).alias("area_fraction"))
 
 
+def rings_of(polygons: pa.Array) -> list[list[np.ndarray]]:
+    """Of an Arrow column of polygons, none of them null, the rings of each as arrays of points."""
+    rings = polygons.flatten()
+    points = rings.flatten()
+    xy = np.stack([points.field(0).to_numpy(zero_copy_only=False), points.field(1).to_numpy(zero_copy_only=False)], axis=1)
+    ends = np.cumsum(pc.list_value_length(rings).to_numpy(zero_copy_only=False))
+    each = np.split(xy, ends[:-1])
+    ends = np.cumsum(pc.list_value_length(polygons).to_numpy(zero_copy_only=False))
+    return [each[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def nearest_region_line(regions: DataFrame, lines: DataFrame, order: str = "line_ord", line: str = "line", max_segments: int = MAX_SEGMENTS) -> DataFrame:
     """Regions with the line nearest to each (the first of equally near ones); null without a polygon.
 
-    Lines of up to max_segments segments are one row that meets each region; those
-    of more meet the regions over nested grids (see nearest), with the same result.
+    Up to max_segments segments travel with the tasks as an index (see packed);
+    those of more meet the regions over nested grids (see nearest), with the same result.
     """
     segments = segments_of(lines, order, line)
-    if segments.limit(max_segments + 1).count() > max_segments:
+    n = segments.limit(max_segments + 1).count()
+    if not n:
+        raise ValueError("there are no lines")
+    if n > max_segments:
         found = nearest_of_regions(regions, lines, segments, order, line).withColumnRenamed("polygon", "__polygon")
         return regions.join(found, F.col("polygon") == F.col("__polygon"), "left").drop("__polygon")
-    every = lines.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l")))).alias("__lines"), F.assert_true(F.count(F.lit(1)) > 0, "there are no lines").alias("__some"))
-    rows = regions.join(F.broadcast(every), F.col("__some").isNull())
-    scored = F.transform("__lines", lambda s: F.struct(G.polygon_line_distance(F.col("polygon"), s["l"]).alias("d"), s["o"].alias("o"), s["l"].alias("l")))
-    near = F.array_min(F.filter(scored, lambda s: s["d"].isNotNull()))
-    return rows.withColumn("__near", near).select(*regions.columns, F.col("__near.o").alias("line_ord"), F.col("__near.l").alias("line"), F.col("__near.d").alias("line_distance"))
+    index = PackedSegments.of(segments)
+
+    @F.arrow_udf("struct<o: bigint, d: double>")
+    def near(polygons: pa.Array) -> pa.Array:
+        there = np.flatnonzero(pc.fill_null(pc.greater(pc.list_value_length(polygons), 0), False).to_numpy(zero_copy_only=False))
+        o, d, none = np.zeros(len(polygons), np.int64), np.zeros(len(polygons)), np.ones(len(polygons), bool)
+        if len(there):
+            o[there], d[there] = index.nearest_of_polygons(rings_of(polygons.take(pa.array(there))))
+            none[there] = False
+        return pa.StructArray.from_arrays([pa.array(o, mask=none), pa.array(d, mask=none)], names=["o", "d"])
+
+    whole = lines.select(F.col(order).cast("long").alias("__o"), F.col(order).alias("line_ord"), F.col(line).alias("line"))
+    found = regions.withColumn("__near", near(F.col("polygon")))
+    return found.join(whole, F.col("__near.o") == F.col("__o"), "left").select(*regions.columns, "line_ord", "line", F.col("__near.d").alias("line_distance"))
 
 
 def centerline_shape(regions: DataFrame, lines: DataFrame, neighbourhood_radius: float = 100.0) -> DataFrame:
