@@ -148,6 +148,19 @@ def _moments(ring: Column) -> Column:
     return F.aggregate(segments(ring), zero, step, lambda m: F.struct(F.abs(m["a"]).alias("a"), (F.signum(m["a"]) * m["mx"] + F.abs(m["a"]) * o["x"]).alias("mx"), (F.signum(m["a"]) * m["my"] + F.abs(m["a"]) * o["y"]).alias("my")))
 
 
+def _directed(ring: Column, outer: Column) -> Column:
+    """A ring's segments (ax, ay, bx, by) with the inside on their left: an exterior one counterclockwise, a hole clockwise."""
+    ends = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda p, q: F.array(p["x"], p["y"], q["x"], q["y"]))
+    twice = lambda every: F.aggregate(every, F.lit(0.0), lambda n, s: n + (s[0] * s[3] - s[2] * s[1]))
+    turned = lambda every: F.transform(every, lambda s: F.array(s[2], s[3], s[0], s[1]))
+    return let(ends, lambda every: F.when((twice(every) > 0) == outer, every).otherwise(turned(every)))
+
+
+def directed_edges(polygon: Column) -> Column:
+    """Coordinates of all edges in a row: ax, ay, bx, by of each, with the inside on its left."""
+    return F.flatten(F.flatten(F.transform(polygon, lambda r, i: _directed(r, i == 0))))
+
+
 def _with_holes(polygon: Column, name: str) -> Column:
     ring = F.transform(polygon, lambda r: _moments(r)[name])
     return F.element_at(ring, 1) - F.aggregate(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.lit(0.0), lambda n, v: n + v)

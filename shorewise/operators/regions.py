@@ -21,10 +21,11 @@ from shorewise.functions import geometry as G
 from shorewise.operators.nearest import nearest_of_regions, segments_of
 from shorewise.operators.packed import PackedSegments
 from shorewise.operators.spatial import box_pairs
+from shorewise.operators.sweep import covered, directed
 
 #: Segments that a task may hold as a packed index; the lines of more are dealt over grids instead.
 MAX_SEGMENTS = 1_000_000
-STRIP_OBJECTS = 2000
+STRIP_OBJECTS, MAX_STRIPS = 2000, 256
 
 
 def in_parts(df: DataFrame, shape: str = "shape") -> bool:
@@ -93,110 +94,46 @@ def intersecting(regions: DataFrame, objects: DataFrame, columns: list[str] | st
     return _all(regions, found, {"count": F.lit(0), "total_area": F.lit(0.0), **{f"majority_class_{c}": none for c in columns}})
 
 
-def _edge_array(polygon) -> np.ndarray:
-    rings = [np.array([(p["x"], p["y"]) for p in ring], float) for ring in polygon]
-    return np.concatenate([np.hstack([r[:-1], r[1:]]) for r in rings if len(r) > 1] or [np.zeros((0, 4))])
-
-
-def _cut_places(edges: np.ndarray, low: float, high: float) -> np.ndarray:
-    """x of all vertices and crossings between low and high. An upright edge is crossed at its own x, which is a vertex's."""
-    xs = [edges[:, 0], edges[:, 2], [low, high]]
-    left, right = np.minimum(edges[:, 0], edges[:, 2]), np.maximum(edges[:, 0], edges[:, 2])
-    edges = edges[(left < right) & (left <= high) & (right >= low)]
-    p, d = edges[:, :2], edges[:, 2:] - edges[:, :2]
-    lo, hi = np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])
-    for a in range(0, len(edges), 256):
-        b = slice(a, a + 256)
-        meet = (lo[b, None] <= hi[None, a:]).all(axis=2) & (hi[b, None] >= lo[None, a:]).all(axis=2)
-        meet &= d[b, 0, None] * d[None, a:, 1] != d[b, 1, None] * d[None, a:, 0]
-        i, j = np.nonzero(np.triu(meet, 1))
-        i, j = i + a, j + a
-        det, q = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0], p[j] - p[i]
-        t, u = (q[:, 0] * d[j, 1] - q[:, 1] * d[j, 0]) / det, (q[:, 0] * d[i, 1] - q[:, 1] * d[i, 0]) / det
-        xs.append((p[i, 0] + t * d[i, 0])[(t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)])
-    xs = np.unique(np.concatenate(xs))
-    return xs[(xs >= low) & (xs <= high)]
-
-
-def _intervals(edges: np.ndarray, owner: np.ndarray, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals of y inside each owner's polygon at the middles between neighbouring xs: the number of the middle, lower and upper end."""
-    first, last = np.minimum(edges[:, 0], edges[:, 2]), np.maximum(edges[:, 0], edges[:, 2])
-    a = np.searchsorted(xs, first)
-    n = np.maximum(np.minimum(np.searchsorted(xs, last), len(xs) - 1) - a, 0)
-    edge = np.repeat(np.arange(len(edges)), n)
-    at = np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n) + a[edge]
-    x, e = (xs[at] + xs[at + 1]) / 2, edges[edge]
-    y = e[:, 1] + (x - e[:, 0]) * (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
-    order = np.lexsort((y, owner[edge], at))
-    return at[order][::2], y[order][::2], y[order][1::2]
-
-
-def _covered(own: np.ndarray, others: np.ndarray, owner: np.ndarray, low: float, high: float) -> float:
-    if not len(own) or not len(others):
-        return 0.0
-    low, high = max(low, own[:, [0, 2]].min()), min(high, own[:, [0, 2]].max())
-    xs = _cut_places(np.concatenate([own, others]), low, high) if low < high else np.zeros(0)
-    if len(xs) < 2:
-        return 0.0
-    at, y0, y1 = _intervals(others, owner, xs)
-    outer_at, outer0, outer1 = _intervals(own, np.zeros(len(own), np.int64), xs)
-    # each interval with each of the region's own at the same place
-    begin, n = np.searchsorted(outer_at, at), np.searchsorted(outer_at, at, side="right")
-    n = n - begin
-    k = np.repeat(np.arange(len(at)), n)
-    outer = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + begin[k]
-    y0, y1 = np.maximum(y0[k], outer0[outer]), np.minimum(y1[k], outer1[outer])
-    held = y0 < y1
-    outer, y0, y1 = outer[held], y0[held], y1[held]
-    order = np.lexsort((y0, outer))
-    outer, y0, y1 = outer[order], y0[order], y1[order]
-    if not len(outer):
-        return 0.0
-    # how far up the earlier ones reach: a running maximum that begins anew with each of the region's intervals
-    step = outer * ((y1.max() - y0.min()) * 2 + 1)
-    reach = np.maximum.accumulate(y1 + step) - step
-    before = np.concatenate([[-np.inf], np.where(outer[1:] == outer[:-1], reach[:-1], -np.inf)])
-    return float((np.maximum(0, y1 - np.maximum(y0, before)) * np.diff(xs)[outer_at[outer]]).sum())
-
-
-def covered_area(polygon, objects: list, low: float = -np.inf, high: float = np.inf) -> float:
-    """Area of the part of the polygon between x of low and high that any of the objects covers.
-
-    Between neighbouring vertices and crossings all boundaries are straight, so the
-    covered length at the middle times the width is exact.
-    """
-    others = [_edge_array(o) for o in objects]
-    return _covered(_edge_array(polygon), np.concatenate([np.zeros((0, 4)), *others]), np.repeat(np.arange(len(others)), [len(e) for e in others]), low, high)
+def covered_area(polygon: list[np.ndarray], objects: list[list[np.ndarray]], low: float = -np.inf, high: float = np.inf) -> float:
+    """Area of the part of the polygon (rings of points) between x of low and high that any of the objects covers."""
+    return covered(directed(polygon), np.concatenate([np.zeros((0, 4)), *map(directed, objects)]), low, high)
 
 
-def _flat_edges(polygon: Column) -> Column:
-    """Coordinates of all edges in a row: ax, ay, bx, by of each."""
-    return F.flatten(F.transform(G.edges(polygon), lambda s: F.array(s["ax"], s["ay"], s["bx"], s["by"])))
+def _strips(pairs: DataFrame, strip_objects: int) -> DataFrame:
+    """(location_id, bounds): where each region is cut, so that about as many objects begin in each strip."""
+    fractions = F.array(*[F.lit(k / MAX_STRIPS) for k in range(1, MAX_STRIPS)])
+    found = pairs.groupBy("location_id").agg(F.least(F.lit(MAX_STRIPS), F.ceil(F.count(F.lit(1)) / strip_objects)).cast("int").alias("n"), F.percentile_approx("__o.xmin", fractions).alias("at"), F.first("__r").alias("__r"))
+    cuts = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda k: F.get(F.col("at"), (k * F.lit(MAX_STRIPS) / F.col("n")).cast("int") - 1))
+    inner = F.filter(F.when(F.col("n") > 1, cuts).otherwise(F.array().cast("array<double>")), lambda x: (x > F.col("__r.xmin")) & (x < F.col("__r.xmax")))
+    return found.select("location_id", F.array_sort(F.array_distinct(F.concat(F.array("__r.xmin"), inner, F.array("__r.xmax")))).alias("bounds"))
 
 
-def area_fraction(regions: DataFrame, objects: DataFrame, *, strip_objects: int = STRIP_OBJECTS, **options) -> DataFrame:
+def area_fraction(regions: DataFrame, objects: DataFrame, *, strip_objects: int = STRIP_OBJECTS) -> DataFrame:
     """Share of a region's area that objects cover, overlaps counted once.
 
-    A region with many objects is cut into upright strips, each a group of its own,
-    so that no task holds all the objects of a crowded region.
+    A region with many objects is cut into upright strips, each a group of its own with
+    one copy of the region's edges, so that no task holds all the objects of a crowded
+    region; beyond MAX_STRIPS strips have more objects. A sweep measures each strip.
     """
     if in_parts(objects):  # each part covers for itself
         objects = objects.withColumn("shape", F.explode("shape"))
-    pairs = spatial_pairs(regions, objects, **options)
-    counts = pairs.groupBy("location_id").agg(F.ceil(F.count(F.lit(1)) / strip_objects).cast("int").alias("strips"))
-    rows = pairs.join(counts, "location_id").withColumn("__r", G.bounds(F.col("polygon"))).withColumn("__o", G.bounds(F.col("shape")))
-    width = (F.col("__r.xmax") - F.col("__r.xmin")) / F.col("strips")
-    strip = lambda x: F.greatest(F.lit(0), F.least(F.col("strips") - 1, F.floor(F.try_divide(x - F.col("__r.xmin"), width)).cast("int")))
-    rows = rows.withColumn("strip", F.explode(F.sequence(strip(F.col("__o.xmin")), strip(F.col("__o.xmax")))))
-    rows = rows.select("location_id", "strip", _flat_edges(F.col("polygon")).alias("own"), _flat_edges(F.col("shape")).alias("edges"), (F.col("__r.xmin") + F.col("strip") * width).alias("low"), (F.col("__r.xmin") + (F.col("strip") + 1) * width).alias("high"))
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        owner = np.repeat(np.arange(len(pdf)), [len(e) // 4 for e in pdf["edges"]])
-        covered = _covered(pdf["own"].iloc[0].reshape(-1, 4), np.concatenate(list(pdf["edges"])).reshape(-1, 4), owner, pdf["low"].iloc[0], pdf["high"].iloc[0])
-        return pd.DataFrame({"location_id": [key[0]], "covered": [covered]})
+    pairs = spatial_pairs(regions, objects).select("location_id", G.bounds(F.col("polygon")).alias("__r"), G.bounds(F.col("shape")).alias("__o"), G.directed_edges(F.col("shape")).alias("edges"))
+    cut = _strips(pairs, strip_objects)
+    strip = lambda low, high: F.filter(F.sequence(F.lit(0), F.greatest(F.size("bounds") - 2, F.lit(0))), lambda k: (F.get("bounds", k) <= high) & (F.get("bounds", k + 1) >= low))
+    rows = pairs.join(cut, "location_id").select("location_id", "edges", F.explode(strip(F.col("__o.xmin"), F.col("__o.xmax"))).alias("strip"))
+    every = F.sequence(F.lit(0), F.greatest(F.size("bounds") - 2, F.lit(0)))
+    own = regions.join(cut, "location_id").select("location_id", G.directed_edges(F.col("polygon")).alias("own"), "bounds", F.explode(every).alias("strip"))
+    # a column of its own: both sides of the cogroup come from the same regions
+    own = own.select(F.col("location_id").alias("location_id"), "strip", "own", F.get("bounds", F.col("strip")).alias("low"), F.get("bounds", F.col("strip") + 1).alias("high"))
+
+    def one(key: tuple, region: pd.DataFrame, inside: pd.DataFrame) -> pd.DataFrame:
+        if region.empty or inside.empty:
+            return pd.DataFrame({"location_id": [], "covered": []})
+        r = region.iloc[0]
+        return pd.DataFrame({"location_id": [key[0]], "covered": [covered(r["own"].reshape(-1, 4), np.concatenate(list(inside["edges"])).reshape(-1, 4), r["low"], r["high"])]})
 
     kind = regions.schema["location_id"].dataType.simpleString()
-    strips = rows.groupBy("location_id", "strip").applyInPandas(one, f"location_id {kind}, covered double")
+    strips = own.groupBy("location_id", "strip").cogroup(rows.groupBy("location_id", "strip")).applyInPandas(one, f"location_id {kind}, covered double")
     found = regions.join(strips.groupBy("location_id").agg(F.sum("covered").alias("covered")), "location_id", "left")
     return found.select("location_id", F.coalesce(F.try_divide(F.col("covered"), G.area(F.col("polygon"))), F.lit(0.0)).alias("area_fraction"))
 

@@ -158,31 +158,43 @@ def cells_of(tree: SpatialTree, meets: np.ndarray, box: Column) -> Column:
     return f(*[box[c] for c in BOX])
 
 
-def _homes_in(tree: SpatialTree, df: DataFrame, box: str) -> tuple[np.ndarray, bool]:
-    """Nodes in which boxes are at home, and whether any is in a grid cell: at most as many numbers as the tree has nodes."""
-    homes_only = cells_of(tree, np.zeros(0, np.int64), F.col(box))
-    rows = df.select(homes_only.alias("c")).select(F.explode("c.homes").alias("cell")).select(F.least("cell", F.lit(1)).alias("cell")).distinct()
-    found = np.array([r.cell for r in rows.collect()], np.int64)
-    return found[found < 0], bool((found > 0).any())
+@dataclass
+class Side:
+    """Boxes of one side of a join: a sample, and how many there are."""
+
+    df: DataFrame
+    box: str
+    sample: np.ndarray
+    n: int
 
 
-def _sampled(df: DataFrame, box: str, sample: int) -> tuple[np.ndarray, int]:
-    """Some boxes, and how many there are, in one pass."""
+def sampled(df: DataFrame, box: str, sample: int = SAMPLE) -> Side:
+    """Some boxes and the number of all, in one pass; those that aren't finite aren't sampled."""
     seen = Observation()
     rows = df.select(f"{box}.*").observe(seen, F.count(F.lit(1)).alias("n")).orderBy(F.rand(7)).limit(sample).toPandas()
     boxes = rows[BOX].to_numpy(float).reshape(-1, 4)
-    return boxes[np.isfinite(boxes).all(axis=1)], seen.get.get("n", 0)
+    return Side(df, box, boxes[np.isfinite(boxes).all(axis=1)], seen.get.get("n", 0))
 
 
-def tree_of(sides: list[tuple[DataFrame, str]], *, sample: int = SAMPLE, **options) -> SpatialTree | None:
+def tree_of(sides: list[Side], **options) -> SpatialTree | None:
     """The tree of the boxes of several sides; None if any has none."""
-    found = [_sampled(df, box, sample) for df, box in sides]
-    if not all(len(b) for b, _ in found):
+    if not all(len(s.sample) for s in sides):
         return None
     # the side of more boxes gives more of them: each sampled box stands for as many
-    most = max(n / len(b) for b, n in found)
-    boxes = np.concatenate([b[: max(1, round(n / most))] for b, n in found])
-    return build(boxes, sum(n for _, n in found), **options)
+    most = max(s.n / len(s.sample) for s in sides)
+    boxes = np.concatenate([s.sample[: max(1, round(s.n / most))] for s in sides])
+    return build(boxes, sum(s.n for s in sides), **options)
+
+
+def homes_in(tree: SpatialTree, side: Side) -> tuple[np.ndarray, bool]:
+    """Nodes in which boxes are at home, and whether any is in a grid cell: at most as many numbers as the tree has nodes."""
+    if len(side.sample) == side.n:  # the sample is all
+        found = np.unique(np.minimum(homes(tree, side.sample)[1], 1))
+    else:
+        homes_only = cells_of(tree, np.zeros(0, np.int64), F.col(side.box))
+        rows = side.df.select(homes_only.alias("c")).select(F.explode("c.homes").alias("cell")).select(F.least("cell", F.lit(1)).alias("cell")).distinct()
+        found = np.array([r.cell for r in rows.collect()], np.int64)
+    return found[found < 0], bool((found > 0).any())
 
 
 def cell_rows(df: DataFrame, tree: SpatialTree, box: str, other: tuple[np.ndarray, bool]) -> DataFrame:
@@ -195,10 +207,12 @@ def cell_rows(df: DataFrame, tree: SpatialTree, box: str, other: tuple[np.ndarra
 
 def box_pairs(a: DataFrame, b: DataFrame, a_box: str = "__a", b_box: str = "__b", **options) -> DataFrame:
     """Pairs of rows whose boxes have a point in common, each once."""
-    tree = tree_of([(a, a_box), (b, b_box)], **options)
-    if tree is None:
+    sides = [sampled(a, a_box), sampled(b, b_box)]
+    tree = tree_of(sides, **options)
+    if tree is None and not all(s.n for s in sides):
         return a.join(b, F.lit(False))
-    at_home = [_homes_in(tree, df, box) for df, box in ((a, a_box), (b, b_box))]
+    tree = tree or build(np.zeros((1, 4)), 1)
+    at_home = [homes_in(tree, s) for s in sides]
     left, right = cell_rows(a, tree, a_box, at_home[1]), cell_rows(b, tree, b_box, at_home[0])
     right = right.withColumnsRenamed({"__homes": "__homes_b", "__ups": "__ups_b"})
     c = {n: (F.col(f"{a_box}.{n}"), F.col(f"{b_box}.{n}")) for n in BOX}

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -40,16 +41,16 @@ def test_line_measures(spark):
 
 
 def test_straight_line_has_no_shape(spark):
-    square = poly([(0.5, -0.5), (1.5, -0.5), (1.5, 0.5), (0.5, 0.5)])
-    for r in (0.1, 0.9):
-        assert value(spark, G.line_shape(square, G.line([(0, -1), (0, 1)]), r)) == pytest.approx(0, abs=1e-12)
+    triangle = poly([(30, 18), (42, 21), (33, 30)])
+    for r in (2.5, 40):
+        assert value(spark, G.line_shape(triangle, G.line([(-70, -10), (110, 50)]), r)) == pytest.approx(0, abs=1e-9)
 
 
 def test_between(spark):
-    low, high = G.line([(0, 0), (1, 0)]), G.line([(0, 1), (1, 1.25)])
-    for x, y, want in ((0.5, 0.5, True), (0.5, 1.5, False), (0.5, 0.0, False)):
+    west, east = G.line([(-30, 5), (-10, 80)]), G.line([(40, 0), (55, 35), (40, 90)])
+    for x, y, want in ((12.0, 40.0, True), (80.0, 40.0, False), (-60.0, 20.0, False), (40.0, 0.0, False)):
         foot = lambda line: G.nearest_point(line, F.lit(x), F.lit(y))  # noqa: B023, E731
-        for a, b in ((low, high), (high, low)):
+        for a, b in ((west, east), (east, west)):
             assert value(spark, G.between(F.lit(x), F.lit(y), foot(a), foot(b))) is want
 
 
@@ -111,32 +112,77 @@ def test_epsg(spark):
         value(spark, epsg_from_urn(F.lit("EPSG::28992 EPSG::4326")))
 
 
-def ring(points):
-    return [[{"x": float(x), "y": float(y)} for x, y in [*points, points[0]]]]
+def rings(*points):
+    return [np.array([*p, p[0]], float) for p in points]
 
 
-def box(a, b, c, d):
-    return ring([(a, b), (c, b), (c, d), (a, d)])
+def corners(a, b, c, d):
+    return [(a, b), (c, b), (c, d), (a, d)]
 
 
 def test_covered_area():
-    outer = box(0, 0, 10, 10)
-    assert regions.covered_area(outer, [box(1, 1, 5, 5), box(3, 3, 7, 7)]) == pytest.approx(28)
-    assert regions.covered_area(outer, [box(8, 8, 12, 12), ring([(0, 0), (4, 0), (0, 4)])]) == pytest.approx(12)
-    assert regions.covered_area(outer, []) == 0
-    rng = random.Random(2)
-    shapes = [[(rng.uniform(0, 10), rng.uniform(0, 10)) for _ in range(3)] for _ in range(6)]
-    whole = regions.covered_area(outer, [ring(s) for s in shapes])
-    halves = sum(regions.covered_area(outer, [ring(s) for s in shapes], low, low + 5) for low in (0, 5))
-    assert whole == pytest.approx(halves)
+    outer = rings(corners(0, 0, 20, 20))
+    assert regions.covered_area(outer, [rings(corners(2, 3, 6, 8)), rings(corners(5, 5, 9, 10))]) == pytest.approx(20 + 20 - 3)
+    assert regions.covered_area(outer, [rings(corners(18, 17, 25, 30)), rings([(0, 0), (6, 0), (0, 8)])]) == pytest.approx(6 + 24)
+    assert regions.covered_area(outer, [rings(corners(1, 1, 9, 9), corners(3, 3, 5, 5)[::-1])]) == pytest.approx(60)  # a hole
+    assert regions.covered_area(rings(corners(0, 0, 10, 10), corners(4, 4, 6, 6)), [rings(corners(5, 0, 20, 10))]) == pytest.approx(48)
+    assert regions.covered_area(outer, []) == 0 and regions.covered_area(outer, [rings(corners(30, 0, 40, 10))]) == 0
+
+
+def _stars(rng, n, size):
+    """Simple polygons: a corner in each of some sectors around a centre."""
+    out = []
+    for _ in range(n):
+        x, y, k = rng.uniform(0, 10), rng.uniform(0, 10), int(rng.integers(3, 9))
+        angle, far = (np.arange(k) + rng.uniform(0, 0.9, k)) * 2 * np.pi / k, size * rng.uniform(0.3, 1, k)
+        p = list(zip(x + far * np.cos(angle), y + far * np.sin(angle), strict=True))
+        out.append(rings(p[:: int(rng.choice([-1, 1]))]))
+    return out
+
+
+def _inside(polygon, x, y):
+    odd = np.zeros(x.shape, bool)
+    for r in polygon:
+        for (ax, ay), (bx, by) in zip(r[:-1], r[1:], strict=True):
+            if ay != by:
+                odd ^= ((ay > y) != (by > y)) & (x < ax + (y - ay) * (bx - ax) / (by - ay))
+    return odd
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_covered_area_of_stars_and_crosses(seed):
+    """Against a fine lattice, and cut into strips; on whole numbers against unit squares, where edges coincide and many meet in a point."""
+    rng = np.random.default_rng(seed)
+    outer, shapes = rings([(1, 1), (9, 0), (8, 9), (5, 4), (0, 8)]), _stars(rng, 3 + 5 * seed, 2.0)
+    whole = regions.covered_area(outer, shapes)
+    x, y = np.meshgrid((np.arange(1500) + 0.5) / 150, (np.arange(1500) + 0.5) / 150)
+    any_of = np.logical_or.reduce([_inside(s, x, y) for s in shapes]) & _inside(outer, x, y)
+    assert whole == pytest.approx(any_of.sum() / 150**2, abs=0.05)
+    assert whole == pytest.approx(sum(regions.covered_area(outer, shapes, a, b) for a, b in ((-9, 2.2), (2.2, 5), (5, 99))))
+    boxes = [(a, b, a + w, b + h) for a, b, w, h in rng.integers(0, 12, (25, 4)) + [0, 0, 1, 1]]
+    squares = np.zeros((40, 40), bool)
+    for a, b, c, d in boxes:
+        squares[a:c, b:d] = True
+    assert regions.covered_area(rings(corners(2, 1, 11, 12)), [rings(corners(*b)) for b in boxes]) == pytest.approx(squares[2:11, 1:12].sum())
+    diamonds = [rings([(a, b - 1), (a + 1, b), (a, b + 1), (a - 1, b)]) for a, b in rng.integers(1, 9, (30, 2))] * 2
+    cover = np.logical_or.reduce([_inside(s, x, y) for s in diamonds])
+    assert regions.covered_area(rings(corners(0, 0, 10, 10)), diamonds) == pytest.approx(cover.sum() / 150**2, abs=0.02)
+
+
+def test_covered_area_of_ten_thousand_objects_takes_seconds():
+    rng = np.random.default_rng(3)
+    shapes = [rings(corners(a, b, a + w, b + h)) for a, b, w, h in rng.uniform(0, 1, (10_000, 4)) * [95, 95, 3, 3]]
+    began = time.time()
+    assert 0 < regions.covered_area(rings(corners(0, 0, 100, 100)), shapes) < 10_000
+    assert time.time() - began < 5
 
 
 def _regions(spark, boxes):
-    return spark.createDataFrame([(i, [[(p["x"], p["y"]) for p in box(*b)[0]]]) for i, b in enumerate(boxes)], f"location_id long, polygon {G.POLYGON}")
+    return spark.createDataFrame([(i, [[tuple(map(float, p)) for p in [*corners(*b), b[:2]]]]) for i, b in enumerate(boxes)], f"location_id long, polygon {G.POLYGON}")
 
 
 def _objects(spark, boxes, classes):
-    return spark.createDataFrame([(c, [[(p["x"], p["y"]) for p in box(*b)[0]]]) for b, c in zip(boxes, classes, strict=True)], f"kind string, shape {G.POLYGON}")
+    return spark.createDataFrame([(c, [[tuple(map(float, p)) for p in [*corners(*b), b[:2]]]]) for b, c in zip(boxes, classes, strict=True)], f"kind string, shape {G.POLYGON}")
 
 
 def test_region_aggregations(spark):

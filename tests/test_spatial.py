@@ -68,8 +68,9 @@ def test_few_rows_on_a_skewed_layer(spark):
     regions = [around(0, 0, 100), around(0, 0, 40), *[around(rng.uniform(0, 95), rng.uniform(0, 95), rng.choice([0.5, 2, 5])) for _ in range(400)]]
     objects = skewed(20_000, rng)
     a, b = side(spark, regions, "a"), side(spark, objects, "b")
-    tree = spatial.tree_of([(a, "__a"), (b, "__b")])
-    at_home = [spatial._homes_in(tree, df, box) for df, box in ((a, "__a"), (b, "__b"))]
+    sides = [spatial.sampled(a, "__a"), spatial.sampled(b, "__b", 5000)]
+    tree = spatial.tree_of(sides)
+    at_home = [spatial.homes_in(tree, s) for s in sides]
     assert spatial.cell_rows(a, tree, "__a", at_home[1]).count() <= 4 * len(regions)
     rows = spatial.cell_rows(b, tree, "__b", at_home[0])
     assert rows.count() <= 4 * len(objects)
