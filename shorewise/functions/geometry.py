@@ -248,16 +248,6 @@ def _turn_of(s: Column, t: Column, end: str) -> Column:
     return _turn(s["ax"], s["ay"], s["bx"], s["by"], t[f"{end}x"], t[f"{end}y"])
 
 
-def buffered(polygon: Column, radius: Column, corner_points: int = 8) -> Column:
-    """The polygon's convex hull widened on all sides by the radius, its corners rounded by as many points: the shape itself for a convex one, else a safe superset of its buffer."""
-    turns = F.sequence(F.lit(0), F.lit(4 * corner_points - 1))
-    # a circumscribed polygon of the circle around each corner, so that nothing of the true buffer is outside
-    far = radius / F.cos(F.lit(3.141592653589793 / (4 * corner_points)))
-    angle = lambda i: i * F.lit(3.141592653589793 / (2 * corner_points))
-    around = lambda p: F.transform(turns, lambda i: point(p["x"] + far * F.cos(angle(i)), p["y"] + far * F.sin(angle(i))))
-    return F.array(convex_hull(F.flatten(F.transform(F.get(polygon, F.lit(0)), around))))
-
-
 def convex_hull(points: Column) -> Column:
     """The closed ring around points, counterclockwise from the leftmost: two monotone chains."""
 
@@ -321,7 +311,7 @@ def project_polygon(polygon: Column, of: Column) -> Column:
 
 
 def offset(of: Column, by: Column) -> Column:
-    """A line of two points moved to its left by a distance (to its right by a negative one); null if its points are one."""
+    """A line of two points moved to its left by a distance (to its right by a negative one); null if its points are one. For lines of more see curves.offset_curve."""
     a, b = F.element_at(of, 1), F.element_at(of, 2)
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     scale = F.try_divide(by, F.sqrt(dx * dx + dy * dy))

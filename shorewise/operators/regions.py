@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from shorewise.config import FeatureGeneration
 from shorewise.functions import crs
 from shorewise.functions import geometry as G
+from shorewise.functions.curves import rings_of
 from shorewise.operators.nearest import nearest_of_regions, segments_of
 from shorewise.operators.packed import PackedSegments
 from shorewise.operators.spatial import box_pairs
@@ -138,17 +139,6 @@ def area_fraction(regions: DataFrame, objects: DataFrame, *, strip_objects: int
     return found.select("location_id", F.coalesce(F.try_divide(F.col("covered"), G.area(F.col("polygon"))), F.lit(0.0)).alias("area_fraction"))
 
 
-def rings_of(polygons: pa.Array) -> list[list[np.ndarray]]:
-    """Of an Arrow column of polygons, none of them null, the rings of each as arrays of points."""
-    rings = polygons.flatten()
-    points = rings.flatten()
-    xy = np.stack([points.field(0).to_numpy(zero_copy_only=False), points.field(1).to_numpy(zero_copy_only=False)], axis=1)
-    ends = np.cumsum(pc.list_value_length(rings).to_numpy(zero_copy_only=False))
-    each = np.split(xy, ends[:-1])
-    ends = np.cumsum(pc.list_value_length(polygons).to_numpy(zero_copy_only=False))
-    return [each[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-
 def nearest_region_line(regions: DataFrame, lines: DataFrame, order: str = "line_ord", line: str = "line", max_segments: int = MAX_SEGMENTS) -> DataFrame:
     """Regions with the line nearest to each (the first of equally near ones); null without a polygon.
 

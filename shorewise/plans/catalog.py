@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shorewise.config import DataConfiguration
-from shorewise.functions import crs
+from shorewise.functions import crs, curves
 from shorewise.functions import geometry as G
 from shorewise.functions.text import epsg_from_urn
 from shorewise.operators import features, model, observations, regions
@@ -298,12 +298,39 @@ def polygon_within(spark, sf_dir):
     return pairs.where(G.polygon_within(F.col("shape"), F.col("polygon"))).select("location_id", "object_id")
 
 
-@query(f"WITH {V.RECTS_SQL} SELECT location_id, round(xmin - r, 6) + 0.0 AS xmin, round(ymin - r, 6) + 0.0 AS ymin, round(xmax + r, 6) AS xmax, round(ymax + r, 6) AS ymax, TRUE AS holds FROM rects, (SELECT 10.0::DOUBLE / cos(pi() / 32) AS r)")
+#: Area of a quarter circle of radius 1 whose arc is QUARTER chords.
+_ARC = f"({curves.QUARTER / 2} * sin(pi() / {2 * curves.QUARTER}))"
+
+
+@query(f"WITH {V.RECTS_SQL} SELECT location_id, xmin - 10 AS xmin, ymin - 10 AS ymin, xmax + 10 AS xmax, ymax + 10 AS ymax, round(5500 + 320 * 10 + 4 * {_ARC} * 100, 6) AS area, TRUE AS holds FROM rects")
 def buffered_regions(spark, sf_dir):
-    """Bounds of the regions widened by 10, and whether each region lies in its widened shape."""
-    rows = V.rects(spark, sf_dir).select("location_id", "polygon", G.buffered(F.col("polygon"), F.lit(10.0)).alias("wide"))
-    box = rows.select("location_id", G.bounds(F.col("wide")).alias("b"), G.polygon_within(F.col("polygon"), F.col("wide")).alias("holds"))
-    return box.select("location_id", *[_r(f"b.{c}", c) for c in ("xmin", "ymin", "xmax", "ymax")], "holds")
+    """Bounds and area of the regions widened by 10, and whether each region lies in its widened shape."""
+    rows = V.rects(spark, sf_dir).select("location_id", "polygon", curves.buffered(F.col("polygon"), F.lit(10.0)).alias("wide"))
+    box = rows.select("location_id", G.bounds(F.col("wide")).alias("b"), _r(G.area(F.col("wide")), "area"), G.polygon_within(F.col("polygon"), F.col("wide")).alias("holds"))
+    return box.select("location_id", *[_r(f"b.{c}", c) for c in ("xmin", "ymin", "xmax", "ymax")], "area", "holds")
+
+
+# in a region of 50 x 110: an L with arms 40 high and 20 wide, a frame around a hole of 30 x 90, a line along two sides, a corner; `arc` is a quarter circle's area
+_BUFFERS = {"bent": "3400 + 320 * r + (5 * arc - 1) * r * r", "frame": "5500 + 320 * r + 4 * arc * r * r - (30 - 2 * r) * (90 - 2 * r)", "line": "2 * 160 * r + (5 * arc - 1) * r * r", "point": "4 * arc * r * r"}
+_BUFFER_SQL = ", ".join(f"round({f.replace('arc', _ARC)}, 6) AS {n}_area" for n, f in _BUFFERS.items())
+_NEAR_SQL = ", ".join(f"abs(({f.replace('arc', _ARC)}) / ({f.replace('arc', '(pi() / 4)')}) - 1) < 0.001 AS {n}_near" for n, f in _BUFFERS.items() if n != "point")
+
+
+@query(f"WITH {V.RECTS_SQL}, s AS (SELECT *, (1 + location_id % 7)::DOUBLE AS r FROM rects) SELECT location_id, {_BUFFER_SQL}, {_NEAR_SQL}, xmin - r AS bent_xmin, ymax + r AS bent_ymax, xmax + r AS line_xmax, ymin - r AS point_ymin FROM s")
+def buffered_shapes(spark, sf_dir):
+    """Buffers of shapes that aren't convex, of one with a hole, of lines and of points, by a radius of the region's own."""
+    at = lambda *points: F.array(*[G.point(F.col("xmin") + x, F.col("ymin") + y) for x, y in points])
+    shapes = {
+        "bent": ("polygon", F.array(at((0, 0), (50, 0), (50, 40), (20, 40), (20, 110), (0, 110), (0, 0)))),
+        "frame": ("polygon", F.array(at((0, 0), (50, 0), (50, 110), (0, 110), (0, 0)), at((10, 10), (40, 10), (40, 100), (10, 100), (10, 10)))),
+        "line": ("line", at((0, 0), (50, 0), (50, 110))),
+        "point": ("point", G.point(F.col("xmin"), F.col("ymin"))),
+    }
+    r = (1 + F.col("location_id") % 7).cast("double")
+    rows = V.rects(spark, sf_dir).select("location_id", r.alias("r"), *[curves.buffered(shape, r, kind).alias(n) for n, (kind, shape) in shapes.items()])
+    near = lambda n: F.abs(G.area(F.col(n)) / F.expr(_BUFFERS[n].replace("arc", "(pi() / 4)")) - 1) < 0.001
+    ends = [_r(G.bounds(F.col(n))[c], f"{n}_{c}") for n, c in (("bent", "xmin"), ("bent", "ymax"), ("line", "xmax"), ("point", "ymin"))]
+    return rows.select("location_id", *[_r(G.area(F.col(n)), f"{n}_area") for n in shapes], *[near(n).alias(f"{n}_near") for n in shapes if n != "point"], *ends)
 
 
 @query(f"WITH {V.OBJS_SQL} SELECT p_brand, round(sum(w * h) / 10000, 6) AS hectares FROM objs GROUP BY 1")
@@ -369,6 +396,19 @@ def offset_bank(spark, sf_dir):
     return moved.select("location_id", *[_r(F.col("s")[i][c], f"{n}{c}") for i, n in enumerate("ab") for c in "xy"])
 
 
+@query(f"""WITH {V.RECTS_SQL}, {_B}, unit AS (SELECT seg, ax, ay, bx, by_, -(by_ - ay) / len AS nx, (bx - ax) / len AS ny FROM bs),
+corners AS (SELECT seg + 1 AS i, a.bx AS x, a.by_ AS y, (a.nx + coalesce(b.nx, a.nx)) / (1 + a.nx * coalesce(b.nx, a.nx) + a.ny * coalesce(b.ny, a.ny)) AS mx, (a.ny + coalesce(b.ny, a.ny)) / (1 + a.nx * coalesce(b.nx, a.nx) + a.ny * coalesce(b.ny, a.ny)) AS my
+  FROM unit a LEFT JOIN (SELECT seg - 1 AS seg, nx, ny FROM unit) b USING (seg) UNION ALL SELECT 0, ax, ay, nx, ny FROM unit WHERE seg = 0),
+moved AS (SELECT location_id, xmin, (5 + location_id % 11) * CASE WHEN location_id % 2 = 0 THEN 1 ELSE -1 END AS d FROM rects)
+SELECT location_id, CAST(i AS INT) AS i, round(xmin + x + d * mx, 6) + 0.0 AS x, round(y + d * my, 6) + 0.0 AS y FROM moved, corners""")
+def offset_border(spark, sf_dir):
+    """The border, moved to each region, and from there to its left or right by a distance of the region's own, with mitred bends."""
+    d = (5 + F.col("location_id") % 11) * F.when(F.col("location_id") % 2 == 0, 1).otherwise(-1)
+    own = F.transform(_border(), lambda p: G.point(p["x"] + F.col("xmin"), p["y"]))
+    rows = V.rects(spark, sf_dir).select("location_id", F.explode(curves.offset_curve(own, d)).alias("line"))
+    return rows.select("location_id", F.posexplode("line").alias("i", "p")).select("location_id", "i", _r("p.x", "x"), _r("p.y", "y"))
+
+
 @query()
 def predicted_bank(spark, sf_dir):
     """The predicted bank of every region and step: projected scope, moved towards the nearest centerline by the predicted distance."""
