@@ -1,32 +1,42 @@
-"""Web feature services as a Spark data source.
+"""Web feature services.
+
+`read_services` reads layers of services within boxes that are rows of a DataFrame,
+each feature once. Many services refuse to go on beyond a start index, so a box that
+holds more features is cut in four until its parts don't: counts are asked for
+first, then parts are dealt over tasks and read page by page.
+
+A layer within one box is also a Spark data source:
 
     spark.dataSource.register(FeatureServiceSource)
     spark.read.format("wfs").option("url", ...).option("layers", "a,b").option("boxes", "x0 y0 x1 y1;...").load()
 
-One partition reads one layer within one box, page by page: the first page's
-length is the step, and an empty page ends it. Rows hold the feature as JSON text
-and the CRS name; sources.geojson turns them into geometry. Connections are made
-on executors, never when the source is set up.
+Pages: the first page's length is the step, and an empty page ends them. Rows hold the
+feature as JSON text and the CRS name; sources.geojson turns them into geometry.
+Features are asked for on executors, never when the source is set up.
 """
 
 from __future__ import annotations
 
 import importlib
 import json
+import math
 import time
 from collections.abc import Callable, Iterator
 from urllib.parse import urlencode
 from urllib.request import urlopen
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from shorewise.functions.geometry import bounds
 
 # fixed values: what services allow and take
-PAGE, DEFAULT_VERSION, MAX_PAGES, TRIES = 10_000, "1.0.0", 100_000, 3
+PAGE, DEFAULT_VERSION, MAX_PAGES, TRIES, MAX_START = 10_000, "1.0.0", 100_000, 3, 50_000
+#: How often a box is cut in four, at most.
+MAX_CUTS = 30
 
 
 def http_transport(url: str, query: dict) -> dict:
@@ -59,18 +69,28 @@ def check_layers(services, ask: Callable[[str, dict], bytes] = http_capabilities
         raise ValueError(f"layers not offered: {', '.join(missing)}")
 
 
-def pages(fetch: Callable[[int, int], dict], page: int = PAGE, max_pages: int = MAX_PAGES, tries: int = TRIES, pause: float = 1.0) -> Iterator[tuple[list[dict], str | None]]:
-    """Features of each page with the first page's CRS name. fetch takes the number wanted and the start."""
+class TooMany(Exception):
+    """There are more features than the service gives for one box."""
+
+
+def _answer(ask: Callable[[], dict], tries: int = TRIES, pause: float = 1.0) -> dict:
+    """The answer, asked for again after a failure, with longer and longer pauses."""
+    for t in range(tries):
+        try:
+            return ask()
+        except OSError:
+            if t + 1 == tries:
+                raise
+            time.sleep(pause * 2**t)
+    raise ValueError("no tries")
 
-    def get(n: int, start: int) -> dict:
-        for t in range(tries):
-            try:
-                return fetch(n, start)
-            except OSError:
-                if t + 1 == tries:
-                    raise
-                time.sleep(pause * 2**t)
 
+def pages(fetch: Callable[[int, int], dict], page: int = PAGE, max_pages: int = MAX_PAGES, tries: int = TRIES, pause: float = 1.0, total: int | None = None, max_start: int | None = None) -> Iterator[tuple[list[dict], str | None]]:
+    """Features of each page with the first page's CRS name. fetch takes the number wanted and the start.
+
+    Ends with an empty page, or with `total` features if that is known. A start beyond max_start isn't asked for: TooMany.
+    """
+    get = lambda n, start: _answer(lambda: fetch(n, start), tries, pause)
     first = get(page, 0)
     found = first.get("features") or []
     crs, step, start = ((first.get("crs") or {}).get("properties") or {}).get("name"), len(found), 0
@@ -79,10 +99,62 @@ def pages(fetch: Callable[[int, int], dict], page: int = PAGE, max_pages: int =
             return
         yield found, crs
         start += step
+        if total is not None and start >= total:
+            return
+        if max_start is not None and start > max_start:
+            raise TooMany
         found = get(step, start).get("features") or []
     raise RuntimeError(f"more than {max_pages} pages")
 
 
+Box = tuple[float, float, float, float]
+
+
+def request(layer: str, version: str, box: str, n: int, start: int) -> dict:
+    """The query for some features of a layer, within a box if it isn't empty."""
+    new = version >= "2"
+    query = {"service": "WFS", "version": version, "request": "GetFeature", ("typeNames" if new else "typeName"): layer, "outputFormat": "json", ("count" if new else "maxFeatures"): n, "startIndex": start}
+    return query | ({"bbox": box.replace(" ", ",")} if box else {})
+
+
+def quarters(box: Box) -> list[Box]:
+    x0, y0, x1, y1 = box
+    x, y = (x0 + x1) / 2, (y0 + y1) / 2
+    return [(x0, y0, x, y), (x, y0, x1, y), (x0, y, x, y1), (x, y, x1, y1)]
+
+
+def _cut(box: Box, cuts: int) -> list[tuple[Box, int]]:
+    if cuts >= MAX_CUTS or math.isinf(box[2] - box[0] + box[3] - box[1]) or (box[0] == box[2] and box[1] == box[3]):
+        raise ValueError(f"more features than the service gives in one place, at {box}")
+    return [(q, cuts + 1) for q in quarters(box)]
+
+
+def parts_of(box: Box, count: Callable[[Box], int | None], most: int) -> Iterator[tuple[Box, int | None]]:
+    """Parts of a box with at most so many features each, and their number; None where the service doesn't count. Empty parts are left out."""
+    todo = [(box, 0)]
+    while todo:
+        part, cuts = todo.pop()
+        n = count(part)
+        if n is None or n <= most:
+            if n != 0:
+                yield part, n
+        else:
+            todo += _cut(part, cuts)
+
+
+def features_within(box: Box, n: int | None, fetch: Callable[[Box], Callable[[int, int], dict]], max_start: int, **options) -> Iterator[tuple[Box, dict, str | None]]:
+    """Each feature with the box that it was asked for with. If n isn't known and the service has more than it gives, the box's quarters are read instead."""
+    todo = [(box, n, 0)]
+    while todo:
+        part, total, cuts = todo.pop()
+        try:
+            for found, crs in pages(fetch(part), total=total, max_start=max_start, **options):
+                for feature in found:
+                    yield part, feature, crs
+        except TooMany:
+            todo += [(q, None, c) for q, c in _cut(part, cuts)]
+
+
 class _LayerBox(InputPartition):
     def __init__(self, layer: str, box: str):
         self.layer, self.box = layer, box
@@ -102,8 +174,7 @@ class _Reader(DataSourceReader):
         version = self.options.get("version", DEFAULT_VERSION)
 
         def fetch(n: int, start: int) -> dict:
-            query = {"service": "WFS", "version": version, "request": "GetFeature", ("typeName" if version < "2" else "typeNames"): partition.layer, "outputFormat": "json", ("maxFeatures" if version < "2" else "count"): n, "startIndex": start}
-            return transport(self.options["url"], query | ({"bbox": partition.box.replace(" ", ",")} if partition.box else {}))
+            return transport(self.options["url"], request(partition.layer, version, partition.box, n, start))
 
         for found, crs in pages(fetch, int(self.options.get("page", PAGE)), pause=float(self.options.get("pause", 1))):
             for feature in found:
@@ -122,20 +193,69 @@ class FeatureServiceSource(DataSource):
         return _Reader(self.options)
 
 
-def buffered_boxes(regions: DataFrame, buffer: float = 10.0) -> list[str]:
-    """Boxes of the regions' bounds, widened by the buffer: what to ask a service for."""
-    rows = regions.select(bounds(F.col("polygon")).alias("b")).select("b.*").collect()
-    return [f"{r.xmin - buffer} {r.ymin - buffer} {r.xmax + buffer} {r.ymax + buffer}" for r in rows]
+def boxes_of(regions: DataFrame, buffer: float = 10.0) -> DataFrame:
+    """(xmin, ymin, xmax, ymax): the regions' bounds, widened by the buffer."""
+    rows = regions.select(bounds(F.col("polygon")).alias("b")).where("b.xmin IS NOT NULL")
+    return rows.select(*[(F.col(f"b.{c}") + (buffer if c.endswith("max") else -buffer)).alias(c) for c in BOX]).distinct()
+
 
+BOX = ["xmin", "ymin", "xmax", "ymax"]
+_PART = "service string, url string, version string, layer string, xmin double, ymin double, xmax double, ymax double, n long"
+_FEATURE = "service string, layer string, box string, id string, feature string, crs string"
 
-def read_services(spark, services, boxes: list[str], only: str | None = None, **options) -> dict[str, DataFrame]:
-    """The layers of all services (or of the one named), by layer."""
-    if only is not None and only not in {s.name for s in services}:
+
+def _counted(answer: dict) -> int | None:
+    for name in ("numberMatched", "totalFeatures"):
+        if isinstance(answer.get(name), int):
+            return answer[name]
+    return None
+
+
+def read_services(
+    spark: SparkSession, services, boxes: DataFrame, only: str | None = None, *, transport: Callable[[str, dict], dict] = http_transport, ask: Callable[[str, dict], bytes] | None = http_capabilities, page: int = PAGE, max_start: int = MAX_START, pause: float = 1.0,
+) -> DataFrame:
+    """(service, layer, id, feature, crs): the features of all services' relevant layers (or of the service named) that meet any of the boxes (xmin, ymin, xmax, ymax).
+
+    Each feature comes once, however many boxes and parts of boxes it meets: it is told by its id, and where it
+    has none by its text, of which as many are kept as one box has. The services are first asked whether they offer the layers,
+    unless ask is None.
+    """
+    chosen = [s for s in services if only in (None, s.name)]
+    if not chosen:
         raise ValueError(f"unknown service {only}")
-    spark.dataSource.register(FeatureServiceSource)
-    out: dict[str, DataFrame] = {}
-    for s in services:
-        if only in (None, s.name):
-            rows = spark.read.format("wfs").options(url=s.url, layers=",".join(s.relevant_layers), version=s.version, boxes=";".join(boxes), **options).load()
-            out |= {layer: rows.where(F.col("layer") == layer) for layer in s.relevant_layers}
-    return out
+    if ask is not None:
+        check_layers(chosen, ask)
+
+    def fetch_of(row) -> Callable[[Box], Callable[[int, int], dict]]:
+        return lambda box: lambda n, start: transport(row.url, request(row.layer, row.version, " ".join(map(repr, box)), n, start))
+
+    def planned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                fetch = fetch_of(row)
+                count = lambda box: _counted(_answer(lambda: fetch(box)(1, 0), pause=pause))  # noqa: B023, E731
+                for box, n in parts_of((row.xmin, row.ymin, row.xmax, row.ymax), count, max_start):
+                    yield pd.DataFrame([(row.service, row.url, row.version, row.layer, *box, n)], columns=["service", "url", "version", "layer", *BOX, "n"]).astype({"n": "Int64"})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                n = None if pd.isna(row.n) else int(row.n)
+                rows: list[tuple] = []
+                for box, feature, crs in features_within((row.xmin, row.ymin, row.xmax, row.ymax), n, fetch_of(row), max_start, page=page, pause=pause):
+                    own = feature.get("id")
+                    rows.append((row.service, row.layer, repr(box), None if own is None else str(own), json.dumps(feature), crs))
+                    if len(rows) == 1000:
+                        yield pd.DataFrame(rows, columns=["service", "layer", "box", "id", "feature", "crs"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["service", "layer", "box", "id", "feature", "crs"])
+
+    layers = F.array(*[F.struct(F.lit(s.name).alias("service"), F.lit(s.url).alias("url"), F.lit(s.version).alias("version"), F.lit(layer).alias("layer")) for s in chosen for layer in s.relevant_layers])
+    # a row each, so that tasks share the boxes, and then the parts of crowded ones
+    asked = boxes.select(*[F.col(c).cast("double") for c in BOX], F.explode(layers).alias("s")).select("s.*", *BOX)
+    parts = asked.repartition("layer", *BOX).mapInPandas(planned, _PART)
+    found = parts.repartition("service", "layer", *BOX).mapInPandas(read, _FEATURE)
+    key = ["service", "layer", "__key"]
+    rows = found.withColumn("__key", F.coalesce("id", F.concat(F.lit("\x00"), F.md5("feature"))))
+    rows = rows.withColumn("__copy", F.when(F.col("id").isNull(), F.row_number().over(Window.partitionBy(*key, "box").orderBy("feature"))).otherwise(1))
+    return rows.dropDuplicates([*key, "__copy"]).select("service", "layer", "id", "feature", "crs")

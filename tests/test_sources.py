@@ -78,18 +78,63 @@ def answer(url, query):
 """
 
 
-def test_feature_service(spark, tmp_path):
+def test_data_source(spark, tmp_path):
     (tmp_path / "fake_wfs.py").write_text(FAKE)
     spark.sparkContext.addPyFile(str(tmp_path / "fake_wfs.py"))
-    services = [FeatureService("one", "http://nowhere", ("a", "b:c")), FeatureService("two", "http://nowhere", ("d",), "2.0.0")]
-    layers = wfs.read_services(spark, services, ["0 0 1 1", "2 2 3 3"], transport="fake_wfs:answer", page=10)
-    assert set(layers) == {"a", "b:c", "d"}
-    assert {k: v.count() for k, v in layers.items()} == {"a": 6, "b:c": 6, "d": 6}
-    row = geojson.with_geometry(layers["d"].select(F.from_json("feature", geojson._FEATURE).alias("feature"))).first()
-    assert tuple(row.point) == (1, 2) and row.properties["layer"] == "d"
-    assert set(wfs.read_services(spark, services, [""], only="two", transport="x:y")) == {"d"}
-    with pytest.raises(ValueError):
-        wfs.read_services(spark, services, [], only="three")
+    spark.dataSource.register(wfs.FeatureServiceSource)
+    rows = spark.read.format("wfs").options(url="http://nowhere", layers="a,b:c", version="2.0.0", boxes="0 0 1 1;2 2 3 3", transport="fake_wfs:answer").load()
+    assert {(r.layer, r.box): r["count"] for r in rows.groupBy("layer", "box").count().collect()} == {(k, b): 3 for k in ("a", "b:c") for b in ("0 0 1 1", "2 2 3 3")}
+    row = geojson.with_geometry(rows.select(F.from_json("feature", geojson._FEATURE).alias("feature"))).first()
+    assert tuple(row.point) == (1, 2)
+
+
+def service(counts=True, ids=True, limit=50, per_page=7):
+    """A service of points on a lattice, many of them near (1, 1), that refuses starts beyond a limit."""
+    points = [(x, y) for x in range(20) for y in range(20)] + [(1 + k / 1000, 1 + k / 2000) for k in range(300)] + [(1.1, 1.05)] * (1 if ids else 3)
+
+    def answer(url, query):
+        if query["startIndex"] > limit:
+            raise ValueError(f"start {query['startIndex']} is refused")
+        layer = query.get("typeName") or query.get("typeNames")
+        x0, y0, x1, y1 = map(float, query["bbox"].split(","))
+        inside = [k for k, (x, y) in enumerate(points) if x0 <= x <= x1 and y0 <= y <= y1 and (layer != "even" or k % 2 == 0)]
+        a, n = query["startIndex"], min(per_page, query.get("count", query.get("maxFeatures")))
+        made = [{"type": "Feature", **({"id": f"{layer}.{k}"} if ids else {}), "properties": {"url": url}, "geometry": {"type": "Point", "coordinates": points[k]}} for k in inside[a : a + n]]
+        return {"features": made, "crs": {"properties": {"name": "EPSG::28992"}}} | ({"numberMatched": len(inside)} if counts else {"numberMatched": "unknown"})
+
+    return points, answer
+
+
+@pytest.mark.parametrize(("counts", "ids"), [(True, True), (True, False), (False, True), (False, False)])
+def test_services_that_refuse_to_go_on(spark, counts, ids):
+    """Boxes that overlap and hold more than a service gives: every feature once, with and without counts and ids."""
+    points, answer = service(counts, ids)
+    boxes = spark.createDataFrame([(0.0, 0.0, 19.0, 19.0), (0.0, 0.0, 3.0, 3.0), (1.0, 1.0, 19.0, 2.0)], "xmin double, ymin double, xmax double, ymax double")
+    services = [FeatureService("one", "http://nowhere", ("all", "even")), FeatureService("two", "http://there", ("all",), "2.0.0")]
+    rows = wfs.read_services(spark, services, boxes, transport=answer, ask=None, page=100, max_start=50, pause=0)
+    assert rows.columns == ["service", "layer", "id", "feature", "crs"]
+    got = {}
+    for r in rows.collect():
+        got.setdefault((r.service, r.layer), []).append(tuple(json.loads(r.feature)["geometry"]["coordinates"]))
+    every = sorted(map(tuple, map(list, points)))
+    assert sorted(got["one", "all"]) == sorted(got["two", "all"]) == every
+    assert sorted(got["one", "even"]) == sorted(p for k, p in enumerate(points) if k % 2 == 0)
+
+
+def test_services_checks_and_boxes(spark):
+    one = [FeatureService("one", "http://nowhere", ("all",))]
+    none = spark.createDataFrame([], "xmin double, ymin double, xmax double, ymax double")
+    with pytest.raises(ValueError, match="unknown service"):
+        wfs.read_services(spark, one, none, only="three", ask=None)
+    with pytest.raises(ValueError, match="one: all"):
+        wfs.read_services(spark, one, none, ask=lambda url, query: OFFER)
+    assert wfs.read_services(spark, one, none, transport=service()[1], ask=None).count() == 0
+    same = [(0.5, 0.5)] * 99
+    crowd = lambda url, query: {"features": [{"id": k} for k in range(99)][query["startIndex"] :][:7], "numberMatched": 99 if same else 0}
+    with pytest.raises(Exception, match="more features than the service gives"):
+        wfs.read_services(spark, one, spark.createDataFrame([(0.0, 0.0, 1.0, 1.0)], none.schema), transport=crowd, ask=None, max_start=50, pause=0).collect()
+    areas = spark.createDataFrame([([[(0.0, 0.0), (4.0, 0.0), (0.0, 3.0), (0.0, 0.0)]],), (None,)], f"polygon {G.POLYGON}")
+    assert [tuple(r) for r in wfs.boxes_of(areas, 2.0).collect()] == [(-2.0, -2.0, 6.0, 5.0)]
 
 
 OFFER = b"""<w:Capabilities xmlns:w="http://www.opengis.net/wfs"><w:Name>service</w:Name><w:FeatureTypeList>
