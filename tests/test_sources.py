@@ -1,4 +1,5 @@
 import json
+import random
 import sqlite3
 import struct
 
@@ -31,6 +32,63 @@ def test_geojson_round_trip(spark, tmp_path):
     assert back.properties["id"] == "a" and len(back.polygon[0]) == 5
 
 
+def _odd_collection(n):
+    """Features with braces, quotes and backslashes in their strings, of different lengths and nesting, beside other members."""
+    tricky = ['plain', '}', '{"type": "Feature"}', '"features": [{', 'a \\ b \\\\" }', 'é ü 🙂 }{', '\\', '"', "x" * 700 + "}"]
+    made = [{"type": "Feature", "id": k, "properties": {"id": str(k), "t": tricky[k % len(tricky)], "more": {"a": [{"b": "]}"}]}}, "geometry": {"type": "Point", "coordinates": [k, -k]}} for k in range(n)]
+    return {"type": "FeatureCollection", "bbox": [0, 1], "links": [{"type": "other", "x": "}"}], "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::28992"}}, "features": made, "last": {"features": [{"y": 1}]}}
+
+
+@pytest.mark.parametrize("layout", [{"indent": 1}, {"separators": (",", ":")}, {"ensure_ascii": False}])
+def test_geojson_in_byte_ranges(spark, tmp_path, layout):
+    """Ranges that begin anywhere, also within strings, give what one range gives."""
+    whole = _odd_collection(300)
+    path = tmp_path / "big.geojson"
+    path.write_text(json.dumps(whole, **layout) + ("\n" if "indent" in layout else ""), encoding="utf-8")
+    want = sorted((f["properties"]["id"], f["properties"]["t"], float(f["id"])) for f in whole["features"])
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for size, tasks in (("128m", 1), ("6000", 8)):
+            spark.conf.set(names[0], size)
+            spark.conf.set(names[1], "1")
+            if size != "128m":
+                assert geojson._ranges(spark, str(path)).rdd.getNumPartitions() >= tasks
+            df, crs = geojson.read_geojson(spark, str(path))
+            assert sorted((r.properties["id"], r.properties["t"], r.point.x) for r in df.collect()) == want, size
+            assert [r.srid_urn for r in crs.collect()] == ["urn:ogc:def:crs:EPSG::28992"]
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("layout", [{"indent": 1}, {"separators": (",", ":")}])
+def test_geojson_pieces_of_any_ranges(layout):
+    """Cut at any braces, the pieces put together are the features, and nothing of them is in the frame."""
+    whole, rng = _odd_collection(60), random.Random(3)
+    texts = json.dumps(whole, **layout).split("}")[:-1]
+    for chance in (0.02, 0.2, 1.0):
+        cuts = [0, *[k for k in range(1, len(texts)) if rng.random() < chance], len(texts)]
+        ranges = [(a, texts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        effects = [dict(zip(("c0", "o0", "q0", "c1", "o1", "q1"), [*geojson.effect(iter(t), False), *geojson.effect(iter(t), True)], strict=True), file="f", start=a) for a, t in ranges]
+        known, got, frame, open_ = geojson.starts(effects), [], "", None
+        for a, t in ranges:
+            for kind, text in geojson.pieces(iter(t), *known["f", a]):
+                if kind == "frame":
+                    frame += text
+                else:
+                    open_ = text if kind in ("whole", "head") else open_ + text
+                    got += [json.loads(open_)] if kind in ("whole", "tail") else []
+        assert got == [*whole["links"][:0], *whole["links"], *whole["features"]] and "geometry" not in frame
+
+
+def test_geojson_of_several_files_and_none(spark, tmp_path):
+    for name, features in (("a", FEATURES[:2]), ("b", FEATURES[2:]), ("c", [])):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"features": features, "type": "FeatureCollection"}))
+    df, crs = geojson.read_geojson(spark, str(tmp_path))
+    assert sorted(r.properties["id"] for r in df.collect()) == ["a", "b", "c"] and [r.srid_urn for r in crs.collect()] == [None] * 3
+
+
 def test_timestamped_features(spark):
     df = spark.sql("SELECT 5.0 AS distance_to_erosion, timestamp'2025-01-01' AS timestamp UNION ALL SELECT -1.0, timestamp'2026-01-01'")
     got = [json.loads(r.value) for r in geojson.timestamped_features(df, G.line([(0, 0), (4, 0)])).collect()]
