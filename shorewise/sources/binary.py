@@ -1,8 +1,11 @@
 """GeoPackage and shapefile layers.
 
 The files come through Spark's binary reader, so any file system that Spark knows
-will do, and are decoded file by file on the executors; a GeoPackage is opened
-from a scratch copy in the task's own temporary folder, gone when the task ends.
+will do. A GeoPackage is decoded by one task, from a scratch copy in the task's own
+temporary folder, gone when the task ends. A shapefile, which by its format has at most
+2 GB, is read by one task, cut into ranges of records by its index, and decoded range by range
+in parallel, each with its rows of the attribute table; without an index the records' own
+lengths tell the ranges, and without a table properties are empty. Records that the table marks as deleted are left out.
 Rows are (layer, properties as JSON text, gtype, polygons as rings of points; a
 point or a line is one ring of one polygon). An object is one row, however many
 polygons it has; a shapefile's line of several parts is one row for each.
@@ -11,6 +14,7 @@ polygons it has; a shapefile's line of several parts is one row for each.
 from __future__ import annotations
 
 import json
+import math
 import sqlite3
 import struct
 import tempfile
@@ -85,7 +89,7 @@ def _geopackages(layer: str | None):
                     scratch.write(content)
                     scratch.flush()
                     con = sqlite3.connect(scratch.name)
-                    rows = []
+                    rows: list[tuple] = []
                     for name, column in _layers(con):
                         if layer in (None, name) and column:
                             cursor = con.execute(f'SELECT * FROM "{name}"')  # noqa: S608
@@ -95,6 +99,9 @@ def _geopackages(layer: str | None):
                                 blob = values.pop(column)
                                 kind, rings = decode_geopackage_blob(blob) if blob else (None, None)
                                 rows.append((name, json.dumps(values, default=str), kind, rings if kind in (None, "MultiPolygon") else [rings]))
+                                if len(rows) == RANGE_RECORDS:
+                                    yield pd.DataFrame(rows, columns=["layer", "properties", "gtype", "polygons"])
+                                    rows = []
                     con.close()
                 yield pd.DataFrame(rows, columns=["layer", "properties", "gtype", "polygons"])
 
@@ -122,50 +129,135 @@ def list_layers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(f, "layer string").distinct()
 
 
-def decode_shapes(data: bytes) -> Iterator[tuple[str | None, list | None]]:
-    """Type and polygons of each object of a .shp file (a point or a line as one ring of one), each part of a line by itself; a null shape is (None, None). A clockwise ring begins a polygon, others are its holes."""
-    at = 100
-    while at + 8 <= len(data):
-        (words,) = struct.unpack_from(">i", data, at + 4)
-        at += 8
-        (code,) = struct.unpack_from("<i", data, at)
-        kind = SHAPE_TYPES.get(code % 10) if code else None
-        if code and kind is None:
-            raise ValueError(f"shape type {code} isn't supported")
-        if kind is None:
-            yield None, None
-        elif kind == "Point":
-            x, y = struct.unpack_from("<2d", data, at + 4)
-            yield kind, [[[{"x": x, "y": y}]]]
+def decode_shape(data: bytes, at: int) -> list[tuple[str | None, list | None]]:
+    """Type and polygons of the record's shape at `at` (a point or a line as one ring of one), each part of a line by itself; a null shape is (None, None). A clockwise ring begins a polygon, others are its holes."""
+    (code,) = struct.unpack_from("<i", data, at)
+    kind = SHAPE_TYPES.get(code % 10) if code else None
+    if code and kind is None:
+        raise ValueError(f"shape type {code} isn't supported")
+    if kind is None:
+        return [(None, None)]
+    if kind == "Point":
+        x, y = struct.unpack_from("<2d", data, at + 4)
+        return [(kind, [[[{"x": x, "y": y}]]])]
+    parts, points = struct.unpack_from("<2i", data, at + 36)
+    starts = [*struct.unpack_from(f"<{parts}i", data, at + 44), points]
+    flat = struct.unpack_from(f"<{2 * points}d", data, at + 44 + 4 * parts)
+    rings = [[{"x": flat[2 * i], "y": flat[2 * i + 1]} for i in range(a, b)] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    if kind == "LineString":
+        return [(kind, [[ring]]) for ring in rings]
+    polygons: list[list] = []
+    for ring in rings:
+        turn = sum(p["x"] * q["y"] - q["x"] * p["y"] for p, q in zip(ring[:-1], ring[1:], strict=True))
+        if not polygons or turn < 0:
+            polygons.append([ring])
         else:
-            parts, points = struct.unpack_from("<2i", data, at + 36)
-            starts = [*struct.unpack_from(f"<{parts}i", data, at + 44), points]
-            flat = struct.unpack_from(f"<{2 * points}d", data, at + 44 + 4 * parts)
-            rings = [[{"x": flat[2 * i], "y": flat[2 * i + 1]} for i in range(a, b)] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            polygons: list[list] = []
-            for ring in rings:
-                turn = sum(p["x"] * q["y"] - q["x"] * p["y"] for p, q in zip(ring[:-1], ring[1:], strict=True))
-                if kind == "LineString" or not polygons or turn < 0:
-                    polygons.append([ring])
-                else:
-                    polygons[-1].append(ring)
-            if kind == "LineString":
-                yield from ((kind, [line]) for line in polygons)
-            else:
-                yield kind if len(polygons) == 1 else "MultiPolygon", polygons
-        at += 2 * words
-
-
-def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """Shapes of .shp files; the layer is the file's path, attributes aren't read."""
+            polygons[-1].append(ring)
+    return [(kind if len(polygons) == 1 else "MultiPolygon", polygons)]
+
+
+def record_places(shp: bytes, shx: bytes | None) -> list[tuple[int, int]]:
+    """Where each record begins and ends: from the index, or record by record."""
+    if shx:
+        n = (len(shx) - 100) // 8
+        words = struct.unpack_from(f">{2 * n}i", shx, 100)
+        return [(2 * p, 2 * p + 8 + 2 * length) for p, length in zip(words[::2], words[1::2], strict=True)]
+    at, out = 100, []
+    while at + 8 <= len(shp):
+        end = at + 8 + 2 * struct.unpack_from(">i", shp, at + 4)[0]
+        out.append((at, end))
+        at = end
+    return out
+
+
+def table_fields(dbf: bytes) -> tuple[int, int, list[tuple[str, str, int]]]:
+    """Length of an attribute table's head and of its rows, and name, type and length of each field."""
+    head, row = struct.unpack_from("<2H", dbf, 8)
+    fields, at = [], 32
+    while at + 32 <= head and dbf[at] != 0x0D:
+        name = dbf[at : at + 11].split(b"\0")[0].decode("latin-1")
+        fields.append((name, chr(dbf[at + 11]), dbf[at + 16]))
+        at += 32
+    return head, row, fields
+
+
+def table_row(row: bytes, fields: list[tuple[str, str, int]], encoding: str) -> dict | None:
+    """A row's values by field: text, numbers, ISO dates, booleans; None for a row marked as deleted. What is blank or can't be read is null."""
+    if row[:1] == b"*":
+        return None
+    values, at = {}, 1
+    for name, kind, length in fields:
+        raw = row[at : at + length]
+        at += length
+        if kind == "I":
+            values[name] = struct.unpack("<i", raw)[0] if length == 4 else None
+            continue
+        text = raw.decode(encoding, "replace").strip(" \0")
+        if not text:
+            value = None
+        elif kind in "NF":
+            try:
+                value = int(text) if kind == "N" and "." not in text and "e" not in text.lower() else float(text)
+                value = value if math.isfinite(value) else None
+            except ValueError:
+                value = None
+        elif kind == "D":
+            value = f"{text[:4]}-{text[4:6]}-{text[6:8]}" if len(text) == 8 and text.isdigit() else None
+        elif kind == "L":
+            value = {"T": True, "Y": True, "F": False, "N": False}.get(text.upper())
+        else:
+            value = text
+        values[name] = value
+    return values
+
+
+#: Records that a task decodes at once.
+RANGE_RECORDS = 5000
+_RANGE = "layer string, first long, places array<long>, shapes binary, rows binary, width int, fields string, encoding string"
 
+
+def _record_ranges(range_records: int):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [(p, "{}", kind, polygons) for kind, polygons in decode_shapes(content)]
-                yield pd.DataFrame(rows, columns=["layer", "properties", "gtype", "polygons"])
+            for r in pdf.itertuples(index=False):
+                places = record_places(r.shp, r.shx)
+                head, width, fields = table_fields(r.dbf) if r.dbf else (0, 0, [])
+                encoding = bytes(r.cpg).decode("ascii", "replace").strip() if r.cpg else "latin-1"
+                try:
+                    "".encode(encoding)
+                except LookupError:
+                    encoding = "latin-1"
+                for a in range(0, len(places), range_records):
+                    some = places[a : a + range_records]
+                    low, high = min(p for p, _ in some), max(e for _, e in some)
+                    rows = r.dbf[head + a * width : head + (a + len(some)) * width] if r.dbf else b""
+                    yield pd.DataFrame([(r.layer, a, [p - low for p, _ in some], r.shp[low:high], rows, width, json.dumps(fields), encoding)], columns=["layer", "first", "places", "shapes", "rows", "width", "fields", "encoding"])
+
+    return f
+
 
-    return with_shapes(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(f, _SCHEMA))
+def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            fields, rows = json.loads(r.fields), []
+            for k, at in enumerate(r.places):
+                row = r.rows[k * r.width : (k + 1) * r.width]
+                values = table_row(row, fields, r.encoding) if row else {}
+                if values is not None:
+                    text = json.dumps(values, ensure_ascii=False)
+                    rows += [(r.layer, text, kind, polygons) for kind, polygons in decode_shape(r.shapes, int(at) + 8)]
+            yield pd.DataFrame(rows, columns=["layer", "properties", "gtype", "polygons"])
+
+
+def read_shapefile(spark: SparkSession, path: str, range_records: int = RANGE_RECORDS) -> DataFrame:
+    """Shapes and attributes (as JSON text) of a .shp file, or of all in a folder; the layer is the .shp file's path. Index, table and code page lie beside it under the same name."""
+    reader = spark.read.format("binaryFile")
+    files = reader.load(path[:-4] + ".{shp,shx,dbf,cpg}") if path.lower().endswith(".shp") else reader.option("pathGlobFilter", "*.{shp,shx,dbf,cpg}").load(path)
+    own = F.regexp_extract("path", r"^(.*)\.(\w+)$", 1)
+    kinds = [F.max(F.when(F.col("path").endswith(f".{k}"), F.col("content"))).alias(k) for k in ("shp", "shx", "dbf", "cpg")]
+    whole = files.groupBy(F.concat(own, F.lit(".shp")).alias("layer")).agg(*kinds).where("shp IS NOT NULL")
+    ranges = whole.mapInPandas(_record_ranges(range_records), _RANGE)
+    return with_shapes(ranges.repartition("layer", "first").mapInPandas(_decoded, _SCHEMA))
 
 
 def with_shapes(rows: DataFrame) -> DataFrame:

@@ -249,8 +249,52 @@ def test_shapefile(spark, tmp_path):
     records = b"".join(struct.pack(">2i", i + 1, len(b) // 2) + b for i, b in enumerate((body, point, struct.pack("<i", 0))))
     (tmp_path / "x.shp").write_bytes(b"\x00" * 100 + records)
     rows = binary.read_shapefile(spark, str(tmp_path / "x.shp"))
-    assert [r.gtype for r in rows.collect()] == ["Polygon", "Point", None]
+    assert [(r.gtype, r.properties) for r in rows.collect()] == [("Polygon", "{}"), ("Point", "{}"), (None, "{}")]
     assert rows.where("gtype = 'Polygon'").select(G.area(F.col("polygon"))).first()[0] == 15
     assert regions.shapes_of(rows.where("gtype = 'Polygon'"), "polygon").select(G.parts_area(F.col("shape"))).first()[0] == 15
     with pytest.raises(Exception, match="only polygon geometries"):
         regions.shapes_of(rows, "polygon").select("shape").collect()
+
+
+FIELDS = [("name", "C", 12, 0), ("n", "N", 8, 0), ("share", "N", 10, 3), ("seen", "D", 8, 0), ("ok", "L", 1, 0), ("wide", "F", 12, 2)]
+
+
+def _write_shapefile(folder, name, records, encoding="utf-8", index=True):
+    """records: (deleted, shape as bytes, values)."""
+    at, shapes, places, rows = 100, b"", b"", b""
+    for k, (deleted, shape, values) in enumerate(records):
+        shapes += struct.pack(">2i", k + 1, len(shape) // 2) + shape
+        places += struct.pack(">2i", at // 2, len(shape) // 2)
+        at += 8 + len(shape)
+        rows += b"*" if deleted else b" "
+        for (_, kind, width, _), v in zip(FIELDS, values, strict=True):
+            text = (v.encode(encoding) if kind == "C" else v.encode()) if v is not None else b""
+            rows += text.ljust(width) if kind == "C" else text.rjust(width)
+    width = 1 + sum(f[2] for f in FIELDS)
+    head = 32 + 32 * len(FIELDS) + 1
+    described = b"".join(n.encode().ljust(11, b"\0") + k.encode() + b"\0" * 4 + bytes([w, d]) + b"\0" * 14 for n, k, w, d in FIELDS)
+    (folder / f"{name}.shp").write_bytes(b"\0" * 100 + shapes)
+    (folder / f"{name}.dbf").write_bytes(struct.pack("<4BI2H", 3, 120, 1, 1, len(records), head, width) + b"\0" * 20 + described + b"\r" + rows + b"\x1a")
+    (folder / f"{name}.cpg").write_text(encoding.upper())
+    if index:
+        (folder / f"{name}.shx").write_bytes(b"\0" * 100 + places)
+
+
+@pytest.mark.parametrize("index", [True, False])
+def test_shapefile_attributes_in_ranges(spark, tmp_path, index):
+    """Names, numbers, dates and deleted records, over many ranges of records, with and without an index."""
+    point = lambda x: struct.pack("<i2d", 1, x, -x)
+    line = struct.pack("<i4d2i", 3, 0, 0, 4, 4, 2, 4) + struct.pack("<2i", 0, 2) + struct.pack("<8d", 0, 0, 1, 1, 2, 2, 3, 3)
+    records = [(k % 7 == 3, point(k), (f"plaats é {k}", str(k), f"{k / 8:.3f}", f"2024{k % 12 + 1:02}15", "TF?"[k % 3], f"{k}.5")) for k in range(53)]
+    records += [(False, line, ("two parts", "1", None, None, "Y", "-1.25")), (False, struct.pack("<i", 0), (None, "x", "***", "notadate", None, None))]
+    _write_shapefile(tmp_path, "layer", records, index=index)
+    rows = binary.read_shapefile(spark, str(tmp_path / "layer.shp"), range_records=10)
+    got = [(r.gtype, json.loads(r.properties), r.point.x if r.point else None) for r in rows.collect()]
+    want = [("Point", {"name": v[0], "n": k, "share": k / 8, "seen": f"2024-{k % 12 + 1:02}-15", "ok": [True, False, None][k % 3], "wide": k + 0.5}, float(k)) for k, (deleted, _, v) in enumerate(records[:53]) if not deleted]
+    assert sorted((x for x in got if x[0] == "Point"), key=lambda x: x[2]) == want
+    assert [x[1] for x in got if x[0] == "LineString"] == [{"name": "two parts", "n": 1, "share": None, "seen": None, "ok": True, "wide": -1.25}] * 2
+    assert [x[1] for x in got if x[0] is None] == [dict.fromkeys(n for n, *_ in FIELDS)]
+    _write_shapefile(tmp_path, "other", records[:2], encoding="latin-1")
+    both = binary.read_shapefile(spark, str(tmp_path))
+    assert both.count() == len(got) + 2 and both.select("layer").distinct().count() == 2
+    assert json.loads(both.where("layer LIKE '%other.shp'").orderBy("properties").first().properties)["name"] == "plaats é 0"
