@@ -208,12 +208,18 @@ def _example_counts(vocabulary: dict[str, int]):
     return f
 
 
+def is_drawn(doc_id: Column, share: Column) -> Column:
+    """Whether a document is in a sample of that share, however small: two hashes make a number from 0 to 1 with a step of 5e-16."""
+    first, second = F.pmod(F.xxhash64(F.lit("example"), doc_id), F.lit(1_000_000)), F.pmod(F.xxhash64(F.lit("rest"), doc_id), F.lit(2**31))
+    return first + second / F.lit(2.0**31) < share * 1_000_000
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, sample_rows: int = SAMPLE_ROWS, terms: int = TERMS) -> Model:
     """learn: condition on doc_id. The driver gets the chosen terms and the examples' counts of them, no texts."""
     known = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     shares = {r.toxic: min(1.0, sample_rows / r["count"]) for r in known.groupBy("toxic").count().collect()}
-    limit = F.when(F.col("toxic") == 1, int(shares.get(1, 1) * 1_000_000)).otherwise(int(shares.get(0, 1) * 1_000_000))
-    drawn = known.where(F.pmod(F.xxhash64(F.lit("example"), "doc_id"), F.lit(1_000_000)) < limit)
+    share = F.when(F.col("toxic") == 1, shares.get(1, 1.0)).otherwise(shares.get(0, 1.0))
+    drawn = known.where(is_drawn(F.col("doc_id"), share))
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)

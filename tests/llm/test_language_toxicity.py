@@ -164,3 +164,10 @@ def test_model_against_plain_code(spark):
         assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-3)
         evidence = [int(j) for j in r.evidence.split(",") if j]
         assert [dict((j, c) for c, j in near)[j] for j in evidence] == pytest.approx(sorted(cosine, reverse=True)[:3], abs=1e-4)
+
+
+def test_draw_of_any_share(spark):
+    """A share below a millionth draws its part, and a share of one draws all."""
+    ids = spark.range(30_000_000).select("id")
+    drawn = {s: ids.where(X.is_drawn(F.col("id"), F.lit(s))).count() for s in (1.0, 3.4e-6, 4e-7)}
+    assert drawn[1.0] == 30_000_000 and 60 <= drawn[3.4e-6] <= 145 and 3 <= drawn[4e-7] <= 25
