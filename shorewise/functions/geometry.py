@@ -318,7 +318,12 @@ def offset(of: Column, by: Column) -> Column:
     return F.transform(of, lambda p: point(p["x"] - dy * scale, p["y"] + dx * scale))
 
 
+def side_of(of: Column, other: Column) -> Column:
+    """On which side of a line of two points another line is nearer: 1 for the left one, else -1."""
+    nearer = lambda m: line_distance(other, offset(m, F.lit(1.0))) < line_distance(other, m)
+    return let(of, lambda m: F.when(nearer(m), 1.0).otherwise(-1.0))
+
+
 def move_to_side(of: Column, by: Column, centerline: Column) -> Column:
     """A line of two points moved by a distance towards the centerline (away from it by a negative one)."""
-    nearer = lambda m: line_distance(centerline, offset(m, F.lit(1.0))) < line_distance(centerline, m)
-    return let(of, lambda m: offset(m, F.when(nearer(m), by).otherwise(-by)))
+    return let(of, lambda m: offset(m, by * side_of(m, centerline)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from shorewise.config import DataConfiguration, shifted_name
@@ -29,6 +29,22 @@ def dropped_rows(complete: DataFrame, names: list[str]) -> DataFrame:
     return counted.withColumn("percent_dropped", F.try_divide(F.col("n_dropped") * 100.0, F.col("n_rows")))
 
 
+def counted(complete: DataFrame, names: list[str]) -> tuple[DataFrame, Observation]:
+    """The rows of a feature table without nulls among the columns, and an observation of n_rows and n_dropped that is filled by the pass that uses the rows."""
+    whole = reduce(lambda a, b: a & b, [F.col(f"`{n}`").isNotNull() for n in names], F.lit(True))
+    seen = Observation()
+    return complete.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(~whole).alias("n_dropped")).where(whole), seen
+
+
+def write_features(df: DataFrame, path: str, config: DataConfiguration, codes: dict[str, dict[str, int]] | None = None) -> dict[str, float | None]:
+    """Writes the feature table, and gives n_rows, n_dropped and percent_dropped from the same pass."""
+    complete, names = feature_table(df, config, codes, keep_incomplete=True)
+    rows, seen = counted(complete, names["numerical"] + names["categorical"])
+    rows.write.mode("overwrite").parquet(path)
+    n = seen.get
+    return {**n, "percent_dropped": 100.0 * n["n_dropped"] / n["n_rows"] if n["n_rows"] else None}
+
+
 def encode_category(column: Column, codes: dict[str, int]) -> Column:
     """The category's code; -1 for null and unknown ones."""
     if not codes:
@@ -46,6 +62,12 @@ def difference(column: str, key: str, time: str) -> Column:
     return F.col(column) - F.lag(column).over(Window.partitionBy(key).orderBy(time))
 
 
+def shift(column: str, by: int, key: str, time: str) -> Column:
+    """The value so many rows earlier in the region, or later if `by` is negative."""
+    w = Window.partitionBy(key).orderBy(time)
+    return F.lag(f"`{column}`", by).over(w) if by >= 0 else F.lead(f"`{column}`", -by).over(w)
+
+
 def feature_table(df: DataFrame, config: DataConfiguration, codes: dict[str, dict[str, int]] | None = None, keep_incomplete: bool = False) -> tuple[DataFrame, dict[str, list[str]]]:
     """The keys and all shifted columns, rows with a null among them dropped; and the columns' names by kind.
 
@@ -74,7 +96,7 @@ def feature_table(df: DataFrame, config: DataConfiguration, codes: dict[str, dic
     for name, kind in made:
         for past, shifts in ((True, range(config.number_of_lags)), (False, range(1, config.number_of_futures + 1))):
             for k in shifts:
-                shifted.append((F.lag if past else F.lead)(f"`{name}`", k).over(w).alias(shifted_name(name, k, past)))
+                shifted.append(shift(name, k if past else -k, key, time).alias(shifted_name(name, k, past)))
                 names[kind].append(shifted_name(name, k, past))
     out = df.select(*base).select(key, time, *shifted)
     every = names["numerical"] + names["categorical"]

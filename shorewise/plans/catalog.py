@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shorewise.config import DataConfiguration
 from shorewise.functions import crs, curves
 from shorewise.functions import geometry as G
 from shorewise.functions.text import epsg_from_urn
-from shorewise.operators import features, model, observations, regions
+from shorewise.operators import bank as banks
+from shorewise.operators import features, model, observations, regions, rows
 from shorewise.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,9 +77,8 @@ def diff_feature(spark, sf_dir):
 
 
 def _shift(spark, sf_dir, past: bool) -> DataFrame:
-    w = Window.partitionBy("location_id").orderBy("ahn_version")
-    f = F.lag if past else F.lead
-    return _processed(spark, sf_dir).select(*KEYS, *[_r(f("distance_to_erosion_border", k).over(w), f"{'past' if past else 'future'}_{k}") for k in range(0 if past else 1, 3)])
+    shifts = range(0 if past else 1, 3)
+    return _processed(spark, sf_dir).select(*KEYS, *[_r(features.shift("distance_to_erosion_border", k if past else -k, *KEYS), f"{'past' if past else 'future'}_{k}") for k in shifts])
 
 
 _SHIFT_SQL = "SELECT location_id, ahn_version, {} FROM processed WINDOW w AS (PARTITION BY location_id ORDER BY ahn_version)"
@@ -150,10 +152,21 @@ def predict_long(spark, sf_dir):
     return model.unpivot_prediction(_predicted(spark, sf_dir)).select(*KEYS, _r("distance_to_erosion", "distance_to_erosion"), "timestamp")
 
 
-@query(f"WITH {V.PROCESSED_SQL}, {V.MODEL_SQL}, known AS (SELECT * FROM model WHERE location_id <> 1) SELECT location_id, ahn_version, round(distance_to_erosion_border + erosion_speed, 6) + 0.0 AS future_distance_to_erosion_border_1 FROM processed JOIN known USING (location_id) WHERE NOT EXISTS (SELECT 1 FROM processed p WHERE p.location_id NOT IN (SELECT location_id FROM known))")
+_STEP_SQL = "location_id, ahn_version, round(distance_to_erosion_border + erosion_speed, 6) + 0.0 AS future_distance_to_erosion_border_1 FROM processed JOIN"
+
+
+@query(f"""WITH {V.PROCESSED_SQL}, {V.MODEL_SQL}, known AS (SELECT * FROM model WHERE location_id % 10 <> 1)
+SELECT 'every region known' AS told, {_STEP_SQL} model USING (location_id) WHERE NOT EXISTS (SELECT 1 FROM processed p WHERE p.location_id NOT IN (SELECT location_id FROM model))
+UNION ALL SELECT 'unknown left out', {_STEP_SQL} known USING (location_id)
+UNION ALL SELECT 'unknown stop all', {_STEP_SQL} known USING (location_id) WHERE NOT EXISTS (SELECT 1 FROM processed p WHERE p.location_id NOT IN (SELECT location_id FROM known))""")
 def unknown_region_guard(spark, sf_dir):
+    """A model that lacks some regions predicts nothing if strict, and the others if not; one that knows all predicts all."""
     df = _processed(spark, sf_dir)
-    return model.predict(df, model.mean_step_speed(df).where("location_id <> 1"), 1).select(*KEYS, _r(f"{model.PREDICTION}_1", f"{model.PREDICTION}_1"))
+    whole = model.mean_step_speed(df)
+    some = whole.where("location_id % 10 <> 1")
+    cases = [("every region known", whole, True), ("unknown left out", some, False), ("unknown stop all", some, True)]
+    parts = [model.predict(df, m, 1, strict=strict).select(F.lit(told).alias("told"), *KEYS, _r(f"{model.PREDICTION}_1", f"{model.PREDICTION}_1")) for told, m, strict in cases]
+    return rows.appended(*parts)
 
 
 @query(f"WITH {V.PROCESSED_SQL} SELECT location_id, ahn_version FROM processed WHERE ahn_version = (SELECT max(ahn_version) FROM processed)")
@@ -305,8 +318,8 @@ _ARC = f"({curves.QUARTER / 2} * sin(pi() / {2 * curves.QUARTER}))"
 @query(f"WITH {V.RECTS_SQL} SELECT location_id, xmin - 10 AS xmin, ymin - 10 AS ymin, xmax + 10 AS xmax, ymax + 10 AS ymax, round(5500 + 320 * 10 + 4 * {_ARC} * 100, 6) AS area, TRUE AS holds FROM rects")
 def buffered_regions(spark, sf_dir):
     """Bounds and area of the regions widened by 10, and whether each region lies in its widened shape."""
-    rows = V.rects(spark, sf_dir).select("location_id", "polygon", curves.buffered(F.col("polygon"), F.lit(10.0)).alias("wide"))
-    box = rows.select("location_id", G.bounds(F.col("wide")).alias("b"), _r(G.area(F.col("wide")), "area"), G.polygon_within(F.col("polygon"), F.col("wide")).alias("holds"))
+    found = V.rects(spark, sf_dir).select("location_id", "polygon", curves.buffered(F.col("polygon"), F.lit(10.0)).alias("wide"))
+    box = found.select("location_id", G.bounds(F.col("wide")).alias("b"), _r(G.area(F.col("wide")), "area"), G.polygon_within(F.col("polygon"), F.col("wide")).alias("holds"))
     return box.select("location_id", *[_r(f"b.{c}", c) for c in ("xmin", "ymin", "xmax", "ymax")], "area", "holds")
 
 
@@ -327,34 +340,44 @@ def buffered_shapes(spark, sf_dir):
         "point": ("point", G.point(F.col("xmin"), F.col("ymin"))),
     }
     r = (1 + F.col("location_id") % 7).cast("double")
-    rows = V.rects(spark, sf_dir).select("location_id", r.alias("r"), *[curves.buffered(shape, r, kind).alias(n) for n, (kind, shape) in shapes.items()])
+    found = V.rects(spark, sf_dir).select("location_id", r.alias("r"), *[curves.buffered(shape, r, kind).alias(n) for n, (kind, shape) in shapes.items()])
     near = lambda n: F.abs(G.area(F.col(n)) / F.expr(_BUFFERS[n].replace("arc", "(pi() / 4)")) - 1) < 0.001
     ends = [_r(G.bounds(F.col(n))[c], f"{n}_{c}") for n, c in (("bent", "xmin"), ("bent", "ymax"), ("line", "xmax"), ("point", "ymin"))]
-    return rows.select("location_id", *[_r(G.area(F.col(n)), f"{n}_area") for n in shapes], *[near(n).alias(f"{n}_near") for n in shapes if n != "point"], *ends)
+    return found.select("location_id", *[_r(G.area(F.col(n)), f"{n}_area") for n in shapes], *[near(n).alias(f"{n}_near") for n in shapes if n != "point"], *ends)
 
 
 @query(f"WITH {V.OBJS_SQL} SELECT p_brand, round(sum(w * h) / 10000, 6) AS hectares FROM objs GROUP BY 1")
 def area_hectares(spark, sf_dir):
-    return V.objs(spark, sf_dir).groupBy("p_brand").agg(_r(F.sum(G.area(F.col("shape"))) / 10000, "hectares"))
+    return rows.area_by(V.objs(spark, sf_dir), "p_brand", F.col("shape"), name="hectares").select("p_brand", _r("hectares", "hectares"))
 
 
 @query(f"WITH {V.BANK_SQL} SELECT event_id, d FROM bank ORDER BY d, event_id LIMIT 5")
 def head_rows(spark, sf_dir):
-    return V.bank(spark, sf_dir).orderBy("d", "event_id").limit(5).select("event_id", "d")
+    return rows.head(V.bank(spark, sf_dir), 5, "d", "event_id").select("event_id", "d")
+
+
+@query("SELECT event_id, event_type FROM events WHERE ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT < 1073741824")
+def sample_rows(spark, sf_dir):
+    """A quarter of the events."""
+    return rows.sampled(V.bank(spark, sf_dir), "event_id", 0.25).select("event_id", "event_type")
 
 
 @query(f"WITH {V.BANK_SQL} SELECT location_id, arg_min(event_id, (ahn_version, event_id)) AS first_event, arg_max(event_id, (ahn_version, event_id)) AS last_event FROM bank GROUP BY 1")
 def positional_pick(spark, sf_dir):
     """The first and the last row of each region in order of time."""
-    order = F.struct("ahn_version", "event_id")
-    return V.bank(spark, sf_dir).groupBy("location_id").agg(F.min_by("event_id", order).alias("first_event"), F.max_by("event_id", order).alias("last_event"))
+    found = rows.ends(V.bank(spark, sf_dir), "location_id", "event_id", ["ahn_version", "event_id"])
+    return found.select("location_id", F.col("first").alias("first_event"), F.col("last").alias("last_event"))
+
 
+_COVER = "CASE WHEN p_size % 3 = 0 THEN 'Grasland' WHEN p_size % 3 = 1 THEN 'Gras en Akker' WHEN p_size % 5 <> 0 THEN p_brand END"
 
-@query("SELECT c AS column_name, v AS category, k AS code FROM (VALUES ('BrpGewas_majority_class_category', 'Grasland', 0), ('rws_vegetatielegger:vegetatieklassen_majority_class_vlklasse', 'Gras en Akker', 0)) t(c, v, k)")
+
+@query(f"SELECT p_partkey, CASE {_COVER} WHEN 'Grasland' THEN 0 ELSE -1 END AS crop, CASE {_COVER} WHEN 'Gras en Akker' THEN 0 ELSE -1 END AS vegetation FROM part")
 def category_codes(spark, sf_dir):
-    """The default codes of categories by column."""
-    rows = [(c, v, k) for c, codes in features.category_codes().items() for v, k in codes.items()]
-    return spark.createDataFrame(rows, "column_name string, category string, code int")
+    """A column of classes by the default codes of two columns."""
+    crop, vegetation = features.category_codes().values()
+    parts = V.read(spark, sf_dir, "part").select("p_partkey", F.expr(_COVER).alias("cover"))
+    return parts.select("p_partkey", features.encode_category(F.col("cover"), crop).alias("crop"), features.encode_category(F.col("cover"), vegetation).alias("vegetation"))
 
 
 @query(f"""WITH {V.PROCESSED_SQL}, shifted AS (SELECT timesteps_since_last_measurement AS t, lead(timesteps_since_last_measurement) OVER w AS f,
@@ -405,17 +428,60 @@ def offset_border(spark, sf_dir):
     """The border, moved to each region, and from there to its left or right by a distance of the region's own, with mitred bends."""
     d = (5 + F.col("location_id") % 11) * F.when(F.col("location_id") % 2 == 0, 1).otherwise(-1)
     own = F.transform(_border(), lambda p: G.point(p["x"] + F.col("xmin"), p["y"]))
-    rows = V.rects(spark, sf_dir).select("location_id", F.explode(curves.offset_curve(own, d)).alias("line"))
-    return rows.select("location_id", F.posexplode("line").alias("i", "p")).select("location_id", "i", _r("p.x", "x"), _r("p.y", "y"))
+    found = V.rects(spark, sf_dir).select("location_id", F.explode(curves.offset_curve(own, d)).alias("line"))
+    return found.select("location_id", F.posexplode("line").alias("i", "p")).select("location_id", "i", _r("p.x", "x"), _r("p.y", "y"))
+
+
+def _gap_sql(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
+    """Squared distance of a point from a segment."""
+    t = f"greatest(0.0, least(1.0, coalesce((({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / nullif(({bx} - {ax}) * ({bx} - {ax}) + ({by} - {ay}) * ({by} - {ay}), 0), 0.0)))"
+    return f"(pow({ax} + {t} * ({bx} - {ax}) - {px}, 2) + pow({ay} + {t} * ({by} - {ay}) - {py}, 2))"
+
 
+def _turn_sql(ax: str, ay: str, bx: str, by: str, cx: str, cy: str) -> str:
+    return f"sign(({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax}))"
 
-@query()
+
+def _segments_gap_sql(s: tuple[str, ...], t: tuple[str, ...]) -> str:
+    """Squared distance of two segments; 0 if they meet."""
+    ends = [_gap_sql(*s[:2], *t), _gap_sql(*s[2:], *t), _gap_sql(*t[:2], *s), _gap_sql(*t[2:], *s)]
+    apart = [f"greatest({s[k]}, {s[k + 2]}) < least({t[k]}, {t[k + 2]})" for k in (0, 1)] + [f"greatest({t[k]}, {t[k + 2]}) < least({s[k]}, {s[k + 2]})" for k in (0, 1)]
+    apart += [f"{_turn_sql(*s, *t[:2])} * {_turn_sql(*s, *t[2:])} > 0", f"{_turn_sql(*t, *s[:2])} * {_turn_sql(*t, *s[2:])} > 0"]
+    return f"CASE WHEN {' OR '.join(apart)} THEN least({', '.join(ends)}) ELSE 0.0 END"
+
+
+def _box_gap_sql() -> str:
+    """Squared distance of a rectangle and a segment of `ls`; 0 if they meet."""
+    spans = []
+    for k, low, high in (("x", "xmin", "xmax"), ("y", "ymin", "ymax")):
+        a, d = f"a{k}", f"({'bx' if k == 'x' else 'by_'} - a{k})"
+        flat = f"{a} BETWEEN {low} AND {high}"
+        one, other = f"({low} - {a}) / {d}", f"({high} - {a}) / {d}"
+        spans.append((f"CASE WHEN {d} = 0 THEN CASE WHEN {flat} THEN 0.0 ELSE 2.0 END ELSE least({one}, {other}) END", f"CASE WHEN {d} = 0 THEN CASE WHEN {flat} THEN 1.0 ELSE -1.0 END ELSE greatest({one}, {other}) END"))
+    meet = f"greatest(0.0, {spans[0][0]}, {spans[1][0]}) <= least(1.0, {spans[0][1]}, {spans[1][1]})"
+    corners = [_gap_sql(x, y, "ax", "ay", "bx", "by_") for x in ("xmin", "xmax") for y in ("ymin", "ymax")]
+    ends = [f"(pow(greatest(0.0, xmin - {x}, {x} - xmax), 2) + pow(greatest(0.0, ymin - {y}, {y} - ymax), 2))" for x, y in (("ax", "ay"), ("bx", "by_"))]
+    return f"CASE WHEN {meet} THEN 0.0 ELSE least({', '.join(corners + ends)}) END"
+
+
+_M, _M1, _T = ("m.ax", "m.ay", "m.bx", "m.by_"), ("m.ox", "m.oy", "m.px", "m.py"), ("ls.ax", "ls.ay", "ls.bx", "ls.by_")
+_BANK_SQL = f"""{_SCOPE_SQL}, {_L},
+gaps AS (SELECT location_id, line_ord, min({_box_gap_sql()}) AS gap FROM rects, ls GROUP BY ALL),
+nearest AS (SELECT location_id, arg_min(line_ord, (gap, line_ord)) AS line_ord FROM gaps GROUP BY 1),
+m AS (SELECT location_id, ax, ay, bx, by_, nullif(sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 0) AS len, ax - (by_ - ay) / len AS ox, ay + (bx - ax) / len AS oy, bx - (by_ - ay) / len AS px, by_ + (bx - ax) / len AS py FROM scope),
+sides AS (SELECT m.location_id, ls.line_ord, CASE WHEN min({_segments_gap_sql(_M1, _T)}) < min({_segments_gap_sql(_M, _T)}) THEN 1 ELSE -1 END AS side FROM m JOIN nearest USING (location_id) JOIN ls USING (line_ord) GROUP BY ALL)"""
+
+
+@query(f"""WITH {V.PROCESSED_SQL}, {V.MODEL_SQL}, {_BANK_SQL},
+long AS ({" UNION ALL ".join(f"SELECT location_id, ahn_version, distance_to_erosion_border + {k} * erosion_speed AS d, TIMESTAMP '{2024 + k}-01-01' AS timestamp FROM processed JOIN model USING (location_id)" for k in (1, 2, 3))})
+SELECT location_id, ahn_version, timestamp, line_ord, round(ax - (by_ - ay) * d * side / len, 6) + 0.0 AS ax, round(ay + (bx - ax) * d * side / len, 6) + 0.0 AS ay,
+  round(bx - (by_ - ay) * d * side / len, 6) + 0.0 AS bx, round(by_ + (bx - ax) * d * side / len, 6) + 0.0 AS by FROM long JOIN m USING (location_id) JOIN sides USING (location_id)""")
 def predicted_bank(spark, sf_dir):
-    """The predicted bank of every region and step: projected scope, moved towards the nearest centerline by the predicted distance."""
-    long = model.unpivot_prediction(_predicted(spark, sf_dir)).join(V.rects(spark, sf_dir), "location_id")
-    near = regions.nearest_region_line(long, V.lines(spark))
-    moved = G.move_to_side(G.project_polygon(F.col("polygon"), _border()), F.col("distance_to_erosion"), F.col("line"))
-    return near.select(*KEYS, "timestamp", "line_ord", moved.alias("s")).select(*KEYS, "timestamp", "line_ord", *[_r(F.col("s")[i][c], f"{n}{c}") for i, n in enumerate("ab") for c in "xy"])
+    """The predicted bank of every region and step."""
+    long = model.unpivot_prediction(_predicted(spark, sf_dir))
+    found = banks.predicted_bank(long, V.rects(spark, sf_dir), _border(), V.lines(spark))
+    ends = [_r(F.col("bank")[i][c], f"{n}{c}") for i, n in enumerate("ab") for c in "xy"]
+    return found.select(*KEYS, "timestamp", "line_ord", *ends)
 
 
 @query("SELECT event_id, nullif(regexp_extract('urn:ogc:def:crs:EPSG::' || CASE WHEN event_id % 3 = 0 THEN 'x' ELSE (10000 + event_id % 50000)::VARCHAR END, 'EPSG::([0-9]{4,5})', 1), '') AS epsg FROM events")
@@ -426,30 +492,77 @@ def urn_codes(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY 1")
 def value_counts(spark, sf_dir):
-    return V.bank(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy("event_type")
+    return rows.value_counts(V.bank(spark, sf_dir), "event_type")
 
 
 @query(f"WITH {V.BANK_SQL} SELECT event_type, ahn_version, status, count(x) AS n FROM bank GROUP BY ALL")
 def three_key_count(spark, sf_dir):
-    return V.bank(spark, sf_dir).groupBy("event_type", "ahn_version", "status").agg(F.count("x").alias("n"))
+    return rows.value_counts(V.bank(spark, sf_dir), "event_type", "ahn_version", "status", of="x")
 
 
 @query(f"WITH {V.BANK_SQL} SELECT event_id, status, NULL::DOUBLE AS d FROM bank WHERE status = 'OK' UNION ALL SELECT event_id, NULL, d FROM bank WHERE d < 0")
 def union_rows(spark, sf_dir):
-    rows = V.bank(spark, sf_dir)
-    return rows.where("status = 'OK'").select("event_id", "status").unionByName(rows.where("d < 0").select("event_id", "d"), allowMissingColumns=True)
+    bank = V.bank(spark, sf_dir)
+    return rows.appended(bank.where("status = 'OK'").select("event_id", "status"), bank.where("d < 0").select("event_id", "d"))
 
 
-@query(f"WITH {V.PROCESSED_SQL} SELECT location_id, bool_or(distance_to_erosion_border < 0) AS eroded, round(min(distance_to_erosion_border), 6) + 0.0 AS lowest, round(max(distance_to_erosion_border), 6) + 0.0 AS highest, count(DISTINCT ahn_version) AS times FROM processed GROUP BY 1")
+@query(f"WITH {V.PROCESSED_SQL} SELECT location_id, bool_or(distance_to_erosion_border < 0) AS eroded, bool_and(distance_to_erosion_border < 0) AS always_eroded, round(min(distance_to_erosion_border), 6) + 0.0 AS lowest, round(max(distance_to_erosion_border), 6) + 0.0 AS highest, count(DISTINCT ahn_version) AS times FROM processed GROUP BY 1")
 def region_reductions(spark, sf_dir):
-    d = F.col("distance_to_erosion_border")
-    return _processed(spark, sf_dir).groupBy("location_id").agg(F.bool_or(d < 0).alias("eroded"), _r(F.min(d), "lowest"), _r(F.max(d), "highest"), F.countDistinct("ahn_version").alias("times"))
-
-
-@query()
+    found = rows.reductions(_processed(spark, sf_dir), "location_id", "distance_to_erosion_border", "ahn_version")
+    return found.select("location_id", F.col("any_negative").alias("eroded"), F.col("all_negative").alias("always_eroded"), _r("lowest", "lowest"), _r("highest", "highest"), "times")
+
+
+def _nested_sql(relation: str, steps: list[tuple[str, str]]) -> str:
+    """A relation with columns that build on one another."""
+    for name, expression in steps:
+        relation = f"(SELECT *, {expression} AS {name} FROM {relation})"
+    return relation
+
+
+def _latitude_sql(ellipsoid: tuple[float, float], name: str) -> list[tuple[str, str]]:
+    """From x, y, z named {name}x ... to {name}phi and {name}lam."""
+    e2 = 2 / ellipsoid[1] - 1 / ellipsoid[1] ** 2
+    n = name
+    steps = [(f"{n}p", f"sqrt({n}x * {n}x + {n}y * {n}y)"), (f"{n}lam", f"atan2({n}y, {n}x)"), (f"{n}phi0", f"atan2({n}z, {n}p * (1 - {e2!r}))")]
+    steps += [(f"{n}phi{k + 1}", f"atan2({n}z + {e2 * ellipsoid[0]!r} * sin({n}phi{k}) / sqrt(1 - {e2!r} * sin({n}phi{k}) * sin({n}phi{k})), {n}p)") for k in range(9)]
+    return [*steps, (f"{n}phi", f"{n}phi9")]
+
+
+def _space_sql(ellipsoid: tuple[float, float], phi: str, lam: str, n: str) -> list[tuple[str, str]]:
+    e2 = 2 / ellipsoid[1] - 1 / ellipsoid[1] ** 2
+    return [(f"{n}nu", f"{ellipsoid[0]!r} / sqrt(1 - {e2!r} * sin({phi}) * sin({phi}))"), (f"{n}x", f"{n}nu * cos({phi}) * cos({lam})"), (f"{n}y", f"{n}nu * cos({phi}) * sin({lam})"), (f"{n}z", f"{n}nu * {1 - e2!r} * sin({phi})")]
+
+
+def _crs_sql() -> str:
+    """Oblique stereographic plane to sphere, to the Bessel ellipsoid by fixed-point steps, to space, shifted to WGS 84, and all the way back."""
+    e2 = 2 / crs.BESSEL[1] - 1 / crs.BESSEL[1] ** 2
+    phi0, lam0, arc = f"radians({crs.LAT0!r})", f"radians({crs.LON0!r})", math.pi / 180 / 3600
+    rx, ry, rz = (t * arc for t in crs.TURN)
+    k, (tx, ty, tz) = 1 + crs.PPM * 1e-6, crs.SHIFT
+    constants = [("s0", f"sin({phi0})"), ("e", f"sqrt({e2!r})"), ("n", f"sqrt(1 + {e2!r} * pow(cos({phi0}), 4) / (1 - {e2!r}))"), ("r", f"sqrt({crs.BESSEL[0]!r} * (1 - {e2!r}) / pow(1 - {e2!r} * s0 * s0, 1.5) * {crs.BESSEL[0]!r} / sqrt(1 - {e2!r} * s0 * s0))"),
+                 ("w1", "pow((1 + s0) / (1 - s0) * pow((1 - e * s0) / (1 + e * s0), e), n)"), ("q", "(w1 - 1) / (w1 + 1)"), ("c", "(n + s0) * (1 - q) / ((n - s0) * (1 + q))"), ("chi0", "asin((c * w1 - 1) / (c * w1 + 1))"), ("rr", f"2 * r * {crs.SCALE!r}")]
+    plane = [("east", f"x - {crs.EAST!r}"), ("north", f"y - {crs.NORTH!r}"), ("far", "sqrt(east * east + north * north)"), ("beta", "2 * atan(far / rr)"), ("chi", "asin(cos(beta) * sin(chi0) + coalesce(north / nullif(far, 0), 0) * sin(beta) * cos(chi0))"),
+             ("turn", "atan2(east * sin(beta), far * cos(chi0) * cos(beta) - north * sin(chi0) * sin(beta))"), ("psi", "ln((1 + sin(chi)) / (c * (1 - sin(chi)))) / (2 * n)"), ("f0", "2 * atan(exp(psi)) - pi() / 2")]
+    plane += [(f"f{i + 1}", f"2 * atan(exp(psi) * pow((1 + e * sin(f{i})) / (1 - e * sin(f{i})), e / 2)) - pi() / 2") for i in range(9)]
+    plane += [("blam", f"turn / n + {lam0}")]
+    there = [("wx", f"{tx!r} + {k!r} * (bx - {rz!r} * by_ + {ry!r} * bz)"), ("wy", f"{ty!r} + {k!r} * ({rz!r} * bx + by_ - {rx!r} * bz)"), ("wz", f"{tz!r} + {k!r} * (-({ry!r}) * bx + {rx!r} * by_ + bz)")]
+    bessel = [(("by_" if name == "by" else name), e.replace("by ", "by_ ")) for name, e in _space_sql(crs.BESSEL, "f9", "blam", "b")]
+    again = [("vx", f"(gx - {tx!r}) / {k!r}"), ("vy", f"(gy - {ty!r}) / {k!r}"), ("vz", f"(gz - {tz!r}) / {k!r}"), ("ux", f"vx + {rz!r} * vy - {ry!r} * vz"), ("uy", f"-({rz!r}) * vx + vy + {rx!r} * vz"), ("uz", f"{ry!r} * vx - {rx!r} * vy + vz")]
+    back = [("w", "c * pow((1 + sin(uphi)) / (1 - sin(uphi)) * pow((1 - e * sin(uphi)) / (1 + e * sin(uphi)), e), n)"), ("xi", "asin((w - 1) / (w + 1))"), ("dl", f"n * (ulam - {lam0})"), ("kk", "rr / (1 + sin(xi) * sin(chi0) + cos(xi) * cos(chi0) * cos(dl))"),
+            ("backx", f"{crs.EAST!r} + kk * cos(xi) * sin(dl)"), ("backy", f"{crs.NORTH!r} + kk * (sin(xi) * cos(chi0) - cos(xi) * sin(chi0) * cos(dl))")]
+    steps = [*constants, *plane, *bessel, *there, *_latitude_sql(crs.WGS, "w"), *_space_sql(crs.WGS, "wphi", "wlam", "g"), *again, *_latitude_sql(crs.BESSEL, "u"), *back]
+    names = {"w": "w_", "e": "e_", "n": "n_"}
+    return _nested_sql("(SELECT event_id, 120000 + value * 100 AS x, 400000 + (event_id % 1000)::DOUBLE * 100 AS y FROM events)", [(names.get(a, a), b) for a, b in _renamed(steps, names)])
+
+
+def _renamed(steps: list[tuple[str, str]], names: dict[str, str]) -> list[tuple[str, str]]:
+    return [(a, re.sub(r"(?<![\w.])([wen])(?![\w(.])", lambda m: names[m[1]], b)) for a, b in steps]
+
+
+@query(f"SELECT event_id, round(degrees(wlam), 6) AS lon, round(degrees(wphi), 6) AS lat, sqrt((backx - x) * (backx - x) + (backy - y) * (backy - y)) < 0.001 AS returns FROM {_crs_sql()}")
 def crs_round_trip(spark, sf_dir):
-    """RD New to WGS 84 and back, of synthetic places in the Netherlands."""
+    """RD New to WGS 84 and back, of places in the Netherlands."""
     rd = V.bank(spark, sf_dir).select("event_id", (120000 + F.col("x") * 100).alias("x"), (400000 + F.col("y") * 100).alias("y"))
     wgs = rd.select("*", crs.to_wgs84(F.col("x"), F.col("y")).alias("w"))
     back = wgs.select("*", crs.to_rd(F.col("w.x"), F.col("w.y")).alias("b"))
-    return back.select("event_id", F.round("w.x", 8).alias("lon"), F.round("w.y", 8).alias("lat"), (F.sqrt((F.col("b.x") - F.col("x")) ** 2 + (F.col("b.y") - F.col("y")) ** 2) < 0.001).alias("returns"))
+    return back.select("event_id", F.round("w.x", 6).alias("lon"), F.round("w.y", 6).alias("lat"), (F.sqrt((F.col("b.x") - F.col("x")) ** 2 + (F.col("b.y") - F.col("y")) ** 2) < 0.001).alias("returns"))

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from shorewise.config import DataConfiguration, FeatureGeneration, flatten, shifted_name
 from shorewise.functions import geometry as G
-from shorewise.operators import features, model, observations
+from shorewise.operators import features, model, observations, rows
 
-ROWS = [(r, t, float(d)) for r, ds in {1: {1: 110, 2: 80, 3: 50}, 2: {1: 60, 2: 40, 3: 20}, 3: {1: 5, 2: 5}, 4: {1: 0, 2: 10, 3: 20}, 5: {1: 50, 3: 10}}.items() for t, d in ds.items()]
+ROWS = [(r, t, float(d)) for r, ds in {1: {1: 110, 2: 80, 3: 50}, 2: {1: 60, 2: 40, 3: 20}, 3: {1: 5, 2: 5}, 4: {1: 0, 2: 10, 3: 20}, 5: {2: 12, 4: 47}}.items() for t, d in ds.items()]
 NAMES = "location_id int, ahn_version int, distance_to_erosion_border double"
 
 
@@ -41,7 +41,7 @@ def test_flatten_and_names():
 
 
 def test_speeds(data):
-    assert {r.location_id: r.erosion_speed for r in model.mean_step_speed(data).collect()} == {1: -30, 2: -20, 3: 0, 4: 10, 5: -20}
+    assert {r.location_id: r.erosion_speed for r in model.mean_step_speed(data).collect()} == {1: -30, 2: -20, 3: 0, 4: 10, 5: 17.5}
 
 
 def test_speed_of_one_row_and_null_step(spark):
@@ -110,3 +110,30 @@ def test_everything_filtered_away(spark):
     points = spark.createDataFrame([], "location_id int, ahn_version int, status string, d double")
     regions = spark.createDataFrame([(1,)], "location_id int")
     assert observations.process_observations(points, regions, DataConfiguration(), value="d").count() == 0
+
+
+def test_table_and_counts_in_one_pass(spark, data, tmp_path):
+    """The pass that writes the table also counts what it drops."""
+    df, config = observations.time_since_last(data), DataConfiguration()
+    complete, names = features.feature_table(df, config, keep_incomplete=True)
+    want = features.dropped_rows(complete, names["numerical"]).first()
+    spark.sparkContext.setJobGroup("features", "write")
+    got = features.write_features(df, str(tmp_path / "t"), config)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("features"))
+    spark.sparkContext.setJobGroup("alone", "write")
+    complete.write.parquet(str(tmp_path / "alone"))
+    assert jobs == len(spark.sparkContext.statusTracker().getJobIdsForGroup("alone"))
+    assert got == want.asDict() and 0 < got["n_dropped"] < got["n_rows"]
+    assert spark.read.parquet(str(tmp_path / "t")).count() == got["n_rows"] - got["n_dropped"]
+
+
+def test_rows(spark):
+    df = spark.createDataFrame([(1, "a", 5.0), (1, "b", -1.0), (2, "b", -2.0), (None, "b", None)], "k int, c string, d double")
+    assert [tuple(r) for r in rows.value_counts(df, "c").collect()] == [("a", 1), ("b", 3)]
+    assert [tuple(r) for r in rows.value_counts(df, "c", of="d").collect()] == [("a", 1), ("b", 2)]
+    assert {r.k: tuple(r)[1:] for r in rows.reductions(df, "k", "d", "c").collect()} == {1: (True, False, -1, 5, 2), 2: (True, True, -2, -2, 1), None: (None, None, None, None, 1)}
+    assert {r.k: (r["first"], r["last"]) for r in rows.ends(df, "k", "d", ["c"]).collect()}[1] == (5, -1)
+    assert rows.appended(df, df.select("k"), df.select("c")).count() == 12 and rows.head(df, 2, "d").count() == 2
+    part = rows.sampled(spark.range(4000), "id", 0.25)
+    assert 850 < part.count() < 1150 and part.exceptAll(rows.sampled(spark.range(4000), "id", 0.25)).isEmpty()
+    assert rows.sampled(df, "k", 1.0).count() == 4 and rows.sampled(df, "k", 0.0).count() == 0
