@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,16 +66,20 @@ class Featurizer:
             ids = self.cache[word] = tuple(i for i in map(self.vocabulary.get, terms_of(word)) if i is not None)
         return ids
 
+    def _listed(self, words: Iterable[str]) -> list[int]:
+        """The known terms of words, each as often as it is there."""
+        out, cached = [], self.cache.get
+        for word in words:
+            ids = cached(word)
+            out.extend(self._ids(word) if ids is None else ids)
+        return out
+
     def __call__(self, text: str | None) -> dict[int, int]:
-        found = Counter()
-        for word in (text or "").lower().split():
-            if ids := self.cache.get(word) or self._ids(word):
-                found.update(ids)
-        return found
+        return Counter(self._listed((text or "").lower().split()))
 
     def known(self, text: str | None) -> set[int]:
         """The known terms that a text has."""
-        return {i for word in set((text or "").lower().split()) for i in self._ids(word)}
+        return set(self._listed(set((text or "").lower().split())))
 
 
 def chi_square(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
