@@ -235,13 +235,14 @@ def parts_intersect(a: Column, parts: Column) -> Column:
 
 
 def polygon_within(inner: Column, outer: Column) -> Column:
-    """Whether a polygon lies in another, boundaries included: no corner is outside, no edges cross, and no hole is inside."""
+    """Whether a polygon lies in another, boundaries included: no corner is outside, no edges cross, and no hole is inside. Boxes are compared first."""
     crossing = lambda s, t: _turn_of(s, t, "a") * _turn_of(s, t, "b") * _turn_of(t, s, "a") * _turn_of(t, s, "b") != 0
     crossed = F.exists(edges(inner), lambda s: F.exists(edges(outer), lambda t: segments_meet(s, t) & crossing(s, t)))
     covered = F.forall(F.flatten(inner), lambda p: covers(outer, p["x"], p["y"]))
     middles = F.forall(edges(inner), lambda s: covers(outer, (s["ax"] + s["bx"]) / 2, (s["ay"] + s["by"]) / 2))
     holes = F.exists(F.slice(outer, 2, 1_000_000), lambda r: within(inner, r[0]["x"], r[0]["y"]))
-    return covered & middles & ~crossed & ~holes
+    near = let(bounds(inner), lambda a: let(bounds(outer), lambda b: (a["xmin"] >= b["xmin"]) & (a["ymin"] >= b["ymin"]) & (a["xmax"] <= b["xmax"]) & (a["ymax"] <= b["ymax"])))
+    return F.when(near, covered & middles & ~crossed & ~holes).otherwise(F.when(near.isNotNull(), False))
 
 
 def _turn_of(s: Column, t: Column, end: str) -> Column:
@@ -275,6 +276,33 @@ def line_intersects(polygon: Column, of: Column) -> Column:
     return covers(polygon, first["x"], first["y"]) | F.exists(edges(polygon), lambda s: F.exists(segments(of), lambda t: segments_meet(s, t)))
 
 
+#: A geometry of any type: what it has of points, lines and polygons.
+ANY = f"struct<points:array<{POINT}>,lines:array<{LINE}>,parts:array<{POLYGON}>>"
+
+
+def any_shape(points: Column | None = None, lines: Column | None = None, parts: Column | None = None) -> Column:
+    """A geometry of any type from arrays of its points, lines and polygons."""
+    given = {"points": (points, f"array<{POINT}>"), "lines": (lines, f"array<{LINE}>"), "parts": (parts, f"array<{POLYGON}>")}
+    return F.struct(*[(F.lit(None) if c is None else c).cast(kind).alias(n) for n, (c, kind) in given.items()])
+
+
+def any_corners(shape: Column) -> Column:
+    """All points of a geometry of any type, as one ring."""
+    none = F.array().cast(LINE)
+    return F.concat(F.coalesce(shape["points"], none), F.coalesce(F.flatten(shape["lines"]), none), F.coalesce(F.flatten(F.flatten(shape["parts"])), none))
+
+
+def any_intersects(polygon: Column, shape: Column) -> Column:
+    """Whether a geometry of any type has a point in common with a polygon."""
+    tests = [F.exists(shape["points"], lambda p: covers(polygon, p["x"], p["y"])), F.exists(shape["lines"], lambda line: line_intersects(polygon, line)), parts_intersect(polygon, shape["parts"])]
+    return reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests])
+
+
+def any_area(shape: Column) -> Column:
+    """Area of a geometry of any type; 0 for points and lines."""
+    return F.coalesce(parts_area(shape["parts"]), F.lit(0.0))
+
+
 def line_distance(of: Column, other: Column) -> Column:
     """Distance of two lines; 0 if they cross."""
     ends = lambda a, b: F.array_min(F.transform(b, lambda p: distance(a, p["x"], p["y"])))

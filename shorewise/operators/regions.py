@@ -2,7 +2,7 @@
 
 Regions carry a polygon. An object's `shape` is a point, a line, a polygon or an
 array of polygons (an object of several parts); `kind` says which of the first
-three, and parts go as polygons. The spatial join is an equi-join on the cells of a
+three, and parts go as polygons. Objects of the kind `any` have a geometry.ANY. The spatial join is an equi-join on the cells of a
 tree that is built from a sample of the boxes (see spatial), with an exact predicate.
 """
 
@@ -27,6 +27,7 @@ from shorewise.operators.sweep import covered, directed
 #: Segments that a task may hold as a packed index; the lines of more are dealt over grids instead.
 MAX_SEGMENTS = 1_000_000
 STRIP_OBJECTS, MAX_STRIPS = 2000, 256
+GEOMETRY_TYPES = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon")
 
 
 def in_parts(df: DataFrame, shape: str = "shape") -> bool:
@@ -35,15 +36,22 @@ def in_parts(df: DataFrame, shape: str = "shape") -> bool:
 
 
 def shapes_of(features: DataFrame, kind: str) -> DataFrame:
-    """Features as the readers give them, with their shape as `shape`; any that isn't of the kind stops the query, and null geometries are left out."""
-    names = {"point": ("Point",), "line": ("LineString",), "polygon": ("Polygon", "MultiPolygon")}[kind]
+    """Features as the readers give them, with their shape as `shape`; any that isn't of the kind stops the query, and null geometries are left out. The kind `any` takes all."""
+    names = {"point": ("Point",), "line": ("LineString",), "polygon": ("Polygon", "MultiPolygon"), "any": tuple(GEOMETRY_TYPES)}[kind]
     wrong = F.raise_error(F.concat(F.lit(f"only {kind} geometries are allowed here, not "), F.col("gtype")))
-    shape = F.when(F.col("gtype").isin(*names), F.col({"polygon": "parts"}.get(kind, kind))).otherwise(wrong)
-    return features.where("gtype IS NOT NULL").withColumn("shape", shape)
+    if kind == "any":
+        there = {"points": F.coalesce("points", F.array("point")), "lines": F.coalesce("lines", F.array("line")), "parts": F.col("parts")}
+        owned = {"points": ("Point", "MultiPoint"), "lines": ("LineString", "MultiLineString"), "parts": ("Polygon", "MultiPolygon")}
+        shape = G.any_shape(**{n: F.when(F.col("gtype").isin(*owned[n]), c) for n, c in there.items()})
+    else:
+        shape = F.col({"polygon": "parts"}.get(kind, kind))
+    return features.where("gtype IS NOT NULL").withColumn("shape", F.when(F.col("gtype").isin(*names), shape).when(F.col("gtype").isNotNull(), wrong))
 
 
 def _boxed(df: DataFrame, shape: str, kind: str) -> DataFrame:
-    if kind == "polygon" and in_parts(df, shape):
+    if kind == "any":
+        box = G.bounds(F.array(G.any_corners(F.col(shape))))
+    elif kind == "polygon" and in_parts(df, shape):
         box = G.bounds(F.flatten(shape))
     elif kind == "point":
         box = F.struct(*[F.col(f"{shape}.{c}").alias(n) for n, c in (("xmin", "x"), ("ymin", "y"), ("xmax", "x"), ("ymax", "y"))])
@@ -55,17 +63,18 @@ def _boxed(df: DataFrame, shape: str, kind: str) -> DataFrame:
 
 
 def spatial_pairs(regions: DataFrame, objects: DataFrame, *, kind: str = "polygon", strict: bool = False) -> DataFrame:
-    """Regions (location_id, polygon) with the objects (all columns; shape) that intersect them, or lie strictly within them."""
+    """Regions (location_id, polygon) with the objects (shape, and all other columns but those two) that intersect them, or lie strictly within them."""
     a = _boxed(regions.select("location_id", "polygon"), "polygon", "polygon").withColumnRenamed("__box", "__a")
-    b = _boxed(objects, "shape", kind).withColumnRenamed("__box", "__b")
+    b = _boxed(objects.drop("location_id", "polygon"), "shape", kind).withColumnRenamed("__box", "__b")
     pairs = box_pairs(a, b)
     shape = F.col("shape")
     exact = {
-        "point": (G.within if strict else G.covers)(F.col("polygon"), shape["x"], shape["y"]),
-        "line": G.line_intersects(F.col("polygon"), shape),
-        "polygon": (G.parts_intersect if in_parts(objects) else G.intersects)(F.col("polygon"), shape),
+        "point": lambda polygon, p: (G.within if strict else G.covers)(polygon, p["x"], p["y"]),
+        "line": G.line_intersects,
+        "polygon": G.parts_intersect if in_parts(objects) else G.intersects,
+        "any": G.any_intersects,
     }[kind]
-    return pairs.where(exact).drop("__a", "__b")
+    return pairs.where(exact(F.col("polygon"), shape)).drop("__a", "__b")
 
 
 def _all(regions: DataFrame, found: DataFrame, defaults: dict[str, Column]) -> DataFrame:
@@ -87,8 +96,8 @@ def intersecting(regions: DataFrame, objects: DataFrame, columns: list[str] | st
     if missing := set(columns) - set(objects.columns):
         raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
     pairs = spatial_pairs(regions, objects, kind=kind, **options)
-    own = G.parts_area if kind == "polygon" and in_parts(objects) else G.area
-    size = F.sum(own(F.col("shape"))) if kind == "polygon" else F.lit(0.0)
+    own = {"any": G.any_area, "polygon": G.parts_area if in_parts(objects) else G.area}.get(kind)
+    size = F.sum(own(F.col("shape"))) if own else F.lit(0.0)
     modes = [F.mode(F.col(f"`{c}`"), True).alias(f"majority_class_{c}") for c in columns]
     found = pairs.groupBy("location_id").agg(F.count(F.lit(1)).alias("count"), size.alias("total_area"), *modes)
     none = F.lit(None).cast("string")
@@ -182,10 +191,13 @@ def clip_layer(objects: DataFrame, source: DataFrame, *, kind: str = "polygon",
             shape = F.get(crs.transform(F.array("shape"), layer_epsg, source_epsg), F.lit(0))
         elif kind == "line":
             shape = move(F.col("shape"))
+        elif kind == "any":
+            s = F.col("shape")
+            shape = G.any_shape(move(s["points"]), F.transform(s["lines"], move), F.transform(s["parts"], one))
         else:
             shape = F.transform("shape", one) if in_parts(objects) else one(F.col("shape"))
         objects = objects.withColumn("shape", shape)
-    rows = objects.select(F.struct("*").alias("object"), F.col("shape"), F.xxhash64(F.to_json(F.struct("*"))).alias("mark"))
+    rows = objects.select(F.struct("*").alias("object"), F.col("shape"), F.sha2(F.to_json(F.struct("*")).cast("binary"), 256).alias("mark"))
     found = spatial_pairs(source.select(F.lit(0).alias("location_id"), "polygon"), rows, kind=kind, **options)
     # equal objects are as many after the clip as before it
     copies = rows.groupBy("mark").agg(F.count(F.lit(1)).alias("copies"))

@@ -293,6 +293,21 @@ def multipart_objects(spark, sf_dir):
     return found.select("location_id", F.col("count").cast("long").alias("n"), _r("total_area", "total_area"), "majority_class_p_brand")
 
 
+@query(f"""WITH {V.PAIRS_SQL}, met AS (SELECT * FROM pairs WHERE CASE object_id % 3 WHEN 0 THEN (xmin BETWEEN rx0 AND rx1 AND ymin BETWEEN ry0 AND ry1) OR (xmax BETWEEN rx0 AND rx1 AND ymax BETWEEN ry0 AND ry1)
+  WHEN 1 THEN ymin BETWEEN ry0 AND ry1 OR ymax BETWEEN ry0 AND ry1 ELSE TRUE END),
+tops AS (SELECT location_id, p_brand, row_number() OVER (PARTITION BY location_id ORDER BY count(*) DESC, p_brand) AS k FROM met GROUP BY location_id, p_brand),
+sums AS (SELECT location_id, count(*) AS n, sum(CASE WHEN object_id % 3 = 2 THEN w * h ELSE 0 END) AS a FROM met GROUP BY 1)
+SELECT location_id, coalesce(n, 0) AS n, round(coalesce(a, 0.0), 6) AS total_area, p_brand AS majority_class_p_brand FROM rects LEFT JOIN sums USING (location_id) LEFT JOIN (SELECT * FROM tops WHERE k = 1) USING (location_id)""")
+def mixed_geometries(spark, sf_dir):
+    """A layer of several types: two corners of a box, its lower and upper side, or the box."""
+    x0, y0, x1, y1 = F.col("xmin"), F.col("ymin"), F.col("xmin") + F.col("w"), F.col("ymin") + F.col("h")
+    corners, sides = F.array(G.point(x0, y0), G.point(x1, y1)), F.array(F.array(G.point(x0, y0), G.point(x1, y0)), F.array(G.point(x0, y1), G.point(x1, y1)))
+    of = lambda k, shape: F.when(F.col("object_id") % 3 == k, shape)
+    objects = V.objs(spark, sf_dir).withColumn("shape", G.any_shape(of(0, corners), of(1, sides), of(2, F.array("shape"))))
+    found = regions.intersecting(V.rects(spark, sf_dir), objects, ["p_brand"], kind="any")
+    return found.select("location_id", F.col("count").cast("long").alias("n"), _r("total_area", "total_area"), "majority_class_p_brand")
+
+
 @query(ORACLES["area_fraction"].replace(V.PAIRS_SQL, _TWO_SQL))
 def multipart_fraction(spark, sf_dir):
     return regions.area_fraction(V.rects(spark, sf_dir), _two_parts(spark, sf_dir)).select("location_id", _r("area_fraction", "fraction"))

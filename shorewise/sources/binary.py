@@ -29,13 +29,13 @@ from shorewise.functions.geometry import LINE, POLYGON
 _SCHEMA = f"layer string, properties string, gtype string, polygons array<{POLYGON}>"
 
 # fixed values: codes of the WKB and shapefile formats
-WKB_TYPES = {1: "Point", 2: "LineString", 3: "Polygon", 6: "MultiPolygon"}
+WKB_TYPES = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon"}
 SHAPE_TYPES = {1: "Point", 3: "LineString", 5: "Polygon"}
 ENVELOPE_BYTES = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
 
 
 def decode_wkb(data: bytes, at: int = 0) -> tuple[str, list, int]:
-    """Type, rings (one for points and lines; a multipolygon has the rings of each of its parts instead) and the place after it; z and m are dropped."""
+    """Type, rings (one for points and lines; a geometry of several parts has the rings of each instead) and the place after it; z and m are dropped."""
     order = "<" if data[at] == 1 else ">"
     (code,) = struct.unpack_from(order + "I", data, at + 1)
     dims = 2 + (code & 0x80000000 != 0) + (code & 0x40000000 != 0)
@@ -98,7 +98,7 @@ def _geopackages(layer: str | None):
                                 values = dict(zip(names, r, strict=True))
                                 blob = values.pop(column)
                                 kind, rings = decode_geopackage_blob(blob) if blob else (None, None)
-                                rows.append((name, json.dumps(values, default=str), kind, rings if kind in (None, "MultiPolygon") else [rings]))
+                                rows.append((name, json.dumps(values, default=str), kind, rings if kind is None or kind.startswith("Multi") else [rings]))
                                 if len(rows) == RANGE_RECORDS:
                                     yield pd.DataFrame(rows, columns=["layer", "properties", "gtype", "polygons"])
                                     rows = []
@@ -261,7 +261,7 @@ def read_shapefile(spark: SparkSession, path: str, range_records: int = RANGE_RE
 
 
 def with_shapes(rows: DataFrame) -> DataFrame:
-    """point, line, polygon and parts beside the type: the one that fits is set, and parts for polygons of one and of several parts."""
+    """point, line, polygon, parts, points and lines beside the type: the one that fits is set, and parts for polygons of one and of several parts."""
     first = F.get("polygons", F.lit(0))
     ring = F.get(first, F.lit(0))
     of = lambda kind, shape: F.when(F.col("gtype") == kind, shape)
@@ -269,4 +269,5 @@ def with_shapes(rows: DataFrame) -> DataFrame:
     return rows.select(
         "layer", "properties", "gtype",
         of("Point", F.get(ring, F.lit(0))).alias("point"), of("LineString", ring).cast(LINE).alias("line"), of("Polygon", first).alias("polygon"), parts.alias("parts"),
+        of("MultiPoint", F.transform("polygons", lambda p: p[0][0])).alias("points"), of("MultiLineString", F.transform("polygons", lambda p: p[0])).alias("lines"),
     )

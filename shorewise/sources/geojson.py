@@ -38,7 +38,7 @@ def _nested(text: Column, depth: int) -> Column:
 
 
 def with_geometry(features: DataFrame) -> DataFrame:
-    """(properties, gtype, point, line, polygon, parts): the one that fits the type is set, and parts for polygons of one and of several parts; a third dimension is dropped."""
+    """(properties, gtype, point, line, polygon, parts, points, lines): the one that fits the type is set, and parts for polygons of one and of several parts; a third dimension is dropped."""
     kind, text = F.col("feature.geometry.type"), F.col("feature.geometry.coordinates")
     of = lambda name, depth, cast: F.when(kind == name, _nested(text, depth)).cast(cast)
     polygon = of("Polygon", 3, POLYGON)
@@ -46,6 +46,7 @@ def with_geometry(features: DataFrame) -> DataFrame:
         F.col("feature.properties").alias("properties"), kind.alias("gtype"),
         of("Point", 1, POINT).alias("point"), of("LineString", 2, LINE).alias("line"), polygon.alias("polygon"),
         F.coalesce(F.when(kind == "Polygon", F.array(polygon)), of("MultiPolygon", 4, f"array<{POLYGON}>")).alias("parts"),
+        of("MultiPoint", 2, LINE).alias("points"), of("MultiLineString", 3, POLYGON).alias("lines"),
     )
 
 

@@ -82,6 +82,25 @@ def test_geojson_pieces_of_any_ranges(layout):
         assert got == [*whole["links"][:0], *whole["links"], *whole["features"]] and "geometry" not in frame
 
 
+def test_layers_of_any_type(spark, tmp_path):
+    """Geometries of one and of several parts, mixed in one layer, meet regions; a null one is left out."""
+    kinds = {
+        "MultiPoint": [[50, 50], [3, 3, 1]], "MultiLineString": [[[60, 60], [70, 70]], [[-5, 2], [15, 2]]], "MultiPolygon": [[[[1, 1], [3, 1], [3, 2], [1, 1]]], [[[80, 0], [82, 0], [82, 2], [80, 0]]]],
+        "Point": [20, 20], "LineString": [[20, 0], [20, 9]], "Polygon": [[[9, 9], [30, 9], [30, 30], [9, 9]]],
+    }
+    made = [{"type": "Feature", "properties": {"k": k}, "geometry": {"type": k, "coordinates": c}} for k, c in kinds.items()] + [{"type": "Feature", "properties": {"k": "none"}, "geometry": None}]
+    (tmp_path / "x.json").write_text(json.dumps({"type": "FeatureCollection", "features": made}))
+    df = regions.shapes_of(geojson.read_geojson(spark, str(tmp_path / "x.json"))[0].withColumn("k", F.col("properties")["k"]), "any")
+    areas = spark.createDataFrame([(1, [[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)]])], f"location_id int, polygon {G.POLYGON}")
+    assert {r.k for r in regions.spatial_pairs(areas, df, kind="any").collect()} == {"MultiPoint", "MultiLineString", "MultiPolygon", "Polygon"}
+    (r,) = regions.intersecting(areas, df, "k", kind="any").collect()
+    assert (r["count"], r.total_area, r.majority_class_k) == (4, 1 + 2 + 220.5, "MultiLineString")
+    clipped = regions.clip_layer(df.union(df).drop("properties"), areas, kind="any")
+    assert sorted(x.k for x in clipped.collect()) == sorted(["MultiPoint", "MultiLineString", "MultiPolygon", "Polygon"] * 2)
+    with pytest.raises(Exception, match="only line geometries"):
+        regions.shapes_of(geojson.read_geojson(spark, str(tmp_path / "x.json"))[0], "line").select("shape").collect()
+
+
 def test_geojson_of_several_files_and_none(spark, tmp_path):
     for name, features in (("a", FEATURES[:2]), ("b", FEATURES[2:]), ("c", [])):
         (tmp_path / f"{name}.json").write_text(json.dumps({"features": features, "type": "FeatureCollection"}))
@@ -231,6 +250,13 @@ def test_geopackage(spark, tmp_path):
     con.execute("INSERT INTO plots VALUES (2, 'q', NULL)")
     multi = b"\x01" + struct.pack("<II", 6, 2) + _wkb_polygon([SQUARE]) * 2
     con.execute("INSERT INTO multi VALUES (3, 'm', ?)", (head + multi,))
+    con.execute("CREATE TABLE others (id INTEGER, geom BLOB)")
+    con.execute("INSERT INTO gpkg_contents VALUES ('others')")
+    con.execute("INSERT INTO gpkg_geometry_columns VALUES ('others', 'geom')")
+    dot = lambda x: b"\x01" + struct.pack("<I2d", 1, x, x)
+    way = lambda x: b"\x01" + struct.pack("<II4d", 2, 2, x, 0, x, 9)
+    con.execute("INSERT INTO others VALUES (4, ?)", (head + b"\x01" + struct.pack("<II", 4, 2) + dot(1.0) + dot(7.0),))
+    con.execute("INSERT INTO others VALUES (5, ?)", (head + b"\x01" + struct.pack("<II", 5, 2) + way(2.0) + way(8.0),))
     con.commit()
     con.close()
     df = binary.read_geopackage(spark, path, "plots")
@@ -238,7 +264,9 @@ def test_geopackage(spark, tmp_path):
     assert json.loads(df.where("gtype IS NOT NULL").first().properties) == {"id": 1, "name": "p"}
     whole = binary.read_geopackage(spark, path, "multi")
     assert whole.count() == 1 and whole.select(G.parts_area(F.col("parts"))).first()[0] == 32
-    assert {r.layer for r in binary.list_layers(spark, path).collect()} == {"plots", "multi"}
+    assert {r.layer for r in binary.list_layers(spark, path).collect()} == {"plots", "multi", "others"}
+    others = {r.gtype: r for r in binary.read_geopackage(spark, path, "others").collect()}
+    assert [tuple(p) for p in others["MultiPoint"].points] == [(1, 1), (7, 7)] and [tuple(p) for line in others["MultiLineString"].lines for p in line] == [(2, 0), (2, 9), (8, 0), (8, 9)]
 
 
 def test_shapefile(spark, tmp_path):
