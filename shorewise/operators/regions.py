@@ -62,19 +62,33 @@ def _boxed(df: DataFrame, shape: str, kind: str) -> DataFrame:
     return df.withColumn("__box", box).where("__box.xmin IS NOT NULL")
 
 
-def spatial_pairs(regions: DataFrame, objects: DataFrame, *, kind: str = "polygon", strict: bool = False) -> DataFrame:
-    """Regions (location_id, polygon) with the objects (shape, and all other columns but those two) that intersect them, or lie strictly within them."""
+def _candidates(regions: DataFrame, objects: DataFrame, kind: str) -> DataFrame:
+    """Regions (location_id, polygon) with the objects (all other columns) whose boxes meet theirs; the boxes as __a and __b."""
     a = _boxed(regions.select("location_id", "polygon"), "polygon", "polygon").withColumnRenamed("__box", "__a")
     b = _boxed(objects.drop("location_id", "polygon"), "shape", kind).withColumnRenamed("__box", "__b")
-    pairs = box_pairs(a, b)
-    shape = F.col("shape")
+    return box_pairs(a, b)
+
+
+def _meeting(candidates: DataFrame, kind: str, strict: bool = False) -> DataFrame:
     exact = {
         "point": lambda polygon, p: (G.within if strict else G.covers)(polygon, p["x"], p["y"]),
         "line": G.line_intersects,
-        "polygon": G.parts_intersect if in_parts(objects) else G.intersects,
+        "polygon": G.parts_intersect if in_parts(candidates) else G.intersects,
         "any": G.any_intersects,
     }[kind]
-    return pairs.where(exact(F.col("polygon"), shape)).drop("__a", "__b")
+    return candidates.where(exact(F.col("polygon"), F.col("shape")))
+
+
+def spatial_pairs(regions: DataFrame, objects: DataFrame, *, kind: str = "polygon", strict: bool = False) -> DataFrame:
+    """Regions (location_id, polygon) with the objects (shape, and all other columns but those two) that intersect them, or, if points, lie strictly within them."""
+    return _meeting(_candidates(regions, objects, kind), kind, strict).drop("__a", "__b")
+
+
+def pairs_within(regions: DataFrame, objects: DataFrame) -> DataFrame:
+    """Regions with the polygons that lie in them, boundaries included. Boxes are compared before shapes."""
+    held = [F.col(f"__b.{c}") >= F.col(f"__a.{c}") for c in ("xmin", "ymin")] + [F.col(f"__b.{c}") <= F.col(f"__a.{c}") for c in ("xmax", "ymax")]
+    pairs = _candidates(regions, objects, "polygon").where(held[0] & held[1] & held[2] & held[3])
+    return pairs.where(G.polygon_within(F.col("shape"), F.col("polygon"))).drop("__a", "__b")
 
 
 def _all(regions: DataFrame, found: DataFrame, defaults: dict[str, Column]) -> DataFrame:
@@ -112,7 +126,7 @@ def covered_area(polygon: list[np.ndarray], objects: list[list[np.ndarray]], low
 def _strips(pairs: DataFrame, strip_objects: int) -> DataFrame:
     """(location_id, bounds): where each region is cut, so that about as many objects begin in each strip."""
     fractions = F.array(*[F.lit(k / MAX_STRIPS) for k in range(1, MAX_STRIPS)])
-    found = pairs.groupBy("location_id").agg(F.least(F.lit(MAX_STRIPS), F.ceil(F.count(F.lit(1)) / strip_objects)).cast("int").alias("n"), F.percentile_approx("__o.xmin", fractions).alias("at"), F.first("__r").alias("__r"))
+    found = pairs.groupBy("location_id").agg(F.least(F.lit(MAX_STRIPS), F.ceil(F.count(F.lit(1)) / strip_objects)).cast("int").alias("n"), F.percentile_approx("__b.xmin", fractions).alias("at"), F.first("__a").alias("__r"))
     cuts = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda k: F.get(F.col("at"), (k * F.lit(MAX_STRIPS) / F.col("n")).cast("int") - 1))
     inner = F.filter(F.when(F.col("n") > 1, cuts).otherwise(F.array().cast("array<double>")), lambda x: (x > F.col("__r.xmin")) & (x < F.col("__r.xmax")))
     return found.select("location_id", F.array_sort(F.array_distinct(F.concat(F.array("__r.xmin"), inner, F.array("__r.xmax")))).alias("bounds"))
@@ -127,17 +141,25 @@ def area_fraction(regions: DataFrame, objects: DataFrame, *, strip_objects: int
     """
     if in_parts(objects):  # each part covers for itself
         objects = objects.withColumn("shape", F.explode("shape"))
-    pairs = spatial_pairs(regions, objects).select("location_id", G.bounds(F.col("polygon")).alias("__r"), G.bounds(F.col("shape")).alias("__o"), G.directed_edges(F.col("shape")).alias("edges"))
-    cut = _strips(pairs, strip_objects)
-    strip = lambda low, high: F.filter(F.sequence(F.lit(0), F.greatest(F.size("bounds") - 2, F.lit(0))), lambda k: (F.get("bounds", k) <= high) & (F.get("bounds", k + 1) >= low))
-    rows = pairs.join(cut, "location_id").select("location_id", "edges", F.explode(strip(F.col("__o.xmin"), F.col("__o.xmax"))).alias("strip"))
-    every = F.sequence(F.lit(0), F.greatest(F.size("bounds") - 2, F.lit(0)))
-    own = regions.join(cut, "location_id").select("location_id", G.directed_edges(F.col("polygon")).alias("own"), "bounds", F.explode(every).alias("strip"))
+    near = _candidates(regions, objects.select("shape"), "polygon")
+    crowded = near.groupBy("location_id").count().where(F.col("count") > strip_objects)
+    edges = G.directed_edges(F.col("shape")).alias("edges")
+    if crowded.isEmpty():  # where boxes meet but shapes don't, nothing is covered
+        rows = near.select("location_id", F.lit(0).alias("strip"), edges)
+        own = regions.select("location_id", "polygon", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0).alias("strip"))
+    else:
+        pairs = near.select("location_id", "__a", "__b", edges)
+        cut = _strips(pairs, strip_objects)
+        strip = F.filter(F.sequence(F.lit(0), F.greatest(F.size("bounds") - 2, F.lit(0))), lambda k: (F.get("bounds", k) <= F.col("__b.xmax")) & (F.get("bounds", k + 1) >= F.col("__b.xmin")))
+        rows = pairs.join(cut, "location_id").select("location_id", F.explode(strip).alias("strip"), "edges")
+        every = F.sequence(F.lit(0), F.greatest(F.size("bounds") - 2, F.lit(0)))
+        own = regions.join(cut, "location_id").select("location_id", "polygon", "bounds", F.explode(every).alias("strip"))
+        own = own.select("location_id", "polygon", F.get("bounds", F.col("strip")).alias("low"), F.get("bounds", F.col("strip") + 1).alias("high"), "strip")
     # a column of its own: both sides of the cogroup come from the same regions
-    own = own.select(F.col("location_id").alias("location_id"), "strip", "own", F.get("bounds", F.col("strip")).alias("low"), F.get("bounds", F.col("strip") + 1).alias("high"))
+    own = own.select(F.col("location_id").alias("location_id"), "strip", G.directed_edges(F.col("polygon")).alias("own"), "low", "high")
 
     def one(key: tuple, region: pd.DataFrame, inside: pd.DataFrame) -> pd.DataFrame:
-        if region.empty or inside.empty:
+        if region.empty or inside.empty or region["own"].iloc[0] is None:
             return pd.DataFrame({"location_id": [], "covered": []})
         r = region.iloc[0]
         return pd.DataFrame({"location_id": [key[0]], "covered": [covered(r["own"].reshape(-1, 4), np.concatenate(list(inside["edges"])).reshape(-1, 4), r["low"], r["high"])]})

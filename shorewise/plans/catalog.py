@@ -322,8 +322,7 @@ def clip_layer(spark, sf_dir):
 
 @query(f"WITH {V.PAIRS_SQL} SELECT location_id, object_id FROM pairs WHERE xmin >= rx0 AND ymin >= ry0 AND xmax <= rx1 AND ymax <= ry1")
 def polygon_within(spark, sf_dir):
-    pairs = regions.spatial_pairs(V.rects(spark, sf_dir), V.objs(spark, sf_dir))
-    return pairs.where(G.polygon_within(F.col("shape"), F.col("polygon"))).select("location_id", "object_id")
+    return regions.pairs_within(V.rects(spark, sf_dir), V.objs(spark, sf_dir)).select("location_id", "object_id")
 
 
 #: Area of a quarter circle of radius 1 whose arc is QUARTER chords.
