@@ -21,7 +21,7 @@ without an id are on no path. Branches of equal score are ranked by their leaf.
 Trees without an id are one tree. An empty table gives an empty result. A path's
 text must fit a row of Spark's, 2 GB.
 
-For a table of dated turns (`turns_as_replies`), each row answers the one before it: rows of
+For a table of dated turns (`format_conversations`), each row answers the one before it: rows of
 equal turn are in order of role and text digest, null turns come last, and repeated rows are turns of their own.
 Other columns aren't read.
 """
@@ -142,15 +142,23 @@ def _members(chosen: DataFrame, steps: list[DataFrame]) -> DataFrame:
 def format_reply_trees(messages: DataFrame, *, tree: str = "tree", node: str = "node", parent: str = "parent", role: str = "role", text: str = "text", score: str | None = None, branches: int | None = None, tree_rows: int = TREE_ROWS, tree_bytes: int = TREE_BYTES) -> DataFrame:
     """A row for each of the best branches of each tree (all if branches is None): tree, leaf, rank, score, n_turns, formatted and loss."""
     value = F.coalesce(F.col(score).cast("double"), F.lit(0.0)) if score else F.lit(0.0)
-    own = F.coalesce(F.col(tree).cast("string"), F.lit("\x00null"))
-    said = [F.coalesce(F.col(c), F.lit("")) for c in (role, text)]
-    rows = messages.where(F.col(node).isNotNull()).select(
-        own.alias("tree"), F.col(tree).alias("given"), F.col(node).alias("node"), F.col(parent).alias("parent"), said[0].alias("role"), said[1].alias("text"), value.alias("score"),
-    )
-    order = F.struct("parent", "role", F.md5(F.col("text").cast("binary")).alias("digest"))
-    size = F.octet_length("text") + F.octet_length("role")
+    rows = _told(messages.where(F.col(node).isNotNull()), F.col(tree), role, text, F.col(node).alias("node"), F.col(parent).alias("parent"), value.alias("score"))
+    return _formatted(rows, branches, tree_rows, tree_bytes)
+
+
+def _told(messages: DataFrame, tree: Column, role: str, text: str, *others: Column) -> DataFrame:
+    """tree (never null), given, role and text (never null), digest and bytes of them, and other columns: digest and bytes stand for the text where only ids are shuffled."""
+    own = F.coalesce(tree.cast("string"), F.lit("\x00null"))
+    rows = messages.select(own.alias("tree"), tree.alias("given"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"), *others)
+    return rows.select("*", F.md5(F.col("text").cast("binary")).alias("digest"), (F.octet_length("text") + F.octet_length("role")).alias("bytes"))
+
+
+def _formatted(rows: DataFrame, branches: int | None, tree_rows: int, tree_bytes: int) -> DataFrame:
+    order = F.struct("parent", "role", "digest")
     # a message whose id another has too is settled by the order, here and where texts are put together
-    ids = settled(rows.groupBy("tree", "node").agg(F.min(F.struct(order.alias("order"), F.col("score"))).alias("least"), F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("copies")).select("tree", "node", F.col("least.order.parent").alias("parent"), F.col("least.score").alias("score"), "bytes", "copies"))
+    least = F.min(F.struct(order.alias("order"), F.col("score"))).alias("least")
+    ids = rows.groupBy("tree", "node").agg(least, F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies"))
+    ids = settled(ids.select("tree", "node", F.col("least.order.parent").alias("parent"), F.col("least.score").alias("score"), "bytes", "copies"))
     ups = ids.select("tree", F.col("node").alias("up"), F.col("score").alias("gain"))
     links = ids.where("parent <> node").select("tree", "node", F.col("parent").alias("up")).join(ups, ["tree", "up"]).select("tree", "node", "up", "gain")
     steps, loops = _jumps(links)
@@ -187,12 +195,15 @@ def _joined(rows: DataFrame, order: Column, members: DataFrame) -> DataFrame:
 
 
 def turns_as_replies(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(tree, node, parent, role, text): each row as the reply to the one before it."""
-    rows = turns.select(F.col(conversation).alias("tree"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    # the key that format_reply_trees groups by: one shuffle serves both
-    own = Window.partitionBy(F.coalesce(F.col("tree").cast("string"), F.lit("\x00null")))
-    number = F.row_number().over(own.orderBy(F.asc_nulls_last("turn"), "role", F.md5(F.col("text").cast("binary"))))
-    return rows.withColumn("node", number).select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text")
+    """Each row as the reply to the one before it: tree, given, node, parent, role, text, digest, bytes, score."""
+    rows = _told(turns, F.col(conversation), role, text, F.col(turn).alias("turn"), F.lit(0.0).alias("score"))
+    number = F.row_number().over(Window.partitionBy("tree").orderBy(F.asc_nulls_last("turn"), "role", "digest"))
+    return rows.withColumn("node", number).withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).drop("turn")
+
+
+def format_conversations(turns: DataFrame, *, tree_rows: int = TREE_ROWS, tree_bytes: int = TREE_BYTES, **names) -> DataFrame:
+    """format_reply_trees of a table of dated turns: a row for each conversation, whose texts are shuffled once."""
+    return _formatted(turns_as_replies(turns, **names), None, tree_rows, tree_bytes)
 
 
 #: A conversation of control strings only, beside those of the table.
@@ -203,7 +214,7 @@ def op12_reply_tree_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     planted = spark.range(2).select(F.lit(PLANTED_ID).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(PLANTED).alias("text"))
-    out = format_reply_trees(turns_as_replies(given.unionByName(planted)))
+    out = format_conversations(given.unionByName(planted))
     rows = out.select("tree", "formatted", read_turns(F.col("formatted")).alias("turns"), learned_text(F.col("formatted"), F.col("loss")).alias("learned"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return rows.select(

@@ -108,7 +108,15 @@ def test_turns_of_a_table(spark):
     """Ties, nulls, repeated rows and a null conversation; the planted one comes with the query."""
     rows = [(1, 1, "assistant", "b", 9), (1, 0, "user", None, 9), (1, 1, "assistant", "b", 9), (1, 1, "assistant", "a", 9), (1, None, None, "last", 9), (None, 0, "user", "x", 9)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node long")
-    out = {r.tree: [(t.role, t.text) for t in r.turns] for r in formatted(chat.turns_as_replies(df).withColumn("score", F.lit(None))).collect()}
+    for options in ({}, {"tree_rows": 1}):
+        read = chat.format_conversations(df, **options).withColumn("turns", chat.read_turns(F.col("formatted")))
+        out = {r.tree: [(t.role, t.text) for t in r.turns] for r in read.collect()}
+        _same_turns(out)
+    plan = chat.turns_as_replies(df).select("tree", "node", "digest", "bytes")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "text#" not in plan[: plan.index("Window")]  # the text stays behind where only ids go on
+
+
+def _same_turns(out):
     ab = sorted("abb", key=lambda t: hashlib.md5(t.encode()).hexdigest())
     assert out == {1: [("user", ""), *[("assistant", t) for t in ab], ("", "last")], None: [("user", "x")]}
 
