@@ -9,13 +9,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shorewise.config import DataConfiguration
+from shorewise.config import DataConfiguration, FeatureGeneration
 from shorewise.functions import crs, curves
 from shorewise.functions import geometry as G
 from shorewise.functions.text import epsg_from_urn
 from shorewise.operators import bank as banks
 from shorewise.operators import features, model, observations, regions, rows
 from shorewise.plans import views as V
+from shorewise.sources import geojson, wkt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -365,6 +366,47 @@ def area_hectares(spark, sf_dir):
     return rows.area_by(V.objs(spark, sf_dir), "p_brand", F.col("shape"), name="hectares").select("p_brand", _r("hectares", "hectares"))
 
 
+@query(f"WITH {V.OBJS_SQL} SELECT object_id, p_brand, 'Polygon' AS gtype, round(w * h, 6) AS area, xmin, ymin, xmax, ymax FROM objs")
+def geojson_features(spark, sf_dir):
+    """Objects written as GeoJSON features and read again."""
+    written = geojson.features(V.objs(spark, sf_dir), "Polygon", "shape", ["object_id", "p_brand"])
+    back = geojson.with_geometry(geojson.parsed(F.col("value"), written))
+    box = back.select(F.col("properties")["object_id"].cast("long").alias("object_id"), F.col("properties")["p_brand"].alias("p_brand"), "gtype", _r(G.area(F.col("polygon")), "area"), G.bounds(F.col("polygon")).alias("b"))
+    return box.select("object_id", "p_brand", "gtype", "area", *[F.col(f"b.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+@query(f"WITH {V.OBJS_SQL} SELECT object_id, xmin AS px, ymin AS py, round(w + h, 6) AS length, round(w * h / 2, 6) AS area FROM objs")
+def wkt_shapes(spark, sf_dir):
+    """A point, a line and a triangle of each object, by their text."""
+    x0, y0, x1, y1 = (c.cast("string") for c in (F.col("xmin"), F.col("ymin"), F.col("xmin") + F.col("w"), F.col("ymin") + F.col("h")))
+    at = lambda x, y: F.concat(x, F.lit(" "), y)
+    text = lambda kind, *points: F.concat(F.lit(f"{kind} ("), F.concat_ws(", ", *points), F.lit(")" * (2 if kind.endswith("(") else 1)))
+    texts = V.objs(spark, sf_dir).select(
+        "object_id", text("POINT", at(x0, y0)).alias("p"), text("LINESTRING", at(x0, y0), at(x1, y0), at(x1, y1)).alias("l"), text("POLYGON (", at(x0, y0), at(x1, y0), at(x1, y1), at(x0, y0)).alias("t"),
+    )
+    shapes = texts.select("object_id", wkt.parse_point(F.col("p")).alias("p"), wkt.parse_line(F.col("l")).alias("l"), wkt.parse_polygon(F.col("t")).alias("t"))
+    return shapes.select("object_id", F.col("p.x").alias("px"), F.col("p.y").alias("py"), _r(G.length(F.col("l")), "length"), _r(G.area(F.col("t")), "area"))
+
+
+@query("""SELECT event_id, CASE WHEN value - 50 > 0 THEN 'green' ELSE 'red' END AS color, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time, round(value + 2, 6) AS x, round((event_id % 1000) + 1.5, 6) AS y FROM events""")
+def timestamped_features(spark, sf_dir):
+    """The middle of a line at each event as a GeoJSON feature with its time, green or red by the sign of its distance."""
+    bank = V.bank(spark, sf_dir).join(V.read(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
+    line = F.array(G.point(F.col("x"), F.col("y")), G.point(F.col("x") + 4, F.col("y") + 3))
+    made = geojson.timestamped_features(bank, line, "d", "ts", keep=["event_id"])
+    at = lambda path: F.get_json_object("value", path)
+    return made.select(at("$.properties.event_id").cast("long").alias("event_id"), at("$.properties.style.color").alias("color"), at("$.properties.times[0]").alias("time"), *[_r(at(f"$.geometry.coordinates[{i}]").cast("double"), c) for i, c in enumerate("xy")])
+
+
+@query(f"""WITH {V.PAIRS_SQL}, sums AS (SELECT location_id, count(*) AS n, sum(w * h) AS a FROM pairs GROUP BY 1)
+SELECT location_id, coalesce(n, 0) AS parts_count, round(coalesce(a, 0.0), 6) + 0.0 AS parts_total_area, b.p_brand AS parts_majority_class_p_brand FROM rects LEFT JOIN sums USING (location_id) LEFT JOIN {_mode_sql('p_brand')} b USING (location_id)""")
+def region_features(spark, sf_dir):
+    """A layer's configured aggregations, glued to the regions by key under the layer's name."""
+    config = FeatureGeneration(count=True, total_area=True, majority_class={"columns": ["p_brand"]}, area_fraction=False)
+    found = regions.region_features(V.rects(spark, sf_dir), "parts", V.objs(spark, sf_dir), config)
+    return found.select("location_id", F.col("parts_count").cast("long").alias("parts_count"), _r("parts_total_area", "parts_total_area"), "parts_majority_class_p_brand")
+
+
 @query(f"WITH {V.BANK_SQL} SELECT event_id, d FROM bank ORDER BY d, event_id LIMIT 5")
 def head_rows(spark, sf_dir):
     return rows.head(V.bank(spark, sf_dir), 5, "d", "event_id").select("event_id", "d")

@@ -10,7 +10,7 @@ pass then knows where features begin and end; those that a range's end cuts are
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -188,7 +188,12 @@ def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     """Features one a line, read in parallel."""
-    return with_geometry(spark.read.text(path).select(F.from_json("value", _FEATURE).alias("feature")))
+    return with_geometry(parsed(F.col("value"), spark.read.text(path)))
+
+
+def parsed(text: Column, df: DataFrame) -> DataFrame:
+    """df with one column, feature: its features' JSON text taken apart."""
+    return df.select(F.from_json(text, _FEATURE).alias("feature"))
 
 
 def _pairs(points: Column) -> Column:
@@ -211,10 +216,10 @@ def write_geojson(df: DataFrame, path: str, gtype: str, shape: str, properties:
     features(df, gtype, shape, properties).write.mode("overwrite").text(path)
 
 
-def timestamped_features(df: DataFrame, line: Column, distance: str = "distance_to_erosion", timestamp: str = "timestamp") -> DataFrame:
-    """Features of the lines' middles with their time, green where the distance is positive and red elsewhere."""
+def timestamped_features(df: DataFrame, line: Column, distance: str = "distance_to_erosion", timestamp: str = "timestamp", keep: Sequence[str] = ()) -> DataFrame:
+    """Features of the lines' middles with their time and the columns of keep, green where the distance is positive and red elsewhere."""
     color = F.when(F.col(distance) > 0, "green").otherwise("red")
     style = F.struct(color.alias("color"), F.lit(3).alias("weight"), F.lit(0.6).alias("opacity"))
     times = F.array(F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss"))
-    made = df.select(interpolate(line, F.lit(0.5), normalized=True).alias("middle"), times.alias("times"), style.alias("style"))
-    return features(made, "Point", "middle", ["times", "style"])
+    made = df.select(interpolate(line, F.lit(0.5), normalized=True).alias("middle"), times.alias("times"), style.alias("style"), *keep)
+    return features(made, "Point", "middle", ["times", "style", *keep])
