@@ -9,13 +9,12 @@ FEW rows. Two boxes of different levels meet because the one of the lower level
 row in each node above its home in which the other side has a box at home. These
 nodes are few and known (the tree has at most LEAVES leaves), so no side makes rows that can't meet.
 
-A pair is made in one place only: at the lower corner of what the boxes share, on
-the upper of the two levels.
+A pair is made in one place only: the first of the cells that both have, with one of them at home.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +29,17 @@ _GRID_BITS, _MIDDLE = 20, 5
 
 @dataclass
 class SpatialTree:
-    """Nodes as in a heap: 1 is the root, those below n are 2n and 2n + 1. All leaves are `depth` below the root."""
+    """Nodes as in a heap: 1 is the root, those below n are 2n and 2n + 1. All leaves are `depth` below the root.
+
+    axis and at tell where a node is cut; low and high are the leaves' corners, and cells how many columns and rows each leaf's grid has.
+    """
 
     depth: int
     axis: np.ndarray
     at: np.ndarray
-    low: np.ndarray = field(default=None)
-    high: np.ndarray = field(default=None)
-    cells: np.ndarray = field(default=None)
-
-    def leaf_of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        node = np.ones(len(x), np.int64)
-        for _ in range(self.depth):
-            node = 2 * node + (np.where(self.axis[node] == 0, x, y) >= self.at[node])
-        return node
+    low: np.ndarray
+    high: np.ndarray
+    cells: np.ndarray
 
     def cell_of(self, leaf: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Column and row in the leaf's grid."""
@@ -101,7 +97,7 @@ def _met(tree: SpatialTree, boxes: np.ndarray, depth: int) -> tuple[np.ndarray,
 
 def homes(tree: SpatialTree, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (box, cell) of the boxes' homes, and of each pair the node that is at home or the leaf around the grid cell."""
-    out, left = [], np.arange(len(boxes))
+    out = []
     leaf_box, leaf, few = _met(tree, boxes, tree.depth)
     own = boxes[leaf_box]
     x0, y0 = tree.cell_of(leaf, own[:, 0], own[:, 1])
