@@ -2,7 +2,7 @@
 
 A shape's boundary is walked with the shape on the left. Each edge moves to the right by
 the radius; where the walk turns left an arc joins the moved edges, where it turns
-right they are joined through the corner itself. The curve so made winds around exactly
+right they are joined where they cross, or through the corner itself if they are too short. The curve so made winds around exactly
 what is nearer than the radius, perhaps more than once, so after cutting it at its
 crossings the pieces stay that have something on their left and nothing on their right. A
 line is walked there and back, a point is a circle.
@@ -14,7 +14,7 @@ The two functions of columns work in Python: give their result a name before a l
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from shorewise.functions.geometry import LINE, POLYGON
 
 QUARTER = 16
 _STEP = np.pi / 2 / QUARTER
-_CHUNK = 512
+_CHUNK, _CELLS = 128, 4_000_000  # of a batch: points, and pairs
 
 
 def _without_repeats(p: np.ndarray) -> np.ndarray:
@@ -63,28 +63,59 @@ def _moved_ring(ring: np.ndarray, radius: float) -> np.ndarray:
         corners = np.concatenate([_arc(p[0], radius, 0.0, 2 * np.pi), p + [[radius, 0.0]]])
         return np.vstack([corners, corners[:1]])
     d, n = _sides(p, np.roll(p, -1, axis=0))
-    out = []
+    edge, out = np.hypot(*(np.roll(p, -1, axis=0) - p).T), []
     for k in range(len(p)):
-        turn = _turn(d[k - 1], d[k])
-        joint = _arc(p[k], radius, np.arctan2(n[k - 1, 1], n[k - 1, 0]), turn) if turn >= 0 else p[k : k + 1]
-        out += [p[k : k + 1] + radius * n[k - 1], joint, p[k : k + 1] + radius * n[k]]
+        turn, before, after = _turn(d[k - 1], d[k]), p[k : k + 1] + radius * n[k - 1], p[k : k + 1] + radius * n[k]
+        if turn < 0 and radius * np.tan(-turn / 2) <= min(edge[k - 1], edge[k]) / 2:  # the moved edges cross, and leave half an edge to the next corner
+            out.append(p[k : k + 1] + radius * (n[k - 1] + n[k]) / (1 + n[k - 1] @ n[k]))
+        else:
+            joint = _arc(p[k], radius, np.arctan2(n[k - 1, 1], n[k - 1, 0]), turn) if turn >= 0 else p[k : k + 1]
+            out += [before, joint, after]
     curve = np.concatenate(out)
     return np.vstack([curve, curve[:1]])
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray, tolerance: float) -> list[tuple[np.ndarray, ...]]:
+    """By levels of length: intervals of a level, those of it and of lower levels in order, and which of these each may meet (the first and how many).
+
+    None of the latter begins further back than the level's length.
+    """
+    unit = max(float(np.median(end - begin)), float(end.max() - begin.min()) * 1e-6, tolerance)
+    level = np.ceil(np.log2(np.maximum((end - begin) / unit, 1.0))).astype(int)
+    order, out = np.argsort(begin, kind="stable"), []
+    for c in np.unique(level):
+        own, lower = order[level[order] == c], order[level[order] <= c]
+        first = np.searchsorted(begin[lower], begin[own] - unit * 2.0**c - tolerance)
+        out.append((own, lower, first, np.searchsorted(begin[lower], end[own] + tolerance, side="right") - first))
+    return out
+
+
+def _meeting(low: np.ndarray, high: np.ndarray, tolerance: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of boxes that meet, each once, in batches; looked for along the axis that leaves fewer to compare."""
+    axes = [_ranges(low[:, k], high[:, k], tolerance) for k in (0, 1)]
+    for own, lower, first, count in min(axes, key=lambda levels: sum(int(n.sum()) for *_, n in levels)):
+        whole = np.isin(lower, own)  # of the same level: found from both sides
+        ends, s = np.cumsum(count), 0
+        while s < len(own):
+            e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + _CELLS, side="right")))
+            n = count[s:e]
+            at = np.arange(n.sum()) + np.repeat(first[s:e] - np.cumsum(n) + n, n)
+            i, j = np.repeat(own[s:e], n), lower[at]
+            once = ~whole[at] | (j < i)
+            i, j = i[once], j[once]
+            for k in (0, 1):
+                met = (low[i, k] <= high[j, k] + tolerance) & (low[j, k] <= high[i, k] + tolerance)
+                i, j = i[met], j[met]
+            yield i, j
+            s = e
+
+
 def _cut(a: np.ndarray, b: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segments cut where they meet others: starts and ends of the pieces in order, and which segment each is of."""
     n = len(a)
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    order = np.argsort(low[:, 0], kind="stable")
     of, at, where = [np.repeat(np.arange(n), 2)], [np.tile([0.0, 1.0], n)], [np.stack([a, b], axis=1).reshape(-1, 2)]
     d = b - a
-    for s in range(0, n, _CHUNK):
-        mine = order[s : s + _CHUNK]
-        others = order[s : np.searchsorted(low[order, 0], high[mine, 0].max() + tolerance, side="right")]
-        near = ((low[mine, None] <= high[others] + tolerance) & (low[others] <= high[mine, None] + tolerance)).all(axis=2)
-        i, j = np.nonzero(near & (np.arange(len(mine))[:, None] < np.arange(len(others))))
-        i, j = mine[i], others[j]
+    for i, j in _meeting(np.minimum(a, b), np.maximum(a, b), tolerance) if n else ():
         cross, gap = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0], a[j] - a[i]
         length = np.hypot(*d[i].T) * np.hypot(*d[j].T)
         skew = np.abs(cross) > 1e-12 * length
@@ -115,37 +146,55 @@ def _cut(a: np.ndarray, b: np.ndarray, tolerance: float) -> tuple[np.ndarray, np
 def _windings(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How often the closed curve of the segments winds around each point."""
     out = np.zeros(len(p), np.int64)
-    rise = np.where(a[:, 1] == b[:, 1], 1.0, b[:, 1] - a[:, 1])
-    step = max(1, 4_000_000 // max(len(a), 1))
-    for s in range(0, len(p), step):
-        x, y = p[s : s + step, :1], p[s : s + step, 1:]
-        up, down = (a[:, 1] <= y) & (b[:, 1] > y), (b[:, 1] <= y) & (a[:, 1] > y)
-        right = a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / rise > x
-        out[s : s + step] = (up & right).sum(axis=1) - (down & right).sum(axis=1)
+    low, high = np.minimum(a[:, 1], b[:, 1]), np.maximum(a[:, 1], b[:, 1])
+    rise = np.where(low == high, 1.0, b[:, 1] - a[:, 1])
+    order, s = np.argsort(p[:, 1], kind="stable"), 0
+    while s < len(p):
+        mine = order[s : s + _CHUNK]
+        level = np.flatnonzero((low <= p[mine[-1], 1]) & (high > p[mine[0], 1]))
+        mine = mine[: max(1, _CELLS // max(len(level), 1))]
+        x, y, u, v = p[mine, :1], p[mine, 1:], a[level], b[level]
+        up, down = (u[:, 1] <= y) & (v[:, 1] > y), (v[:, 1] <= y) & (u[:, 1] > y)
+        right = u[:, 0] + (y - u[:, 1]) * (v[:, 0] - u[:, 0]) / rise[level] > x
+        out[mine] = (up & right).sum(axis=1) - (down & right).sum(axis=1)
+        s += len(mine)
     return out
 
 
-class _Places:
-    """Numbers for points; those within the tolerance of one another have one."""
+def _away(m: np.ndarray, a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether no segment is nearer to a point than its least distance; neighbouring points look together at the segments around them."""
+    low, high, d = np.minimum(a, b), np.maximum(a, b), b - a
+    length2 = (d**2).sum(axis=1)
+    out, s = np.ones(len(m), bool), 0
+    while s < len(m):
+        some, reach = m[s : s + _CHUNK], least[s : s + _CHUNK].max()
+        near = np.flatnonzero(((low <= some.max(axis=0) + reach) & (high >= some.min(axis=0) - reach)).all(axis=1))
+        some = some[: max(1, _CELLS // max(len(near), 1))]
+        if len(near):
+            t = np.clip(((some[:, None] - a[near]) * d[near]).sum(axis=2) / length2[near], 0, 1)
+            gap = np.sqrt(((a[near] + t[..., None] * d[near] - some[:, None]) ** 2).sum(axis=2).min(axis=1))
+            out[s : s + len(some)] = gap >= least[s : s + len(some)]
+        s += len(some)
+    return out
 
-    def __init__(self, tolerance: float):
-        self.side, self.known = 4 * tolerance, {}
 
-    def number(self, p: np.ndarray) -> int:
-        x, y = (int(v) for v in np.floor(p / self.side))
-        for key in [(x, y), *((x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1))]:
-            for q, k in self.known.get(key, ()):
-                if abs(q[0] - p[0]) <= self.side / 2 and abs(q[1] - p[1]) <= self.side / 2:
-                    return k
-        k = self.known["n"] = self.known.get("n", -1) + 1
-        self.known.setdefault((x, y), []).append((p, k))
-        return k
+def _places(p: np.ndarray, tolerance: float) -> np.ndarray:
+    """Numbers for points; those within twice the tolerance of one another have one."""
+    at, which = np.unique(p, axis=0, return_inverse=True)
+    pairs = [np.stack(x) for x in _meeting(at, at, 2 * tolerance)] if len(at) else []
+    i, j = np.concatenate([np.zeros((2, 0), int), *pairs], axis=1)
+    number = np.arange(len(at))
+    while (number[i] != number[j]).any():
+        least = np.minimum(number[i], number[j])
+        np.minimum.at(number, i, least)
+        np.minimum.at(number, j, least)
+        number = number[number]
+    return number[which.reshape(-1)]
 
 
 def _chained(a: np.ndarray, b: np.ndarray, tolerance: float) -> list[np.ndarray]:
     """Pieces put together to lines: where several go on, the one furthest to the left. Closed lines repeat their first point."""
-    places = _Places(tolerance)
-    ends = [(places.number(p), places.number(q)) for p, q in zip(a, b, strict=True)]
+    ends = [(int(i), int(j)) for i, j in _places(np.concatenate([a, b]), tolerance).reshape(2, -1).T]
     pieces = list({e: k for k, e in reversed(list(enumerate(ends))) if e[0] != e[1]}.items())
     after: dict[int, list[int]] = {}
     incoming = {e[1] for e, _ in pieces}
@@ -162,7 +211,9 @@ def _chained(a: np.ndarray, b: np.ndarray, tolerance: float) -> list[np.ndarray]
             at, d = ends[k][1], b[k] - a[k]
             if at == first or not after.get(at):
                 break
-            k = max(after[at], key=lambda m: np.arctan2(d[0] * (b[m] - a[m])[1] - d[1] * (b[m] - a[m])[0], d @ (b[m] - a[m])))  # noqa: B023
+            k = after[at][0]
+            if len(after[at]) > 1:
+                k = max(after[at], key=lambda m: np.arctan2(d[0] * (b[m] - a[m])[1] - d[1] * (b[m] - a[m])[0], d @ (b[m] - a[m])))  # noqa: B023
         out.append(np.array([*line[:-1], line[0]] if at == first else line))
     return out
 
@@ -201,8 +252,10 @@ def buffer_rings(rings: list[np.ndarray], radius: float) -> list[list[np.ndarray
     found = [_straightened(r, 1e-10 * size) for r in found if abs(_area(r)) > 1e-10 * size * size]
     outer = sorted((r for r in found if _area(r) > 0), key=_area, reverse=True)
     polygons = [[r] for r in outer]
+    boxes = np.array([[r.min(axis=0), r.max(axis=0)] for r in outer]).reshape(-1, 2, 2)
     for hole in (r for r in found if _area(r) < 0):
-        around = [k for k, r in enumerate(outer) if _windings(hole[:1] + 1e-9 * size * _sides(hole[:1], hole[1:2])[1] * -1, r[:-1], r[1:])[0] > 0]
+        p = hole[:1] - 1e-9 * size * _sides(hole[:1], hole[1:2])[1]
+        around = [k for k in np.flatnonzero(((boxes[:, 0] <= p) & (p <= boxes[:, 1])).all(axis=1)) if _windings(p, outer[k][:-1], outer[k][1:])[0] > 0]
         if around:
             polygons[around[-1]].append(hole)
     return [[r + shift for r in polygon] for polygon in polygons]
@@ -224,6 +277,7 @@ def offset_pieces(line: np.ndarray, by: float, join: str = "mitre", limit: float
     if len(p) < 2 or by == 0:
         return [p] if len(p) > 1 else []
     d, right = _sides(p[:-1], p[1:])
+    edge = np.hypot(*(p[1:] - p[:-1]).T)
     side, far = -np.sign(by) * right, abs(by)  # towards the line that is made
     curve, round_ = [p[0] + far * side[0]], []
     for k in range(1, len(p) - 1):
@@ -232,10 +286,10 @@ def offset_pieces(line: np.ndarray, by: float, join: str = "mitre", limit: float
         before, after = p[k] + far * side[k - 1], p[k] + far * side[k]
         if abs(turn) < 1e-12:
             corner = [before]
-        elif turn > 0:  # the inner side of the bend
+        elif turn > 0 and far * np.tan(turn / 2) > min(edge[k - 1], edge[k]) / 2:  # the inner side of the bend, where edges may be too short to meet
             corner = [before, p[k], after]
-        elif join == "mitre" and mitre <= limit:
-            corner = [p[k] + far * mitre * (side[k - 1] + side[k]) / np.hypot(*(side[k - 1] + side[k]))]
+        elif turn > 0 or (join == "mitre" and mitre <= limit):
+            corner = [p[k] + far * (side[k - 1] + side[k]) / (1 + side[k - 1] @ side[k])]
         else:
             begin = np.arctan2(side[k - 1, 1], side[k - 1, 0])
             corner = [before, *_arc(p[k], far, begin, turn if by > 0 else -turn), after]
@@ -256,14 +310,7 @@ def offset_pieces(line: np.ndarray, by: float, join: str = "mitre", limit: float
     own = np.flatnonzero(of < real.sum())
     u, v, of = u[own], v[own], of[own]
     least = np.where(chord[of], far * np.cos(_STEP / 2), far) - 1e-8 * size
-    e, length2 = q[1:] - q[:-1], ((q[1:] - q[:-1]) ** 2).sum(axis=1)
-    away = np.empty(len(u))
-    step = max(1, 4_000_000 // len(e))
-    for s in range(0, len(u), step):
-        m = ((u[s : s + step] + v[s : s + step]) / 2)[:, None]
-        t = np.clip(((m - q[:-1]) * e).sum(axis=2) / length2, 0, 1)
-        away[s : s + step] = np.sqrt(((q[:-1] + t[..., None] * e - m) ** 2).sum(axis=2).min(axis=1))
-    kept = away >= least
+    kept = _away((u + v) / 2, q[:-1], q[1:], least)
     return [_unbent(r, 1e-10 * size) + shift for r in _chained(u[kept], v[kept], tolerance)]
 
 

@@ -81,6 +81,34 @@ def test_any_shape(seed):
     check([np.array([(0, 0), (5, 0), (2, 0), (2, 3), (2, 0)], float)], "line", 1.0)
 
 
+def test_many_corners():
+    """A wavy ring of 20,000 corners: the buffer of a ring and its hole by Steiner's formula, and no point of an offset too near."""
+    w = np.linspace(0, 2 * np.pi, 20_001)
+    far = 1000 + 50 * np.sin(12 * w)
+    wave = np.stack([far * np.cos(w), far * np.sin(w)], axis=1)
+    wave[-1] = wave[0]
+    around = np.hypot(*(wave[1:] - wave[:-1]).T).sum()
+    (outer,) = C.buffer_rings([wave], 0.5)
+    assert area(outer) == pytest.approx(C._area(wave) + around * 0.5 + np.pi * 0.25, rel=1e-7)
+    frame = C.buffer_rings([box(-2000, -2000, 2000, 2000), wave[::-1]], 0.5)
+    assert len(frame) == 1 and len(frame[0]) == 2
+    assert area(frame[0]) == pytest.approx(4001**2 - (1 - np.pi / 4) - C._area(wave) + around * 0.5 - np.pi * 0.25, rel=1e-7)
+    (inner,) = C.offset_pieces(wave[:-1], 0.5)
+    some = inner[:: len(inner) // 50]
+    assert np.abs(distance(some, wave[:-1], wave[1:]) - 0.5)[1:-1].max() < 1e-3
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_boxes_that_meet(seed):
+    """Every pair once, among boxes of lengths of many sizes, repeated ones and points."""
+    rng = np.random.default_rng(seed)
+    low = rng.integers(0, 50, (120, 2)).astype(float)
+    high = low + np.floor(rng.pareto(0.7, (120, 2)).clip(0, 80)) * (seed > 0)
+    got = [p for i, j in C._meeting(low, high, 0.5) for p in zip(np.maximum(i, j).tolist(), np.minimum(i, j).tolist(), strict=True)]
+    meet = ((low[:, None] <= high + 0.5) & (low <= high[:, None] + 0.5)).all(axis=2)
+    assert sorted(got) == [(i, j) for i in range(120) for j in range(i) if meet[i, j]]
+
+
 def test_offset_pieces():
     bend = np.array([(0, 0), (10, 0), (10, 10)], float)
     (left,), (right,), (rounded,) = C.offset_pieces(bend, 2), C.offset_pieces(bend, -2), C.offset_pieces(bend, -2, "round")
