@@ -153,6 +153,15 @@ def predict_long(spark, sf_dir):
     return model.unpivot_prediction(_predicted(spark, sf_dir)).select(*KEYS, _r("distance_to_erosion", "distance_to_erosion"), "timestamp")
 
 
+@query(f"WITH {V.PROCESSED_SQL}, {V.MODEL_SQL}, wide AS ({_WIDE_SQL}) SELECT * FROM wide WHERE ahn_version = (SELECT max(ahn_version) FROM processed)")
+def saved_model(spark, sf_dir):
+    """A model trained and saved with its data, and loaded again to predict from the latest rows of that data."""
+    path = V.written_folder(spark)
+    model.MeanSpeedModel(_processed(spark, sf_dir), steps=3).save(path, keep_training_data=True)
+    again = model.MeanSpeedModel.load(spark, path, with_training_data=True, steps=3)
+    return again.predict(model.latest(again.data)).select(*KEYS, *[_r(f"{model.PREDICTION}_{k}", f"{model.PREDICTION}_{k}") for k in (1, 2, 3)])
+
+
 _STEP_SQL = "location_id, ahn_version, round(distance_to_erosion_border + erosion_speed, 6) + 0.0 AS future_distance_to_erosion_border_1 FROM processed JOIN"
 
 
@@ -209,6 +218,17 @@ def line_interpolate(spark, sf_dir):
     return V.bank(spark, sf_dir).select("event_id", p.alias("p")).select("event_id", _r("p.x", "px"), _r("p.y", "py"))
 
 
+_SHARE = "(event_id % 500) / 200.0::DOUBLE - 1.2"
+_WHOLE = "(SELECT sum(len) FROM bs)"
+
+
+@query(f"WITH {_B}, s AS (SELECT DISTINCT {_SHARE} AS a FROM events), p AS (SELECT a, {V.place_sql('bs', f'a * {_WHOLE}', 'x')} AS px, {V.place_sql('bs', f'a * {_WHOLE}', 'y')} AS py FROM s) SELECT event_id, round(px, 6) + 0.0 AS px, round(py, 6) + 0.0 AS py FROM events JOIN p ON a = {_SHARE}")
+def line_interpolate_share(spark, sf_dir):
+    """The place at a share of the border's length; negative shares from its end, those beyond the line at its ends."""
+    p = G.interpolate(_border(), (F.col("event_id") % 500) / 200.0 - 1.2, normalized=True)
+    return V.bank(spark, sf_dir).select("event_id", p.alias("p")).select("event_id", _r("p.x", "px"), _r("p.y", "py"))
+
+
 @query(f"WITH {_ON_BOTH} SELECT event_id, CAST(line_ord AS BIGINT) AS line_ord, round(dist, 6) + 0.0 AS distance FROM near")
 def nearest_line(spark, sf_dir):
     found = observations.nearest_line(V.bank(spark, sf_dir).select("event_id", "x", "y"), V.lines(spark))
@@ -375,6 +395,19 @@ def geojson_features(spark, sf_dir):
     return box.select("object_id", "p_brand", "gtype", "area", *[F.col(f"b.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
+@query(f"WITH {V.RECTS_SQL} SELECT 'Polygon' AS gtype, location_id, 4.0::DOUBLE AS corners, round((xmax - xmin) * (ymax - ymin), 6) AS size FROM rects UNION ALL SELECT 'LineString', location_id, 2.0, round(sqrt(pow(xmax - xmin, 2) + pow(ymax - ymin, 2)), 6) FROM rects UNION ALL SELECT 'Point', location_id, 1.0, 0.0 FROM rects")
+def geojson_files(spark, sf_dir):
+    """Regions, their diagonals and their first corners, written as GeoJSON files and read as one layer."""
+    path, found = V.written_folder(spark), V.rects(spark, sf_dir)
+    low, high = G.point(F.col("xmin"), F.col("ymin")), G.point(F.col("xmin") + 50, F.col("ymin") + 110)
+    for gtype, shape in (("Polygon", F.col("polygon")), ("LineString", F.array(low, high)), ("Point", low)):
+        geojson.write_geojson(found.select("location_id", shape.alias("shape")), f"{path}/{gtype}", gtype, "shape", ["location_id"])
+    back = rows.appended(*[geojson.read_geojson_lines(spark, f"{path}/{gtype}") for gtype in ("Polygon", "LineString", "Point")])
+    corners = F.coalesce(F.size(F.element_at("polygon", 1)) - 1, F.size("line"), F.lit(1)).cast("double")
+    size = F.coalesce(G.area(F.col("polygon")), G.length(F.col("line")), F.lit(0.0))
+    return back.select("gtype", F.col("properties")["location_id"].cast("long").alias("location_id"), corners.alias("corners"), _r(size, "size"))
+
+
 @query(f"WITH {V.OBJS_SQL} SELECT object_id, xmin AS px, ymin AS py, round(w + h, 6) AS length, round(w * h / 2, 6) AS area FROM objs")
 def wkt_shapes(spark, sf_dir):
     """A point, a line and a triangle of each object, by their text."""
@@ -506,6 +539,15 @@ def _segments_gap_sql(s: tuple[str, ...], t: tuple[str, ...]) -> str:
     return f"CASE WHEN {' OR '.join(apart)} THEN least({', '.join(ends)}) ELSE 0.0 END"
 
 
+@query(f"""WITH {V.OBJS_SQL}, {_B}, o AS (SELECT object_id, xmin AS oax, ymin AS oay, xmax AS obx, ymin AS oby FROM objs UNION ALL SELECT object_id, xmax, ymin, xmax, ymax FROM objs)
+SELECT object_id, round(sqrt(min({_segments_gap_sql(("oax", "oay", "obx", "oby"), ("bs.ax", "bs.ay", "bs.bx", "bs.by_"))})), 6) + 0.0 AS gap FROM o, bs GROUP BY 1""")
+def line_gap(spark, sf_dir):
+    """Distance of each object's lower and right side, as one line, from the border."""
+    x0, y0, x1, y1 = F.col("xmin"), F.col("ymin"), F.col("xmin") + F.col("w"), F.col("ymin") + F.col("h")
+    sides = F.array(G.point(x0, y0), G.point(x1, y0), G.point(x1, y1))
+    return V.objs(spark, sf_dir).select("object_id", _r(G.line_distance(sides, _border()), "gap"))
+
+
 def _box_gap_sql() -> str:
     """Squared distance of a rectangle and a segment of `ls`; 0 if they meet."""
     spans = []

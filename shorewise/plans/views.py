@@ -6,6 +6,8 @@ lines and border: fixed polylines.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written_folder(spark: SparkSession) -> str:
+    """A new folder for what a query writes and reads again: in the one that all executors share, or a local one where the session has none and runs on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared or 'file:///tmp'}/shorewise-{uuid.uuid4().hex}"
+
+
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
         "event_id", F.col("user_id").alias("location_id"), F.floor((F.day("ts") - 1) / 7).cast("int").alias("ahn_version"), "event_type",
