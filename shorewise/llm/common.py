@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Folders that `settled` has written and `forget_settled` may delete.
 _settled: list[str] = []
@@ -84,6 +85,26 @@ def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     return ranges.withColumn("__within", within).join(offsets, "__range").withColumn("rank", F.col("__offset") + F.col("__within")).drop("__range", "__within", "__offset")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with ids as long, and (__id, rank), what the numbers stand for: None if ids are whole numbers.
+
+    Ids of another type are numbered in their own order, and docs are written anew with doc_id and text; null ids stay null.
+    """
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return docs.withColumn("doc_id", F.col("doc_id").cast("long")), None
+    docs = docs.select(F.col("doc_id").alias("__id"), "text")
+    names = settled(ranked(docs.select("__id").where("__id IS NOT NULL").distinct(), F.col("__id")))
+    return settled(docs.join(names, "__id", "left").select(F.col("rank").cast("long").alias("doc_id"), "text")), names
+
+
+def named(rows: DataFrame, names: DataFrame | None) -> DataFrame:
+    """rows with the ids that `numbered` has put numbers for."""
+    if names is None:
+        return rows
+    found = rows.join(names, rows["doc_id"] == names["rank"], "left")
+    return found.select(*[F.col("__id").alias("doc_id") if c == "doc_id" else c for c in rows.columns])
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

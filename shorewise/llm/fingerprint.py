@@ -19,7 +19,8 @@ ranges of their hashes; rows of one id share a range.
 Defined results: null text is empty, and so has no paragraphs; two documents
 without paragraphs have likeness 1; null ids come last; rows of equal id are
 ordered by their text's hash; a single row is its own successor; an empty table
-gives an empty result; other columns aren't read.
+gives an empty result; other columns aren't read. Ids of any type that has an order
+will do: text ids compare by code point.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shorewise.llm.common import let, ranked, settled, table
+from shorewise.llm.common import let, named, numbered, ranked, settled, table
 
 CELLS, ROUNDS, RETRY_ROUNDS, KEYS_A_PART, RANGE_BYTES, BROADCAST_RANGES = 8, 8, 4, 6, 16_000_000, 200_000
 #: Line ends; blanks after a sentence's mark, or after the quote or bracket that closes one; behind a full-width mark, blanks or none.
@@ -174,6 +175,7 @@ def with_successor(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
+    docs, names = numbered(docs)
     rows = with_successor(docs).withColumn("n_chars", F.length("text"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars") - cut), F.substr("next", F.lit(1), cut)))
@@ -189,10 +191,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     of = lambda i: F.max(F.when(F.col("pair") % 2 == i, F.col("likeness")))
     again = found.groupBy(F.shiftright("pair", 1).alias("row")).agg(of(0).alias("again_edited"), of(1).alias("again_next"))
     kept = kept.drop("n").join(again, "row", "left")
-    return kept.select(
+    kept = kept.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", encoded(F.size("a"), sketch(F.col("a"))).alias("fingerprint"), encoded(F.size("e"), sketch(F.col("e"))).alias("edited_fingerprint"),
         F.coalesce("near_edited", "again_edited").alias("near_edited"), F.coalesce("near_next", "again_next").alias("near_next"),
     )
+    return named(kept, names)
 
 
 def op8_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

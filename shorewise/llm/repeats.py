@@ -17,7 +17,8 @@ document. Windows are compared by 64-bit hashes.
 
 Defined results: null text has no words; a null id is larger than all others;
 rows of the same id aren't copies of each other; texts of fewer than 13 words
-keep all; an empty table gives an empty result; other columns aren't read.
+keep all; an empty table gives an empty result; other columns aren't read. Ids of
+any type that has an order will do: text ids compare by code point.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shorewise.llm.common import settled, shared_by_blocks, table, with_blocks
+from shorewise.llm.common import named, numbered, settled, shared_by_blocks, table, with_blocks
 from shorewise.llm.shingles import chunks, runs_of, word_hashes
 from shorewise.llm.winnow import anchors, covered, inside
 
@@ -138,14 +139,15 @@ def _cut(window: int, seed: int):
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, seed: int = SEED, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document row: doc_id, n_words, n_removed, spans (cut word runs [i, e)) and kept_text (kept words, one space between)."""
-    docs = with_blocks(docs.withColumn("doc_id", F.col("doc_id").cast("long")), block_bytes)
+    docs, names = numbered(docs)
+    docs = with_blocks(docs, block_bytes)
     seeds = docs.select("text", "block").mapInArrow(_seeds(window, seed), "block int, key long")
     shared = settled(shared_by_blocks(seeds, "key")).withColumnRenamed("block", "__block")
     listed = docs.groupBy("block").cogroup(shared.groupBy("__block")).applyInArrow(_extended(window, seed), "block int, hash long, low long")
     least = listed.withColumn("least", F.min("low").over(Window.partitionBy("hash"))).where("least < low")
     lower = settled(least.select(F.col("block").alias("__block"), "hash", F.col("least").alias("low")))
     kind = "doc_id long, n_words long, n_removed long, spans array<struct<i:int,e:int>>, kept_text string"
-    return docs.groupBy("block").cogroup(lower.groupBy("__block")).applyInArrow(_cut(window, seed), kind)
+    return named(docs.groupBy("block").cogroup(lower.groupBy("__block")).applyInArrow(_cut(window, seed), kind), names)
 
 
 def op7_seed_and_extend_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,6 +98,24 @@ def test_odd_fingerprints(odd):
     assert P.fingerprints(odd.where("doc_id = 4")).first().near_next == 1
 
 
+def test_fingerprints_of_text_ids(spark):
+    """Text ids follow one another in their own order, and fingerprints are those of the texts whatever the ids."""
+    text = lambda i: " ".join(f"Sentence {k} of {i % 7}." for k in range(i % 5 + 1))
+    ids = [f"d{i}" for i in range(25)]
+    docs = spark.createDataFrame([(x, text(i)) for i, x in enumerate(ids)] + [(None, "Without.")], "doc_id string, text string").withColumn("rank", F.lit(1))
+    order = [*sorted(((x, text(i)) for i, x in enumerate(ids)), reverse=True), (None, "Without.")]
+    got = {r.doc_id: r for r in P.fingerprints(docs).collect()}
+    numbers = {r.doc_id: r for r in P.fingerprints(spark.createDataFrame([(100 - k if x else None, t) for k, (x, t) in enumerate(order)], "doc_id long, text string")).collect()}
+    assert len(got) == 26
+    for k, (x, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        assert got[x].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[x].near_next == pytest.approx(jaccard(paragraphs(t), paragraphs(after)))
+        assert got[x][1:] == numbers[100 - k if x else None][1:]
+    assert P.fingerprints(docs.where("false")).count() == 0
+
+
 def test_peeling(spark):
     df = spark.sql("SELECT transform(sequence(1, 40), i -> xxhash64(i)) AS a, transform(sequence(38, 42), i -> xxhash64(i)) AS c, transform(sequence(3, 44), i -> xxhash64(i)) AS b")
     alone = df.select(P.peel(P.subtract(P.sketch(F.col("a")), P.sketch(F.col("b")))).alias("p")).first().p

@@ -8,18 +8,18 @@ from shorewise.llm import repeats, substrings
 
 
 def brute_words(rows):
-    first = {}
+    first, key = {}, lambda i: (i is None, i)
     for i, t in rows:
-        w, own = (t or "").encode().split(), np.inf if i is None else i
+        w = (t or "").encode().split()
         for k in range(len(w) - 12):
             x = tuple(w[k : k + 13])
-            first[x] = min(first.get(x, np.inf), own)
+            first[x] = min(first.get(x, key(i)), key(i))
     out = Counter()
     for i, t in rows:
-        w, own = (t or "").encode().split(), np.inf if i is None else i
+        w = (t or "").encode().split()
         gone = np.zeros(len(w), bool)
         for k in range(len(w) - 12):
-            if first[tuple(w[k : k + 13])] < own:
+            if first[tuple(w[k : k + 13])] < key(i):
                 gone[k : k + 13] = True
         out[(i, len(w), int(gone.sum()), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode())] += 1
     return out
@@ -47,6 +47,16 @@ def test_words_against_brute_force(spark, odd, block):
     assert all(sum(s.e - s.i for s in r.spans) == r.n_removed for r in got)
 
 
+def test_words_of_text_ids(spark, odd):
+    """Text ids, in their own order ("d9" after "d10"), some null and some repeated."""
+    rows = [(None if i is None else f"d{i}é", t) for i, t in [(r.doc_id, r.text) for r in odd.collect()] + word_rows()]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 AS rank", "2 AS __id")
+    got = repeats.remove_repeats(docs, block_bytes=3000)
+    assert dict(got.dtypes)["doc_id"] == "string"
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.collect()) == brute_words(rows)
+    assert repeats.remove_repeats(docs.limit(0)).count() == 0
+
+
 def brute_bytes(texts, n):
     seen = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = Counter()
