@@ -161,14 +161,15 @@ def directed_edges(polygon: Column) -> Column:
     return F.flatten(F.flatten(F.transform(polygon, lambda r, i: _directed(r, i == 0))))
 
 
-def _with_holes(polygon: Column, name: str) -> Column:
-    ring = F.transform(polygon, lambda r: _moments(r)[name])
+def _with_holes(rings: Column, name: str) -> Column:
+    """The first ring's moment, less those of the others, of rings' moments."""
+    ring = F.transform(rings, lambda m: m[name])
     return F.element_at(ring, 1) - F.aggregate(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.lit(0.0), lambda n, v: n + v)
 
 
 def area(polygon: Column) -> Column:
     """Area of a polygon, less its holes."""
-    return _with_holes(polygon, "a")
+    return let(F.transform(polygon, _moments), lambda rings: _with_holes(rings, "a"))
 
 
 def parts_area(parts: Column) -> Column:
@@ -178,14 +179,14 @@ def parts_area(parts: Column) -> Column:
 
 def centroid(polygon: Column) -> Column:
     """Area-weighted centroid; null for an empty area."""
-    return let(area(polygon), lambda whole: point(F.try_divide(_with_holes(polygon, "mx"), whole), F.try_divide(_with_holes(polygon, "my"), whole)))
+    of = lambda rings: let(_with_holes(rings, "a"), lambda whole: point(F.try_divide(_with_holes(rings, "mx"), whole), F.try_divide(_with_holes(rings, "my"), whole)))
+    return let(F.transform(polygon, _moments), of)
 
 
 def bounds(polygon: Column) -> Column:
     """struct<xmin, ymin, xmax, ymax>."""
-    every = F.flatten(polygon)
-    xs, ys = F.transform(every, lambda p: p["x"]), F.transform(every, lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
+    ends = lambda v: F.struct(F.array_min(v["x"]).alias("xmin"), F.array_min(v["y"]).alias("ymin"), F.array_max(v["x"]).alias("xmax"), F.array_max(v["y"]).alias("ymax"))
+    return let(let(F.flatten(polygon), lambda every: F.struct(every["x"].alias("x"), every["y"].alias("y"))), ends)
 
 
 def on_boundary(polygon: Column, x: Column, y: Column) -> Column:
@@ -339,10 +340,14 @@ def project_polygon(polygon: Column, of: Column) -> Column:
 
 def offset(of: Column, by: Column) -> Column:
     """A line of two points moved to its left by a distance (to its right by a negative one); null if its points are one. For lines of more see curves.offset_curve."""
-    a, b = F.element_at(of, 1), F.element_at(of, 2)
-    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    scale = F.try_divide(by, F.sqrt(dx * dx + dy * dy))
-    return F.transform(of, lambda p: point(p["x"] - dy * scale, p["y"] + dx * scale))
+
+    def moved(m: Column) -> Column:
+        a, b = F.element_at(m, 1), F.element_at(m, 2)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        scale = F.try_divide(by, F.sqrt(dx * dx + dy * dy))
+        return let(scale, lambda s: F.transform(m, lambda p: point(p["x"] - dy * s, p["y"] + dx * s)))
+
+    return let(of, moved)
 
 
 def side_of(of: Column, other: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from shorewise.config import FeatureGeneration
 from shorewise.functions import crs
 from shorewise.functions import geometry as G
+from shorewise.functions import meets
 from shorewise.functions.curves import rings_of
 from shorewise.operators.nearest import nearest_of_regions, segments_of
 from shorewise.operators.packed import PackedSegments
@@ -70,13 +71,10 @@ def _candidates(regions: DataFrame, objects: DataFrame, kind: str) -> DataFrame:
 
 
 def _meeting(candidates: DataFrame, kind: str, strict: bool = False) -> DataFrame:
-    exact = {
-        "point": lambda polygon, p: (G.within if strict else G.covers)(polygon, p["x"], p["y"]),
-        "line": G.line_intersects,
-        "polygon": G.parts_intersect if in_parts(candidates) else G.intersects,
-        "any": G.any_intersects,
-    }[kind]
-    return candidates.where(exact(F.col("polygon"), F.col("shape")))
+    polygon, shape = F.col("polygon"), F.col("shape")
+    if kind == "point":
+        return candidates.where((G.within if strict else G.covers)(polygon, shape["x"], shape["y"]))
+    return candidates.where(meets.meets(polygon, shape, "parts" if kind == "polygon" and in_parts(candidates) else kind))
 
 
 def spatial_pairs(regions: DataFrame, objects: DataFrame, *, kind: str = "polygon", strict: bool = False) -> DataFrame:
@@ -88,7 +86,7 @@ def pairs_within(regions: DataFrame, objects: DataFrame) -> DataFrame:
     """Regions with the polygons that lie in them, boundaries included. Boxes are compared before shapes."""
     held = [F.col(f"__b.{c}") >= F.col(f"__a.{c}") for c in ("xmin", "ymin")] + [F.col(f"__b.{c}") <= F.col(f"__a.{c}") for c in ("xmax", "ymax")]
     pairs = _candidates(regions, objects, "polygon").where(held[0] & held[1] & held[2] & held[3])
-    return pairs.where(G.polygon_within(F.col("shape"), F.col("polygon"))).drop("__a", "__b")
+    return pairs.where(meets.polygon_within(F.col("shape"), F.col("polygon"))).drop("__a", "__b")
 
 
 def _all(regions: DataFrame, found: DataFrame, defaults: dict[str, Column]) -> DataFrame:
@@ -109,9 +107,11 @@ def intersecting(regions: DataFrame, objects: DataFrame, columns: list[str] | st
     columns = [columns] if isinstance(columns, str) else list(columns)
     if missing := set(columns) - set(objects.columns):
         raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
-    pairs = spatial_pairs(regions, objects, kind=kind, **options)
     own = {"any": G.any_area, "polygon": G.parts_area if in_parts(objects) else G.area}.get(kind)
-    size = F.sum(own(F.col("shape"))) if own else F.lit(0.0)
+    if own:  # once an object, not once a pair
+        objects = objects.withColumn("__size", own(F.col("shape")))
+    pairs = spatial_pairs(regions, objects.select("shape", *dict.fromkeys(columns), *(["__size"] if own else [])), kind=kind, **options)
+    size = F.sum("__size") if own else F.lit(0.0)
     modes = [F.mode(F.col(f"`{c}`"), True).alias(f"majority_class_{c}") for c in columns]
     found = pairs.groupBy("location_id").agg(F.count(F.lit(1)).alias("count"), size.alias("total_area"), *modes)
     none = F.lit(None).cast("string")

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from shorewise.functions import geometry as G
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The same rows, dealt over as many tasks as a shuffle has: for work that a row costs much of, where a small file would be one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def value_counts(df: DataFrame, *columns: str, of: str | None = None, name: str = "n") -> DataFrame:
     """How often each combination of values occurs, or how often it does with a value of `of`; nulls are a value of their own."""
     return df.groupBy(*columns).agg(F.count(F.lit(1) if of is None else F.col(of)).alias(name)).orderBy(*columns)

@@ -10,6 +10,10 @@ row in each node above its home in which the other side has a box at home. These
 nodes are few and known (the tree has at most LEAVES leaves), so no side makes rows that can't meet.
 
 A pair is made in one place only: the first of the cells that both have, with one of them at home.
+
+Boxes beyond all of the other side are left out first. A cell in which one side has more than
+KEY_ROWS rows, as the sample tells, is dealt over several keys, each with a share of
+these rows and all of the other side's, so that no task gets a whole crowd.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Boxes that the tree is built of (per side), its leaves, boxes that a cell should hold, and cells of a box's home.
 SAMPLE, LEAVES, CROWD, FEW = 10_000, 1024, 64, 4
+#: Rows of one side that a key of the join should hold.
+KEY_ROWS = 20_000
 BOX = ["xmin", "ymin", "xmax", "ymax"]
 _GRID_BITS, _MIDDLE = 20, 5
 
@@ -156,20 +162,38 @@ def cells_of(tree: SpatialTree, meets: np.ndarray, box: Column) -> Column:
 
 @dataclass
 class Side:
-    """Boxes of one side of a join: a sample, and how many there are."""
+    """Boxes of one side of a join: a sample, how many there are, and the box around all."""
 
     df: DataFrame
     box: str
     sample: np.ndarray
     n: int
+    extent: tuple = ()
 
 
 def sampled(df: DataFrame, box: str, sample: int = SAMPLE) -> Side:
     """Some boxes and the number of all, in one pass; those that aren't finite aren't sampled."""
     seen = Observation()
-    rows = df.select(f"{box}.*").observe(seen, F.count(F.lit(1)).alias("n")).orderBy(F.rand(7)).limit(sample).toPandas()
+    ends = [(F.min if c.endswith("min") else F.max)(c).alias(c) for c in BOX]
+    rows = df.select(f"{box}.*").observe(seen, F.count(F.lit(1)).alias("n"), *ends).orderBy(F.rand(7)).limit(sample).toPandas()
     boxes = rows[BOX].to_numpy(float).reshape(-1, 4)
-    return Side(df, box, boxes[np.isfinite(boxes).all(axis=1)], seen.get.get("n", 0))
+    return Side(df, box, boxes[np.isfinite(boxes).all(axis=1)], seen.get.get("n", 0), tuple(seen.get.get(c) for c in BOX))
+
+
+def near(side: Side, extent: tuple) -> Side:
+    """The side without boxes that don't meet the extent; sampled anew if that leaves less than half of the sample."""
+    xmin, ymin, xmax, ymax = extent
+    b = F.col(side.box)
+    rows = side.df.where((b["xmin"] <= F.lit(xmax)) & (b["ymin"] <= F.lit(ymax)) & (b["xmax"] >= F.lit(xmin)) & (b["ymax"] >= F.lit(ymin)))
+    s = side.sample
+    out = (s[:, 0] > xmax) | (s[:, 1] > ymax) | (s[:, 2] < xmin) | (s[:, 3] < ymin)
+    if not out.any():
+        return Side(rows, side.box, s, side.n, side.extent)
+    if side.n <= SAMPLE:  # the sample is all
+        return Side(rows, side.box, s[~out], side.n - int(out.sum()), side.extent)
+    if 2 * out.sum() > len(s):
+        return sampled(rows, side.box)
+    return Side(rows, side.box, s[~out], round(side.n * float((~out).mean())), side.extent)
 
 
 def tree_of(sides: list[Side], **options) -> SpatialTree | None:
@@ -201,9 +225,34 @@ def cell_rows(df: DataFrame, tree: SpatialTree, box: str, other: tuple[np.ndarra
     return rows if fine else rows.where("__cell < 0")
 
 
-def box_pairs(a: DataFrame, b: DataFrame, a_box: str = "__a", b_box: str = "__b", **options) -> DataFrame:
+def crowds(tree: SpatialTree, side: Side, other: tuple[np.ndarray, bool], key_rows: int) -> dict[int, int]:
+    """Over how many keys to deal the side's rows in cells where it has more than key_rows, as its sample tells."""
+    if not len(side.sample):
+        return {}
+    row, cell, node = homes(tree, side.sample)
+    pairs = [np.stack([row, cell], axis=1)]
+    for up in above(tree, cell, node):
+        use = np.isin(up, other[0])
+        pairs.append(np.unique(np.stack([row[use], up[use]], axis=1), axis=0))
+    cells, n = np.unique(np.concatenate(pairs)[:, 1], return_counts=True)
+    keys = np.ceil(n * (side.n / len(side.sample)) / key_rows).astype(int)
+    return {int(c): int(k) for c, k in zip(cells[keys > 1], keys[keys > 1], strict=True)}
+
+
+def dealt(rows: DataFrame, keys: DataFrame, own: str, other: str, by: list[str]) -> DataFrame:
+    """rows with their share of their cell's keys, by a hash of the columns `by`, and a row for each share of the other side."""
+    shares = rows.join(F.broadcast(keys), "__cell", "left")
+    share = F.pmod(F.xxhash64(*by), F.coalesce(F.col(own), F.lit(1)))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
+    return shares.select(*rows.columns, share.cast("int").alias(f"{own}_share"), every.alias(f"{other}_share"))
+
+
+def box_pairs(a: DataFrame, b: DataFrame, a_box: str = "__a", b_box: str = "__b", key_rows: int = KEY_ROWS, **options) -> DataFrame:
     """Pairs of rows whose boxes have a point in common, each once."""
     sides = [sampled(a, a_box), sampled(b, b_box)]
+    if all(s.n for s in sides):
+        sides = [near(sides[0], sides[1].extent), near(sides[1], sides[0].extent)]
+    a, b = (s.df for s in sides)
     tree = tree_of(sides, **options)
     if tree is None and not all(s.n for s in sides):
         return a.join(b, F.lit(False))
@@ -217,4 +266,12 @@ def box_pairs(a: DataFrame, b: DataFrame, a_box: str = "__a", b_box: str = "__b"
     single = (F.size("__homes") == 1) & (F.size("__homes_b") == 1) & (F.array_contains("__homes", F.col("__cell")) | F.array_contains("__homes_b", F.col("__cell")))
     shared = F.array_union(F.array_intersect("__homes", F.concat("__homes_b", "__ups_b")), F.array_intersect("__ups", "__homes_b"))
     first = F.when(single, True).otherwise(F.col("__cell") == F.array_min(shared))
-    return left.join(right, "__cell").where(meet & first).drop("__cell", "__homes", "__ups", "__homes_b", "__ups_b")
+    dealt_over = [crowds(tree, s, other, key_rows) for s, other in zip(sides, at_home[::-1], strict=True)]
+    if not any(dealt_over):
+        return left.join(right, "__cell").where(meet & first).drop("__cell", "__homes", "__ups", "__homes_b", "__ups_b")
+    rows = [(c, dealt_over[0].get(c, 1), dealt_over[1].get(c, 1)) for c in dealt_over[0].keys() | dealt_over[1].keys()]
+    keys = a.sparkSession.createDataFrame(rows, "__cell long, __left int, __right int")
+    plain = lambda df: [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    left = dealt(left, keys, "__left", "__right", plain(a))
+    right = dealt(right, keys, "__right", "__left", plain(b))
+    return left.join(right, ["__cell", "__left_share", "__right_share"]).where(meet & first).drop("__cell", "__left_share", "__right_share", "__homes", "__ups", "__homes_b", "__ups_b")

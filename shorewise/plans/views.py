@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shorewise.functions import geometry as G
+from shorewise.operators.rows import spread
 
 LINES = {
     0: [(0, -50), (40, 200), (60, 600), (100, 1050)],
@@ -50,13 +51,13 @@ def solvent_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("location_id"), ((F.col("s_suppkey") % 10) * 40.0).alias("xmin"), (F.floor(F.col("s_suppkey") / 10) * 90.0).alias("ymin"))
+    df = spread(read(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey").select(F.col("s_suppkey").alias("location_id"), ((F.col("s_suppkey") % 10) * 40.0).alias("xmin"), (F.floor(F.col("s_suppkey") / 10) * 90.0).alias("ymin"))
     return df.withColumn("polygon", G.rectangle(F.col("xmin"), F.col("ymin"), F.col("xmin") + 50, F.col("ymin") + 110))
 
 
 def objs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    df = read(spark, sf_dir, "part").select(key.alias("object_id"), "p_brand", "p_type", ((key * 53) % 400).cast("double").alias("xmin"), ((key * 37) % 1000).cast("double").alias("ymin"), F.col("p_size").cast("double").alias("w"), (F.col("p_size") / 2.0).alias("h"))
+    df = spread(read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size"), "p_partkey").select(key.alias("object_id"), "p_brand", "p_type", ((key * 53) % 400).cast("double").alias("xmin"), ((key * 37) % 1000).cast("double").alias("ymin"), F.col("p_size").cast("double").alias("w"), (F.col("p_size") / 2.0).alias("h"))
     return df.withColumn("shape", G.rectangle(F.col("xmin"), F.col("ymin"), F.col("xmin") + F.col("w"), F.col("ymin") + F.col("h")))
 
 
