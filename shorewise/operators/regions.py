@@ -22,8 +22,9 @@ from shorewise.functions import meets
 from shorewise.functions.curves import rings_of
 from shorewise.operators.nearest import nearest_of_regions, segments_of
 from shorewise.operators.packed import PackedSegments
+from shorewise.operators.rows import spread
 from shorewise.operators.spatial import box_pairs
-from shorewise.operators.sweep import covered, directed
+from shorewise.operators.sweep import covered_by, directed
 
 #: Segments that a task may hold as a packed index; the lines of more are dealt over grids instead.
 MAX_SEGMENTS = 1_000_000
@@ -120,7 +121,7 @@ def intersecting(regions: DataFrame, objects: DataFrame, columns: list[str] | st
 
 def covered_area(polygon: list[np.ndarray], objects: list[list[np.ndarray]], low: float = -np.inf, high: float = np.inf) -> float:
     """Area of the part of the polygon (rings of points) between x of low and high that any of the objects covers."""
-    return covered(directed(polygon), np.concatenate([np.zeros((0, 4)), *map(directed, objects)]), low, high)
+    return covered_by(directed(polygon), list(map(directed, objects)), low, high)
 
 
 def _strips(pairs: DataFrame, strip_objects: int) -> DataFrame:
@@ -141,7 +142,8 @@ def area_fraction(regions: DataFrame, objects: DataFrame, *, strip_objects: int
     """
     if in_parts(objects):  # each part covers for itself
         objects = objects.withColumn("shape", F.explode("shape"))
-    near = _candidates(regions, objects.select("shape"), "polygon")
+    # equal objects cover nothing more
+    near = _candidates(regions, objects.select("shape").distinct(), "polygon")
     crowded = near.groupBy("location_id").count().where(F.col("count") > strip_objects)
     edges = G.directed_edges(F.col("shape")).alias("edges")
     if crowded.isEmpty():  # where boxes meet but shapes don't, nothing is covered
@@ -162,9 +164,11 @@ def area_fraction(regions: DataFrame, objects: DataFrame, *, strip_objects: int
         if region.empty or inside.empty or region["own"].iloc[0] is None:
             return pd.DataFrame({"location_id": [], "covered": []})
         r = region.iloc[0]
-        return pd.DataFrame({"location_id": [key[0]], "covered": [covered(r["own"].reshape(-1, 4), np.concatenate(list(inside["edges"])).reshape(-1, 4), r["low"], r["high"])]})
+        return pd.DataFrame({"location_id": [key[0]], "covered": [covered_by(r["own"].reshape(-1, 4), [e.reshape(-1, 4) for e in inside["edges"]], r["low"], r["high"])]})
 
     kind = regions.schema["location_id"].dataType.simpleString()
+    # few bytes and much work: not put together to few tasks
+    own, rows = spread(own, "location_id", "strip"), spread(rows, "location_id", "strip")
     strips = own.groupBy("location_id", "strip").cogroup(rows.groupBy("location_id", "strip")).applyInPandas(one, f"location_id {kind}, covered double")
     found = regions.join(strips.groupBy("location_id").agg(F.sum("covered").alias("covered")), "location_id", "left")
     return found.select("location_id", F.coalesce(F.try_divide(F.col("covered"), G.area(F.col("polygon"))), F.lit(0.0)).alias("area_fraction"))

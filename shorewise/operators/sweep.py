@@ -8,6 +8,9 @@ those near the event are looked at. A pair crosses only from the steeper lower
 edge to the steeper upper one, so it changes places once, also where many edges
 meet in a point or rounding puts two in the wrong order for a moment.
 
+Where objects crowd, the sweep would meet most edges at every event. There the place is halved
+until an object covers it wholly, and its own area counts, or few objects have an edge in it.
+
 Edges are directed: to the right with the inside above. Rings may touch but not cross themselves.
 """
 
@@ -156,3 +159,74 @@ def covered(own: np.ndarray, others: np.ndarray, low: float = -np.inf, high: flo
         line.change(x, by_end[b:m], by_start[a:n])
         a, b = n, m
     return line.area
+
+
+#: Edges up to which a place is swept at once, and how often a place is halved at most.
+FEW_EDGES, HALVINGS = 400, 16
+
+
+def _between(edges: np.ndarray, y0: float, y1: float) -> np.ndarray:
+    """Edges cut at two heights, with what is beyond them laid on them: the same area in between, and none beyond."""
+    ax, ay, bx, by = edges.T
+    rise = np.where(by == ay, 1.0, by - ay)
+    at = np.sort(np.stack([np.clip((y0 - ay) / rise, 0, 1), np.clip((y1 - ay) / rise, 0, 1)]), axis=0)
+    at = np.where(by == ay, 1.0, at)
+    xs = [ax, *(np.where(t >= 1, bx, ax + t * (bx - ax)) for t in at), bx]
+    ys = [np.clip(v, y0, y1) for v in (ay, *(np.where(t >= 1, by, ay + t * (by - ay)) for t in at), by)]
+    pieces = [np.stack([xs[k], ys[k], xs[k + 1], ys[k + 1]], axis=1) for k in range(3)]
+    return np.concatenate([p[p[:, 0] != p[:, 2]] for p in pieces])
+
+
+def _area_within(edges: np.ndarray, x0: float, x1: float, y0: float, y1: float) -> float:
+    """Area of a region within a box."""
+    ax, ay, bx, by = _between(edges, y0, y1).T
+    run = np.where(ax == bx, 1.0, bx - ax)
+    u, v = np.clip(ax, x0, x1), np.clip(bx, x0, x1)
+    low, high = ay - y0 + (u - ax) * (by - ay) / run, ay - y0 + (v - ax) * (by - ay) / run
+    return float(-((v - u) * (low + high) / 2).sum())
+
+
+def covered_by(own: np.ndarray, objects: list[np.ndarray], low: float = -np.inf, high: float = np.inf) -> float:
+    """Area, between x of low and high, of the region with the edges `own` that objects, each with its edges, cover."""
+    edges = np.concatenate([np.zeros((0, 4)), *objects])
+    if len(edges) <= FEW_EDGES or not len(own):
+        return covered(own, edges, low, high)
+    of = np.repeat(np.arange(len(objects)), [len(o) for o in objects])
+    own_x, own_y = own[:, ::2], own[:, 1::2]
+    places = [(max(low, own_x.min()), min(high, own_x.max()), own_y.min(), own_y.max(), edges, of, 0)]
+    area = 0.0
+    while places:
+        x0, x1, y0, y1, edges, of, depth = places.pop()
+        if not (x0 < x1 and y0 < y1):
+            continue
+        left, right = np.minimum(edges[:, 0], edges[:, 2]), np.maximum(edges[:, 0], edges[:, 2])
+        bottom, top = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
+        n = int(of.max()) + 1 if len(of) else 0
+        run, rise = edges[:, 2] - edges[:, 0], edges[:, 3] - edges[:, 1]
+        side = [run * (v - edges[:, 1]) - rise * (u - edges[:, 0]) for u in (x0, x1) for v in (y0, y1)]
+        within = (left < x1) & (right > x0) & (bottom < y1) & (top > y0) & (np.minimum.reduce(side) <= 0) & (np.maximum.reduce(side) >= 0)
+        crossing = np.zeros(n, bool)
+        crossing[of[within]] = True
+        # no edge in the place: all of it is inside or outside, as its middle is
+        x, y = (x0 + x1) / 2, (y0 + y1) / 2
+        under = (left <= x) & (right > x)
+        e = edges[under]
+        below = e[:, 1] + (x - e[:, 0]) * (e[:, 3] - e[:, 1]) / np.where(e[:, 2] == e[:, 0], 1.0, e[:, 2] - e[:, 0]) < y
+        inside = np.bincount(of[under][below], minlength=n) % 2 == 1
+        if (inside & ~crossing).any():
+            area += _area_within(own, x0, x1, y0, y1)
+            continue
+        keep, some = crossing[of], edges[within]
+        edges, of = edges[keep], of[keep]
+        if len(some) <= FEW_EDGES or depth >= HALVINGS:
+            if len(edges):
+                area += covered(_between(own, y0, y1), _between(edges, y0, y1), x0, x1)
+            continue
+        # at the middle one of the ends within, so that edges in one line come to lie between places
+        ends = [np.sort(v[(v > a) & (v < b)]) for v, a, b in ((some[:, ::2].ravel(), x0, x1), (some[:, 1::2].ravel(), y0, y1))]
+        x, y = (v[len(v) // 2] if len(v) else m for v, m in zip(ends, (x, y), strict=True))
+        if (x1 - x0 >= y1 - y0) if bool(len(ends[0])) == bool(len(ends[1])) else len(ends[0]):
+            places += [(x0, x, y0, y1, edges, of, depth + 1), (x, x1, y0, y1, edges, of, depth + 1)]
+        else:
+            places += [(x0, x1, y0, y, edges, of, depth + 1), (x0, x1, y, y1, edges, of, depth + 1)]
+    return area
