@@ -32,7 +32,7 @@ from shorewise.llm.shingles import chunks
 PROFILE, SAMPLE_DOCS, UNKNOWN = 400, 3000, "und"
 #: Mean out-of-place distance, as a share of the largest, from which a text is like none of the languages.
 FAR = 0.95
-_CHUNK_CHARS = 1_000_000
+_CHUNK_CHARS = 250_000
 
 
 @cache
