@@ -144,3 +144,26 @@ def test_columns(spark):
     assert all(r.polygon is None and r.line is None and r.point is None for r in made[1:]) and all(not r.o for r in made[1:])
     with pytest.raises(Exception, match="negative"):
         df.select(C.buffered(F.col("polygon"), F.lit(-1.0))).collect()
+
+
+def test_shapes_are_worked_out_together(monkeypatch):
+    rng = np.random.default_rng(7)
+    calls, cut = [], C._cut
+    monkeypatch.setattr(C, "_cut", lambda *args: calls.append(1) or cut(*args))
+    lines = [rng.uniform(-1e4, 1e4, 2) + np.cumsum(rng.uniform(-10, 20, (int(rng.integers(2, 9)), 2)), axis=0) for _ in range(60)]
+    walks, radius = [C._walks([line], "line") for line in lines], rng.uniform(0.5, 9, 60)
+    made, moved = C.buffers([*walks, []], np.append(radius, 1.0)), C.offsets(lines, radius)
+    assert len(calls) == 2 and made[-1] == [] and len(moved) == 60
+    for walk, line, r, polygons, pieces in zip(walks, lines, radius, made, moved, strict=False):
+        alone = C.buffer_rings(walk, r)
+        assert [[len(ring) for ring in p] for p in alone] == [[len(ring) for ring in p] for p in polygons]
+        assert all(np.allclose(a, b, rtol=0, atol=1e-9) for p, q in zip(alone, polygons, strict=True) for a, b in zip(p, q, strict=True))
+        assert all(np.allclose(a, b, rtol=0, atol=1e-9) for a, b in zip(C.offset_pieces(line, r), pieces, strict=True))
+        (low, high), ring = (line.min(axis=0) - r, line.max(axis=0) + r), polygons[0][0]
+        assert np.allclose([ring.min(axis=0), ring.max(axis=0)], [low, high], rtol=0, atol=1e-9)
+
+
+def test_offset_loses_points_that_go_straight_on():
+    lines = [np.array([(x, -10.0), (x + 5, 400), (x - 5, 700), (x, 1010)]) for x in np.arange(250.0, 650, 4)]
+    by = np.array([(5 + k % 11) * (1 if k % 2 else -1) for k in range(len(lines))], float)
+    assert {tuple(map(len, pieces)) for pieces in C.offsets(lines, by)} == {(4,)}
