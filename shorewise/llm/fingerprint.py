@@ -25,6 +25,8 @@ will do: text ids compare by code point.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,8 @@ from shorewise.llm.common import let, named, numbered, ranked, settled, table
 
 CELLS, ROUNDS, RETRY_ROUNDS, KEYS_A_PART, RANGE_BYTES, BROADCAST_RANGES = 8, 8, 4, 6, 16_000_000, 200_000
 #: Line ends; blanks after a sentence's mark, or after the quote or bracket that closes one; behind a full-width mark, blanks or none.
-PARAGRAPH = r"[\r\n]+|(?:(?<=[.!?…؟۔।॥])|(?<=[.!?…][\"'”’»)\]]))[ \t\xa0]+|(?<=[。！？｡])[ \t\xa0\u3000]*"
+#: What most places lack is looked for first: a blank ahead, a letter of the East behind.
+PARAGRAPH = r"[\r\n]+|(?=[ \t\xa0])(?:(?<=[.!?…؟۔।॥])|(?<=[.!?…][\"'”’»)\]]))[ \t\xa0]+|(?<![\x00-\u2fff])(?<=[。！？｡])[ \t\xa0\u3000]*"
 
 
 def digests(text: Column) -> Column:
@@ -138,8 +141,8 @@ def compare_larger(pairs: DataFrame) -> DataFrame:
         turn += 1
 
 
-def with_successor(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """doc_id, text, hash and the next text by descending doc_id (after the last, the first)."""
+def with_successor(docs: DataFrame, range_bytes: int = RANGE_BYTES, *, made: Callable[[Column], Column] | None = None) -> DataFrame:
+    """doc_id, text, hash and the next text by descending doc_id (after the last, the first); made and next_made are what is made of either text, once for both its uses."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-size // range_bytes))
@@ -170,17 +173,21 @@ def with_successor(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
     ghosts = first.select("doc_id", "text", "hash", F.col("to").alias("range"), F.col("to_sub").alias("sub")).dropDuplicates(["range", "sub"])
     rows = docs.withColumn("ghost", F.lit(0)).unionByName(ghosts.withColumn("ghost", F.lit(1)))
     within = Window.partitionBy("range", "sub").orderBy("ghost", *order)
-    return rows.withColumn("next", F.lead("text").over(within)).where("ghost = 0").select("doc_id", "text", "hash", "next")
+    rows, names = rows.withColumn("next", F.lead("text").over(within)), ["doc_id", "text", "hash", "next"]
+    if made:
+        rows, names = rows.withColumn("made", made(F.col("text"))).withColumn("next_made", F.lead("made").over(within)), [*names, "made", "next_made"]
+    return rows.where("ghost = 0").select(*names)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
     docs, names = numbered(docs)
-    rows = with_successor(docs).withColumn("n_chars", F.length("text"))
+    sketched = lambda text: let(digests(text), lambda keys: F.struct(keys.alias("keys"), sketch(keys).alias("cells")))
+    rows = with_successor(docs, made=sketched).withColumn("n_chars", F.length("text"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars") - cut), F.substr("next", F.lit(1), cut)))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next")).alias("n"))
-    rows = rows.select("*", sketch(F.col("a")).alias("ca"), sketch(F.col("e")).alias("ce"), sketch(F.col("n")).alias("cn"))
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("made.keys").alias("a"), digests(F.col("edited")).alias("e"), F.col("next_made.keys").alias("n"), F.col("made.cells").alias("ca"), F.col("next_made.cells").alias("cn"))
+    rows = rows.select("*", sketch(F.col("e")).alias("ce"))
     like = lambda side: likeness(F.size("a"), F.size(side), peel(subtract(F.col("ca"), F.col(f"c{side}"))))
     rows = rows.select("*", like("e").alias("near_edited"), like("n").alias("near_next"))
     # digests are smaller than the sketches' text, which the last step makes of them; the row's number is written with it, so that it stays

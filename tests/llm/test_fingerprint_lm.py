@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -181,3 +182,18 @@ def test_nothing_to_learn_from(odd):
     rows = M.score_documents(odd.where("doc_id = 8"), F.lit(True)).collect()
     assert rows[0].score == pytest.approx(-2 * math.log10(256)) and rows[0].n_known == 0
     assert M.score_documents(odd.where("false"), F.lit(False)).count() == 0
+
+
+def test_what_is_made_of_the_next_text_is_its_own_rows(spark):
+    """Digests are worked out once a text, also of a range's last row, whose next row is in another range."""
+    rows = [(i, f"Text {i}. " * 30) for i in range(40)]
+    got = P.with_successor(spark.createDataFrame(rows, "doc_id long, text string"), 2000, made=lambda text: F.concat(F.lit("of "), text)).collect()
+    assert len(got) == 40 and all(r.made == "of " + r.text and r.next_made == "of " + r.next for r in got)
+
+
+def test_paragraphs_are_split_as_by_the_plain_pattern():
+    plain = r"[\r\n]+|(?:(?<=[.!?…؟۔।॥])|(?<=[.!?…][\"'”’»)\]]))[ \t\xa0]+|(?<=[。！？｡])[ \t\xa0\u3000]*"
+    draw = random.Random(3)
+    for _ in range(3000):
+        text = "".join(draw.choices("ab .!?…؟।\"'”)\t\xa0\u3000\n\r。！｡é中", k=draw.randint(0, 40)))
+        assert re.split(P.PARAGRAPH, text) == re.split(plain, text)
