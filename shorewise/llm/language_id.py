@@ -23,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -121,7 +122,8 @@ def learn(docs: DataFrame, training: Column, *, profile: int = PROFILE, sample_d
     return {lang: np.array(g, np.int64).astype(np.uint64) for lang, g in found.items()}
 
 
-def _identified(profiles: dict[str, np.ndarray], size: int):
+def _identified(profiles: dict[str, np.ndarray], size: int, text: str = "text", keep: list[str] | None = None):
+    """Batches with lang_pred, score and far, by the text column; of their own columns all stay, or those of `keep`."""
     langs = sorted(profiles)
 
     def places(keys: np.ndarray) -> np.ndarray:
@@ -134,10 +136,10 @@ def _identified(profiles: dict[str, np.ndarray], size: int):
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, lang, score, far = b.column("text").to_pylist(), [], [], []
-            for a, z in chunks([len(t or "") for t in texts], _CHUNK_CHARS):
-                rank = None
-                for own, keys in ranked(texts[a:z], size):
+            # a piece's texts alone are made Python's, and its rows go on before the next
+            for a, z in chunks(pc.fill_null(pc.utf8_length(b.column(text)), 0).to_pylist(), _CHUNK_CHARS):
+                piece, lang, score, far, rank = b.slice(a, z - a), [], [], [], None
+                for own, keys in ranked(piece.column(text).to_pylist(), size):
                     if not len(own) or not langs:
                         lang.append(UNKNOWN), score.append(0.0), far.append(1.0)
                         continue
@@ -149,7 +151,8 @@ def _identified(profiles: dict[str, np.ndarray], size: int):
                     lang.append(langs[best[0]])
                     score.append(float(second / (first + second)) if first + second else 0.5)
                     far.append(float(first / most))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.float64()), *[b.column(i) for i in range(2, b.num_columns)]], names=["doc_id", "lang_pred", "score", "far", *b.schema.names[2:]])
+                kept = [piece.column(name) for name in (keep or b.schema.names)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.float64())], names=[*(keep or b.schema.names), "lang_pred", "score", "far"])
 
     return f
 
@@ -157,16 +160,15 @@ def _identified(profiles: dict[str, np.ndarray], size: int):
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], *, profile: int = PROFILE) -> DataFrame:
     """Per document row: doc_id, lang_pred, score and far (distance to the language, 0 to 1)."""
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, far double"
-    return docs.select("doc_id", "text").mapInArrow(_identified(profiles, profile), kind)
+    return docs.select("doc_id", "text").mapInArrow(_identified(profiles, profile, keep=["doc_id"]), kind)
 
 
 def keep_identified(docs: DataFrame, training: Column, *, far: float = FAR) -> DataFrame:
     """docs without those of no known language; all columns stay."""
     profiles = learn(docs, training)
     names = [f"__{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names).select(F.lit(0).alias("doc_id"), F.col(names[docs.columns.index("text")]).alias("text"), *names)
-    kind = ", ".join(["doc_id int, lang_pred string, score double, far double", *(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))])
-    kept = rows.mapInArrow(_identified(profiles, PROFILE), kind).where((F.col("lang_pred") != UNKNOWN) & (F.col("far") < far))
+    kind = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True)), "lang_pred string, score double, far double"])
+    kept = docs.toDF(*names).mapInArrow(_identified(profiles, PROFILE, names[docs.columns.index("text")]), kind).where((F.col("lang_pred") != UNKNOWN) & (F.col("far") < far))
     return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 

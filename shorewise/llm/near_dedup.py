@@ -31,6 +31,7 @@ from math import ceil, exp, log, log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,9 +94,8 @@ def _signed(percent: int):
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks([len(t or "") for t in texts]):
-                sets = shingle_sets(_split(texts[a:b]), WORDS)
+            for a, b in chunks(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()):
+                sets = shingle_sets(_split(batch.column("text").slice(a, b - a).to_pylist()), WORDS)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 samples = minhashes([sets[i] for i in full], percent)
                 bands = samples.reshape(len(full), n_bands, ROWS).astype(np.uint64)
