@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from shorewise.llm.common import settled, table, with_blocks
 from shorewise.llm.shingles import mixed
-from shorewise.llm.winnow import anchors, covered, inside
+from shorewise.llm.winnow import anchors, anchors_of, covered, inside
 
 LENGTH, ANCHOR, SEGMENT, GROUP, BATCH, BLOCK_BYTES = 400, 100, 2_000_000, 1000, 20_000, 16_000_000
 #: 51 words of four letters, with a blank each.
@@ -53,10 +53,16 @@ _CODE = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64) | np.u
 _BASE = 0x9E3779B97F4A7C15
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base % 2**64, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """The first n powers; a process keeps as many as the longest segment needed."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(n, base % 2**64, np.uint64)
+        out[:1] = 1
+        _POWERS[base] = np.cumprod(out, dtype=np.uint64)
+    return _POWERS[base][:n]
 
 
 class Hashed:
@@ -100,10 +106,10 @@ def _joined(held: list[tuple[int, int, bytes]]):
 _NONE = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
 
 
-def occurrences(lengths: np.ndarray, hashed: Hashed, grams: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Anchor occurrences: key, span hash, anchor's place, first and last window start."""
+def occurrences(lengths: np.ndarray, hashed: Hashed, grams: np.ndarray, length: int, anchor: int, pick: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Anchor occurrences: key, span hash, anchor's place, first and last window start. `pick` is the windows' anchors, if they are known."""
     n = len(hashed.sums) - 1
-    pick = anchors(grams, length - anchor + 1)
+    pick = anchors(grams, length - anchor + 1) if pick is None else pick
     start = np.flatnonzero(inside(lengths, length, n)[: min(len(pick), SEGMENT)])  # later ones are the next piece's
     if not len(start):
         return _NONE
@@ -122,8 +128,8 @@ def _by_size(texts: list[bytes], sizes: list[int], anchor: int):
         lengths, buf = segment[2:]
         hashed = Hashed(buf)
         grams = hashed.runs(anchor)
-        for size in sizes:
-            yield segment, size, occurrences(lengths, hashed, grams, size, anchor)
+        for size, pick in zip(sizes, anchors_of(grams, [size - anchor + 1 for size in sizes]), strict=True):
+            yield segment, size, occurrences(lengths, hashed, grams, size, anchor, pick)
 
 
 def _listed(sizes: list[int], anchor: int):

@@ -8,18 +8,26 @@ _PLACE = np.uint64((1 << 26) - 1)
 
 
 def anchors(grams: np.ndarray, width: int) -> np.ndarray:
-    """For each run of `width` grams, the place of the least one (of equal ones the last), found by doubling."""
-    if len(grams) < width:
-        return np.zeros(0, np.int64)
-    if len(grams) > int(_PLACE):
+    """For each run of `width` grams, the place of the least one (of equal ones the last)."""
+    return anchors_of(grams, [width])[0]
+
+
+def anchors_of(grams: np.ndarray, widths: list[int]) -> list[np.ndarray]:
+    """anchors for several widths, found by one doubling."""
+    if len(grams) > int(_PLACE) and len(grams) >= min(widths):
         raise ValueError("too long a chunk")
-    low = (grams & ~_PLACE) | (_PLACE - np.arange(len(grams), dtype=np.uint64))
-    span, n = 1, len(grams) - width + 1
-    while span * 2 <= width:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    low = np.minimum(low[:n], low[width - span : width - span + n])
-    return (_PLACE - (low & _PLACE)).astype(np.int64)
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(widths)
+    low, span = (grams & ~_PLACE) | (_PLACE - np.arange(len(grams), dtype=np.uint64)), 1
+    for k in sorted(range(len(widths)), key=lambda k: widths[k]):
+        width, n = widths[k], len(grams) - widths[k] + 1
+        if n < 1:
+            break
+        while span * 2 <= width:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        least = np.minimum(low[:n], low[width - span : width - span + n])
+        out[k] = (_PLACE - (least & _PLACE)).astype(np.int64)
+    return out
 
 
 def inside(lengths: np.ndarray, window: int, n: int) -> np.ndarray:
